@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tendril.tables import table
 
-from . import quality_gbt
+from . import language_zstd, quality_gbt
 
 
 def op1_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +14,14 @@ def op1_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gbt.score(docs, quality_gbt.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_language_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_zstd.predict(docs, language_zstd.fit(docs))
+
+
 QUERIES = {
     "op1_quality_gbt": op1_quality_gbt,
+    "op8_language_zstd": op8_language_zstd,
 }
 
 ORACLES: dict[str, str] = {}
