@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tendril.tables import table
 
-from . import language_zstd, quality_gbt
+from . import language_zstd, quality_gbt, sentencepiece_sample
 
 
 def op1_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +20,16 @@ def op8_language_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_zstd.predict(docs, language_zstd.fit(docs))
 
 
+def op10_sentencepiece_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two segmentations of each text: their lengths, digests, scores and whether they decode to the text."""
+    out = sentencepiece_sample.encode(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "sample_rank", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "perturbed", "inclusion", "decoded_equal")
+
+
 QUERIES = {
     "op1_quality_gbt": op1_quality_gbt,
     "op8_language_zstd": op8_language_zstd,
+    "op10_sentencepiece_sample": op10_sentencepiece_sample,
 }
 
 ORACLES: dict[str, str] = {}
