@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tendril.tables import table
 
-from . import chosen_path, language_zstd, quality_gbt, sentencepiece_sample
+from . import chosen_path, decontaminate, language_zstd, quality_gbt, sentencepiece_sample
 
 
 def op1_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,12 +26,17 @@ def op10_sentencepiece_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "sample_rank", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "perturbed", "inclusion", "decoded_equal")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_quality_gbt": op1_quality_gbt,
+    "op4_decontaminate": op4_decontaminate,
     "op5_chosen_path": op5_chosen_path,
     "op8_language_zstd": op8_language_zstd,
     "op10_sentencepiece_sample": op10_sentencepiece_sample,
