@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tendril.tables import table
 
-from . import chosen_path, decontaminate, language_zstd, quality_gbt, sentencepiece_sample
+from . import chosen_path, decontaminate, language_zstd, lpt_shards, quality_gbt, sentencepiece_sample, warc
 
 
 def op1_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,11 +15,19 @@ def op1_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gbt.score(docs, quality_gbt.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lpt_shards.assign(table(spark, sf_dir, "documents"))
+
+
 def op8_language_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_zstd.predict(docs, language_zstd.fit(docs))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op10_sentencepiece_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two segmentations of each text: their lengths, digests, scores and whether they decode to the text."""
     out = sentencepiece_sample.encode(table(spark, sf_dir, "documents"))
@@ -38,7 +46,9 @@ QUERIES = {
     "op1_quality_gbt": op1_quality_gbt,
     "op4_decontaminate": op4_decontaminate,
     "op5_chosen_path": op5_chosen_path,
+    "op6_lpt_shards": op6_lpt_shards,
     "op8_language_zstd": op8_language_zstd,
+    "op9_warc": op9_warc,
     "op10_sentencepiece_sample": op10_sentencepiece_sample,
 }
 
