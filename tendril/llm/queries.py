@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tendril.tables import table
 
-from . import chosen_path, decontaminate, language_zstd, license_join, lpt_shards, quality_gbt, sentencepiece_sample, warc
+from . import chosen_path, decontaminate, language_zstd, license_join, lpt_shards, quality_gbt, sentencepiece_sample, toxic_segments, warc
 
 
 def op1_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op10_sentencepiece_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "sample_rank", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "perturbed", "inclusion", "decoded_equal")
 
 
+def op2_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxic_segments.score(docs, toxic_segments.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_join.scan(table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_gbt": op1_quality_gbt,
+    "op2_toxic_segments": op2_toxic_segments,
     "op3_license_join": op3_license_join,
     "op4_decontaminate": op4_decontaminate,
     "op5_chosen_path": op5_chosen_path,
