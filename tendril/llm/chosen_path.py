@@ -6,9 +6,10 @@ split on the first order's least shingle, nodes of more than LEAF sets split
 again on the next order's, down to DEPTH orders. Two sets of similarity s stay
 together over d splits with probability at least s ** d, so runs repeat until
 1 - (1 - s ** DEPTH) ** runs reaches the target recall. Sets that share a leaf
-are compared exactly; a leaf that is still large after DEPTH splits is cut into
-blocks, and every pair of blocks is compared in a group of its own, so no task
-holds more than 2 * LEAF sets and no pair is lost.
+are compared, first by their least shingles under all orders, then exactly; a
+leaf that is still large after DEPTH splits is cut into blocks, and every pair
+of blocks is compared in a group of its own, so no task holds more than
+2 * LEAF sets and no pair is lost.
 
 Texts with equal shingle sets are one node from the start. Comparison emits,
 for each set, its number of links and the least set of its component in the
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tendril.session import shared_dir, stored
 
-from .common import map_arrow
+from .common import grouped, map_arrow
 from .textvec import ALNUM, LOWER, U64, Words, mix64, slices, text_bytes, window_hashes
 
 WIDTH = 5
@@ -42,6 +43,8 @@ RECALL = 0.999
 DEPTH = 4
 #: Random orders; each run follows a sequence of its own of them.
 ORDERS = 32
+#: Orders on which two sets must agree before they are compared exactly.
+AGREE = 13
 LEAF = 400
 #: Ids that may be broadcast: 16 bytes each.
 BROADCAST_ROWS = 200_000
@@ -108,31 +111,69 @@ def sketches(docs: DataFrame, coordinates: int) -> DataFrame:
 
 
 def leaves(nodes: DataFrame, runs: int, depth: int, leaf: int) -> DataFrame:
-    """(run, path, sid, size): the leaf of each set in each run, without sets that are alone."""
+    """(run, path, sid): the leaf of each set in each run, without sets that are alone."""
     rng = np.random.default_rng(7)
     orders = [[r % ORDERS, *(int(x) for x in rng.permutation(ORDERS) if x != r % ORDERS)][:depth] for r in range(runs)]
-    steps = F.array(*(F.struct(F.lit(r).alias("run"), F.array(*map(F.lit, x)).alias("orders")) for r, x in enumerate(orders)))
-    at = lambda d: F.element_at("least", F.element_at("orders", d + 1) + 1)
-    level = nodes.select("sid", "least", F.inline(steps)).withColumn("path", F.xxhash64("run", at(0)))
+    at = lambda d: F.element_at("least", F.element_at(F.array(*(F.lit(x[d] + 1) for x in orders)), F.col("run") + 1))
+    level = nodes.select("sid", F.inline(F.array(*(F.struct(F.lit(r).alias("run"), F.xxhash64(F.lit(r), F.element_at("least", x[0] + 1)).alias("path")) for r, x in enumerate(orders)))))
     done = None
     for d in range(depth):
-        sizes = level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-        level = level.join(sizes, "path")
-        if d < depth - 1:
-            small = level.where(F.col("size") <= leaf)
-            found = small.select("run", "path", "sid", "size")
-            level = level.where(F.col("size") > leaf).withColumn("path", F.xxhash64("path", at(d + 1))).drop("size")
-        else:
-            found = level.select("run", "path", "sid", "size")
+        # a count per path, so what moves is a few numbers for each set and run
+        sizes = stored(level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+        level = stored(level.join(sizes, "path"), "level")
+        last = d == depth - 1
+        found = level.where(F.lit(last) | (F.col("size") <= leaf)).select("run", "path", "sid")
         done = found if done is None else done.unionByName(found)
-    return done
+        large = level.where(F.col("size") > leaf).select("run", "path", "sid")
+        if last or large.isEmpty():
+            return done
+        level = large.join(nodes.select("sid", "least"), "sid").select("run", F.xxhash64("path", at(d + 1)).alias("path"), "sid")
 
 
 def distinct_leaves(found: DataFrame) -> DataFrame:
-    """Of leaves with equal members, the one of the first run."""
-    each = found.groupBy("path").agg(F.first("run").alias("run"), F.count("*").alias("members"), F.sum(F.xxhash64("sid").cast("decimal(20,0)")).alias("name"))
-    best = each.groupBy("members", "name").agg(F.min(F.struct("run", "path")).alias("best"))
-    return found.join(best.select(F.col("best.path").alias("path")), "path", "left_semi")
+    """(run, path, sid, size) of leaves of more than one set; of those with equal members, the first run's."""
+    each = found.groupBy("path").agg(F.first("run").alias("run"), F.count("*").alias("size"), F.sum(F.xxhash64("sid").cast("decimal(20,0)")).alias("name"))
+    best = each.where("size > 1").groupBy("size", "name").agg(F.min(F.struct("run", "path")).alias("best"))
+    return found.join(best.select(F.col("best.path").alias("path"), "size"), "path").select("run", "path", "sid", "size")
+
+
+def spread(members: DataFrame, leaf: int) -> DataFrame:
+    """(group, run, path, sid, side): a leaf is a group; a large one a group for each pair of its blocks.
+
+    side is 0 if all pairs of the group count, else 1 or 2: then those of unlike sides do.
+    """
+    blocks = F.when(F.col("size") > leaf, F.ceil(F.col("size") / leaf)).otherwise(1).cast("int")
+    rows = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("sid", F.lit(3)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), F.lit(0)).when(F.col("own") < F.col("other"), F.lit(1)).otherwise(2)
+    # blocks i < j meet in the group (i, j); those pairs within a block meet in (i, i)
+    return rows.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "run", "path", "sid", side.alias("side"))
+
+
+def promising(members: DataFrame, nodes: DataFrame, leaf: int, threshold: float) -> DataFrame:
+    """The members of a leaf that agree with another one there on AGREE orders and may have a similar size.
+
+    A pair at threshold 0.8 agrees on fewer with a probability below 1e-7.
+    """
+    rows = spread(members, leaf).join(nodes.select("sid", "n", "least"), "sid").repartition("group").sortWithinPartitions("group", "sid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, "group"):
+            lists = pa.concat_arrays(table.column("least").chunks)
+            least = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, ORDERS)
+            size, side = table.column("n").to_numpy(), table.column("side").to_numpy()
+            agree = np.zeros((len(size), len(size)), np.uint8)
+            for c in range(ORDERS):
+                agree += least[:, c][:, None] == least[:, c][None, :]
+            good = (agree >= AGREE) & (size[:, None] >= threshold * size[None, :]) & (size[None, :] >= threshold * size[:, None])
+            np.fill_diagonal(good, False)
+            if side.any():
+                good &= side[:, None] != side[None, :]
+            hit = pa.array(np.flatnonzero(good.any(1)))
+            if len(hit):
+                yield table.select(["run", "path", "sid"]).take(hit).combine_chunks().to_batches()[0]
+
+    return rows.select("group", "side", "run", "path", "sid", "n", "least").mapInArrow(run, "run int, path long, sid long").distinct()
 
 
 def compare(keys: np.ndarray, sizes: np.ndarray, copies: np.ndarray, path_of_run: np.ndarray, run: int, side: np.ndarray | None, threshold: float):
@@ -176,30 +217,14 @@ def compare(keys: np.ndarray, sizes: np.ndarray, copies: np.ndarray, path_of_run
     return np.zeros(n, np.int64), np.zeros(n, np.int64), root, np.zeros(n, bool)
 
 
-def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """The rows of each key, from batches that are sorted by it."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        values = batch.column(key).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if a == b:
-                continue
-            if held and held[-1].column(key)[-1].as_py() != values[a]:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def links(docs: DataFrame, nodes: DataFrame, found: DataFrame, runs: int, leaf: int, threshold: float) -> DataFrame:
     """(sid, root, weight, n): for each set and group, its links there and the least set of its component."""
-    paths = found.groupBy("sid").agg(F.map_from_entries(F.collect_list(F.struct("run", "path"))).alias("by_run"))
-    kept = distinct_leaves(found)
-    members = stored(kept.select("run", "path", "sid", "size"), "leaves")
-    wanted = members.select("sid").distinct().join(nodes.select("sid", "doc_id", "copies"), "sid").join(paths, "sid")
-    wanted = stored(wanted.select("sid", "doc_id", "copies", F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.element_at("by_run", r)).alias("paths")), "wanted")
+    kept = stored(promising(stored(distinct_leaves(found), "leaves"), nodes, leaf, threshold), "promising")
+    members = stored(distinct_leaves(kept), "members")
+    wanted = members.select("sid").distinct()
+    paths = found.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.map_from_entries(F.collect_list(F.struct("run", "path"))).alias("by_run"))
+    by_run = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.element_at("by_run", r))
+    wanted = stored(nodes.select("sid", "doc_id", "copies").join(paths, "sid").select("sid", "doc_id", "copies", by_run.alias("paths")), "wanted")
     ids = wanted.select(F.col("sid").alias("want"), "doc_id")
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
@@ -213,15 +238,7 @@ def links(docs: DataFrame, nodes: DataFrame, found: DataFrame, runs: int, leaf:
             yield pa.RecordBatch.from_arrays([part.column("want"), lists], ["sid", "shingles"]).filter(same)
 
     hashed = map_arrow(texts, sets, "sid long, shingles array<long>")
-    blocks = F.ceil(F.col("size") / leaf).cast("int")
-    own = F.pmod(F.xxhash64("sid", F.lit(3)), F.col("blocks")).cast("int")
-    # a large leaf: each set goes to the groups of its block with every block
-    spread = members.withColumn("blocks", F.when(F.col("size") > leaf, blocks).otherwise(1)).withColumn("own", own)
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.withColumn("group", F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")))
-    spread = spread.select("group", "run", "sid", F.when(F.col("own") == F.col("other"), F.lit(0)).when(F.col("own") < F.col("other"), F.lit(1)).otherwise(2).alias("side"))
-    # blocks of a group: 0 marks sets of the same block as the group, 1 and 2 the two sides
-    rows = spread.join(wanted.select("sid", "copies", "paths"), "sid").join(hashed, "sid")
+    rows = spread(members, leaf).join(wanted.select("sid", "copies", "paths"), "sid").join(hashed, "sid")
     rows = rows.select("group", "run", "side", "sid", "copies", "paths", "shingles").repartition("group").sortWithinPartitions("group", "sid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +287,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     runs = runs_for(threshold, recall, depth)
     named = stored(sketches(docs, ORDERS), "sketches")
     worded = named.where("n > 0")
-    nodes = stored(worded.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("least").alias("least")), "nodes")
+    nodes = stored(worded.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("least").alias("least")), "nodes")
     found = stored(leaves(nodes, runs, depth, leaf), "found")
     linked = stored(links(docs, nodes, found, runs, leaf, threshold), "links")
     root = components(linked.select(F.col("sid").alias("u"), F.col("root").alias("v")))

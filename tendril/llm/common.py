@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,3 +30,20 @@ def bounded_labels(labels: DataFrame, flag: str, rows: int) -> DataFrame:
     """At most `rows` labelled ids, by hash order; ids labelled more than once take their least label."""
     one = labels.where(F.col("doc_id").isNotNull() & F.col(flag).isNotNull()).groupBy("doc_id").agg(F.min(flag).cast("int").alias(flag))
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each key, from batches that are sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        values = batch.column(key).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if held and held[-1].column(key)[-1].as_py() != values[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
