@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tendril.tables import table
 
-from . import chosen_path, decontaminate, language_zstd, license_join, lpt_shards, quality_gbt, sentencepiece_sample, toxic_segments, warc
+from . import chosen_path, decontaminate, elias_fano_lm, language_zstd, license_join, lpt_shards, quality_gbt, sentencepiece_sample, toxic_segments, warc
 
 
 def op1_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op6_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lpt_shards.assign(table(spark, sf_dir, "documents"))
 
 
+def op7_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return elias_fano_lm.score(docs, elias_fano_lm.build(docs))
+
+
 def op8_language_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_zstd.predict(docs, language_zstd.fit(docs))
@@ -58,6 +63,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_chosen_path": op5_chosen_path,
     "op6_lpt_shards": op6_lpt_shards,
+    "op7_elias_fano_lm": op7_elias_fano_lm,
     "op8_language_zstd": op8_language_zstd,
     "op9_warc": op9_warc,
     "op10_sentencepiece_sample": op10_sentencepiece_sample,
