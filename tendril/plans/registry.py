@@ -1,4 +1,6 @@
 """Every query by name, and the SQL that checks it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import inline, tenders, texts
+
+QUERIES: dict = tenders.QUERIES | texts.QUERIES | inline.QUERIES
+ORACLES: dict = tenders.ORACLES | texts.ORACLES | inline.ORACLES
