@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .fixed import FIELD_ALIASES, MISSING, PROBE_NOISE, SITE_INDEX, SITE_ROOT, TABLE_KEYWORDS
 
 SPACE = r"(?U)\s+"
+#: Legal forms as words of their own, in upper case with two spaces between words.
+LEGAL_FORMS = r" (SOCIÉTÉ|SOCIETE|STE|SARL  AU|SARL|S\.A\.R\.L|SA)\.? "
 DATE = r"\b\d{2}/\d{2}/\d{4}\b"
 
 
@@ -153,9 +155,8 @@ def has_table_words(text: Column) -> Column:
 
 def normalize_company(name: Column) -> Column:
     """A company name without legal form, case or extra space."""
-    up = F.upper(squeeze(name))
-    bare = F.regexp_replace(up, r"\b(SOCIÉTÉ|SOCIETE|STE|SARL AU|SARL|S\.A\.R\.L|SA)\b\.?", " ")
-    return null_if_empty(squeeze(bare))
+    spaced = F.concat(F.lit(" "), F.replace(F.upper(squeeze(name)), F.lit(" "), F.lit("  ")), F.lit(" "))
+    return null_if_empty(squeeze(F.regexp_replace(spaced, LEGAL_FORMS, " ")))
 
 
 def consortium(name: Column) -> Column:

@@ -1,2 +1,190 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries over small inline values shaped like the portal's, each with its DuckDB SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tendril.functions import text as T
+from tendril.functions.fixed import FIELD_ALIASES
+from tendril.operators import documents, relational
+from tendril.sources import html
+
+from . import fixtures as X
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def literal(v) -> str:
+    if v is None:
+        return "NULL"
+    return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
+
+
+def rows_sql(values: list, kind: str = "VARCHAR") -> str:
+    """A common table v(i, x) of the values."""
+    return "WITH v AS (SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), CAST({literal(x)} AS {kind}))" for i, x in enumerate(values)) + ") AS t(i, x)) "
+
+
+def rows(spark: SparkSession, values: list, kind: str = "string") -> DataFrame:
+    return spark.createDataFrame(list(enumerate(values)), f"i long, x {kind}")
+
+
+W = r"[\s\p{Z}\x0b\x{85}\x1c-\x1f]+"
+
+
+def squeeze(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{W}', ' ', 'g'))"
+
+
+def stripped(x: str, pattern: str) -> str:
+    """x with a space for each match, squeezed."""
+    return squeeze(f"regexp_replace({x}, '{pattern}', ' ', 'g')")
+
+
+BARE = f"trim(trim(trim(replace({squeeze('x')}, '@@@@', '')), '*'))"
+CLEAN = f"CASE WHEN lower({BARE}) NOT IN ('', '-', '--', 'n/a', 'néant', 'neant') THEN {BARE} END"
+LABEL = "trim(rtrim(" + squeeze("coalesce(x, '')") + ", '*'))"
+ALIASES = " ".join(f"WHEN starts_with(lower(l), {literal(a.lower())}) THEN '{f}'" for f, names in FIELD_ALIASES.items() for a in names)
+
+
+@query(rows_sql(X.VALUES) + f"SELECT i, {CLEAN} AS cleaned FROM v")
+def clean_value(spark, sf_dir):
+    return rows(spark, X.VALUES).select("i", T.clean_value(F.col("x")).alias("cleaned"))
+
+
+@query(
+    rows_sql(X.VALUES)
+    + f""", d AS (SELECT i, regexp_replace({CLEAN}, '[^0-9,.\\-]', '', 'g') AS d FROM v),
+e AS (SELECT i, CASE WHEN contains(d, ',') AND contains(d, '.') AND instr(reverse(d), ',') < instr(reverse(d), '.') THEN replace(replace(d, '.', ''), ',', '.') WHEN contains(d, ',') AND contains(d, '.') THEN replace(d, ',', '') ELSE replace(d, ',', '.') END AS d FROM d),
+f AS (SELECT i, CASE WHEN length(d) - length(replace(d, '.', '')) > 1 THEN replace(d, '.', '') ELSE d END AS d FROM e)
+SELECT i, CASE WHEN regexp_matches(d, '^-?([0-9]+\\.?[0-9]*|\\.[0-9]+)$') THEN try_cast(d AS DOUBLE) END AS amount FROM f"""
+)
+def parse_amount(spark, sf_dir):
+    return rows(spark, X.VALUES).select("i", T.parse_amount(F.col("x")).alias("amount"))
+
+
+@query(rows_sql(X.DATES) + r"SELECT i, CAST(try_strptime(nullif(regexp_extract(x, '\b\d{2}/\d{2}/\d{4}\b'), ''), '%d/%m/%Y') AS DATE) AS day FROM v")
+def parse_date(spark, sf_dir):
+    return rows(spark, X.DATES).select("i", T.parse_date(F.col("x")).alias("day"))
+
+
+@query(rows_sql(X.BOOLS) + f"SELECT i, CASE WHEN starts_with(lower({CLEAN}), 'oui') OR starts_with(lower({CLEAN}), 'yes') THEN TRUE WHEN starts_with(lower({CLEAN}), 'no') THEN FALSE END AS value FROM v")
+def tri_state_bool(spark, sf_dir):
+    return rows(spark, X.BOOLS).select("i", T.tri_state(F.col("x")).alias("value"))
+
+
+@query(rows_sql(X.LABELS) + f"SELECT i, l AS label, CASE {ALIASES} END AS field FROM (SELECT i, {LABEL} AS l FROM v)")
+def label_dispatch(spark, sf_dir):
+    return rows(spark, X.LABELS).select("i", T.normalize_label(F.col("x")).alias("label"), T.label_field(F.col("x")).alias("field"))
+
+
+SPLIT = "CASE WHEN strpos(x, ':') > 0 THEN left(x, strpos(x, ':') - 1) ELSE nullif(regexp_extract(trim(x), '^(Référence|Reference)\\s+(.+)$', 1), '') END AS label, CASE WHEN strpos(x, ':') > 0 THEN substr(x, strpos(x, ':') + 1) ELSE nullif(regexp_extract(trim(x), '^(Référence|Reference)\\s+(.+)$', 2), '') END AS value"
+
+
+@query(rows_sql([*X.LINES, "sans rien", None, "Référence"]) + f"SELECT i, {SPLIT} FROM v")
+def split_label_value(spark, sf_dir):
+    label, value = T.split_label(F.col("x"))
+    return rows(spark, [*X.LINES, "sans rien", None, "Référence"]).select("i", label.alias("label"), value.alias("value"))
+
+
+@query(rows_sql(X.REFERENCES) + f"SELECT i, nullif(trim(upper(regexp_replace(x, '{W}', '', 'g')), '-/.'), '') AS reference FROM v")
+def normalize_reference(spark, sf_dir):
+    return rows(spark, X.REFERENCES).select("i", T.normalize_reference(F.col("x")).alias("reference"))
+
+
+PIVOT = ["objet", "reference", "domaines_activite", "allotissement", "lieu_execution"]
+
+
+@query(
+    rows_sql(X.LINES)
+    + f", s AS (SELECT i, {SPLIT} FROM v), n AS (SELECT i, CASE {ALIASES.replace('lower(l)', 'lower(trim(label))')} END AS field, {CLEAN.replace('(x,', '(value,')} AS value FROM s WHERE label IS NOT NULL) SELECT CAST(0 AS BIGINT) AS doc, "
+    + ", ".join(f"min_by(value, i) FILTER (WHERE field = '{f}' AND value IS NOT NULL) AS {f}" for f in PIVOT)
+    + " FROM n"
+)
+def first_non_null_pivot(spark, sf_dir):
+    label, value = T.split_label(F.col("x"))
+    named = rows(spark, X.LINES).select(F.lit(0).cast("long").alias("doc"), "i", T.label_field(label).alias("field"), T.clean_value(value).alias("value"))
+    return relational.first_non_null(named, "doc", "i", "field", "value", PIVOT)
+
+
+def grab(label: str) -> str:
+    return f"nullif(trim(regexp_replace(trim(regexp_extract(x, '{label}\\s*:\\s*([^|]{{1,180}})', 1), ' :'), '( {{2,}}|Procédure|Acheteur public).*$', '', 'g')), '')"
+
+
+@query(rows_sql(X.BLOBS) + f"SELECT i, coalesce({grab('Catégorie principale')}, {grab('Catégorie')}) AS category, {grab('Acheteur public')} AS buyer, {grab('Objet')} AS objet FROM v")
+def blob_extract(spark, sf_dir):
+    x = F.col("x")
+    return rows(spark, X.BLOBS).select("i", T.labelled(x, ["Catégorie principale", "Catégorie"]).alias("category"), T.labelled(x, ["Acheteur public"]).alias("buyer"), T.labelled(x, ["Objet"]).alias("objet"))
+
+
+KEYS = "nullif(regexp_extract(x, 'refConsultation=(\\d+)', 1), '') AS ref, nullif(regexp_extract(x, 'orgAcronyme=([^&\"'']+)', 1), '') AS org"
+
+
+@query(rows_sql(X.URLS) + f"SELECT i, ref, org, CASE WHEN ref IS NOT NULL AND org IS NOT NULL THEN 'https://www.marchespublics.gov.ma/index.php?page=entreprise.EntrepriseDetailConsultation&refConsultation=' || ref || '&orgAcronyme=' || org END AS detail_url FROM (SELECT i, {KEYS} FROM v)")
+def url_keys(spark, sf_dir):
+    ref, org = T.url_keys(F.col("x"))
+    return rows(spark, X.URLS).select("i", ref.alias("ref"), org.alias("org"), T.detail_url(ref, org).alias("detail_url"))
+
+
+LINKED = "WITH l(page, pos, href) AS (VALUES " + ", ".join(f"(CAST({p} AS BIGINT), {k}, {literal(h)})" for p, k, h in X.LINKS) + ") "
+
+
+@query(LINKED + ", d AS (SELECT *, contains(lower(href), 'demandetelechargementdce') AS gated FROM l WHERE contains(lower(href), 'dce')), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY gated, pos) AS rn FROM d) WHERE rn = 1) SELECT page, CASE WHEN starts_with(href, 'http') THEN href WHEN starts_with(href, '?') THEN 'https://www.marchespublics.gov.ma/index.php' || href ELSE 'https://www.marchespublics.gov.ma/' || ltrim(href, '/') END AS dossier_consultation_url, NOT gated AS is_publicly_downloadable FROM f")
+def downloadability(spark, sf_dir):
+    found = spark.createDataFrame(X.LINKS, "page long, pos int, href string").withColumn("kind", F.lit("link"))
+    return html.downloadability(found, "page")
+
+
+@query(rows_sql(X.SIDES, "DOUBLE") + "SELECT i, CAST(CASE WHEN x > 0 AND x / 72 * 300 > 4000 THEN floor(4000 / (x / 72)) ELSE 300 END AS INT) AS dpi FROM v")
+def effective_dpi(spark, sf_dir):
+    return rows(spark, X.SIDES, "double").select("i", T.effective_dpi(F.col("x")).alias("dpi"))
+
+
+@query(rows_sql(X.COMPANIES) + f", s AS (SELECT i, x, regexp_matches(x, '(?i)^\\s*groupement\\b') AS g, regexp_replace({squeeze('x')}, '(?i)^groupement\\s*:?\\s*', '') AS bare FROM v) SELECT i, g AS is_groupement, unnest(CASE WHEN g THEN list_filter(list_transform(regexp_split_to_array(bare, '(?i)\\s+et\\s+|\\s*/\\s*|\\s*;\\s*|\\s+&\\s+'), lambda y: trim(y)), lambda y: y <> '') ELSE [{squeeze('x')}] END) AS company FROM s WHERE x IS NOT NULL")
+def split_consortium(spark, sf_dir):
+    named = rows(spark, X.COMPANIES).where("x is not null")
+    return named.select("i", F.col("x").rlike(r"(?i)^\s*groupement\b").alias("is_groupement"), F.explode(T.consortium(F.col("x"))).alias("company"))
+
+
+SPACED = f"' ' || replace(upper({squeeze('x')}), ' ', '  ') || ' '"
+
+
+@query(rows_sql(X.COMPANIES) + f"SELECT i, nullif({stripped(SPACED, T.LEGAL_FORMS)}, '') AS company FROM v")
+def normalize_company(spark, sf_dir):
+    return rows(spark, X.COMPANIES).select("i", T.normalize_company(F.col("x")).alias("company"))
+
+
+@query(rows_sql(X.MINUTES) + "SELECT i, CASE WHEN regexp_matches(lower(x), 'infructueu') THEN 'INFRUCTUEUX' WHEN regexp_matches(lower(x), 'offre[s]?\\s+(est\\s+|sont\\s+)?excessi') THEN 'OFFRE_EXCESSIVE' WHEN regexp_matches(lower(x), '(concurrent|prestataire|soumissionnaire)\\w*\\s+(retenu|attributaire)|attribué') THEN 'ATTRIBUE' END AS statut FROM v")
+def award_status(spark, sf_dir):
+    return rows(spark, X.MINUTES).select("i", T.award_status(F.col("x")).alias("statut"))
+
+
+ARABIC = r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}]"
+
+
+@query(rows_sql(X.MIXED) + f"SELECT i, {stripped('x', ARABIC)} AS text FROM v")
+def strip_arabic(spark, sf_dir):
+    return rows(spark, X.MIXED).select("i", T.strip_arabic(F.col("x")).alias("text"))
+
+
+@query(rows_sql(X.COUNTS) + r"SELECT i, try_cast(regexp_replace(nullif(regexp_extract(x, '[Nn]ombre de r.sultats\s*:?\s*([\d\s\x{A0}\x{202F}]{1,12})', 1), ''), '[^0-9]', '', 'g') AS INT) AS n FROM v")
+def result_count(spark, sf_dir):
+    return rows(spark, X.COUNTS).select("i", T.result_count(F.col("x")).alias("n"))
+
+
+@query(rows_sql([0.4, 0.6, -3.88, 0.0, -0.5], "DOUBLE") + "SELECT i, abs(x) > 0.5 AS deskew, i * 90 <> 0 AND x >= 0.5 AS rotate FROM v")
+def page_decisions(spark, sf_dir):
+    return rows(spark, [0.4, 0.6, -3.88, 0.0, -0.5], "double").select("i", documents.deskews(F.col("x")).alias("deskew"), ((F.col("i") * 90 != 0) & (F.col("x") >= 0.5)).alias("rotate"))

@@ -1,2 +1,208 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries over extracted text, pages and events, each with its DuckDB SQL.
+
+Documents stand for the pages of files: a file is a source, its pages are its
+documents by id; every third page has its own text layer.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tendril.functions import text as T
+from tendril.functions.fixed import STATUSES
+from tendril.operators import documents, relational
+from tendril.sources import binary, html
+from tendril.tables import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+CORRUPT = r"""((len(tokens) >= 20 AND len(list_filter(tokens, lambda x: NOT regexp_matches(x, '^[A-Za-zÀ-ÿ]+[.,;:)]?$'))) / greatest(len(tokens), 1) > 0.35) OR len(regexp_extract_all(t, '[\[\]{}\\|]')) / greatest(length(t) / 1000, 0.1) > 4.0)"""
+TOKENS = r"""SELECT *, coalesce(text, '') AS t, list_filter(regexp_extract_all(coalesce(text, ''), '[^\s\p{Z}\x0b\x{85}\x1c-\x1f]{3,}'), lambda x: regexp_matches(x, '\p{L}')) AS tokens FROM documents"""
+PAGE = """WITH page AS (SELECT source AS doc, CAST(doc_id AS BIGINT) AS page_number, CASE WHEN source IN ('src1', 'src2') OR doc_id % 3 = 0 THEN 'native' ELSE 'ocr' END AS source, CAST(doc_id % 101 AS DOUBLE) AS confidence, CAST(n_chars % 9 AS BIGINT) AS word_count, CASE WHEN doc_id % 17 = 0 OR source = 'src3' THEN 'error' END AS error, CAST(CASE doc_id % 29 WHEN 0 THEN 90 WHEN 1 THEN 270 ELSE 0 END AS INT) AS orientation_rotate_deg, CAST(doc_id % 23 AS DOUBLE) AS orientation_confidence, text, doc_id, n_chars FROM documents),
+sums AS (SELECT doc, count(*) FILTER (WHERE source = 'ocr') AS ocr_pages, count(*) FILTER (WHERE source = 'ocr' AND error IS NULL) AS good, count(*) FILTER (WHERE source = 'ocr' AND error IS NULL AND word_count >= 3) AS rd, avg(confidence) FILTER (WHERE source = 'ocr' AND error IS NULL AND word_count >= 3) AS m FROM page GROUP BY doc),
+status AS (SELECT doc, ocr_pages, CASE WHEN ocr_pages = 0 THEN 'native' WHEN good = 0 THEN 'ocr_failed' WHEN rd = 0 THEN 'ocr_low_confidence' WHEN m >= 60 THEN 'ocr_success' ELSE 'ocr_low_confidence' END AS ocr_status, CASE WHEN ocr_pages > 0 AND good > 0 THEN coalesce(m, 0.0) END AS mean_confidence FROM sums)
+"""
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    return d.select(
+        F.col("source").alias("doc"),
+        i.alias("page_number"),
+        F.when(F.col("source").isin("src1", "src2") | (i % 3 == 0), "native").otherwise("ocr").alias("source"),
+        (i % 101).cast("double").alias("confidence"),
+        (F.col("n_chars") % 9).alias("word_count"),
+        F.when((i % 17 == 0) | (F.col("source") == "src3"), "error").alias("error"),
+        F.when(i % 29 == 0, 90).when(i % 29 == 1, 270).otherwise(0).alias("orientation_rotate_deg"),
+        (i % 23).cast("double").alias("orientation_confidence"),
+        "text",
+        "doc_id",
+        "n_chars",
+    )
+
+
+@query(f"SELECT doc_id, CAST(len(tokens) AS BIGINT) AS n_tokens, {CORRUPT} AS corrupted FROM ({TOKENS})")
+def text_corruption(spark, sf_dir):
+    tokens = F.filter(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?U)(\S{3,})"), F.lit(1)), lambda x: x.rlike(r"\p{L}"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(tokens).cast("long").alias("n_tokens"), T.corrupted(F.col("text")).alias("corrupted"))
+
+
+@query(f"SELECT doc_id, length(t) > 20 AND NOT {CORRUPT} AS usable FROM ({TOKENS})")
+def native_text_decision(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.native_usable(F.col("text")).alias("usable"))
+
+
+@query(PAGE + "SELECT * FROM status")
+def page_to_doc_status(spark, sf_dir):
+    return documents.document_status(pages(spark, sf_dir))
+
+
+@query(PAGE + ", names(ocr_status, position) AS (VALUES ('native', 0), ('ocr_success', 1), ('ocr_low_confidence', 2), ('ocr_failed', 3)) SELECT names.ocr_status, CAST(position AS INT) AS position, count(doc) AS n, 100.0 * count(doc) / (SELECT greatest(count(*), 1) FROM status) AS percent FROM names LEFT JOIN status USING (ocr_status) GROUP BY 1, 2")
+def status_distribution(spark, sf_dir):
+    return relational.distribution(documents.document_status(pages(spark, sf_dir)), "ocr_status", STATUSES)
+
+
+@query(PAGE + "SELECT count(*) AS n, min(orientation_confidence) AS lowest, max(orientation_confidence) AS highest, avg(orientation_confidence) AS mean, count(*) FILTER (WHERE orientation_confidence < 3) AS near_threshold FROM page WHERE orientation_rotate_deg <> 0")
+def rotation_stats(spark, sf_dir):
+    return documents.rotation_stats(pages(spark, sf_dir))
+
+
+@query(PAGE + "SELECT doc, coalesce(median(a) FILTER (WHERE abs(a) < 10), 0.0) AS skew_angle_deg FROM (SELECT doc, degrees(atan2(CAST(doc_id % 41 AS DOUBLE) - 20, CAST(n_chars % 97 AS DOUBLE) + 1)) AS a FROM page) GROUP BY doc")
+def median_filtered(spark, sf_dir):
+    segments = pages(spark, sf_dir).select("doc", ((F.col("doc_id") % 41).cast("double") - 20).alias("dy"), ((F.col("n_chars") % 97).cast("double") + 1).alias("dx"))
+    return documents.skew(segments, "doc")
+
+
+@query(PAGE + "SELECT doc, string_agg(text, chr(10) || chr(10) ORDER BY page_number, text) AS text FROM page WHERE trim(coalesce(text, '')) <> '' GROUP BY doc")
+def page_text_concat(spark, sf_dir):
+    return documents.document_text(pages(spark, sf_dir), "doc", "page_number", "text")
+
+
+@query(PAGE + "SELECT doc, coalesce(avg(confidence) FILTER (WHERE confidence <> -1), 0.0) AS confidence, count(*) FILTER (WHERE confidence <> -1) AS word_count FROM (SELECT doc, CASE WHEN doc_id % 5 = 0 THEN -1.0 WHEN doc_id % 7 <> 0 THEN confidence END AS confidence FROM page) GROUP BY doc")
+def word_to_page_confidence(spark, sf_dir):
+    words = pages(spark, sf_dir).select("doc", F.when(F.col("doc_id") % 5 == 0, -1.0).when(F.col("doc_id") % 7 != 0, F.col("confidence")).alias("confidence"))
+    return documents.page_confidence(words, ["doc"])
+
+
+@query("SELECT doc_id, regexp_matches(lower(text), 'licen[sc]e|rights reserved|password') AS listed, regexp_matches(lower(text), 'classement|concurrent 1|concurrent 2|montant par|liste des concurrents') AS table_words FROM documents")
+def keyword_any(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.lower(t).rlike("licen[sc]e|rights reserved|password").alias("listed"), T.has_table_words(t).alias("table_words"))
+
+
+@query("SELECT source, min(doc_id) AS doc_id, min_by(n_chars, doc_id) AS n_chars FROM documents WHERE regexp_matches(lower(text), 'licen[sc]e|rights reserved') GROUP BY source")
+def first_match(spark, sf_dir):
+    """The first document of each source, in order, that has a keyword."""
+    hit = table(spark, sf_dir, "documents").where(F.lower("text").rlike("licen[sc]e|rights reserved"))
+    return hit.groupBy("source").agg(F.min("doc_id").alias("doc_id"), F.min_by("n_chars", "doc_id").alias("n_chars"))
+
+
+BLOBS = "WITH f AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '%PDF-1.4 ' ELSE '' END || text AS body, CASE doc_id % 5 WHEN 0 THEN 'application/pdf' ELSE 'text/html' END AS type, CASE doc_id % 6 WHEN 0 THEN 'http://x/y.PDF' ELSE 'http://x/y' END AS url, CASE doc_id % 7 WHEN 0 THEN 'attachment; filename=a.pdf' END AS disposition FROM documents) "
+
+
+def blobs(spark, sf_dir):
+    i = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.concat(F.when(i % 4 == 0, "%PDF-1.4 ").otherwise(""), "text").cast("binary").alias("content"),
+        F.when(i % 5 == 0, "application/pdf").otherwise("text/html").alias("type"),
+        F.when(i % 6 == 0, "http://x/y.PDF").otherwise("http://x/y").alias("url"),
+        F.when(i % 7 == 0, "attachment; filename=a.pdf").alias("disposition"),
+    )
+
+
+@query(BLOBS + "SELECT doc_id, type LIKE '%pdf%' OR lower(url) LIKE '%.pdf' OR coalesce(lower(disposition) LIKE '%.pdf%', FALSE) OR body LIKE '[%]PDF%' OR left(body, 4) = '%PDF' AS is_pdf FROM f")
+def content_sniff(spark, sf_dir):
+    return blobs(spark, sf_dir).select("doc_id", binary.is_pdf(F.col("content"), F.col("type"), F.col("url"), F.col("disposition")).alias("is_pdf"))
+
+
+@query("SELECT sha256(text) AS file_hash, min(doc_id) AS doc_id, count(*) AS copies, CAST(max(strlen(text)) AS BIGINT) AS bytes FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def content_hash_dedup(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.col("text").cast("binary").alias("content"))
+    return binary.by_hash(d, "content", "doc_id")
+
+
+@query("SELECT doc_id, levenshtein(a, b) / nullif(length(a), 0) AS cer FROM (SELECT doc_id, substr(text, 1, 60) AS a, replace(substr(text, 1, 60), 'e', 'c') AS b FROM documents)")
+def cer(spark, sf_dir):
+    """Character error rate of a reading of each document's title line against its truth."""
+    a = F.substring("text", 1, 60)
+    return table(spark, sf_dir, "documents").select("doc_id", T.levenshtein_rate(a, F.replace(a, F.lit("e"), F.lit("c"))).alias("cer"))
+
+
+@query("SELECT source, n, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f1 FROM (SELECT source, count(*) AS n, CAST(count(*) FILTER (WHERE lang = 'en' AND regexp_matches(text, ' the ')) AS DOUBLE) AS tp, count(*) FILTER (WHERE lang <> 'en' AND regexp_matches(text, ' the ')) AS fp, count(*) FILTER (WHERE lang = 'en' AND NOT regexp_matches(text, ' the ')) AS fn FROM documents GROUP BY 1)")
+def extraction_f1(spark, sf_dir):
+    """Precision, recall and F1 of an extraction rule by group."""
+    truth, said = F.col("lang") == "en", F.col("text").contains(" the ")
+    sums = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(truth & said).cast("double").alias("tp"), F.count_if(~truth & said).alias("fp"), F.count_if(truth & ~said).alias("fn"))
+    rate = lambda a, b: a / F.nullif(b, F.lit(0.0))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return sums.select("source", "n", rate(tp, tp + fp).alias("precision"), rate(tp, tp + fn).alias("recall"), rate(2 * tp, 2 * tp + fp + fn).alias("f1"))
+
+
+@query("SELECT page_id, count(*) AS links, min(href) AS first_href, max(href) AS last_href FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages) GROUP BY page_id")
+def html_links(spark, sf_dir):
+    links = html.links(table(spark, sf_dir, "pages"), "page_id", "html")
+    return links.groupBy("page_id").agg(F.count("*").alias("links"), F.min("href").alias("first_href"), F.max("href").alias("last_href"))
+
+
+@query("SELECT page_id, href, CASE WHEN starts_with(href, 'http') THEN href WHEN starts_with(href, '?') THEN 'https://www.marchespublics.gov.ma/index.php' || href ELSE 'https://www.marchespublics.gov.ma/' || ltrim(href, '/') END AS absolute FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))) AS href FROM pages)")
+def absolute_url(spark, sf_dir):
+    links = html.links(table(spark, sf_dir, "pages"), "page_id", "html").select("page_id", "href").distinct()
+    return links.withColumn("absolute", T.absolute_url(F.col("href")))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.missing') AS missing FROM events")
+def json_extract(spark, sf_dir):
+    props = F.from_json("props", "k bigint, missing string")
+    return table(spark, sf_dir, "events").select("event_id", props["k"].alias("k"), props["missing"].alias("missing"))
+
+
+@query("SELECT user_id, max(n) AS longest, count(*) AS sessions FROM (SELECT user_id, s, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY 1, 2) GROUP BY 1")
+def event_sessions(spark, sf_dir):
+    """Beyond the reference: sessions with gaps under 30 minutes."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    gap = F.col("ts") - F.lag("ts").over(w)
+    e = table(spark, sf_dir, "events").withColumn("new", F.when(gap < F.expr("interval 30 minutes"), 0).otherwise(1))
+    e = e.withColumn("s", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return e.groupBy("user_id", "s").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.max("n").alias("longest"), F.count("*").alias("sessions"))
+
+
+@query()
+def listing_rows(spark, sf_dir):
+    """Result rows of listing pages; the table function has no SQL form, a golden test holds it."""
+    from tendril.plans.fixtures import LISTING
+
+    shown = table(spark, sf_dir, "pages").select("page_id", F.concat("html", F.lit(LISTING)).alias("html"))
+    return html.listing_rows(shown, "page_id", "html")
+
+
+@query()
+def detail_records(spark, sf_dir):
+    """Records of detail pages, built in SQL from the blocks that a table function finds."""
+    from tendril.plans.fixtures import DETAIL
+
+    shown = table(spark, sf_dir, "pages").select("page_id", F.concat("html", F.lit(DETAIL)).alias("html"))
+    return html.detail_records(shown, "page_id", "html")
+
+
+@query()
+def stream_ingest(spark, sf_dir):
+    """Events read as a stream, in batches, new keys only; the end state is a table."""
+    from tendril.streaming.ingest import ingest_once
+
+    return ingest_once(spark, f"{sf_dir}/events.parquet", ["event_id"])
