@@ -38,3 +38,10 @@ MIXED = ["ROYAUME DU MAROC المملكة المغربية", "‏abc‪ def", "t
 SIDES = [842.0, 595.0, 3507.0, 14613.0, 0.0, None, 960.0, 961.0, 1191.0]
 LINKS = [(1, 1, "x/EntrepriseDemandeTelechargementDce?a"), (1, 2, "y/telechargerDce?b"), (2, 1, "x/EntrepriseDemandeTelechargementDce?c"), (2, 2, "x/EntrepriseDemandeTelechargementDce?d"), (3, 1, "/autre"), (4, 1, "?page=DCE"), (4, 2, "http://h/dce")]
 COUNTS = ["Nombre de résultats : 100 541", "nombre de resultats: 12", "Nombre de résultats : 1 234 x", "aucun", None, "Nombre de résultats :   "]
+PV = [
+    "Extrait du PV\nSéance du 12/03/2024\nListe des concurrents ayant déposé leurs plis :\n- STE ALPHA\n- BETA SARL\n\nConcurrents écartés : Néant\n\nConcurrent retenu : Groupement ALPHA et GAMMA\nMontant : 716 971,20 puis 559 980.00",
+    "Liste des concurrents ayant déposé un pli : X ; Y ; Z\n\nL'appel d'offres est déclaré INFRUCTUEUX",
+    "Soumissionnaire attributaire : -\n120.000,00",
+    "",
+    None,
+]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tendril.functions import text as T
 from tendril.functions.fixed import FIELD_ALIASES
-from tendril.operators import documents, relational
+from tendril.operators import documents, minutes, relational
 from tendril.sources import html
 
 from . import fixtures as X
@@ -188,3 +188,25 @@ def result_count(spark, sf_dir):
 @query(rows_sql([0.4, 0.6, -3.88, 0.0, -0.5], "DOUBLE") + "SELECT i, abs(x) > 0.5 AS deskew, i * 90 <> 0 AND x >= 0.5 AS rotate FROM v")
 def page_decisions(spark, sf_dir):
     return rows(spark, [0.4, 0.6, -3.88, 0.0, -0.5], "double").select("i", documents.deskews(F.col("x")).alias("deskew"), ((F.col("i") * 90 != 0) & (F.col("x") >= 0.5)).alias("rotate"))
+
+
+NAMES = r"list_filter(list_transform(regexp_split_to_array(regexp_extract(x, '(?is){}[^:\n]*:\s*(.*?)(\n\s*\n|\n[^\n:]{{3,80}}:|\z)', 1), '\n|;'), lambda y: trim(regexp_replace(regexp_replace(y, '^\s*([-•*]|\d+[.)])\s*', ''), '\s+', ' ', 'g'))), lambda y: lower(y) NOT IN ('', 'néant', 'neant', '-'))"
+
+
+@query(
+    rows_sql(X.PV)
+    + ", w AS (SELECT i, x, nullif(trim(regexp_extract(x, '(?i)(concurrent|prestataire|soumissionnaire)s?\\s+(retenu|attributaire)s?\\s*:\\s*([^\\n]{2,120})', 3)), '') AS w, "
+    + NAMES.format("liste des concurrents ayant")
+    + " AS b, "
+    + NAMES.format("(liste des )?concurrents (écartés|évincés)")
+    + r""" AS e FROM v) SELECT i, CASE WHEN regexp_matches(lower(x), 'infructueu') THEN 'INFRUCTUEUX' WHEN regexp_matches(lower(x), '(concurrent|prestataire|soumissionnaire)\w*\s+(retenu|attributaire)') THEN 'ATTRIBUE' END AS statut, CASE WHEN w NOT IN ('-') THEN w END AS concurrent_retenu, array_to_string(b, '|') AS bidders, CAST(len(b) AS BIGINT) AS number_of_bidders, array_to_string(e, '|') AS excluded, CAST(try_strptime(nullif(regexp_extract(x, '\b\d{2}/\d{2}/\d{4}\b'), ''), '%d/%m/%Y') AS DATE) AS date_seance, len(regexp_extract_all(x, '\d{1,3}(?:[ .]\d{3})*[,.]\d{2}')) AS n_amounts FROM w"""
+)
+def minutes_fields(spark, sf_dir):
+    out = minutes.fields(rows(spark, X.PV), "i", "x")
+    return out.select("i", "statut", "concurrent_retenu", F.array_join("liste_concurrents", "|").alias("bidders"), F.when(F.col("liste_concurrents").isNotNull(), F.col("number_of_bidders")).alias("number_of_bidders"), F.array_join("concurrents_ecartes", "|").alias("excluded"), "date_seance", F.size("amounts").cast("long").alias("n_amounts"))
+
+
+@query(LINKED + "SELECT page, 'https://www.marchespublics.gov.ma/' || 'x?EntrepriseDownloadAvisJAL&idAvis=' || CAST(min(pos) AS VARCHAR) AS pdf_url FROM l GROUP BY page")
+def minutes_link(spark, sf_dir):
+    shown = [(p, k, f"x?EntrepriseDownloadAvisJAL&idAvis={k}") for p, k, _ in X.LINKS] + [(9, 1, "x?EntrepriseDownloadAvisJAL&idAvis=z")]
+    return minutes.minutes_link(spark.createDataFrame(shown, "page long, pos int, href string"), "page")
