@@ -82,10 +82,10 @@ def rotation_stats(spark, sf_dir):
     return documents.rotation_stats(pages(spark, sf_dir))
 
 
-@query(PAGE + "SELECT doc, coalesce(median(a) FILTER (WHERE abs(a) < 10), 0.0) AS skew_angle_deg FROM (SELECT doc, degrees(atan2(CAST(doc_id % 41 AS DOUBLE) - 20, CAST(n_chars % 97 AS DOUBLE) + 1)) AS a FROM page) GROUP BY doc")
+@query(PAGE + "SELECT doc, round(coalesce(median(a) FILTER (WHERE abs(a) < 10), 0.0), 6) AS skew_angle_deg FROM (SELECT doc, degrees(atan2(CAST(doc_id % 41 AS DOUBLE) - 20, CAST(n_chars % 97 AS DOUBLE) + 1)) AS a FROM page) GROUP BY doc")
 def median_filtered(spark, sf_dir):
     segments = pages(spark, sf_dir).select("doc", ((F.col("doc_id") % 41).cast("double") - 20).alias("dy"), ((F.col("n_chars") % 97).cast("double") + 1).alias("dx"))
-    return documents.skew(segments, "doc")
+    return documents.skew(segments, "doc").withColumn("skew_angle_deg", F.round("skew_angle_deg", 6))
 
 
 @query(PAGE + "SELECT doc, string_agg(text, chr(10) || chr(10) ORDER BY page_number, text) AS text FROM page WHERE trim(coalesce(text, '')) <> '' GROUP BY doc")
