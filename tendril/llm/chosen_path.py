@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tendril.session import shared_dir, stored
 
-from .common import grouped, map_arrow
+from .common import arrow, grouped, map_arrow
 from .textvec import ALNUM, LOWER, U64, Words, mix64, slices, text_bytes, window_hashes
 
 WIDTH = 5
@@ -173,7 +173,7 @@ def promising(members: DataFrame, nodes: DataFrame, leaf: int, threshold: float)
             if len(hit):
                 yield table.select(["run", "path", "sid"]).take(hit).combine_chunks().to_batches()[0]
 
-    return rows.select("group", "side", "run", "path", "sid", "n", "least").mapInArrow(run, "run int, path long, sid long").distinct()
+    return arrow(rows.select("group", "side", "run", "path", "sid", "n", "least"), run, "run int, path long, sid long").distinct()
 
 
 def compare(keys: np.ndarray, sizes: np.ndarray, copies: np.ndarray, path_of_run: np.ndarray, run: int, side: np.ndarray | None, threshold: float):
@@ -260,7 +260,7 @@ def links(docs: DataFrame, nodes: DataFrame, found: DataFrame, runs: int, leaf:
             if len(hit):
                 yield pa.RecordBatch.from_arrays([pa.array(sid[hit]), pa.array(sid[root[hit]]), pa.array(weight[hit].astype(np.int64)), pa.array(count[hit].astype(np.int64))], ["sid", "root", "weight", "n"])
 
-    return rows.mapInArrow(run, "sid long, root long, weight long, n long")
+    return arrow(rows, run, "sid long, root long, weight long, n long")
 
 
 def components(edges: DataFrame) -> DataFrame:

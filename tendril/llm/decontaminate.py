@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from tendril.session import stored
 
+from .common import arrow
 from .textvec import ALNUM, LOWER, U64, Words, mix64, slices, text_bytes, window_hashes
 
 WIDTH = 5
@@ -203,7 +204,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, i
                         row, item, first, words, similarity, distance = zip(*got, strict=True)
                         yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(item, pa.int64()), pa.array(first, pa.int64()), pa.array(words, pa.int64()), pa.array(similarity, pa.float64()), pa.array(distance, pa.int32())], ["doc_id", "item_id", "first_word", "n_window_words", "similarity", "distance"])
 
-        found = rows.mapInArrow(find, OUT)
+        found = arrow(rows, find, OUT)
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], OUT) if out is None else out
 

@@ -7,7 +7,7 @@ it, and compressed once per language. The relative gap between the best two
 sizes is the margin; a narrow one is rejected.
 
 Edge cases: a null text or one without a letter is `und` with score 0 and
-rejected; ties go to the language with more training text, then by name;
+rejected; ties go to the language with more training rows, then by name;
 without any labelled row every text is `und`. Extra columns are ignored.
 """
 
@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold_of
+from .common import arrow, fold_of
 from .textvec import slices
 
 DICT_BYTES = 110 << 10
@@ -30,6 +30,8 @@ SAMPLE_ROWS = 500
 MAX_LANGUAGES = 200
 LEVEL = 6
 BLOCK = 8192
+#: Texts of at most so many bytes have little evidence and get a deeper search for matches.
+SHORT, SHORT_LEVEL = 2048, 12
 #: Below this relative gap between the two smallest sizes a verdict is rejected.
 MIN_MARGIN = 0.001
 UNDETERMINED = "und"
@@ -46,9 +48,18 @@ def folded(text: str) -> bytes:
 def fit(docs: DataFrame, folds: int = 5, held_out: int = 0, sample_rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
     """A dictionary for each language, from at most `sample_rows` labelled documents of each."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), folds) != held_out))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # the rank limit is applied before the shuffle, so a common language moves a few rows per task
-    ids = known.select("doc_id", "lang").withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= sample_rows).drop("_rank")
+    # at most MAX_LANGUAGES rows
+    rows = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if not rows:
+        return {}
+    if len(rows) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # about 4 * sample_rows ids of each language have a hash below its share, so the ranks below cost the same at any size
+    share = F.create_map(*(x for lang, n in rows.items() for x in (F.lit(lang), F.lit(min(1.0, (4.0 * sample_rows + 40) / n)))))
+    hashed = F.xxhash64("doc_id")
+    near = known.select("doc_id", "lang").where(hashed.cast("double") / 2.0**64 + 0.5 <= share[F.col("lang")])
+    first = Window.partitionBy("lang").orderBy(hashed, "doc_id")
+    ids = near.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= sample_rows).drop("_rank")
     # sample_rows ids per language: a size that is bounded by the parameters
     texts = known.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
     parts = texts.withColumn("_size", F.least(F.octet_length("text"), F.lit(DICT_BYTES))).orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -57,24 +68,28 @@ def fit(docs: DataFrame, folds: int = 5, held_out: int = 0, sample_rows: int = S
     full = parts.withColumn("_before", F.coalesce(F.sum("_size").over(running), F.lit(0))).where(F.col("_before") < 2 * DICT_BYTES)
     found: dict[str, bytearray] = {}
     for row in full.select("lang", "text").toLocalIterator():
-        if row.lang not in found and len(found) >= MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
         got = found.setdefault(row.lang, bytearray())
         if len(got) < DICT_BYTES:
             got += folded(row.text) + b" "
-    return {k: bytes(v[:DICT_BYTES]) for k, v in sorted(found.items()) if len(v) > 8}
+    return {k: bytes(found[k][:DICT_BYTES]) for k in sorted(found, key=lambda k: (-rows[k], k)) if len(found[k]) > 8}
+
+
+def encoders(dictionaries: dict[str, bytes], level: int) -> list:
+    """A compressing function for each dictionary."""
+    out = []
+    for raw in dictionaries.values():
+        data = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        data.precompute_compress(level=level)
+        out.append(zstandard.ZstdCompressor(level=level, dict_data=data, write_content_size=False, write_dict_id=False).compress)
+    return out
 
 
 class Classifier:
-    """Compressors for all languages; sizes of one text under each."""
+    """Compressors for all languages, the most frequent language first; sizes of one text under each."""
 
-    def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL):
-        self.names = sorted(dictionaries, key=lambda k: (-len(dictionaries[k]), k))
-        self.encoders = []
-        for name in self.names:
-            data = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            data.precompute_compress(level=level)
-            self.encoders.append(zstandard.ZstdCompressor(level=level, dict_data=data, write_content_size=False, write_dict_id=False).compress)
+    def __init__(self, dictionaries: dict[str, bytes]):
+        self.names = list(dictionaries)
+        self.long, self.short = encoders(dictionaries, LEVEL), encoders(dictionaries, SHORT_LEVEL)
 
     def __call__(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, margin)."""
@@ -82,7 +97,7 @@ class Classifier:
             return UNDETERMINED, 0.0, 0.0
         data = folded(text)
         blocks = [data] if len(data) <= BLOCK else [data[k : k + BLOCK] for k in range(0, len(data), BLOCK)]
-        sizes = [sum(map(len, map(encode, blocks))) for encode in self.encoders]
+        sizes = [sum(map(len, map(encode, blocks))) for encode in (self.short if len(data) <= SHORT else self.long)]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         if len(sizes) == 1:
             return self.names[0], 1.0, 1.0
@@ -107,7 +122,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], folds: int = 5, hel
                 rejected = [n == UNDETERMINED or m < min_margin for n, m in zip(names, margins, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(names), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()), pa.array(rejected)], ["doc_id", "held_out", "lang_pred", "score", "margin", "rejected"])
 
-    return rows.mapInArrow(run, OUT)
+    return arrow(rows, run, OUT)
 
 
 def keep_certain(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
@@ -124,4 +139,4 @@ def keep_certain(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: fl
                 part = part.set_column(place, part.schema.field(place), pa.array([n for n, _, _ in got], part.schema.field(place).type))
                 yield part.filter(kept)
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow(docs, run, docs.schema)

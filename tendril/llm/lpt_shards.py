@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from tendril.session import shared_dir, stored
 
+from .common import arrow
+
 SHARDS = 24
 LANES = 192
 PARTITIONS = 64
@@ -57,7 +59,7 @@ def lanes(groups: DataFrame, key: str, size: str, partitions: int, width: int) -
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([part] * len(chosen), pa.int32()), pa.array(chosen, pa.int32()), batch.column(size)], [key, "part", "lane", size])
 
     dealt = groups.select(key, size).repartitionByRange(partitions, F.desc(size), F.asc(key)).sortWithinPartitions(F.desc(size), F.asc(key))
-    return dealt.mapInArrow(pack, f"{key} binary, part int, lane int, {size} long")
+    return arrow(dealt, pack, f"{key} binary, part int, lane int, {size} long")
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, partitions: int = PARTITIONS, width: int = LANES) -> DataFrame:

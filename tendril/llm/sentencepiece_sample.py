@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow
 from .textvec import U64, mix64, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -426,7 +427,7 @@ def encode(docs: DataFrame, k: int = SAMPLES, model: str = MODEL, weights: str =
                     lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
                     yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(at)), pa.array(np.full(len(at), rank, np.int32)), lists, pa.array(log), pa.array(top), pa.array(inclusion), pa.array(equal, pa.bool_())], ["doc_id", "sample_rank", "ids", "log_prob", "perturbed", "inclusion", "decoded_equal"])
 
-    return rows.mapInArrow(run, OUT)
+    return arrow(rows, run, OUT)
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -439,4 +440,4 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
             texts = [None if x is None else vocab.decode(x).decode("utf-8", "replace") for x in (y.values.to_numpy() if y.is_valid else None for y in batch.column("ids"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, schema)
+    return arrow(encoded, run, schema)

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from tendril.session import scratch_path, stored
 
+from .common import arrow
+
 REVISIT_BYTES = 0
 PIECE = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
@@ -134,7 +136,7 @@ def write(pages: DataFrame, folder: str, least: int = REVISIT_BYTES) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array([f"{name}.warc.gz"]), pa.array([n], pa.int64())], ["file", "records"])
 
     # the archives that count are those of the tasks whose rows were stored
-    return stored(rows.mapInArrow(put, "file string, records long"), "archives")
+    return stored(arrow(rows, put, "file string, records long"), "archives")
 
 
 OUT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
@@ -170,7 +172,7 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
 
-    return files.mapInArrow(get, OUT)
+    return arrow(files, get, OUT)
 
 
 def round_trip(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
