@@ -36,12 +36,12 @@ from pyspark.sql import functions as F
 
 from tendril.session import scratch_path, stored
 
-from .common import fold_of, grouped
+from .common import arrow, fold_of, grouped
 from .textvec import LOWER, NONSPACE, U64, Words, slices, text_bytes
 
 MU = 300.0
 #: Bytes of text that a slice, a shard of level 1 and one of level 2 stand for, and shards per context.
-SLICE, WORD_SHARD, PAIR_SHARD, SPLIT_BITS = 4 << 20, 32 << 20, 24 << 20, 3
+SLICE, WORD_SHARD, PAIR_SHARD, SPLIT_BITS = 4 << 20, 32 << 20, 12 << 20, 3
 #: Bits of a successor's hash below the shard's.
 TAIL = 40
 END, START = U64(1), U64(2)
@@ -335,8 +335,8 @@ def build(docs: DataFrame, folds: int = 7, held_out: int = 2, mu: float = MU):
             name = save(folder, nested("words", EliasFano.pack(words & U64((1 << (64 - bits1)) - 1), 64 - bits1)) | nested("sums", EliasFano.pack(sums.astype(np.uint64), int(sums[-1]).bit_length())))
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([name]), pa.array([int(sums[-1])], pa.int64()), pa.array([len(words)], pa.int64()), pa.array([ends], pa.int64())], ["shard", "file", "tokens", "types", "ends"])
 
-    sent = train.mapInArrow(count_words, "shard long, words binary, counts binary")
-    level1 = stored(sent.repartition(max(1, 1 << bits1), "shard").sortWithinPartitions("shard").mapInArrow(sum_words, "shard long, file string, tokens long, types long, ends long"), "level1")
+    sent = arrow(train, count_words, "shard long, words binary, counts binary")
+    level1 = stored(arrow(sent.repartition(max(1, 1 << bits1), "shard").sortWithinPartitions("shard"), sum_words, "shard long, file string, tokens long, types long, ends long"), "level1")
     got = level1.collect()  # a row for each shard
     names1 = {r["shard"]: r["file"] for r in got}
     law = Law(sum(r["tokens"] for r in got), sum(r["types"] for r in got), sum(r["ends"] for r in got), mu)
@@ -394,8 +394,8 @@ def build(docs: DataFrame, folds: int = 7, held_out: int = 2, mu: float = MU):
         distinct, inverse = np.unique(head, return_inverse=True)
         return level.first_counts(distinct << shift, shift)[inverse]
 
-    sent = train.mapInArrow(count_pairs, "shard long, contexts binary, runs binary, tails binary, counts binary, large binary")
-    level2 = stored(sent.repartition(1 << (bits2 + SPLIT_BITS), "shard").sortWithinPartitions("shard").mapInArrow(sum_pairs, "shard long, file string, bigrams long"), "level2")
+    sent = arrow(train, count_pairs, "shard long, contexts binary, runs binary, tails binary, counts binary, large binary")
+    level2 = stored(arrow(sent.repartition(1 << (bits2 + SPLIT_BITS), "shard").sortWithinPartitions("shard"), sum_pairs, "shard long, file string, bigrams long"), "level2")
     names2 = {r["shard"]: r["file"] for r in level2.select("shard", "file").collect()}  # a row for each shard
     return folder, names1, bits1, names2, bits2, law
 
@@ -426,4 +426,4 @@ def score(docs: DataFrame, model, folds: int = 7, held_out: int = 2) -> DataFram
                 n = len(block.n_tokens)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(block.n_tokens.astype(np.int64)), pa.array(known), pa.array(np.full(n, law.tokens, np.int64)), pa.array(base), pa.array(sums(log[inverse]))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return rows.mapInArrow(run, OUT)
+    return arrow(rows, run, OUT)
