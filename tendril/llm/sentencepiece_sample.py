@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, give_back
+from .common import arrow
 from .textvec import U64, mix64, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -46,7 +46,7 @@ LITERAL = 0x110000
 BYTE_LOG = -20.0
 BYTES = -2
 #: Slots of distinct chunks that a task keeps.
-SLOTS = 400_000
+SLOTS = 700_000
 STEP = U64(0xD6E8FEB86659FD93)
 PLACE = U64(0xD1B54A32D192ED03)
 NEG = -np.inf
@@ -414,7 +414,6 @@ def encode(docs: DataFrame, k: int = SAMPLES, model: str = MODEL, weights: str =
         vocab = Vocabulary(model, weights)
         chunks = Chunks(vocab)
         for batch in batches:
-            give_back()
             for part in slices(batch, "text", 1 << 19):
                 texts = part.column("text").to_pylist()
                 keys = part.column("_key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
