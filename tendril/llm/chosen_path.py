@@ -4,9 +4,10 @@ A text is the set of its five-word shingles. In a run, every set follows the
 path of its least shingles under a chain of random orders: the sets of a node
 split on the first order's least shingle, nodes of more than LEAF sets split
 again on the next order's, down to DEPTH orders. Two sets of similarity s stay
-together over d splits with probability at least s ** d, so runs repeat until
-1 - (1 - s ** DEPTH) ** runs reaches the target recall. Sets that share a leaf
-are compared, first by their least shingles under all orders, then exactly; a
+together over d splits with probability s ** d. Every run has DEPTH orders of
+its own, so runs are independent and repeat until 1 - (1 - s ** DEPTH) ** runs
+reaches the target recall. Sets that share a leaf are compared, first by their
+least shingles under the orders of all runs, then exactly; a
 leaf that is still large after DEPTH splits is cut into blocks, and every pair
 of blocks is compared in a group of its own, so no task holds more than
 2 * LEAF sets and no pair is lost.
@@ -41,10 +42,8 @@ WIDTH = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 DEPTH = 4
-#: Random orders; each run follows a sequence of its own of them.
-ORDERS = 32
-#: Orders on which two sets must agree before they are compared exactly.
-AGREE = 13
+#: A pair at the threshold fails the comparison of sketches with at most this probability.
+SKETCH_LOSS = 1e-7
 LEAF = 400
 #: Ids that may be broadcast: 16 bytes each.
 BROADCAST_ROWS = 200_000
@@ -55,6 +54,16 @@ def runs_for(threshold: float, recall: float, depth: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth))
 
 
+def agree_for(threshold: float, orders: int, loss: float = SKETCH_LOSS) -> int:
+    """The most orders on which sets must agree so that a pair at the threshold agrees on fewer with a probability of at most `loss`."""
+    below = 0.0
+    for k in range(orders + 1):
+        below += math.comb(orders, k) * threshold**k * (1 - threshold) ** (orders - k)
+        if below > loss:
+            return k
+    return orders
+
+
 def shingle_sets(array: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of each text, sorted, and their bounds by row."""
     data, offsets = text_bytes(array)
@@ -112,10 +121,8 @@ def sketches(docs: DataFrame, coordinates: int) -> DataFrame:
 
 def leaves(nodes: DataFrame, runs: int, depth: int, leaf: int) -> DataFrame:
     """(run, path, sid): the leaf of each set in each run, without sets that are alone."""
-    rng = np.random.default_rng(7)
-    orders = [[r % ORDERS, *(int(x) for x in rng.permutation(ORDERS) if x != r % ORDERS)][:depth] for r in range(runs)]
-    at = lambda d: F.element_at("least", F.element_at(F.array(*(F.lit(x[d] + 1) for x in orders)), F.col("run") + 1))
-    level = nodes.select("sid", F.inline(F.array(*(F.struct(F.lit(r).alias("run"), F.xxhash64(F.lit(r), F.element_at("least", x[0] + 1)).alias("path")) for r, x in enumerate(orders)))))
+    at = lambda d: F.element_at("least", F.col("run") * depth + d + 1)
+    level = nodes.select("sid", F.inline(F.array(*(F.struct(F.lit(r).alias("run"), F.xxhash64(F.lit(r), F.element_at("least", r * depth + 1)).alias("path")) for r in range(runs)))))
     done = None
     for d in range(depth):
         # a count per path, so what moves is a few numbers for each set and run
@@ -150,22 +157,20 @@ def spread(members: DataFrame, leaf: int) -> DataFrame:
     return rows.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "run", "path", "sid", side.alias("side"))
 
 
-def promising(members: DataFrame, nodes: DataFrame, leaf: int, threshold: float) -> DataFrame:
-    """The members of a leaf that agree with another one there on AGREE orders and may have a similar size.
-
-    A pair at threshold 0.8 agrees on fewer with a probability below 1e-7.
-    """
+def promising(members: DataFrame, nodes: DataFrame, leaf: int, threshold: float, orders: int) -> DataFrame:
+    """The members of a leaf that agree with another one there on enough orders and may have a similar size."""
+    needed = agree_for(threshold, orders)
     rows = spread(members, leaf).join(nodes.select("sid", "n", "least"), "sid").repartition("group").sortWithinPartitions("group", "sid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, "group"):
             lists = pa.concat_arrays(table.column("least").chunks)
-            least = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, ORDERS)
+            least = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, orders)
             size, side = table.column("n").to_numpy(), table.column("side").to_numpy()
-            agree = np.zeros((len(size), len(size)), np.uint8)
-            for c in range(ORDERS):
+            agree = np.zeros((len(size), len(size)), np.uint8 if orders < 256 else np.uint16)
+            for c in range(orders):
                 agree += least[:, c][:, None] == least[:, c][None, :]
-            good = (agree >= AGREE) & (size[:, None] >= threshold * size[None, :]) & (size[None, :] >= threshold * size[:, None])
+            good = (agree >= needed) & (size[:, None] >= threshold * size[None, :]) & (size[None, :] >= threshold * size[:, None])
             np.fill_diagonal(good, False)
             if side.any():
                 good &= side[:, None] != side[None, :]
@@ -217,9 +222,9 @@ def compare(keys: np.ndarray, sizes: np.ndarray, copies: np.ndarray, path_of_run
     return np.zeros(n, np.int64), np.zeros(n, np.int64), root, np.zeros(n, bool)
 
 
-def links(docs: DataFrame, nodes: DataFrame, found: DataFrame, runs: int, leaf: int, threshold: float) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, found: DataFrame, runs: int, depth: int, leaf: int, threshold: float) -> DataFrame:
     """(sid, root, weight, n): for each set and group, its links there and the least set of its component."""
-    kept = stored(promising(stored(distinct_leaves(found), "leaves"), nodes, leaf, threshold), "promising")
+    kept = stored(promising(stored(distinct_leaves(found), "leaves"), nodes, leaf, threshold, runs * depth), "promising")
     members = stored(distinct_leaves(kept), "members")
     wanted = members.select("sid").distinct()
     paths = found.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.map_from_entries(F.collect_list(F.struct("run", "path"))).alias("by_run"))
@@ -285,11 +290,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     """doc_id, class_id (the least doc_id of the class), n_links (documents linked to this one) and n_words5 (shingles)."""
     shared_dir(docs.sparkSession)
     runs = runs_for(threshold, recall, depth)
-    named = stored(sketches(docs, ORDERS), "sketches")
+    named = stored(sketches(docs, runs * depth), "sketches")
     worded = named.where("n > 0")
     nodes = stored(worded.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("least").alias("least")), "nodes")
     found = stored(leaves(nodes, runs, depth, leaf), "found")
-    linked = stored(links(docs, nodes, found, runs, leaf, threshold), "links")
+    linked = stored(links(docs, nodes, found, runs, depth, leaf, threshold), "links")
     root = components(linked.select(F.col("sid").alias("u"), F.col("root").alias("v")))
     weights = linked.groupBy("sid").agg(F.sum("weight").alias("weight"))
     classes = nodes.select("sid", "doc_id", "copies").join(root.withColumnRenamed("v", "sid"), "sid", "left").join(weights, "sid", "left")

@@ -1,5 +1,6 @@
 """Links and classes against all pairs compared by plain sets."""
 
+import math
 import random
 import re
 
@@ -68,3 +69,21 @@ def test_large_and_split_leaves(spark):
 def test_all_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert result(docs) == plain([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+
+
+def test_recall_at_the_threshold_after_all_splits(spark):
+    # 80 of 100 shingles are common; leaves of one set make every path take all DEPTH splits
+    pairs = 4000
+    words = lambda i, n: " ".join(f"p{i}w{k}" for k in range(n))
+    docs = spark.createDataFrame([(2 * i + j, words(i, n)) for i in range(pairs) for j, n in enumerate((104, 84))], "doc_id long, text string").repartition(8)
+    linked = c.near_duplicates(docs, leaf=1).where("n_links = 1").count() / 2
+    print("recall", linked / pairs)
+    assert linked >= 0.998 * pairs
+
+
+def test_sketches_lose_nothing_at_other_thresholds():
+    for threshold in (0.3, 0.5, 0.8, 0.95):
+        for orders in (32, 56, 400):
+            k = c.agree_for(threshold, orders)
+            below = sum(math.comb(orders, i) * threshold**i * (1 - threshold) ** (orders - i) for i in range(k))
+            assert 0 <= k <= orders and below <= 1e-7
