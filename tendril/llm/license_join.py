@@ -1,12 +1,15 @@
 """License scans: an exact set-similarity join of text blocks with license templates, in DataFrame operations only.
 
-A block is a line of a document, a template the distinct words of a notice. A
-pair is found if the block holds at least THRESHOLD of the template's words.
+A block is a line of a document, or any run of words over lines that is as long
+as the notice, so that a wrapped notice is found; a template is the distinct
+words of a notice. A pair is found if the block holds at least THRESHOLD of the
+template's words.
 Words are ordered by how many documents hold them, rarest first (a count over
 all documents). A block that shares alpha words with a template of m words
 shares one of its m - alpha + 1 rarest (prefix filter), has alpha words of
 templates itself (length filter), and from the first common word on both still
-have enough words left (positional filter). Survivors are checked exactly.
+have enough words left (positional filter). Runs of words are taken only
+around a word of some template's prefix. Survivors are checked exactly.
 
 Beside it stand the places of fixed phrases, counted in words of a whole text.
 
@@ -107,11 +110,37 @@ def containments(blocks: DataFrame, templates: dict[str, str], counts: dict[str,
     return pairs.where(overlap >= F.col("alpha")).select("row", "label", (overlap / F.col("m")).alias("containment")).distinct()
 
 
+def around(text_words: Column, rare: list[str], span: int) -> Column:
+    """The places of the words in `rare`, each with up to span - 1 words before and after: (word, at, words), `at` the word's index in `words`."""
+    places = F.filter(F.transform(text_words, lambda w, i: F.when(w.isin(rare), i)), lambda i: i.isNotNull())
+
+    def region(i: Column) -> Column:
+        at = F.least(i, F.lit(span - 1))
+        return F.struct(F.element_at(text_words, i + 1).alias("word"), at.alias("at"), F.slice(text_words, i - at + 1, at + span).alias("words"))
+
+    return F.transform(places, region)
+
+
+def spanning(regions: DataFrame, templates: dict[str, str], counts: dict[str, int], threshold: float) -> DataFrame:
+    """regions: (row, word, at, words) of around(). (row, label, containment) of the runs of words, as long as the notice, that meet the threshold."""
+    _, by_label = ordered(templates, counts)
+    prefixes = [(t[i], label, len(templates[label].split()), len(t), needed(len(t), threshold), t) for label, t in by_label.items() for i in range(len(t) - needed(len(t), threshold) + 1)]
+    # a row for each prefix word of the templates
+    side = F.broadcast(regions.sparkSession.createDataFrame(prefixes, "word string, label string, wide int, m int, alpha int, template array<string>"))
+    first = F.least("at", F.col("wide") - 1)  # runs of words that hold the prefix word
+    near = regions.join(side, "word").select("row", "label", "wide", "m", "alpha", "template", first.alias("first"), F.slice("words", F.col("at") - first + 1, first + F.col("wide")).alias("words"))
+    near = near.where(F.size(F.array_intersect("words", "template")) >= F.col("alpha"))
+    overlap = F.array_max(F.transform(F.sequence(F.lit(0), "first"), lambda k: F.size(F.array_intersect(F.slice("words", k + 1, F.col("wide")), F.col("template")))))
+    return near.select("row", "label", "m", "alpha", overlap.alias("overlap")).where("overlap >= alpha").select("row", "label", (F.col("overlap") / F.col("m")).alias("containment")).distinct()
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, word and phrase counts, first and last place, base labels, all labels and a score."""
     counts = frequencies(docs, templates)
     _, by_label = ordered(templates, counts)
     rare = sorted({t[i] for t in by_label.values() for i in range(len(t) - needed(len(t), threshold) + 1)})
+    vocab, least = vocabulary(templates), min(needed(len(t), threshold) for t in by_label.values())
+    regions = F.filter(around(F.col("_words"), rare, max(len(t.split()) for t in templates.values())), lambda x: F.size(F.array_intersect(x["words"], F.array(*map(F.lit, vocab)))) >= least)
     base = docs.select("doc_id", lowered(F.col("text")).alias("_text")).select("doc_id", "_text", words(F.col("_text")).alias("_words"))
     base = base.withColumn("n_words", F.size("_words").cast("long"))
     found = {label: phrase_places(F.col("_words"), F.col("n_words"), phrase) for phrase, label in PHRASES.items()}
@@ -124,11 +153,14 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
         F.array_compact(F.array(*(F.when(found[label][0] > 0, F.lit(label)) for label in sorted(found)))).alias("_base"),
         # only documents with a rare word of some template can hold a block that matches
         F.when(F.arrays_overlap("_words", F.array(*map(F.lit, rare))), F.split("_text", "\n")).alias("_lines"),
+        # in a text of one line, the line holds all that its runs of words hold
+        F.when(F.arrays_overlap("_words", F.array(*map(F.lit, rare))) & F.contains("_text", F.lit("\n")), regions).alias("_regions"),
     )
     rows = stored(named.withColumn("row", F.monotonically_increasing_id()), "scan")
     blocks = rows.where("_lines is not null").select("row", F.explode("_lines").alias("line"))
-    hits = containments(blocks, templates, counts, threshold).groupBy("row").agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
-    out = rows.drop("_lines").join(hits, "row", "left")
+    wrapped = spanning(rows.where("_regions is not null").select("row", F.inline("_regions")), templates, counts, threshold)
+    hits = containments(blocks, templates, counts, threshold).unionByName(wrapped).groupBy("row").agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
+    out = rows.drop("_lines", "_regions").join(hits, "row", "left")
     labels = F.array_join(F.array_sort(F.array_union("_base", F.coalesce("_more", F.array().cast("array<string>")))), ",")
     score = F.when(F.size("_base") > 0, 1.0).otherwise(F.coalesce("_best", F.lit(0.0)))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("_base", ",").alias("base_labels"), labels.alias("labels"), score.alias("score"))

@@ -1,5 +1,6 @@
 """The join and the places against plain loops."""
 
+import random
 import re
 
 from tendril.llm import license_join as lj
@@ -38,3 +39,33 @@ def test_odd_rows(spark):
     want = sorted([(i if i else -1, plain(t)) for i, t in enumerate(texts)] + [(3, plain("again"))])
     assert run(docs) == want
     assert run(docs.limit(0)) == []
+
+
+def with_runs(text):
+    """plain(), and every run of words that is as long as a notice, over lines."""
+    *head, base, labels, score = plain(text)
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    more = set(filter(None, labels.split(",")))
+    for label, t in lj.TEMPLATES.items():
+        n, t = len(t.split()), set(t.split())
+        held = max(len(set(w[i : i + n]) & t) / len(t) for i in range(max(len(w) - n + 1, 1)))
+        if held >= lj.THRESHOLD:
+            more.add(label)
+            score = max(score, held)
+    return *head, base, ",".join(sorted(more)), score
+
+
+def test_wrapped_notices(spark):
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that"
+    mpl = " * This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not"
+    texts = [bsd, mpl, "Prose of the\nsame kind.\n\n" + bsd + "\n" + mpl, "\n".join(lj.TEMPLATES["unlicense"].split()), "released under\nthe mit", "released\n" + "far " * 9 + "\nunder the mit license", lj.TEMPLATES["mit-text"].replace(" ", "\r\n\r\n")]
+    rng = random.Random(1)
+    words = lj.vocabulary(lj.TEMPLATES)
+    for _ in range(150):  # notices with words lost or strange ones between, wrapped anywhere, in any prose
+        notice = [w for w in rng.choice(list(lj.TEMPLATES.values())).split() for w in ([w, "x"] if rng.random() < 0.04 else [w]) if rng.random() > 0.06]
+        prose = lambda: [rng.choice(words) for _ in range(rng.randrange(30))]
+        texts.append("".join(w + rng.choice(["  ", " ", " ", "\n", "\n// "]) for w in prose() + notice + prose()))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = run(docs)
+    assert [labels for _, (*_, labels, _) in got[:7]] == ["bsd", "mpl-2.0", "bsd,mpl-2.0", "unlicense", "", "", "mit-text"]
+    assert got == sorted((i, with_runs(t)) for i, t in enumerate(texts))
