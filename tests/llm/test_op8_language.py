@@ -1,5 +1,7 @@
 """Held-out accuracy and odd rows."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tendril.llm import language_zstd as z
@@ -29,3 +31,23 @@ def test_odd_rows(spark):
 def test_the_better_dictionary_wins():
     c = z.Classifier({"aa": b"alpha beta gamma delta " * 50, "bb": b"uno dos tres cuatro " * 50})
     assert c("gamma delta alpha")[0] == "aa" and c("tres cuatro dos uno")[0] == "bb"
+
+
+def test_narrow_margins_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    dicts = z.fit(docs)
+    rng = random.Random(5)
+    noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(rng.randint(20, 200))) for _ in range(200)]
+    rows = z.predict(docs, dicts).where("held_out").join(docs.select("doc_id", "lang", "text"), "doc_id").orderBy("doc_id").collect()
+    # near copies of rows in a dictionary have wide margins, and so have texts with half of one
+    words = {lang: [w for r in rows if r.lang == lang and r.margin < 0.3 for w in r.text.split()] for lang in dicts}
+    mixed = []
+    for _ in range(60):
+        a, b = (words[x] for x in rng.sample(sorted(words), 2))
+        mixed.append(" ".join(w for _ in range(150) for w in (rng.choice(a), rng.choice(b))))
+    clean = [r.text for r in rows if len(r.text) >= 100]
+    texts = [(i, t, k) for i, (k, t) in enumerate([("noise", t) for t in noise] + [("mixed", t) for t in mixed] + [("clean", t) for t in clean])]
+    said = z.predict(spark.createDataFrame(texts, "doc_id long, text string, kind string"), dicts)
+    rejected = {k: sum(r.rejected for r in said.collect() if texts[r.doc_id][2] == k) / sum(t[2] == k for t in texts) for k in ("noise", "mixed", "clean")}
+    print(rejected)
+    assert rejected["noise"] >= 0.99 and rejected["mixed"] >= 0.9 and rejected["clean"] <= 0.01
