@@ -87,19 +87,18 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     Only tokens with positive scores are visited; the drift between them comes from prefix sums.
     """
     total = np.concatenate(([0.0], np.cumsum(scores)))
-    held: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum after
+    held: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum after, the nearest earlier one with a smaller sum before
     for i in np.flatnonzero(scores > 0).tolist():
         start, end, before, after = i, i + 1, float(total[i]), float(total[i + 1])
-        while held:
-            j = len(held) - 1
-            while j >= 0 and held[j][2] >= before:
-                j -= 1
-            if j < 0 or held[j][3] >= after:
-                break
-            start, before = held[j][0], held[j][2]
+        j = len(held) - 1
+        while j >= 0 and held[j][2] >= before:
+            j = held[j][4]
+        while j >= 0 and held[j][3] < after:
+            start, before, earlier = held[j][0], held[j][2], held[j][4]
             del held[j:]
-        held.append((start, end, before, after))
-    return [(a, b, after - before) for a, b, before, after in held]
+            j = earlier
+        held.append((start, end, before, after, j))
+    return [(a, b, after - before) for a, b, before, after, _ in held]
 
 
 class Model:

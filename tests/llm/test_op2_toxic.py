@@ -54,3 +54,14 @@ def test_odd_rows(spark):
         assert len(out) == len(texts) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out)
         assert out[0].score == out[1].score == out[2].score
     assert t.score(docs.limit(0), model).count() == 0
+
+
+def test_falling_sums_are_scanned_in_linear_time():
+    import time
+
+    n = 30_000
+    scores = np.tile([1.0, -2.0], n)
+    began = time.process_time()
+    found = t.maximal_segments(scores)
+    assert time.process_time() - began < 2
+    assert found == [(2 * i, 2 * i + 1, 1.0) for i in range(n)]
