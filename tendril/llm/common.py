@@ -15,6 +15,11 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
+def is_held_out(doc_id: Column, folds: int, held_out: int) -> Column:
+    """Whether a row belongs to the held-out fold; a row without an id does not."""
+    return F.coalesce(fold_of(doc_id, folds) == held_out, F.lit(False))
+
+
 #: Rows of an Arrow batch: texts are long, and a batch stands in the memory of the executor and of its Python worker.
 BATCH_ROWS = 1000
 
@@ -59,7 +64,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
 
 
 def bounded_labels(labels: DataFrame, flag: str, rows: int) -> DataFrame:
-    """At most `rows` labelled ids, by hash order; ids labelled more than once take their least label."""
+    """At most `rows` labelled ids, by hash order, so no arrival order matters; ids labelled more than once take their least label."""
     one = labels.where(F.col("doc_id").isNotNull() & F.col(flag).isNotNull()).groupBy("doc_id").agg(F.min(flag).cast("int").alias(flag))
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 

@@ -1,14 +1,23 @@
 """Language ID by compression: the language whose raw-content dictionary makes a text smallest.
 
-Each language gets a zstandard raw-content dictionary of DICT_BYTES, filled
-with whole texts of a bounded sample of labelled documents. A text is folded
-to lower-case letters and single spaces, cut into blocks that cover all of
-it, and compressed once per language. The relative gap between the best two
-sizes is the margin; a narrow one is rejected.
+Each language gets a zstandard raw-content dictionary of about DICT_BYTES. It
+is fitted on a bounded sample, whose bounds are parameters: `sample_rows`
+labelled documents of each of the `max_languages` most frequent languages, by
+hash order of their ids. Every sampled document gives an even share of the
+dictionary: a run of folded bytes from a place that its hash picks, so neither
+long documents nor beginnings are favoured. A text is folded to lower-case
+letters and single spaces, cut into blocks that cover all of it, and compressed
+once per language, at one level whatever its length. The relative gap between
+the best two sizes is the margin; a narrow one is rejected.
 
 Edge cases: a null text or one without a letter is `und` with score 0 and
 rejected; ties go to the language with more training rows, then by name;
-without any labelled row every text is `und`. Extra columns are ignored.
+without any labelled row every text is `und`; with one language its margin is
+1. Languages beyond the `max_languages` most frequent are not learnt, so their
+texts get another verdict or a narrow margin. A row without an id is scored, is
+not held out and teaches nothing; repeated rows score alike and count as often
+as they stand there; very long texts are compressed block by block; an empty
+table gives no rows. Columns of the input other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -21,17 +30,15 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, fold_of
+from .common import arrow, fold_of, is_held_out
 from .textvec import slices
 
 DICT_BYTES = 110 << 10
-#: Labelled documents per language that may fill a dictionary, and languages at most.
+#: Labelled documents per language that may fill a dictionary, and languages that are learnt.
 SAMPLE_ROWS = 500
 MAX_LANGUAGES = 200
-LEVEL = 6
+LEVEL = 12
 BLOCK = 8192
-#: Texts of at most so many bytes have little evidence and get a deeper search for matches.
-SHORT, SHORT_LEVEL = 2048, 12
 #: Below this relative gap between the two smallest sizes a verdict is rejected. Set from the margins of labelled
 #: training rows on sf0.01: their 0.5 % quantile is 0.075, and all that are below 0.05 are ties of a few bytes.
 MIN_MARGIN = 0.05
@@ -46,33 +53,49 @@ def folded(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "replace").translate(KEEP_LETTERS).split())
 
 
-def fit(docs: DataFrame, folds: int = 5, held_out: int = 0, sample_rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
+def share_of(data: bytes, doc_hash: int, size: int) -> bytes:
+    """`size` bytes of whole words of a folded text, from a place that the hash picks; all of a shorter text."""
+    if len(data) <= size:
+        return data
+    start = doc_hash % (len(data) - size + 1)
+    piece = data[start : start + size]
+    head = piece.find(b" ") if start and data[start - 1] != 32 else -1
+    tail = piece.rfind(b" ") if start + size < len(data) and data[start + size] != 32 else size
+    return piece[head + 1 : tail] if head < tail else piece
+
+
+def fit(docs: DataFrame, folds: int = 5, held_out: int = 0, sample_rows: int = SAMPLE_ROWS, max_languages: int = MAX_LANGUAGES) -> dict[str, bytes]:
     """A dictionary for each language, from at most `sample_rows` labelled documents of each."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), folds) != held_out))
-    # at most MAX_LANGUAGES rows
-    rows = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(MAX_LANGUAGES + 1).collect()}
+    # at most max_languages rows
+    rows = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
     if not rows:
         return {}
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     # about 4 * sample_rows ids of each language have a hash below its share, so the ranks below cost the same at any size
     share = F.create_map(*(x for lang, n in rows.items() for x in (F.lit(lang), F.lit(min(1.0, (4.0 * sample_rows + 40) / n)))))
-    hashed = F.xxhash64("doc_id")
+    hashed = F.xxhash64(F.col("doc_id").cast("long"))
     near = known.select("doc_id", "lang").where(hashed.cast("double") / 2.0**64 + 0.5 <= share[F.col("lang")])
     first = Window.partitionBy("lang").orderBy(hashed, "doc_id")
     ids = near.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= sample_rows).drop("_rank")
     # sample_rows ids per language: a size that is bounded by the parameters
-    texts = known.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
-    parts = texts.withColumn("_size", F.least(F.octet_length("text"), F.lit(DICT_BYTES))).orderBy(F.xxhash64("doc_id"), "doc_id")
-    running = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    # enough texts to fill each dictionary once, in hash order; at most MAX_LANGUAGES times twice its size
-    full = parts.withColumn("_before", F.coalesce(F.sum("_size").over(running), F.lit(0))).where(F.col("_before") < 2 * DICT_BYTES)
-    found: dict[str, bytearray] = {}
-    for row in full.select("lang", "text").toLocalIterator():
-        got = found.setdefault(row.lang, bytearray())
-        if len(got) < DICT_BYTES:
-            got += folded(row.text) + b" "
-    return {k: bytes(found[k][:DICT_BYTES]) for k in sorted(found, key=lambda k: (-rows[k], k)) if len(found[k]) > 8}
+    texts = known.select("doc_id", "lang", "text").join(F.broadcast(ids.distinct()), ["doc_id", "lang"]).select("lang", "text", hashed.alias("_hash"))
+    size = DICT_BYTES // sample_rows
+    room = {k: max(size, DICT_BYTES // min(n, sample_rows)) for k, n in rows.items()}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                lang, key = part.column("lang").to_pylist(), part.column("_hash").to_pylist()
+                pieces = [share_of(folded(t), h & (1 << 62) - 1, room[k]) for k, t, h in zip(lang, part.column("text").to_pylist(), key, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("_hash"), pa.array(pieces, pa.binary())], ["lang", "_hash", "piece"])
+
+    # at most max_languages dictionaries' bytes: texts stay in the tasks, pieces come; of ids that repeat, the least piece
+    pieces = arrow(texts, cut, "lang string, _hash long, piece binary").groupBy("lang", "_hash").agg(F.min("piece").alias("piece"))
+    found: dict[str, list[bytes]] = {}
+    for row in pieces.orderBy("lang", "_hash").toLocalIterator():
+        found.setdefault(row.lang, []).append(bytes(row.piece))
+    joined = {k: b" ".join(found.get(k, [])) for k in sorted(rows, key=lambda k: (-rows[k], k))}
+    return {k: v for k, v in joined.items() if len(v) > 8}
 
 
 def encoders(dictionaries: dict[str, bytes], level: int) -> list:
@@ -90,7 +113,7 @@ class Classifier:
 
     def __init__(self, dictionaries: dict[str, bytes]):
         self.names = list(dictionaries)
-        self.long, self.short = encoders(dictionaries, LEVEL), encoders(dictionaries, SHORT_LEVEL)
+        self.encoders = encoders(dictionaries, LEVEL)
 
     def __call__(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, margin)."""
@@ -98,7 +121,7 @@ class Classifier:
             return UNDETERMINED, 0.0, 0.0
         data = folded(text)
         blocks = [data] if len(data) <= BLOCK else [data[k : k + BLOCK] for k in range(0, len(data), BLOCK)]
-        sizes = [sum(map(len, map(encode, blocks))) for encode in (self.short if len(data) <= SHORT else self.long)]
+        sizes = [sum(map(len, map(encode, blocks))) for encode in self.encoders]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         if len(sizes) == 1:
             return self.names[0], 1.0, 1.0
@@ -112,7 +135,7 @@ OUT = "doc_id long, held_out boolean, lang_pred string, score double, margin dou
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], folds: int = 5, held_out: int = 0, min_margin: float = MIN_MARGIN) -> DataFrame:
     """The language of each whole text; `rejected` marks texts without letters and narrow margins."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (fold_of(F.col("doc_id"), folds) == held_out).alias("held_out"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", is_held_out(F.col("doc_id"), folds, held_out).alias("held_out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Classifier(dictionaries)

@@ -3,12 +3,17 @@
 The statistics of a text come from vectorised kernels; the trees are grown
 with histograms under monotonic constraints, then flattened into numpy node
 arrays, so a batch of rows is scored level by level without a Python loop
-over rows.
+over rows. They are fitted on a bounded sample: at most `max_rows` labelled
+ids by hash order, one row for each id, whatever order rows arrive in. Fewer
+than `least_rows` labelled rows, or labels of one class only, are no basis for
+trees; the base rule then decides alone and quality_score is 1.
 
 Edge cases: a null or empty text has zero words and fails the base rule;
-texts under five words have no window; repeated rows get equal verdicts; a
-missing or one-sided label sample leaves the base rule alone to decide; other
-columns of the input pass through untouched under their own names.
+texts under five words have no window; very long texts are one slice of their
+own, with work space in proportion to their length; a row without an id is
+scored and teaches nothing; repeated rows get equal verdicts, and a score equal
+to the threshold is kept; an empty table gives no rows; other columns of the
+input pass through untouched under their own names.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ from .textvec import NONSPACE, Words, byte_table, row_sums, slices, text_bytes,
 
 #: Rows of labels that a fit may read; bounds the driver's share of the work.
 MAX_LABEL_ROWS = 20_000
+#: Labelled rows below which no trees are grown.
+LEAST_ROWS = 50
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -174,8 +181,8 @@ def flat_margin(nodes, roots, start, depth, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABEL_ROWS) -> Trees | None:
-    """Trees for P(quality = 1), learnt from at most `max_rows` labelled documents; None if one class is missing."""
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABEL_ROWS, least_rows: int = LEAST_ROWS) -> Trees | None:
+    """Trees for P(quality = 1), learnt from at most `max_rows` labelled documents; None below `least_rows` or if one class is missing."""
     sample = bounded_labels(labels, "quality", max_rows)
     # max_rows ids and labels: a size that is bounded by the parameter
     labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
@@ -183,12 +190,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABEL_ROWS) -> T
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text"):
             _, x = statistics(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("quality"), pa.array(list(x), pa.list_(pa.float64()))], ["quality", "x"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
-    # an id that many documents share stays bounded too
-    got = map_arrow(labelled, rows, "quality int, x array<double>").limit(2 * max_rows).toArrow()
+    # of texts that share an id the one with the least statistics, so max_rows rows come whatever their order
+    found = map_arrow(labelled.withColumn("doc_id", F.col("doc_id").cast("long")), rows, "doc_id long, quality int, x array<double>")
+    got = found.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x")).toArrow()
     y = got.column("quality").to_numpy().astype(float)
-    if len(y) < 50 or not 0 < y.mean() < 1:
+    if len(y) < least_rows or not 0 < y.mean() < 1:
         return None
     x = np.array(got.column("x").combine_chunks().flatten().to_numpy()).reshape(len(y), -1)
     order = np.lexsort((*x.T, y))

@@ -46,6 +46,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
 #: A random 64-bit value for each byte.
 BYTE_KEYS = mix64(np.arange(1, 257, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
 STEP = U64(0xD6E8FEB86659FD93)
+#: Bytes of words that are hashed at once.
+CHUNK = 1 << 22
+#: The bytes of a code point by its first byte.
+CHARACTER = np.array([1 + (b >= 0xC0) + (b >= 0xE0) + (b >= 0xF0) for b in range(256)])
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
@@ -81,18 +85,11 @@ class Words:
         n = len(data)
         self.data, self.offsets = data, offsets
         flag = inside[data] if n else np.zeros(0, bool)
-        first = np.zeros(n + 1, bool)
-        first[offsets] = True
-        before = np.empty(n, bool)
-        if n:
-            before[0] = False
-            before[1:] = flag[:-1]
-        self.starts = np.flatnonzero(flag & (~before | first[:n]))
-        after = np.empty(n, bool)
-        if n:
-            after[-1] = False
-            after[:-1] = flag[1:]
-        self.ends = np.flatnonzero(flag & (~after | first[1:])) + 1
+        edge = np.ones(n + 1, bool)  # a word may start here, or end just before
+        np.not_equal(flag[1:], flag[:-1], out=edge[1:n])
+        edge[offsets] = True
+        self.starts = np.flatnonzero(flag & edge[:n])
+        self.ends = np.flatnonzero(flag & edge[1:]) + 1
         self.flag = flag
         #: bounds[i]:bounds[i+1] are the words of row i.
         self.bounds = np.searchsorted(self.starts, offsets)
@@ -103,25 +100,57 @@ class Words:
         """The row of each word."""
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def hashes(self, fold: np.ndarray | None = None, prefix: int | None = None) -> np.ndarray:
-        """A 64-bit hash of each word (of its first `prefix` bytes), after folding bytes by a table."""
-        if not len(self.starts):
-            return np.empty(0, np.uint64)
-        lengths = self.ends - self.starts
-        if prefix is not None:
-            lengths = np.minimum(lengths, prefix)
+    def heads(self, characters: int) -> np.ndarray:
+        """The byte ends of the words' first code points, `characters` of them at most."""
+        at = self.starts.copy()
+        for _ in range(characters):
+            inside = np.flatnonzero(at < self.ends)
+            at[inside] += CHARACTER[self.data[at[inside]]]
+        return np.minimum(at, self.ends)
+
+    def hashes(self, fold: np.ndarray | None = None, ends: np.ndarray | None = None) -> np.ndarray:
+        """A 64-bit hash of each word (up to the byte `ends`, if given), after folding bytes by a table.
+
+        Words are taken CHUNK bytes at a time, and a longer word in pieces, so the work space is bounded.
+        """
+        lengths = (self.ends if ends is None else ends) - self.starts
+        sums = np.zeros(len(lengths), np.uint64)
+        total = np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths)))
+        a = 0
+        while a < len(lengths):
+            b = max(a + 1, int(np.searchsorted(total, total[a] + CHUNK, side="right")) - 1)
+            if lengths[a] > CHUNK:
+                sums[a] = self._long(int(self.starts[a]), int(lengths[a]), fold)
+            else:
+                sums[a:b] = self._sums(self.starts[a:b], lengths[a:b], fold)
+            a = b
+        with np.errstate(over="ignore"):
+            return mix64(sums + lengths.astype(np.uint64))
+
+    def _sums(self, starts: np.ndarray, lengths: np.ndarray, fold: np.ndarray | None) -> np.ndarray:
         firsts = np.zeros(len(lengths), np.int64)
         np.cumsum(lengths[:-1], out=firsts[1:])
         place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(firsts, lengths)
-        at = place + np.repeat(self.starts, lengths)
-        byte = self.data[at] if fold is None else fold[self.data[at]]
+        byte = self.data[place + np.repeat(starts, lengths)]
         with np.errstate(over="ignore"):
-            powers = np.empty(int(lengths.max()), np.uint64)
-            powers[0] = 1
-            if len(powers) > 1:
-                powers[1:] = np.cumprod(np.full(len(powers) - 1, STEP))
-            sums = np.add.reduceat(BYTE_KEYS[byte] * powers[place], firsts)
-            return mix64(sums + lengths.astype(np.uint64))
+            return np.add.reduceat(BYTE_KEYS[byte if fold is None else fold[byte]] * powers(int(lengths.max()))[place], firsts)
+
+    def _long(self, start: int, length: int, fold: np.ndarray | None) -> np.uint64:
+        out, step, steps = U64(0), int(STEP), powers(CHUNK)
+        with np.errstate(over="ignore"):
+            for a in range(0, length, CHUNK):
+                byte = self.data[start + a : start + min(a + CHUNK, length)]
+                part = (BYTE_KEYS[byte if fold is None else fold[byte]] * steps[: len(byte)]).sum(dtype=np.uint64)
+                out += part * U64(pow(step, a, 1 << 64))
+        return out
+
+
+def powers(n: int) -> np.ndarray:
+    """The first n powers of STEP."""
+    out = np.full(n, STEP)
+    out[0] = 1
+    with np.errstate(over="ignore"):
+        return np.cumprod(out)
 
 
 def window_hashes(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

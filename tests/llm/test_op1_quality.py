@@ -61,3 +61,39 @@ def test_verdicts_agree_with_labels(spark):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     out = q.score(docs, q.fit(docs, labels)).join(labels, "doc_id").where("not base_failed")
     assert out.agg(F.avg((F.col("kept") == (F.col("quality") == 1)).cast("int"))).first()[0] > 0.95
+
+
+def walk(model, row):
+    """The margin of a row by a plain walk from each root."""
+    total = model.start
+    for at in model.roots:
+        while model.left[at] != at:
+            at = model.left[at] + (row[model.feature[at]] > model.threshold[at])
+        total += model.value[at]
+    return total
+
+
+def test_flat_arrays_equal_a_plain_walk():
+    rng = np.random.default_rng(2)
+    x = np.round(rng.random((2000, 4)), 2)  # many ties with the cuts
+    y = (x[:, 0] + x[:, 1] * x[:, 2] < 0.8).astype(float)
+    model = q.Trees(trees=15).fit(x, y, np.array([-1, 0, 0, 0]))
+    assert np.allclose(model.margin(x), [walk(model, r) for r in x], atol=1e-12)
+
+
+def test_fit_does_not_depend_on_arrival(spark):
+    texts = [f"good words number {i} in a row of more than ten plain words {i}" if i % 2 else "### $$$ " * (12 + i % 5) for i in range(120)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(i, "another text with this id " * 3) for i in range(120)] + [(None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)] + [(5, 0), (None, 1)], "doc_id long, quality int")
+    a, b = q.fit(docs, labels, max_rows=90), q.fit(docs.orderBy("text").repartition(3), labels.repartition(5), max_rows=90)
+    assert all((u == v).all() for u, v in zip(a.nodes, b.nodes, strict=True)) and a.start == b.start
+    assert q.fit(docs, labels, max_rows=49) is None and q.fit(docs, labels, max_rows=49, least_rows=40) is not None
+
+
+def test_edge_rows(spark):
+    model = q.Trees(trees=1)
+    rows = [(None, "no id " * 20), (1, "word " * 400_000), (2, " ".join(f"w{i}" for i in range(30)))] * 2
+    out = q.score(spark.createDataFrame(rows, "doc_id long, text string"), None).collect()
+    assert len(out) == 6 and {(r.doc_id, r.kept) for r in out} == {(None, False), (1, False), (2, True)}
+    assert model.roots == []

@@ -1,7 +1,11 @@
 """Held-out accuracy and odd rows."""
 
 import random
+import re
+import zlib
 
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from tendril.llm import language_zstd as z
@@ -51,3 +55,67 @@ def test_narrow_margins_are_rejected(spark):
     rejected = {k: sum(r.rejected for r in said.collect() if texts[r.doc_id][2] == k) / sum(t[2] == k for t in texts) for k in ("noise", "mixed", "clean")}
     print(rejected)
     assert rejected["noise"] >= 0.99 and rejected["mixed"] >= 0.9 and rejected["clean"] <= 0.01
+
+
+def plain_fold(text):
+    low = text.lower()
+    return b" ".join(re.sub(rb"[^a-z\x80-\xff]", b" ", low.encode("utf-8", "replace")).split())
+
+
+def spark_hash(i):
+    x = xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42)
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def test_against_a_plain_version(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    docs = spark.createDataFrame([(r.doc_id, r.text, r.lang) for r in rows] + [(None, "the of and to", "en")], "doc_id long, text string, lang string")
+    sample = 20
+    known = {}
+    for r in rows:
+        if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            known.setdefault(r.lang, []).append((spark_hash(r.doc_id), r.text))
+    want = {}
+    for lang in sorted(known, key=lambda k: (-len(known[k]), k)):
+        chosen = sorted(known[lang])[:sample]
+        size = z.DICT_BYTES // min(sample, len(known[lang]))
+        want[lang] = b" ".join(z.share_of(plain_fold(t), h & (1 << 62) - 1, size) for h, t in chosen)
+    assert z.fit(docs, sample_rows=sample) == want
+
+    def classify(text):
+        if text is None or not any(c.isalpha() for c in text):
+            return "und"
+        data, sizes = plain_fold(text), []
+        for raw in want.values():
+            pack = zstandard.ZstdCompressor(level=z.LEVEL, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(pack.compress(data[k : k + z.BLOCK])) for k in range(0, max(len(data), 1), z.BLOCK)))
+        return list(want)[sizes.index(min(sizes))]
+
+    got = z.predict(docs, want).collect()
+    assert {(r.doc_id, r.lang_pred) for r in got} == {(r.doc_id, classify(r.text)) for r in docs.collect()}
+    assert [r.held_out for r in got if r.doc_id is None] == [False]
+
+
+def test_every_sampled_text_gives_a_share():
+    text = b" ".join(b"word%d" % i for i in range(20_000))
+    for h in (0, 1, 12345, 1 << 61, len(text) - 300):
+        piece = z.share_of(text, h, 300)
+        assert 0 < len(piece) <= 300 and set(piece.split()) <= set(text.split())
+    assert z.share_of(b"short text", 5, 300) == b"short text" and len(z.share_of(b"x" * 1000, 7, 300)) == 300
+    assert len({z.share_of(text, h * 7919, 300) for h in range(50)}) == 50
+
+
+def test_one_model_whatever_the_length():
+    c = z.Classifier({"aa": b"alpha beta gamma delta " * 50, "bb": b"uno dos tres cuatro " * 50})
+    for n in range(85, 110):  # texts on both sides of 2,048 bytes
+        text = "gamma delta alpha beta " * n
+        raw = plain_fold(text)
+        want = [len(e(raw)) for e in z.encoders({"aa": b"alpha beta gamma delta " * 50, "bb": b"uno dos tres cuatro " * 50}, z.LEVEL)]
+        assert c(text)[2] == (want[1] - want[0]) / want[1]
+
+
+def test_many_languages(spark):
+    names = [f"l{i:03d}" for i in range(230)]
+    docs = spark.createDataFrame([(i, f"{'abcdefghij'[i % 10] * 3}{i} common words " * 4, names[i]) for i in range(230)], "doc_id long, text string, lang string")
+    dicts = z.fit(docs, held_out=-1, max_languages=225)
+    assert list(dicts) == names[:225] and z.predict(docs, dicts).count() == 230
