@@ -1,6 +1,12 @@
 """Segments against brute force, calibration, held-out accuracy and odd rows."""
 
+import math
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tendril.llm import toxic_segments as t
@@ -65,3 +71,98 @@ def test_falling_sums_are_scanned_in_linear_time():
     found = t.maximal_segments(scores)
     assert time.process_time() - began < 2
     assert found == [(2 * i, 2 * i + 1, 1.0) for i in range(n)]
+
+
+WORD = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def forms(word):
+    """The hashed features of a word, as the operator names them."""
+    return [int(h[0]) for h in t.features(pa.array([word]))[1] if h[0]]
+
+
+def plain_words(text):
+    return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def plain_score(model, text, table):
+    """The probability of one document by loops over its words and all their runs."""
+    w = plain_words(text)
+    x = []
+    for word in w:
+        names = [word, *(f"{word[:n]}/{n}" for n in t.STEMS if len(word) > n)]
+        x.append(next((table[k] for k in names if k in table), 0.0) - t.COST)
+    logs = [math.log(model.scale * len(w)) - model.decay * s for _, _, s in plain_segments(x)]
+    best = max((-(v if v < -20 else math.log(-math.expm1(-math.exp(min(v, 5))))) / math.log(10) for v in logs), default=0.0)
+    total = sum(-v / math.log(10) for v in logs if v < math.log(t.EVALUE))
+    a, b, c = model.weights
+    return 1 / (1 + math.exp(-(a + b * math.log1p(best) + c * math.log1p(total))))
+
+
+def test_scores_against_plain_loops(spark):
+    import random
+
+    rng = random.Random(2)
+    clean, bad = [f"wört{i}" for i in range(40)], ["idiotisch", "idiot", "scum"]
+    rows = []
+    for i in range(300):
+        w = [rng.choice(clean) for _ in range(rng.randrange(5, 40))]
+        if i % 3 == 0:
+            for _ in range(rng.randrange(1, 5)):
+                w.insert(rng.randrange(len(w)), rng.choice(bad))
+        rows.append((i, " ".join(w), int(i % 3 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(None, "scum idiots scum"), (9_001, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = t.fit(docs, labels)
+    # the lexicon by plain counts
+    seen, counts = set(), {0: Counter(), 1: Counter()}
+    for i, text, y in sorted(rows, key=lambda r: (r[1], r[2])):
+        if zlib.crc32(str(i).encode()) % 5 and text not in seen:
+            seen.add(text)
+            for word in plain_words(text):
+                counts[y].update([word, *(f"{word[:n]}/{n}" for n in t.STEMS if len(word) > n)])
+    whole = Counter()
+    for r in docs.collect():
+        for word in plain_words(r.text):
+            whole.update([word, *(f"{word[:n]}/{n}" for n in t.STEMS if len(word) > n)])
+    size = [sum(n for k, n in counts[y].items() if "/" not in k) + 1 for y in (0, 1)]
+    all_tokens = sum(n for k, n in whole.items() if "/" not in k)
+    table = {}
+    for k in counts[0] | counts[1]:
+        bad_n, good_n = counts[1][k], counts[0][k]
+        if "/" not in k and bad_n + good_n < t.MIN_COUNT:
+            continue
+        prior = t.PRIOR * min(size)
+        a = prior * (whole[k] + 0.5) / (all_tokens + 1)
+        value = math.log((bad_n + a) / (size[1] + prior - bad_n - a)) - math.log((good_n + a) / (size[0] + prior - good_n - a))
+        share = size[1] / sum(size)
+        part = lambda n, e: n * math.log(n / e) if n else 0.0
+        z = math.sqrt(max(0.0, 2 * (part(bad_n, (bad_n + good_n) * share) + part(good_n, (bad_n + good_n) * (1 - share)))))
+        table[k] = value * max(0.0, 1 - (t.SHRINK / max(z, 1e-12)) ** 2)
+    named = {}
+    for k in table:
+        if "/" in k:
+            n = int(k[-1])
+            named[k] = forms(k[:-2] + "x")[1 + [m for m in t.STEMS if len(k) - 1 > m].index(n)]
+        else:
+            named[k] = forms(k)[0]
+    got = dict(zip(model.lexicon.hashes.tolist(), model.lexicon.scores.tolist(), strict=True))
+    assert set(got) == set(named.values()) and all(abs(got[named[k]] - v) < 1e-9 for k, v in table.items())
+    assert any(v < 0 for v in table.values()) and any(v > 0 for v in table.values())
+    out = t.score(docs, model).collect()
+    text = {r.doc_id: r.text for r in docs.collect()}
+    assert len(out) == 302 and all(abs(r.score - plain_score(model, text[r.doc_id], table)) < 1e-9 for r in out)
+    assert [r.held_out for r in out if r.doc_id is None] == [False]
+
+
+def test_beginnings_are_code_points():
+    words, found = t.features(pa.array(["日本語日本語日", "abcdefg", "abcd", None]))
+    assert [(h > 0).tolist() for h in found] == [[True] * 3, [True, True, False], [True, True, False]]
+    assert words.heads(4).tolist() == [12, 25, 32] and words.heads(6).tolist() == [18, 27, 32]
+
+
+def test_fit_does_not_depend_on_arrival(spark):
+    docs = spark.createDataFrame([(i % 60, f"text {i} {'nasty' if i % 60 % 2 else 'fine'} " * 6) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    a, b = t.fit(docs, labels, max_rows=40), t.fit(docs.orderBy("text").repartition(5), labels.repartition(3), max_rows=40)
+    assert (a.lexicon.hashes == b.lexicon.hashes).all() and a.weights == b.weights and a.decay == b.decay
