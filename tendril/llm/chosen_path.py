@@ -1,26 +1,33 @@
 """N-gram Jaccard join by chosen paths, and the classes of near-duplicates it gives.
 
-A text is the set of its five-word shingles. In a run, every set follows the
-path of its least shingles under a chain of random orders: the sets of a node
-split on the first order's least shingle, nodes of more than LEAF sets split
-again on the next order's, down to DEPTH orders. Two sets of similarity s stay
-together over d splits with probability s ** d. Every run has DEPTH orders of
-its own, so runs are independent and repeat until 1 - (1 - s ** DEPTH) ** runs
-reaches the target recall. Sets that share a leaf are compared, first by their
-least shingles under the orders of all runs, then exactly; a
-leaf that is still large after DEPTH splits is cut into blocks, and every pair
-of blocks is compared in a group of its own, so no task holds more than
-2 * LEAF sets and no pair is lost.
+A text is the set of its five-word shingles; its tokens are its least shingles
+under many random orders, on each of which two sets agree with a probability
+equal to their similarity. In a run every set starts at the root; a node of
+more than LEAF sets splits on sampled tokens: 1 / threshold orders on average
+(the whole part always, one more with the probability of the rest, by the
+node's hash), and a set goes to a child for its token under each. So a pair at
+the threshold shares one child on average, however deep the tree goes, and its
+chance to meet in a leaf falls like 1 / depth, not like threshold ** depth.
+Runs have orders of their own, hence are independent, and repeat until a pair
+at the threshold has met with probability `recall`; closer pairs meet more.
+Sets that share a leaf are compared by brute force. In a leaf of LEAF sets at
+most those that agree with no other on enough orders drop out first; a leaf
+that is still larger after DEPTH splits is cut into blocks of BLOCK sets, and
+every pair of blocks is compared in a group of its own, so no task holds more
+than 2 * BLOCK sets and no pair is lost. The exact check counts common
+shingles.
 
 Texts with equal shingle sets are one node from the start. Comparison emits,
 for each set, its number of links and the least set of its component in the
-leaf, never the pairs; a pair is counted in the first run that has it in one
-leaf. Components over leaves come from alternating stars.
+leaf, never the pairs; a pair counts in the first of the leaves it shares.
+Components over leaves come from alternating stars.
 
 Edge cases: a text without words is linked to nothing; one of one to four
-words is the one shingle of all its words; repeated rows and equal texts share
-a class and count as links of each other; a null doc_id is its own class, null,
-without links, unless an equal text with an id is there.
+words is the one shingle of all its words; very long texts are one slice of
+their own; repeated rows and equal texts share a class and count as links of
+each other; a class is named by its least doc_id; a null doc_id is its own
+class, null, without links, unless an equal text with an id is there; an empty
+table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,16 +49,35 @@ WIDTH = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 DEPTH = 4
-#: A pair at the threshold fails the comparison of sketches with at most this probability.
+#: A pair at the threshold fails the comparison of tokens with at most this probability.
 SKETCH_LOSS = 1e-7
 LEAF = 400
+#: Sets of a block of a large leaf.
+BLOCK = 2048
 #: Ids that may be broadcast: 16 bytes each.
 BROADCAST_ROWS = 200_000
 
 
+def children(threshold: float) -> tuple[int, float]:
+    """The orders a node always splits on, and the probability of one more: 1 / threshold on average."""
+    whole = math.floor(1 / threshold + 1e-9)
+    return whole, max(0.0, 1 / threshold - whole)
+
+
+def meeting(similarity: float, threshold: float, depth: int) -> float:
+    """The probability that a pair meets in a leaf of one run after `depth` splits: survival of a branching process."""
+    whole, more = children(threshold)
+    lost = 0.0
+    for _ in range(depth):
+        child = 1 - similarity + similarity * lost  # that the pair is not, or no longer, together in one child
+        lost = child**whole * (1 - more + more * child)
+    return 1 - lost
+
+
 def runs_for(threshold: float, recall: float, depth: int) -> int:
     """Runs after which a pair at the threshold was together in a leaf of `depth` splits with probability `recall`."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth))
+    met = meeting(threshold, threshold, depth)
+    return 1 if met >= recall else math.ceil(math.log(1 - recall) / math.log(1 - met))
 
 
 def agree_for(threshold: float, orders: int, loss: float = SKETCH_LOSS) -> int:
@@ -119,78 +145,87 @@ def sketches(docs: DataFrame, coordinates: int) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows, "doc_id long, sid long, n long, least array<long>")
 
 
-def leaves(nodes: DataFrame, runs: int, depth: int, leaf: int) -> DataFrame:
-    """(run, path, sid): the leaf of each set in each run, without sets that are alone."""
-    at = lambda d: F.element_at("least", F.col("run") * depth + d + 1)
-    level = nodes.select("sid", F.inline(F.array(*(F.struct(F.lit(r).alias("run"), F.xxhash64(F.lit(r), F.element_at("least", r * depth + 1)).alias("path")) for r in range(runs)))))
+def split(nodes: DataFrame, level: int, depth: int, threshold: float) -> DataFrame:
+    """nodes: (run, path, sid, least). (run, path, sid) of the children: a path for each order a node splits on."""
+    whole, more = children(threshold)
+    width = whole + (more > 0)
+
+    def child(k: int):
+        token = F.element_at("least", (F.col("run") * depth + level) * width + k + 1)
+        path = F.xxhash64("path", F.lit(k), token)
+        chosen = F.pmod(F.xxhash64("path", F.lit(1000 + k)), F.lit(1 << 20)) < int(more * (1 << 20))
+        return path if k < whole else F.when(chosen, path)
+
+    return nodes.select("run", F.explode(F.array_compact(F.array(*map(child, range(width))))).alias("path"), "sid")
+
+
+def leaves(nodes: DataFrame, runs: int, depth: int, leaf: int, threshold: float) -> DataFrame:
+    """(path, sid): the leaves of each set in all runs, without sets that are alone."""
+    least = nodes.select("sid", "least")
+    at = least.select(F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), "sid", "least").withColumn("path", F.xxhash64("run"))
     done = None
-    for d in range(depth):
+    for level in range(depth):
         # a count per path, so what moves is a few numbers for each set and run
-        sizes = stored(level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-        level = stored(level.join(sizes, "path"), "level")
-        last = d == depth - 1
-        found = level.where(F.lit(last) | (F.col("size") <= leaf)).select("run", "path", "sid")
+        paths = split(at, level, depth, threshold)
+        sizes = stored(paths.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+        paths = stored(paths.join(sizes, "path"), "level")
+        last = level == depth - 1
+        found = paths.where(F.lit(last) | (F.col("size") <= leaf)).select("path", "sid")
         done = found if done is None else done.unionByName(found)
-        large = level.where(F.col("size") > leaf).select("run", "path", "sid")
+        large = paths.where(F.col("size") > leaf).select("run", "path", "sid")
         if last or large.isEmpty():
             return done
-        level = large.join(nodes.select("sid", "least"), "sid").select("run", F.xxhash64("path", at(d + 1)).alias("path"), "sid")
+        at = large.join(least, "sid")
 
 
 def distinct_leaves(found: DataFrame) -> DataFrame:
-    """(run, path, sid, size) of leaves of more than one set; of those with equal members, the first run's."""
-    each = found.groupBy("path").agg(F.first("run").alias("run"), F.count("*").alias("size"), F.sum(F.xxhash64("sid").cast("decimal(20,0)")).alias("name"))
-    best = each.where("size > 1").groupBy("size", "name").agg(F.min(F.struct("run", "path")).alias("best"))
-    return found.join(best.select(F.col("best.path").alias("path"), "size"), "path").select("run", "path", "sid", "size")
+    """(path, sid, size) of leaves of more than one set; of those with equal members, one."""
+    each = found.groupBy("path").agg(F.count("*").alias("size"), F.sum(F.xxhash64("sid").cast("decimal(20,0)")).alias("name"))
+    best = each.where("size > 1").groupBy("size", "name").agg(F.min("path").alias("path"))
+    return found.join(best.select("path", "size"), "path").select("path", "sid", "size")
 
 
-def spread(members: DataFrame, leaf: int) -> DataFrame:
-    """(group, run, path, sid, side): a leaf is a group; a large one a group for each pair of its blocks.
+def spread(members: DataFrame, block: int) -> DataFrame:
+    """(group, path, sid, side): a leaf is a group; one of more than `block` sets a group for each pair of its blocks.
 
     side is 0 if all pairs of the group count, else 1 or 2: then those of unlike sides do.
     """
-    blocks = F.when(F.col("size") > leaf, F.ceil(F.col("size") / leaf)).otherwise(1).cast("int")
+    blocks = F.ceil(F.col("size") / block).cast("int")
     rows = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("sid", F.lit(3)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), F.lit(0)).when(F.col("own") < F.col("other"), F.lit(1)).otherwise(2)
     # blocks i < j meet in the group (i, j); those pairs within a block meet in (i, i)
-    return rows.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "run", "path", "sid", side.alias("side"))
+    return rows.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "path", "sid", side.alias("side"))
 
 
-def promising(members: DataFrame, nodes: DataFrame, leaf: int, threshold: float, orders: int) -> DataFrame:
-    """The members of a leaf that agree with another one there on enough orders and may have a similar size."""
+def promising(members: DataFrame, nodes: DataFrame, threshold: float, orders: int) -> DataFrame:
+    """(path, sid): the members of small leaves that agree with another one there on enough orders and may have a similar size."""
     needed = agree_for(threshold, orders)
-    rows = spread(members, leaf).join(nodes.select("sid", "n", "least"), "sid").repartition("group").sortWithinPartitions("group", "sid")
+    rows = members.join(nodes.select("sid", "n", "least"), "sid").repartition("path").sortWithinPartitions("path", "sid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in grouped(batches, "group"):
+        for table in grouped(batches, "path"):
             lists = pa.concat_arrays(table.column("least").chunks)
             least = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, orders)
-            size, side = table.column("n").to_numpy(), table.column("side").to_numpy()
+            size = table.column("n").to_numpy()
             agree = np.zeros((len(size), len(size)), np.uint8 if orders < 256 else np.uint16)
             for c in range(orders):
                 agree += least[:, c][:, None] == least[:, c][None, :]
             good = (agree >= needed) & (size[:, None] >= threshold * size[None, :]) & (size[None, :] >= threshold * size[:, None])
             np.fill_diagonal(good, False)
-            if side.any():
-                good &= side[:, None] != side[None, :]
             hit = pa.array(np.flatnonzero(good.any(1)))
             if len(hit):
-                yield table.select(["run", "path", "sid"]).take(hit).combine_chunks().to_batches()[0]
-
-    return arrow(rows.select("group", "side", "run", "path", "sid", "n", "least"), run, "run int, path long, sid long").distinct()
+                yield table.select(["path", "sid"]).take(hit).combine_chunks().to_batches()[0]
 
+    return arrow(rows.select("path", "sid", "n", "least"), run, "path long, sid long")
 
-def compare(keys: np.ndarray, sizes: np.ndarray, copies: np.ndarray, path_of_run: np.ndarray, run: int, side: np.ndarray | None, threshold: float):
-    """Links among the sets of a group: for each set the weight and number of those counted here, its local component, and whether it has any.
 
-    side: None compares all pairs, else only those of side 0 with side 1.
-    """
+def overlaps(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many keys each two of n sets share; keys of one set stand together, as many as its size."""
     n = len(sizes)
     _, column = np.unique(keys, return_inverse=True)
-    df = np.bincount(column)
     member = np.repeat(np.arange(n), sizes)
-    shared = df[column] > 1
+    shared = np.bincount(column)[column] > 1 if len(column) else np.zeros(0, bool)
     member, column = member[shared], column[shared]
     _, column = np.unique(column, return_inverse=True)
     order = np.argsort(column, kind="stable")
@@ -202,34 +237,51 @@ def compare(keys: np.ndarray, sizes: np.ndarray, copies: np.ndarray, path_of_run
         block = np.zeros((n, min(wide, int(column[-1]) + 1 - a)), np.float32)
         block[member[lo:hi], column[lo:hi] - a] = 1
         common += block @ block.T
-    total = sizes[:, None] + sizes[None, :] - common
-    linked = common >= threshold * total - 1e-6
+    return common
+
+
+def compare(keys: np.ndarray, sizes: np.ndarray, copies: np.ndarray, earlier: np.ndarray, n_earlier: np.ndarray, side: np.ndarray | None, threshold: float):
+    """Links among the sets of a group: for each set the weight and number of those counted here, its local component, and whether it has any.
+
+    earlier: the leaves before this one that each set is in (n_earlier of them); a pair that shares one counts there.
+    side: None compares all pairs, else only those of side 1 with side 2.
+    """
+    n, strip = len(sizes), 512
+    common = overlaps(keys, sizes)
+    linked = np.empty((n, n), bool)
+    for a in range(0, n, strip):
+        total = sizes[a : a + strip, None] + sizes[None, :] - common[a : a + strip]
+        linked[a : a + strip] = common[a : a + strip] >= threshold * total - 1e-6
     np.fill_diagonal(linked, False)
     if side is not None:
         linked &= side[:, None] != side[None, :]
-    root = np.arange(n)
-    if linked.any():
+    has = linked.any(1)
+    root, weight, count = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    if has.any():
         while True:  # the least index in reach, with shortcuts
-            low = np.minimum(root, np.where(linked, root[None, :], n).min(1))
+            low = root.copy()
+            for a in range(0, n, strip):
+                low[a : a + strip] = np.minimum(low[a : a + strip], np.where(linked[a : a + strip], root[None, :], n).min(1))
             low = low[low]
             if (low == root).all():
                 break
             root = low
-        first = linked.copy()
-        for earlier in range(run):
-            first &= path_of_run[:, earlier][:, None] != path_of_run[:, earlier][None, :]
-        return first @ copies, first.sum(1), root, linked.any(1)
-    return np.zeros(n, np.int64), np.zeros(n, np.int64), root, np.zeros(n, bool)
+        if len(earlier):
+            linked &= overlaps(earlier, n_earlier) == 0
+        count = linked.sum(1)
+        for a in range(0, n, strip):
+            weight[a : a + strip] = np.rint(linked[a : a + strip].astype(np.float64) @ copies.astype(np.float64)).astype(np.int64)
+    return weight, count, root, has
 
 
-def links(docs: DataFrame, nodes: DataFrame, found: DataFrame, runs: int, depth: int, leaf: int, threshold: float) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, found: DataFrame, orders: int, leaf: int, block: int, threshold: float) -> DataFrame:
     """(sid, root, weight, n): for each set and group, its links there and the least set of its component."""
-    kept = stored(promising(stored(distinct_leaves(found), "leaves"), nodes, leaf, threshold, runs * depth), "promising")
+    first = stored(distinct_leaves(found), "leaves")
+    small = promising(first.where(F.col("size") <= leaf), nodes, threshold, orders)
+    kept = stored(small.unionByName(first.where(F.col("size") > leaf).select("path", "sid")), "promising")
     members = stored(distinct_leaves(kept), "members")
-    wanted = members.select("sid").distinct()
-    paths = found.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.map_from_entries(F.collect_list(F.struct("run", "path"))).alias("by_run"))
-    by_run = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.element_at("by_run", r))
-    wanted = stored(nodes.select("sid", "doc_id", "copies").join(paths, "sid").select("sid", "doc_id", "copies", by_run.alias("paths")), "wanted")
+    paths = members.groupBy("sid").agg(F.sort_array(F.collect_list("path")).alias("paths"))  # a few for each run
+    wanted = stored(nodes.select("sid", "doc_id", "copies").join(paths, "sid"), "wanted")
     ids = wanted.select(F.col("sid").alias("want"), "doc_id")
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
@@ -243,8 +295,9 @@ def links(docs: DataFrame, nodes: DataFrame, found: DataFrame, runs: int, depth:
             yield pa.RecordBatch.from_arrays([part.column("want"), lists], ["sid", "shingles"]).filter(same)
 
     hashed = map_arrow(texts, sets, "sid long, shingles array<long>")
-    rows = spread(members, leaf).join(wanted.select("sid", "copies", "paths"), "sid").join(hashed, "sid")
-    rows = rows.select("group", "run", "side", "sid", "copies", "paths", "shingles").repartition("group").sortWithinPartitions("group", "sid")
+    rows = spread(members, block).join(wanted.select("sid", "copies", "paths"), "sid").join(hashed, "sid")
+    rows = rows.select("group", "side", "sid", "copies", F.filter("paths", lambda p: p < F.col("path")).alias("earlier"), "shingles")
+    rows = rows.repartition("group").sortWithinPartitions("group", "sid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, "group"):
@@ -254,16 +307,14 @@ def links(docs: DataFrame, nodes: DataFrame, found: DataFrame, runs: int, depth:
             table = table.filter(pa.array(keep)).combine_chunks()
             if table.num_rows < 2:
                 continue
-            lists, paths = (pa.concat_arrays(table.column(c).chunks) for c in ("shingles", "paths"))
-            size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            by_run = paths.flatten().fill_null(0).to_numpy(zero_copy_only=False).reshape(len(size), runs).copy()
-            by_run[by_run == 0] = np.arange(1, int((by_run == 0).sum()) + 1)  # no leaf in that run: equal to no other set's
-            side = table.column("side").to_numpy()
-            sid = table.column("sid").to_numpy()
-            weight, count, root, any_link = compare(lists.flatten().to_numpy(zero_copy_only=False), size, table.column("copies").to_numpy(), by_run, int(table.column("run")[0].as_py()), side if side.any() else None, threshold)
+            lists, earlier = (pa.concat_arrays(table.column(c).chunks) for c in ("shingles", "earlier"))
+            size, before = (x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in (lists, earlier))
+            keys, old = (x.flatten().to_numpy(zero_copy_only=False) for x in (lists, earlier))
+            side, sid = table.column("side").to_numpy(), table.column("sid").to_numpy()
+            weight, count, root, any_link = compare(keys, size, table.column("copies").to_numpy(), old, before, side if side.any() else None, threshold)
             hit = np.flatnonzero(any_link)
             if len(hit):
-                yield pa.RecordBatch.from_arrays([pa.array(sid[hit]), pa.array(sid[root[hit]]), pa.array(weight[hit].astype(np.int64)), pa.array(count[hit].astype(np.int64))], ["sid", "root", "weight", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(sid[hit]), pa.array(sid[root[hit]]), pa.array(weight[hit]), pa.array(count[hit].astype(np.int64))], ["sid", "root", "weight", "n"])
 
     return arrow(rows, run, "sid long, root long, weight long, n long")
 
@@ -286,15 +337,16 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH, leaf: int = LEAF) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class), n_links (documents linked to this one) and n_words5 (shingles)."""
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
+    """doc_id, class_id (the least doc_id of the class), n_links (documents linked to this one) and n_shingles."""
     shared_dir(docs.sparkSession)
     runs = runs_for(threshold, recall, depth)
-    named = stored(sketches(docs, runs * depth), "sketches")
+    orders = runs * depth * math.ceil(1 / threshold - 1e-9)
+    named = stored(sketches(docs, orders), "sketches")
     worded = named.where("n > 0")
     nodes = stored(worded.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("least").alias("least")), "nodes")
-    found = stored(leaves(nodes, runs, depth, leaf), "found")
-    linked = stored(links(docs, nodes, found, runs, depth, leaf, threshold), "links")
+    found = stored(leaves(nodes, runs, depth, leaf, threshold), "found")
+    linked = stored(links(docs, nodes, found, orders, leaf, block, threshold), "links")
     root = components(linked.select(F.col("sid").alias("u"), F.col("root").alias("v")))
     weights = linked.groupBy("sid").agg(F.sum("weight").alias("weight"))
     classes = nodes.select("sid", "doc_id", "copies").join(root.withColumnRenamed("v", "sid"), "sid", "left").join(weights, "sid", "left")
@@ -311,3 +363,20 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     if drop.count() <= BROADCAST_ROWS:
         drop = F.broadcast(drop)
     return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+
+
+def oracle(threshold: float = THRESHOLD, width: int = WIDTH) -> str:
+    """DuckDB SQL for near_duplicates(documents): all pairs that share a shingle, and what each text reaches over links."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE worded AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+sets AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {width} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {width} + 2), lambda i: array_to_string(w[i:i + {width - 1}], ' '))) END AS s FROM worded),
+member AS (SELECT r, unnest(s) AS g FROM sets),
+pair AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM member a JOIN member b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+link AS (SELECT x, y FROM pair JOIN sets a ON a.r = x JOIN sets b ON b.r = y WHERE c >= {threshold} * (len(a.s) + len(b.s) - c) - 1e-6),
+edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT r AS x, r AS y FROM sets UNION SELECT reach.x, edge.y FROM reach JOIN edge ON reach.y = edge.x),
+class AS (SELECT x, min(doc_id) AS class_id FROM reach JOIN sets ON sets.r = reach.y GROUP BY x),
+degree AS (SELECT x, count(*) AS n FROM edge GROUP BY x)
+SELECT doc_id, class_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, CAST(len(s) AS BIGINT) AS n_shingles
+FROM sets JOIN class ON class.x = sets.r LEFT JOIN degree ON degree.x = sets.r"""

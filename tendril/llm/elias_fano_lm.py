@@ -1,30 +1,43 @@
-"""LM scoring: a bigram trie in Elias-Fano levels, built and queried by shards of word hashes.
+"""LM scoring: a trigram trie in Elias-Fano levels, built and queried by shards.
 
 Level 1 lists the words of the training texts by hash, with exact counts as a
-monotone sequence of their sums. Level 2 lists, for each context, its
-successors: contexts, pointers and successors are Elias-Fano sequences, and
-each bigram has one byte, the quantised log10 of its smoothed probability
-(c(uw) + MU * p(w)) / (c(u) + MU) with p the add-one unigram law, so that the
-probabilities of all words after a context sum to 1. A bigram outside the trie
-has MU * p(w) / (c(u) + MU). Both levels are cut by hash: level 1 by the word,
-level 2 by context and the word's first bits, so a frequent word's successors
-spread over SPLIT shards. Shards are files in the shared folder, mapped into
-memory by the tasks that query them; a query finds the context's range and
-then its successor by search within that range.
+monotone sequence of their sums. A shard of the trie holds contexts u, their
+successors v (level 2) and the successors w of each (u, v) (level 3): monotone
+pointers give the range of a node's successors in the next level, and each
+level is one Elias-Fano sequence of successors relative to their node. A
+successor has one byte, the quantised log10 of its smoothed share,
+c(uv) / (c(u) + MU2) or c(uvw) / (c(uv) + MU3), and a node of level 2 one more,
+the log10 of the mass it leaves to the shorter context, MU3 / (c(uv) + MU3). A
+query finds the context, searches v's successor place within the context's
+range, then w's within the range of (u, v), and interpolates:
+p(w | uv) = share(uvw) + left(uv) * (share(vw) + left(v) * p(w)), with p the
+add-one unigram law, so the probabilities of all words after a context sum to
+1; what is not in the trie has share 0 and leaves all.
 
 Counts are gathered from all training texts: each slice of texts sends its
-distinct words and bigrams to their shards as packed arrays. Words are known
-by 64-bit hashes, successors within a context by 43 of these bits.
-
-Edge cases: a null or empty text is one end token; repeated rows count and
-score alike; without training rows every score is that of unknown words;
-extra columns are ignored.
+distinct trigrams, packed, to their contexts' shards; bigram and context counts
+are sums of theirs. A context with more than HEAVY tokens is split by the first
+hash bits of its successors into as many parts as its count asks for; the parts
+lie in shards of their own, so no shard grows with a frequent word. Its total
+is known from level 1. Level 1 is bounded likewise: a slice sends a word once.
+Level files lie in the shared folder under names that follow from the shard's
+number, so no list of them goes through the driver, and a retried task writes
+the same file again. Tasks map them into memory; a store without paths is read
+shard by shard.
+
+Words are known by 64-bit hashes, successors of a node by 32 of these bits: of
+the words that are not among a node's n successors, n / 2**32 are taken for one.
+
+Edge cases: a null or empty text is one end token; a text of one word has no
+trigram; very long texts are one slice of their own; repeated rows count and
+score alike; a row without an id is a training text; without training rows
+every score is that of unknown words; an empty table gives no rows; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -36,43 +49,48 @@ from pyspark.sql import functions as F
 
 from tendril.session import scratch_path, stored
 
-from .common import arrow, fold_of, grouped
-from .textvec import LOWER, NONSPACE, U64, Words, slices, text_bytes
+from .common import arrow, grouped, is_held_out
+from .textvec import LOWER, NONSPACE, U64, Words, mix64, slices, text_bytes
 
-MU = 300.0
-#: Bytes of text that a slice, a shard of level 1 and one of level 2 stand for, and shards per context.
-SLICE, WORD_SHARD, PAIR_SHARD, SPLIT_BITS = 4 << 20, 32 << 20, 12 << 20, 3
-#: Bits of a successor's hash below the shard's.
-TAIL = 40
-END, START = U64(1), U64(2)
+#: Tokens that the shorter context weighs, after one and after two words.
+MU2, MU3 = 300.0, 100.0
+#: Bytes of text that a slice, a shard of level 1 and one of the trie stand for.
+SLICE, WORD_SHARD, TRIE_SHARD = 4 << 20, 32 << 20, 12 << 20
+#: Tokens of a context beyond which it is split: about half of those of a shard.
+HEAVY = 1 << 20
+#: Distinct words that a task gathers before it sends them.
+GATHER = 1 << 20
+END, START, PAD = U64(1), U64(2), U64(3)
+GOLD = U64(0x9E3779B97F4A7C15)
+TAIL = U64(32)
 
 
 class Block:
-    """The distinct words of a slice of texts, its tokens as places in them, and its distinct bigrams."""
+    """The distinct words of a slice of texts, its tokens as places in them, and its distinct bigrams and trigrams.
+
+    A text is framed by START and PAD, and ends with END; each token stands for
+    the bigram it ends and for the trigram it is the middle of.
+    """
 
     def __init__(self, array: pa.Array):
         data, offsets = text_bytes(array)
         words = Words(data, offsets, NONSPACE)
-        n = len(words.counts)
         self.n_tokens = words.counts + 1
         self.at = np.concatenate(([0], np.cumsum(self.n_tokens)))
         hashes = np.full(int(self.at[-1]), END)
         inner = np.ones(len(hashes), bool)
         inner[self.at[1:] - 1] = False
-        hashes[inner] = np.maximum(words.hashes(LOWER), U64(3))
-        self.words, self.token = np.unique(np.concatenate(([START], hashes)), return_inverse=True)
-        start, self.token = int(self.token[0]), self.token[1:]
-        context = np.concatenate(([start], self.token[:-1])) if n else self.token
-        if n:
-            context[self.at[:-1]] = start
-        self.code = context * len(self.words) + self.token
-        self.row = np.repeat(np.arange(n), self.n_tokens)
-
-    def pairs(self, chosen: np.ndarray | None = None):
-        """(context places, word places, counts, bigram of each token) of the chosen tokens' distinct bigrams."""
-        codes, inverse, count = np.unique(self.code if chosen is None else self.code[chosen], return_inverse=True, return_counts=True)
-        context, word = np.divmod(codes, len(self.words))
-        return context, word, count, inverse
+        hashes[inner] = np.maximum(words.hashes(LOWER), U64(4))
+        self.words, places = np.unique(np.concatenate((np.array([START, PAD]), hashes)), return_inverse=True)
+        start, pad, self.token = int(places[0]), int(places[1]), places[2:]
+        before, after = np.empty_like(self.token), np.empty_like(self.token)
+        before[1:], after[:-1] = self.token[:-1], self.token[1:]
+        before[self.at[:-1]], after[self.at[1:] - 1] = start, pad
+        self.before, n = before, len(self.words)
+        codes, self.pair_of = np.unique(before * n + self.token, return_inverse=True)
+        self.u, self.v = np.divmod(codes, n)
+        codes, self.triple_of, self.count = np.unique(self.pair_of * n + after, return_inverse=True, return_counts=True)
+        self.pair, self.w = np.divmod(codes, n)
 
 
 class EliasFano:
@@ -123,9 +141,11 @@ class EliasFano:
         high = np.minimum(x >> U64(self.low), U64(self.top + 1)).astype(np.int64)
         first = np.where(high > 0, self.zero(np.maximum(high - 1, 0)) - high + 1, 0)
         last = np.minimum(self.zero(high) - high, self.n)
-        first = np.minimum(first, last)
-        tail = x & U64((1 << self.low) - 1)
-        while True:  # by halves within the values of one high part
+        return self.halve(np.minimum(first, last), last, x & U64((1 << self.low) - 1))
+
+    def halve(self, first: np.ndarray, last: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        """The first place in first ... last - 1 with a low part of at least `tail`, or last: by halves, all at once."""
+        while True:
             open_ = np.flatnonzero(first < last)
             if not len(open_):
                 return first
@@ -149,119 +169,88 @@ class EliasFano:
         high = (word * 64 + at - k).astype(np.uint64)
         return (high << U64(self.low)) | self.tails(k)
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """The place of each x, or -1."""
+    def within(self, x: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The place of each x among the values at places first ... last - 1, or -1: a successor search in that range."""
         if not self.n:
             return np.full(len(x), -1, np.int64)
-        place = self.successor(x)
-        inside = np.minimum(place, self.n - 1)
-        return np.where((place < self.n) & (self.at(inside) == x), inside, -1)
-
+        high = np.minimum(x >> U64(self.low), U64(self.top + 1)).astype(np.int64)
+        start = np.where(high > 0, self.zero(np.maximum(high - 1, 0)) - high + 1, 0)
+        stop = np.minimum(np.minimum(self.zero(high) - high, self.n), last)
+        first = np.maximum(first, start)
+        place = self.halve(first.copy(), np.maximum(stop, first), x & U64((1 << self.low) - 1))
+        hit = (place < stop) & (self.tails(np.minimum(place, self.n - 1)) == x & U64((1 << self.low) - 1))
+        return np.where(hit, place, -1)
 
-    def prefix(self, x: np.ndarray, shift: np.uint64) -> np.ndarray:
-        """The place of the first value at or above x that agrees with x above `shift` bits, or -1."""
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """The place of each x, or -1."""
         if not self.n:
             return np.full(len(x), -1, np.int64)
         place = self.successor(x)
         inside = np.minimum(place, self.n - 1)
-        return np.where((place < self.n) & (self.at(inside) >> shift == x >> shift), inside, -1)
+        return np.where((place < self.n) & (self.at(inside) == x), inside, -1)
 
 
 def opened(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
-def save(folder: str, parts: dict[str, np.ndarray]) -> str:
-    """Writes named arrays as one file of the shared folder; its name is new, so a retried task does no harm."""
+def save(folder: str, name: str, parts: dict[str, np.ndarray]) -> None:
+    """Writes named arrays as one file of the shared folder; it appears whole, and a second writer replaces it by its like."""
     fs, path = opened(folder)
     fs.create_dir(path, recursive=True)
-    name = f"{uuid.uuid4().hex}.trie"
     head, at = {}, 0
     for key, value in parts.items():
         head[key] = [at, len(value), value.dtype.str]
         at += (value.nbytes + 7) // 8 * 8
     raw = json.dumps(head).encode()
     raw += b" " * (-(len(raw) + 8) % 8)
-    with fs.open_output_stream(f"{path}/{name}", compression=None) as out:
+    part = f"{path}/{name}.{uuid.uuid4().hex}.part"
+    with fs.open_output_stream(part, compression=None) as out:
         out.write(len(raw).to_bytes(8, "little") + raw)
         for value in parts.values():
             out.write(value.tobytes() + b"\0" * (-value.nbytes % 8))
-    return name
+    fs.move(part, f"{path}/{name}")
 
 
-def load(folder: str, name: str) -> dict[str, np.ndarray]:
-    """The arrays of a file, mapped into memory; a store without paths is copied to an unnamed file of the task first."""
+def load(folder: str, name: str) -> dict[str, np.ndarray] | None:
+    """The arrays of a file, mapped into memory (read, where the store has no paths); None if there is no such file."""
     fs, path = opened(folder)
-    if isinstance(fs, pafs.LocalFileSystem):
-        raw = np.memmap(f"{path}/{name}", np.uint8, "r")
-    else:
-        file = tempfile.TemporaryFile()
-        with fs.open_input_stream(f"{path}/{name}", compression=None) as stream:
-            while piece := stream.read(1 << 20):
-                file.write(piece)
-        file.flush()
-        raw = np.memmap(file, np.uint8, "r")
+    try:
+        if isinstance(fs, pafs.LocalFileSystem):
+            raw = np.memmap(f"{path}/{name}", np.uint8, "r")
+        else:
+            with fs.open_input_stream(f"{path}/{name}", compression=None) as stream:
+                raw = np.frombuffer(stream.read(), np.uint8)
+    except FileNotFoundError:
+        return None
     n = int.from_bytes(raw[:8].tobytes(), "little")
     head = json.loads(raw[8 : 8 + n].tobytes())
     return {k: raw[8 + n + at : 8 + n + at + size * np.dtype(kind).itemsize].view(kind) for k, (at, size, kind) in head.items()}
 
 
-def nested(prefix: str, parts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    return {f"{prefix}.{k}": v for k, v in parts.items()}
+def nested(prefix: str, values: np.ndarray, bits: int) -> dict[str, np.ndarray]:
+    return {f"{prefix}.{k}": v for k, v in EliasFano.pack(values.astype(np.uint64), max(1, bits)).items()}
 
 
 def part_of(prefix: str, parts: dict[str, np.ndarray]) -> EliasFano:
     return EliasFano({k.split(".")[1]: v for k, v in parts.items() if k.split(".")[0] == prefix})
 
 
-class Words1:
-    """Level 1: counts of words from all its shards."""
-
-    def __init__(self, folder: str, names: dict[int, str], bits: int):
-        self.bits, self.shards, self.folder, self.names = bits, {}, folder, names
-
-    def counts(self, words: np.ndarray) -> np.ndarray:
-        """The training counts of words, which are sorted by hash."""
-        return self._walk(words, EliasFano.find)
-
-    def first_counts(self, low: np.ndarray, shift: np.uint64) -> np.ndarray:
-        """The counts of the first words at or above the given sorted hashes that agree with them above `shift` bits."""
-        return self._walk(low, lambda known, x: known.prefix(x, shift))
-
-    def _walk(self, words: np.ndarray, find) -> np.ndarray:
-        out = np.zeros(len(words), np.int64)
-        shard = (words >> U64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(words), np.int64)
-        cuts = np.searchsorted(shard, np.arange((1 << self.bits) + 1))
-        for s in np.flatnonzero(np.diff(cuts)).tolist():
-            if s not in self.names:
-                continue
-            if s not in self.shards:
-                parts = load(self.folder, self.names[s])
-                self.shards[s] = part_of("words", parts), part_of("sums", parts)
-            known, sums = self.shards[s]
-            place = find(known, words[cuts[s] : cuts[s + 1]] & U64((1 << (64 - self.bits)) - 1))
-            hit = np.flatnonzero(place >= 0)
-            ends = sums.at(place[hit]).astype(np.int64)
-            starts = np.where(place[hit] > 0, sums.at(np.maximum(place[hit] - 1, 0)).astype(np.int64), 0)
-            out[cuts[s] + hit] = ends - starts
-        return out
+def shard_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
 
 
-def pair_shard(context: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
-    """Shard of a bigram: the context's first bits, then the word's."""
-    return (((context >> U64(64 - bits)) if bits else np.zeros(len(context), np.uint64)) << U64(SPLIT_BITS) | word >> U64(64 - SPLIT_BITS)).astype(np.int64)
-
-
-def word_tail(word: np.ndarray) -> np.ndarray:
-    return (word >> U64(64 - SPLIT_BITS - TAIL)) & U64((1 << TAIL) - 1)
+def below(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The hash bits that a shard's number does not tell."""
+    return hashes & U64((1 << (64 - bits)) - 1)
 
 
 class Law:
-    """Sums of the training tokens, and the code of the quantised probabilities."""
+    """Sums of the training tokens, and the code of the quantised shares."""
 
-    def __init__(self, tokens: int, types: int, texts: int, mu: float):
-        self.tokens, self.types, self.texts, self.mu = tokens, types, texts, mu
-        self.floor = -np.log10(tokens + mu + 10) - 1
+    def __init__(self, tokens: int, types: int, texts: int):
+        self.tokens, self.types, self.texts = tokens, types, texts
+        self.floor = -np.log10(tokens + MU2 + MU3 + 10)  # no share is smaller
         self.step = -self.floor / 255
 
     def unigram(self, count: np.ndarray) -> np.ndarray:
@@ -271,159 +260,272 @@ class Law:
         return np.clip(np.rint((np.log10(p) - self.floor) / self.step), 0, 255).astype(np.uint8)
 
     def decode(self, code: np.ndarray) -> np.ndarray:
-        return self.floor + code * self.step
+        return 10.0 ** (self.floor + code * self.step)
 
 
-class Pairs2:
-    """Level 2: codes of bigrams from all its shards."""
+class Heavy:
+    """Contexts that are split: their hashes, counts and numbers of bits."""
 
-    def __init__(self, folder: str, names: dict[int, str], bits: int):
-        self.bits, self.shards, self.folder, self.names = bits, {}, folder, names
+    def __init__(self, parts: dict[str, np.ndarray] | None):
+        self.words, self.counts = (parts["words"], parts["counts"]) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        self.bits = np.ceil(np.log2(np.maximum(self.counts, 1) / HEAVY)).astype(np.int64)
+
+    def contexts(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The context's own hash, or that of the part of it that v belongs to."""
+        if not len(self.words):
+            return u
+        at = np.minimum(np.searchsorted(self.words, u), len(self.words) - 1)
+        split = np.flatnonzero(self.words[at] == u)
+        out = u.copy()
+        out[split] = self.part(u[split], v[split] >> (64 - self.bits[at[split]]).astype(np.uint64))
+        return out
 
-    def codes(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The code of each bigram, or -1 if it is not in the trie."""
-        out = np.full(len(context), -1, np.int64)
-        shard = pair_shard(context, word, self.bits)
+    @staticmethod
+    def part(word: np.ndarray, number: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix64(word + (number + U64(1)) * GOLD)
+
+    def totals(self, contexts: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The counts of contexts: their own sums, but those of the whole context for parts."""
+        if not len(self.words):
+            return own
+        each = 1 << self.bits
+        number = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+        parts = self.part(np.repeat(self.words, each), number.astype(np.uint64))
+        order = np.argsort(parts)
+        parts, counts = parts[order], np.repeat(self.counts, each)[order]
+        at = np.minimum(np.searchsorted(parts, contexts), len(parts) - 1)
+        return np.where(parts[at] == contexts, counts[at], own)
+
+
+class Trie:
+    """A model in the shared folder: where its levels lie, in how many shards, and its law."""
+
+    def __init__(self, folder: str, bits1: int, bits2: int, law: Law):
+        self.folder, self.bits1, self.bits2, self.law = folder, bits1, bits2, law
+
+    def reader(self) -> Reader:
+        return Reader(self)
+
+
+class Reader:
+    """Level files as a task needs them; those mapped stay open, those of a store without paths do not."""
+
+    def __init__(self, trie: Trie):
+        self.trie, self.held = trie, {}
+        self.keeps = isinstance(opened(trie.folder)[0], pafs.LocalFileSystem)
+        self.heavy = Heavy(load(trie.folder, "heavy"))
+
+    def parts(self, name: str, sequences: tuple[str, ...]) -> dict | None:
+        if name in self.held:
+            return self.held[name]
+        got = load(self.trie.folder, name)
+        if got is not None:
+            got = {k: part_of(k, got) for k in sequences} | {k: v for k, v in got.items() if "." not in k}
+        if self.keeps:
+            self.held[name] = got
+        return got
+
+    def counts(self, words: np.ndarray) -> np.ndarray:
+        """The training counts of words, which are sorted by hash."""
+        bits, out = self.trie.bits1, np.zeros(len(words), np.int64)
+        shard = shard_of(words, bits)
+        cuts = np.searchsorted(shard, np.arange((1 << bits) + 1))
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            level = self.parts(f"words-{s}", ("words", "sums"))
+            if level is None:
+                continue
+            place = level["words"].find(below(words[cuts[s] : cuts[s + 1]], bits))
+            hit = np.flatnonzero(place >= 0)
+            ends = level["sums"].at(place[hit]).astype(np.int64)
+            out[cuts[s] + hit] = ends - np.where(place[hit] > 0, level["sums"].at(np.maximum(place[hit] - 1, 0)).astype(np.int64), 0)
+        return out
+
+    def shares(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the block's bigrams the share and the mass they leave, of its trigrams the share."""
+        law, bits = self.trie.law, self.trie.bits2
+        share2, left, share3 = np.zeros(len(block.u)), np.ones(len(block.u)), np.zeros(len(block.w))
+        v = block.words[block.v]
+        context = self.heavy.contexts(block.words[block.u], v)
+        shard = shard_of(context, bits)
         order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange((1 << (self.bits + SPLIT_BITS)) + 1))
+        cuts = np.searchsorted(shard[order], np.arange((1 << bits) + 1))
+        bounds = np.searchsorted(block.pair, np.arange(len(block.u) + 1))  # of each bigram's trigrams
         for s in np.flatnonzero(np.diff(cuts)).tolist():
-            if s not in self.names:
+            level = self.parts(f"trie-{s}", ("contexts", "first2", "next2", "first3", "next3"))
+            if level is None:
                 continue
-            if s not in self.shards:
-                parts = load(self.folder, self.names[s])
-                self.shards[s] = part_of("contexts", parts), part_of("pointers", parts), part_of("successors", parts), parts["codes"]
-            contexts, _, successors, codes = self.shards[s]
             own = order[cuts[s] : cuts[s + 1]]
-            at = contexts.find(context[own] & U64((1 << (64 - self.bits)) - 1))
-            own, at = own[at >= 0], at[at >= 0]
-            # successors are stored relative to their context: its rank stands above the word's bits
-            place = successors.find((at.astype(np.uint64) << U64(TAIL)) | word_tail(word[own]))
-            hit = place >= 0
-            out[own[hit]] = codes[place[hit]]
-        return out
+            rank = level["contexts"].find(below(context[own], bits))
+            own, rank = own[rank >= 0], rank[rank >= 0]
+            first, last = (level["first2"].at(rank + k).astype(np.int64) for k in (0, 1))
+            place = level["next2"].within((rank.astype(np.uint64) << TAIL) | tail(v[own]), first, last)
+            own, place = own[place >= 0], place[place >= 0]
+            share2[own], left[own] = law.decode(level["code2"][place]), law.decode(level["left2"][place])
+            first, last = (level["first3"].at(place + k).astype(np.int64) for k in (0, 1))
+            each = np.diff(bounds)[own]
+            mine = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + np.repeat(bounds[own], each)
+            node, lo, hi = (np.repeat(x, each) for x in (place, first, last))
+            place = level["next3"].within((node.astype(np.uint64) << TAIL) | tail(block.words[block.w[mine]]), lo, hi)
+            share3[mine[place >= 0]] = law.decode(level["code3"][place[place >= 0]])
+        return share2, left, share3
 
 
-def build(docs: DataFrame, folds: int = 7, held_out: int = 2, mu: float = MU):
-    """Counts the training texts and writes both levels: (folder, level-1 files, bits, level-2 files, bits, law)."""
-    spark = docs.sparkSession
-    folder = scratch_path(spark, "trie")
-    train = docs.where(~F.coalesce(fold_of(F.col("doc_id"), folds) == held_out, F.lit(False))).select("text")
-    size = train.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
-    bits1, bits2 = (max(0, int(np.ceil(np.log2(max(1, size / per))))) for per in (WORD_SHARD, PAIR_SHARD))
-    bits2 = max(0, bits2 - SPLIT_BITS)
+def tail(hashes: np.ndarray) -> np.ndarray:
+    return hashes & U64(0xFFFFFFFF)
+
+
+def binary(*arrays: np.ndarray) -> list[pa.Array]:
+    return [pa.array([x.tobytes()], pa.binary()) for x in arrays]
+
+
+def packed_counts(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts as bytes, and apart those that do not fit one."""
+    large = count > 254
+    return np.where(large, 255, count).astype(np.uint8), count[large].astype(np.int64)
+
+
+def unpacked_counts(small: np.ndarray, large: np.ndarray) -> np.ndarray:
+    out = small.astype(np.int64)
+    out[out == 255] = large
+    return out
+
+
+def joined(table: pa.Table, **kinds) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in kinds.items()]
+
+
+def build_words(train: DataFrame, folder: str, bits: int) -> DataFrame:
+    """Writes level 1: (tokens, types, ends, heavy words and counts) of each shard."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+        def send() -> Iterator[pa.RecordBatch]:
+            shard = shard_of(words, bits)
+            cuts = np.searchsorted(shard, np.arange((1 << bits) + 1))
+            for s in np.flatnonzero(np.diff(cuts)).tolist():
+                own = slice(cuts[s], cuts[s + 1])
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), *binary(words[own], *packed_counts(counts[own]))], ["shard", "words", "counts", "large"])
 
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 block = Block(part.column("text"))
-                counts = np.bincount(block.token, minlength=len(block.words)).astype(np.uint32)
-                words, counts = block.words[counts > 0], counts[counts > 0]
-                shard = (words >> U64(64 - bits1)).astype(np.int64) if bits1 else np.zeros(len(words), np.int64)
-                cuts = np.searchsorted(shard, np.arange((1 << bits1) + 1))
-                for s in np.flatnonzero(np.diff(cuts)).tolist():
-                    a, b = cuts[s], cuts[s + 1]
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([words[a:b].tobytes()], pa.binary()), pa.array([counts[a:b].tobytes()], pa.binary())], ["shard", "words", "counts"])
-
-    def sum_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                more = np.bincount(block.token, minlength=len(block.words))
+                words, back = np.unique(np.concatenate((words, block.words[more > 0])), return_inverse=True)
+                counts = np.bincount(back, np.concatenate((counts, more[more > 0])), len(words)).astype(np.int64)
+                if len(words) > GATHER:
+                    yield from send()
+                    words, counts = words[:0], counts[:0]
+        yield from send()
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, "shard"):
             shard = table.column("shard")[0].as_py()
-            words, count = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("words", np.uint64), ("counts", np.uint32)))
-            words, inverse = np.unique(words, return_inverse=True)
-            count = np.bincount(inverse, count, len(words)).astype(np.int64)
-            sums = np.cumsum(count)
-            ends = int(count[words == END].sum())
-            name = save(folder, nested("words", EliasFano.pack(words & U64((1 << (64 - bits1)) - 1), 64 - bits1)) | nested("sums", EliasFano.pack(sums.astype(np.uint64), int(sums[-1]).bit_length())))
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([name]), pa.array([int(sums[-1])], pa.int64()), pa.array([len(words)], pa.int64()), pa.array([ends], pa.int64())], ["shard", "file", "tokens", "types", "ends"])
-
-    sent = arrow(train, count_words, "shard long, words binary, counts binary")
-    level1 = stored(arrow(sent.repartition(max(1, 1 << bits1), "shard").sortWithinPartitions("shard"), sum_words, "shard long, file string, tokens long, types long, ends long"), "level1")
-    got = level1.collect()  # a row for each shard
-    names1 = {r["shard"]: r["file"] for r in got}
-    law = Law(sum(r["tokens"] for r in got), sum(r["types"] for r in got), sum(r["ends"] for r in got), mu)
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words, small, large = joined(table, words=np.uint64, counts=np.uint8, large=np.int64)
+            words, back = np.unique(words, return_inverse=True)
+            counts = np.bincount(back, unpacked_counts(small, large), len(words)).astype(np.int64)
+            sums = np.cumsum(counts)
+            save(folder, f"words-{shard}", nested("words", below(words, bits), 64 - bits) | nested("sums", sums, int(sums[-1]).bit_length()))
+            heavy = counts > HEAVY
+            yield pa.RecordBatch.from_arrays([*(pa.array([int(x)], pa.int64()) for x in (sums[-1], len(words), counts[words == END].sum())), *binary(words[heavy], counts[heavy])], ["tokens", "types", "ends", "heavy", "counts"])
+
+    sent = arrow(train, count, "shard long, words binary, counts binary, large binary")
+    return stored(arrow(sent.repartition(1 << bits, "shard").sortWithinPartitions("shard"), total, "tokens long, types long, ends long, heavy binary, counts binary"), "level1")
+
+
+def build_trie(train: DataFrame, trie: Trie) -> DataFrame:
+    """Writes levels 2 and 3: the nodes of each shard."""
+    folder, bits, law = trie.folder, trie.bits2, trie.law
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy = Heavy(load(folder, "heavy"))
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 block = Block(part.column("text"))
-                context, word, count, _ = block.pairs()
-                u, w = block.words[context], block.words[word]
-                shard = pair_shard(u, w, bits2)
-                order = np.argsort(shard, kind="stable")  # within a shard by context, then word
-                u, w, count = u[order], w[order], np.minimum(count[order], 0xFFFFFFFF)
-                cuts = np.searchsorted(shard[order], np.arange((1 << (bits2 + SPLIT_BITS)) + 1))
+                v = block.words[block.v]
+                context = heavy.contexts(block.words[block.u], v)
+                order = np.argsort(context, kind="stable")  # v stays sorted within a context
+                each = np.bincount(block.pair, minlength=len(context))
+                first = np.concatenate(([0], np.cumsum(each)))[:-1]
+                context, v, first, each = context[order], v[order], first[order], each[order]
+                at = np.concatenate(([0], np.cumsum(each)))
+                triple = np.arange(int(at[-1])) - np.repeat(at[:-1], each) + np.repeat(first, each)
+                w, counts = tail(block.words[block.w[triple]]).astype(np.uint32), block.count[triple]
+                cuts = np.searchsorted(shard_of(context, bits), np.arange((1 << bits) + 1))
                 for s in np.flatnonzero(np.diff(cuts)).tolist():
                     a, b = cuts[s], cuts[s + 1]
-                    names, runs = np.unique(u[a:b], return_counts=True)
-                    tails = word_tail(w[a:b]).view(np.uint8).reshape(-1, 8)[:, : TAIL // 8]
-                    many = np.flatnonzero(count[a:b] > 254)  # counts above a byte are listed apart
-                    small = count[a:b].copy()
-                    small[many] = 255
-                    packed = [names.tobytes(), runs.astype(np.uint32).tobytes(), np.ascontiguousarray(tails).tobytes(), small.astype(np.uint8).tobytes(), count[a:b][many].astype(np.uint32).tobytes()]
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), *(pa.array([x], pa.binary()) for x in packed)], ["shard", "contexts", "runs", "tails", "counts", "large"])
-
-    def sum_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = Words1(folder, names1, bits1)
+                    own = slice(at[a], at[b])
+                    names, runs = np.unique(context[a:b], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), *binary(names, runs.astype(np.uint32), tail(v[a:b]).astype(np.uint32), each[a:b].astype(np.uint32), w[own], *packed_counts(counts[own]))], ["shard", "contexts", "runs2", "tails2", "runs3", "tails3", "counts", "large"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy = Heavy(load(folder, "heavy"))
         for table in grouped(batches, "shard"):
             shard = table.column("shard")[0].as_py()
-            names, runs, raw, count, large = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("contexts", np.uint64), ("runs", np.uint32), ("tails", np.uint8), ("counts", np.uint8), ("large", np.uint32)))
-            count = count.astype(np.int64)
-            count[count == 255] = large
-            tails = np.zeros((len(count), 8), np.uint8)
-            tails[:, : TAIL // 8] = raw.reshape(-1, TAIL // 8)
+            names, runs2, tails2, runs3, tails3, small, large = joined(table, contexts=np.uint64, runs2=np.uint32, tails2=np.uint32, runs3=np.uint32, tails3=np.uint32, counts=np.uint8, large=np.int64)
             contexts, rank = np.unique(names, return_inverse=True)
-            key = (np.repeat(rank, runs).astype(np.uint64) << U64(TAIL)) | tails.view(np.uint64).ravel()
-            del tails, raw
-            key, inverse = np.unique(key, return_inverse=True)
-            count = np.bincount(inverse, count, len(key))
-            del inverse
-            owner = (key >> U64(TAIL)).astype(np.int64)
-            total = level.counts(contexts)
-            total[contexts == START] = law.texts
-            p = law.unigram(word_counts(level, shard, key))
-            code = law.encode((count + mu * p) / (total[owner] + mu))
-            pointers = np.searchsorted(owner, np.arange(len(contexts) + 1))
-            parts = nested("contexts", EliasFano.pack(contexts & U64((1 << (64 - bits2)) - 1), 64 - bits2))
-            parts |= nested("pointers", EliasFano.pack(pointers.astype(np.uint64), max(1, len(key).bit_length())))
-            parts |= nested("successors", EliasFano.pack(key, TAIL + max(1, len(contexts).bit_length()))) | {"codes": code}
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([save(folder, parts)]), pa.array([len(key)], pa.int64())], ["shard", "file", "bigrams"])
-
-    def word_counts(level: Words1, shard: int, key: np.ndarray) -> np.ndarray:
-        """Counts of the words whose first SPLIT_BITS + TAIL hash bits are those of the keys."""
-        shift = U64(64 - SPLIT_BITS - TAIL)
-        head = (U64(shard & ((1 << SPLIT_BITS) - 1)) << U64(TAIL)) | (key & U64((1 << TAIL) - 1))
-        distinct, inverse = np.unique(head, return_inverse=True)
-        return level.first_counts(distinct << shift, shift)[inverse]
-
-    sent = arrow(train, count_pairs, "shard long, contexts binary, runs binary, tails binary, counts binary, large binary")
-    level2 = stored(arrow(sent.repartition(1 << (bits2 + SPLIT_BITS), "shard").sortWithinPartitions("shard"), sum_pairs, "shard long, file string, bigrams long"), "level2")
-    names2 = {r["shard"]: r["file"] for r in level2.select("shard", "file").collect()}  # a row for each shard
-    return folder, names1, bits1, names2, bits2, law
+            key2, node = np.unique((np.repeat(rank, runs2).astype(np.uint64) << TAIL) | tails2, return_inverse=True)
+            key3, back = np.unique((np.repeat(node, runs3).astype(np.uint64) << TAIL) | tails3, return_inverse=True)
+            count3 = np.bincount(back, unpacked_counts(small, large), len(key3))
+            parent3, parent2 = (key3 >> TAIL).astype(np.int64), (key2 >> TAIL).astype(np.int64)
+            count2 = np.bincount(parent3, count3, len(key2))
+            total = heavy.totals(contexts, np.bincount(parent2, count2, len(contexts)))
+            first2, first3 = np.searchsorted(parent2, np.arange(len(contexts) + 1)), np.searchsorted(parent3, np.arange(len(key2) + 1))
+            levels = nested("contexts", below(contexts, bits), 64 - bits) | nested("first2", first2, len(key2).bit_length()) | nested("next2", key2, 32 + len(contexts).bit_length())
+            levels |= nested("first3", first3, len(key3).bit_length()) | nested("next3", key3, 32 + len(key2).bit_length())
+            levels |= {"code2": law.encode(count2 / (total[parent2] + MU2)), "left2": law.encode(MU3 / (count2 + MU3)), "code3": law.encode(count3 / (count2[parent3] + MU3))}
+            save(folder, f"trie-{shard}", levels)
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, len(contexts), len(key2), len(key3))], ["shard", "contexts", "bigrams", "trigrams"])
+
+    sent = arrow(train, count, "shard long, contexts binary, runs2 binary, tails2 binary, runs3 binary, tails3 binary, counts binary, large binary")
+    return stored(arrow(sent.repartition(1 << bits, "shard").sortWithinPartitions("shard"), merge, "shard long, contexts long, bigrams long, trigrams long"), "levels")
+
+
+def build(docs: DataFrame, folds: int = 7, held_out: int = 2) -> Trie:
+    """Counts the training texts, those outside the held-out fold, and writes all levels."""
+    folder = scratch_path(docs.sparkSession, "trie")
+    train = docs.where(~is_held_out(F.col("doc_id"), folds, held_out)).select("text")
+    size = train.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
+    bits1, bits2 = (max(0, int(np.ceil(np.log2(max(1, size / per))))) for per in (WORD_SHARD, TRIE_SHARD))
+    level1 = build_words(train, folder, bits1)
+    tokens, types, ends = level1.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "ends"))).first()
+    law = Law(tokens, types, ends)
+    # words of more than HEAVY tokens: fewer than tokens / HEAVY rows of 16 bytes, far fewer in any language
+    found = [(np.frombuffer(r["heavy"], np.uint64), np.frombuffer(r["counts"], np.int64)) for r in level1.where(F.octet_length("heavy") > 0).select("heavy", "counts").toLocalIterator()]
+    if ends > HEAVY:
+        found.append((np.array([START]), np.array([ends])))
+    words, counts = (np.concatenate([f[k] for f in found]) if found else np.empty(0, t) for k, t in ((0, np.uint64), (1, np.int64)))
+    order = np.argsort(words)
+    save(folder, "heavy", {"words": words[order], "counts": counts[order]})
+    trie = Trie(folder, bits1, bits2, law)
+    build_trie(train, trie)
+    return trie
 
 
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, model, folds: int = 7, held_out: int = 2) -> DataFrame:
+def score(docs: DataFrame, model: Trie, folds: int = 7, held_out: int = 2) -> DataFrame:
     """Unigram base score and trie score (log10) of each whole text."""
-    folder, names1, bits1, names2, bits2, law = model
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(fold_of(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", is_held_out(F.col("doc_id"), folds, held_out).alias("held_out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level1, level2 = Words1(folder, names1, bits1), Pairs2(folder, names2, bits2)
+        reader, law = model.reader(), model.law
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 block = Block(part.column("text"))
-                count = level1.counts(block.words)
+                count = reader.counts(block.words)
                 unigram = law.unigram(count)
-                context, word, _, inverse = block.pairs()
-                total = count.copy()
-                total[block.words == START] = law.texts
-                code = level2.codes(block.words[context], block.words[word])
-                log = np.where(code >= 0, law.decode(code), np.log10(law.mu * unigram[word] / (total[context] + law.mu)))
+                share2, left, share3 = reader.shares(block)
+                count[block.words == START] = law.texts
+                p = share2[block.pair_of] + (MU2 / (count + MU2))[block.before] * unigram[block.token]
+                own = np.ones(len(p), bool)  # tokens after two others of their text
+                own[block.at[:-1]] = False
+                later = np.flatnonzero(own)
+                p[later] = share3[block.triple_of[later - 1]] + left[block.pair_of[later - 1]] * p[later]
                 sums = lambda v: np.add.reduceat(v, block.at[:-1])
-                base = sums(np.log10(unigram)[block.token])
-                known = sums((count > 0)[block.token].astype(np.int64))
-                n = len(block.n_tokens)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(block.n_tokens.astype(np.int64)), pa.array(known), pa.array(np.full(n, law.tokens, np.int64)), pa.array(base), pa.array(sums(log[inverse]))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                known, n = (count > 0)[block.token].astype(np.int64), len(block.n_tokens)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *(pa.array(x) for x in (block.n_tokens.astype(np.int64), sums(known), np.full(n, law.tokens, np.int64), sums(np.log10(unigram)[block.token]), sums(np.log10(p))))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return arrow(rows, run, OUT)

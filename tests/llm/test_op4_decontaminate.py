@@ -65,3 +65,67 @@ def test_index_finds_all_within_the_radius():
     query, item, got = d.Index(items).within(queries)
     assert set(zip(query.tolist(), item.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(distance <= d.RADIUS)), strict=True))
     assert (distance[query, item] == got).all()
+
+
+def test_equals_its_sql(spark):
+    import duckdb
+
+    for sf in ("sf0.001", "sf0.01"):
+        frames = [spark.read.parquet(f"/root/testdata/{sf}/{n}.parquet") for n in ("documents", "benchmark")]
+        con = duckdb.connect()
+        for n in ("documents", "benchmark"):
+            con.sql(f"CREATE VIEW {n} AS SELECT * FROM '/root/testdata/{sf}/{n}.parquet'")
+        want = con.sql(d.oracle())
+        got = d.leaks(*frames).drop("distance")
+        assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_large_benchmarks_give_the_same_rows(spark, sf):
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    more = items.unionByName(spark.createDataFrame([(900, None), (901, "short item"), (902, "it")], "item_id long, text string"))
+    odd = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(None, "a short item here"), (7_000, None), (7_001, "it")], "doc_id long, text string"))
+    want = sorted(map(repr, d.leaks(odd, more).collect()))
+    assert want and sorted(map(repr, d.leaks(odd, more, items=3).collect())) == want
+    assert d.leaks(odd.limit(0), more, items=3).count() == 0
+
+
+def test_fingerprints_of_runs_equal_those_of_single_windows(monkeypatch):
+    rng = np.random.default_rng(3)
+    h, w = rng.integers(0, 1 << 63, 600).astype(np.uint64), rng.integers(1, 40, 600)
+    monkeypatch.setattr(d, "RUN", 37)
+    for length in (1, 5, 100):
+        starts = np.unique(rng.integers(0, 600 - length, 200))
+        got = d.fingerprints(h, w, starts, length)
+        for k, s in enumerate(starts.tolist()):
+            assert (got[k] == np.packbits(d.votes(h[s : s + length], w[s : s + length]).sum(0) > 0)).all()
+
+
+def test_recall_of_the_radius_at_the_threshold():
+    """Single windows whose weighted similarity to the item is just over 0.8: an end is replaced until no more may go."""
+    rng = np.random.default_rng(8)
+    for n, least in ((14, 0.98), (16, 0.98), (24, 0.99), (80, 0.999)):
+        found = tried = 0
+        for _ in range(600):
+            words = [f"w{x}" + "x" * int(y) for x, y in zip(rng.integers(0, 10**6, n), rng.integers(0, 8, n), strict=True)]
+            _, by = d.shingled(d.pa.array([" ".join(words)]), [5])
+            h, w, _ = by[5]
+            k, total, lost = 0, int(w.sum()), 0
+            while (total - lost - int(w[k])) / (total + lost + int(w[k])) >= 0.8:
+                lost += int(w[k])
+                k += 1
+            if not k:
+                continue
+            other = h.copy()
+            other[:k] = rng.integers(0, 1 << 63, k).astype(np.uint64)
+            a, b = (d.fingerprints(x, w, np.zeros(1, np.int64), len(x)) for x in (h, other))
+            tried += 1
+            found += int(np.bitwise_count(a ^ b).sum()) <= d.RADIUS
+        print("words", n, "windows", tried, "recall", found / tried)
+        assert tried > 300 and found / tried >= least
+
+
+def test_very_long_text(spark):
+    item = " ".join(f"item{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, item + " filler" * 2_000_000 + " " + item)], "doc_id long, text string")
+    got = d.leaks(docs, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.first_word) for r in got] == [(1, 5, 0)]

@@ -60,7 +60,7 @@ def test_odd_rows(spark):
 def test_large_and_split_leaves(spark):
     rows = near_copies(150)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    want, split = plain(rows), result(docs, leaf=20)
+    want, split = plain(rows), result(docs, leaf=20, block=15)
     assert result(docs) == want
     assert {i: v[0] for i, v in split.items()} == {i: v[0] for i, v in want.items()}
     assert sum(v[1] for v in split.values()) >= 0.999 * sum(v[1] for v in want.values())
@@ -76,7 +76,7 @@ def test_recall_at_the_threshold_after_all_splits(spark):
     pairs = 4000
     words = lambda i, n: " ".join(f"p{i}w{k}" for k in range(n))
     docs = spark.createDataFrame([(2 * i + j, words(i, n)) for i in range(pairs) for j, n in enumerate((104, 84))], "doc_id long, text string").repartition(8)
-    linked = c.near_duplicates(docs, leaf=1).where("n_links = 1").count() / 2
+    linked = c.near_duplicates(docs, leaf=1, depth=4).where("n_links = 1").count() / 2
     print("recall", linked / pairs)
     assert linked >= 0.998 * pairs
 
@@ -87,3 +87,75 @@ def test_sketches_lose_nothing_at_other_thresholds():
             k = c.agree_for(threshold, orders)
             below = sum(math.comb(orders, i) * threshold**i * (1 - threshold) ** (orders - i) for i in range(k))
             assert 0 <= k <= orders and below <= 1e-7
+
+
+def test_survival_of_a_pair():
+    rng = random.Random(1)
+    whole, more = c.children(0.8)
+    assert (whole, more) == (1, 0.25) and c.children(0.5) == (2, 0.0) and c.children(1.0) == (1, 0.0)
+
+    def together(s, depth):
+        return depth == 0 or any(rng.random() < s and together(s, depth - 1) for _ in range(whole + (rng.random() < more)))
+
+    for s, depth in ((0.8, 4), (0.8, 8), (0.9, 4)):
+        met = sum(together(s, depth) for _ in range(20_000)) / 20_000
+        assert abs(met - c.meeting(s, 0.8, depth)) < 0.015
+    assert c.meeting(0.8, 0.8, 12) > 4 * 0.8**12  # where a tree with one child a set has all but lost the pair
+    assert c.runs_for(0.8, 0.999, 4) == 9 and c.runs_for(1.0, 0.9, 3) == 1
+
+
+def test_nodes_split_to_several_children(spark):
+    nodes = spark.range(4000).selectExpr("cast(id % 40 as int) as run", "xxhash64(id % 40) as path", "id as sid", "sequence(id * 1000, id * 1000 + 400) as least")
+    got = c.split(nodes, 0, 4, 0.8).groupBy("sid").count().collect()
+    assert {r["count"] for r in got} == {1, 2} and len(got) == 4000
+    assert 4000 < sum(r["count"] for r in got) < 6000
+
+
+def test_recall_by_band(spark):
+    """Against all pairs that share a shingle, by similarity."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    base = [[f"g{g}w{k}" for k in range(200)] for g in range(60)]
+    rows = []
+    for g, words in enumerate(base):
+        for _ in range(40):
+            text = list(words)
+            for _ in range(rng.randrange(9)):
+                text[rng.randrange(200)] = f"x{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    sets = {i: {" ".join(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    want, near = [0] * len(rows), {0.8: 0, 0.85: 0, 0.9: 0}
+    for g in range(60):
+        for a in range(40 * g, 40 * g + 40):
+            for b in range(a):
+                if b >= 40 * g:
+                    s = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+                    if s >= 0.8:
+                        near[max(k for k in near if k <= s)] += 1
+                        want[a] += 1
+                        want[b] += 1
+    got = {r.doc_id: r.n_links for r in c.near_duplicates(docs, leaf=5).select("doc_id", F.col("n_links")).collect()}
+    found = sum(min(got[i], w) for i, w in enumerate(want)) / sum(want)
+    print("pairs by band", near, "recall", found)
+    assert min(near.values()) > 1000 and found >= 0.99 and all(got[i] <= w for i, w in enumerate(want))
+
+
+def test_large_leaves_move_few_rows(spark):
+    members = spark.range(20_000).selectExpr("1L as path", "id as sid", "20000L as size")
+    groups = c.spread(members, c.BLOCK)
+    assert groups.count() == 20_000 * 10 and groups.groupBy("group").count().agg({"count": "max"}).first()[0] <= 2.2 * c.BLOCK
+
+
+def test_equals_its_sql(spark):
+    import duckdb
+
+    for sf in ("sf0.001", "sf0.01"):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '/root/testdata/{sf}/documents.parquet'")
+        want = con.sql(c.oracle())
+        frame = c.near_duplicates(docs)
+        assert frame.columns == want.columns
+        assert sorted(map(tuple, frame.collect())) == sorted(want.fetchall())

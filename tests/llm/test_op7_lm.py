@@ -22,30 +22,40 @@ def test_sequences():
             q = np.concatenate((x, rng.integers(0, top, 500, dtype=np.uint64, endpoint=True), np.array([0, top], np.uint64)))
             assert (e.successor(q) == np.searchsorted(x, q)).all()
             assert (e.find(q) >= 0).tolist() == np.isin(q, x).tolist()
+            lo = rng.integers(0, n + 1, len(q))
+            hi = np.minimum(lo + rng.integers(0, 50, len(q)), n)
+            got = e.within(q, lo, hi)
+            inside = np.array([bool((x[a:b] == y).any()) for a, b, y in zip(lo[:300], hi[:300], q[:300], strict=True)], bool)
+            assert (got[:300] >= 0).tolist() == inside.tolist()
+            assert all(x[g] == y and a <= g < b for g, y, a, b in zip(got, q, lo, hi, strict=True) if g >= 0)
 
 
-def plain(rows, mu=lm.MU):
+def plain(rows, mu2=lm.MU2, mu3=lm.MU3):
     tokens = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    one, two, texts = Counter(), Counter(), 0
+    one, two, three, texts = Counter(), Counter(), Counter(), 0
     for i, t in rows:
         if not held(i):
             w = tokens(t)
             texts += 1
             one.update(w)
             two.update(zip(["<s>", *w], w, strict=False))
+            three.update(zip(["<s>", *w], w, w[1:], strict=False))
     n, v = sum(one.values()), len(one)
-    p = lambda w: (one[w] + 1) / (n + v + 1)
+    p1 = lambda w: (one[w] + 1) / (n + v + 1)
+    total = lambda u: texts if u == "<s>" else one[u]
+    p2 = lambda u, w: (two[u, w] + mu2 * p1(w)) / (total(u) + mu2)
+    p3 = lambda t, u, w: (three[t, u, w] + mu3 * p2(u, w)) / (two[t, u] + mu3)
     out = []
     for i, t in rows:
         w = tokens(t)
-        total = lambda u: texts if u == "<s>" else one[u]
-        score = sum(math.log10((two[u, x] + mu * p(x)) / (total(u) + mu)) for u, x in zip(["<s>", *w], w, strict=False))
-        out.append((i, held(i), len(w), sum(one[x] > 0 for x in w), n, sum(math.log10(p(x)) for x in w), score))
+        framed = ["<s>", *w]
+        score = math.log10(p2("<s>", w[0])) + sum(math.log10(p3(*framed[k : k + 3])) for k in range(len(w) - 1))
+        out.append((i, held(i), len(w), sum(one[x] > 0 for x in w), n, sum(math.log10(p1(x)) for x in w), score))
     return out
 
 
-def agree(got, want, floor=-10.0):
+def agree(got, want):
     assert len(got) == len(want)
     for g, w in zip(got, want, strict=True):
         assert tuple(g)[:5] == w[:5]
@@ -61,8 +71,10 @@ def test_all_documents(spark, monkeypatch, sf):
     agree(whole, want)
     held = [g for g in whole if g.held_out]
     assert held and sum(g.score for g in held) > sum(g.base_score for g in held)
-    for name in ("SLICE", "WORD_SHARD", "PAIR_SHARD"):
+    for name in ("SLICE", "WORD_SHARD", "TRIE_SHARD"):
         monkeypatch.setattr(lm, name, 20_000)  # many slices and shards
+    monkeypatch.setattr(lm, "HEAVY", 40)  # many contexts in parts
+    monkeypatch.setattr(lm, "GATHER", 500)
     agree(lm.score(docs, lm.build(docs)).orderBy("doc_id").collect(), want)
 
 
@@ -73,3 +85,59 @@ def test_odd_rows(spark):
     agree(lm.score(docs, lm.build(docs)).orderBy("doc_id").collect(), plain(rows))
     assert lm.score(docs.limit(0), lm.build(docs.limit(0))).count() == 0
     assert all(r.train_tokens == 0 for r in lm.score(docs, lm.build(docs.limit(0))).collect())
+
+
+def test_larger_tables_agree_too(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    agree(lm.score(docs, lm.build(docs)).orderBy("doc_id").collect(), plain(sorted((r.doc_id, r.text) for r in docs.collect())))
+
+
+def test_probabilities_sum_to_one(spark):
+    texts = ["a b c a b d", "a b c", "b c a", "c"] * 20
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    model = lm.build(docs)
+    # p(x | a, b) for all words x, and for an unknown one: a text's score less that of its beginning
+    def log(*ends):
+        rows = spark.createDataFrame([(i, f"a b {e}".strip()) for i, e in enumerate(ends)], "doc_id long, text string")
+        return [r.score for r in lm.score(rows, model).orderBy("doc_id").collect()]
+
+    def end(*ends):  # p(END | b, x)
+        block = [lm.Block(lm.pa.array([f"a b {e}"])) for e in ends]
+        out = []
+        for b in block:
+            reader = model.reader()
+            share2, left, share3 = reader.shares(b)
+            count = reader.counts(b.words)
+            last = b.at[-1] - 1
+            p = share2[b.pair_of[last]] + lm.MU2 / (count[b.before[last]] + lm.MU2) * model.law.unigram(count[b.token[last]])
+            out.append(math.log10(share3[b.triple_of[last - 1]] + left[b.pair_of[last - 1]] * p))
+        return out
+
+    words = ["a", "b", "c", "d", "unknown"]
+    head = log(*words)
+    first_two = log("")[0] - end_of_two(model)
+    total = sum(10 ** (h - e - first_two) for h, e in zip(head, end(*words), strict=True)) + 10 ** end_of_two(model)
+    assert abs(total - 1) < 0.05
+
+
+def end_of_two(model):
+    """log p(END | a, b)."""
+    b, reader = lm.Block(lm.pa.array(["a b"])), model.reader()
+    share2, left, share3 = reader.shares(b)
+    count = reader.counts(b.words)
+    p = share2[b.pair_of[2]] + lm.MU2 / (count[b.before[2]] + lm.MU2) * model.law.unigram(count[b.token[2]])
+    return math.log10(share3[b.triple_of[1]] + left[b.pair_of[1]] * p)
+
+
+def test_heavy_contexts_are_split_by_count(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HEAVY", 500)
+    monkeypatch.setattr(lm, "TRIE_SHARD", 5_000)
+    monkeypatch.setattr(lm, "SLICE", 4_000)
+    rows = [(i, " ".join(f"the w{(i * 50 + k) % 6000}" for k in range(50))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    model = lm.build(docs)
+    heavy = model.reader().heavy
+    assert len(heavy.words) == 1 and 2 ** heavy.bits[0] >= heavy.counts[0] / 500
+    sizes = [len(lm.load(model.folder, f"trie-{s}")["code2"]) for s in range(1 << model.bits2) if lm.load(model.folder, f"trie-{s}") is not None]
+    assert len(sizes) > 32 and max(sizes) < 0.15 * sum(sizes)  # the word "the" has half of all bigrams
+    agree(lm.score(docs, model).orderBy("doc_id").collect(), plain(rows))
