@@ -267,8 +267,8 @@ class Heavy:
     """Contexts that are split: their hashes, counts and numbers of bits."""
 
     def __init__(self, parts: dict[str, np.ndarray] | None):
-        self.words, self.counts = (parts["words"], parts["counts"]) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        self.bits = np.ceil(np.log2(np.maximum(self.counts, 1) / HEAVY)).astype(np.int64)
+        none = np.empty(0, np.int64)
+        self.words, self.counts, self.bits = (parts["words"], parts["counts"], parts["bits"]) if parts else (none.view(np.uint64), none, none)
 
     def contexts(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         """The context's own hash, or that of the part of it that v belongs to."""
@@ -497,7 +497,7 @@ def build(docs: DataFrame, folds: int = 7, held_out: int = 2) -> Trie:
         found.append((np.array([START]), np.array([ends])))
     words, counts = (np.concatenate([f[k] for f in found]) if found else np.empty(0, t) for k, t in ((0, np.uint64), (1, np.int64)))
     order = np.argsort(words)
-    save(folder, "heavy", {"words": words[order], "counts": counts[order]})
+    save(folder, "heavy", {"words": words[order], "counts": counts[order], "bits": np.ceil(np.log2(counts[order] / HEAVY)).astype(np.int64)})
     trie = Trie(folder, bits1, bits2, law)
     build_trie(train, trie)
     return trie
