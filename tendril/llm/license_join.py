@@ -1,47 +1,51 @@
 """License scans: an exact set-similarity join of text blocks with license templates, in DataFrame operations only.
 
-A block is a line of a document, or any run of words over lines that is as long
-as the notice, so that a wrapped notice is found; a template is the distinct
-words of a notice. A pair is found if the block holds at least THRESHOLD of the
-template's words.
-Words are ordered by how many documents hold them, rarest first (a count over
-all documents). A block that shares alpha words with a template of m words
+A template is the distinct words of a notice; a block is any run of words of a
+document, lines or not, that is as long as the notice and a quarter more, so a
+wrapped notice or one with marks between its words is found and words that
+stand far apart are not one. A pair is found if the block holds at least
+THRESHOLD of the template's words.
+
+The words of a document are cut into tiles, each as long as two of the longest
+blocks and overlapping by one, so every block lies in a tile. Words are ordered
+by how many documents hold them, rarest first (a count over all documents). A
+tile that holds a block which shares alpha words with a template of m words
 shares one of its m - alpha + 1 rarest (prefix filter), has alpha words of
 templates itself (length filter), and from the first common word on both still
-have enough words left (positional filter). Runs of words are taken only
-around a word of some template's prefix. Survivors are checked exactly.
-
-Beside it stand the places of fixed phrases, counted in words of a whole text.
-
-Edge cases: a null text is empty, has no words and no labels; one line may
-match several templates; repeated rows give equal rows; a doc_id may be null
-or repeated; very long lines are one block; an empty table gives no rows.
+have enough words left (positional filter). Survivors are checked exactly,
+block by block. Only tiles with a prefix word leave their row.
+
+Templates are a table (label, notice), NOTICES by default; several notices may
+have one label. It is read by the driver, up to MAX_TEMPLATE_BYTES; a larger
+one raises. Beside the join stand the places of fixed phrases, counted in words
+of a whole text.
+
+Edge cases: a null text is empty, has no words and no labels; one block may
+match several templates, and of several blocks the best gives the score;
+notices without words match nothing; repeated rows give equal rows; a doc_id
+may be null or repeated; very long texts are cut into tiles like others; an
+empty table gives no rows; columns of the input with other names are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tendril.session import stored
 
+from .notices import NOTICES
+
 #: Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Notices and their labels.
-TEMPLATES = {
-    "apache-2.0": "licensed under the apache license version 2 0",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted",
-    "cc-by-nc-4.0": "licensed under cc by nc 4 0",
-    "cc0": "to the extent possible under law the author has waived all copyright and related rights",
-    "gpl-3.0": "this work is licensed under the gnu general public license version 3",
-    "mit": "released under the mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software",
-    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "unlicense": "this is free and unencumbered software released into the public domain",
-}
 THRESHOLD = 0.85
+#: A block's length over that of the notice.
+SLACK = 1.25
+#: Bytes of notices that the driver holds and tasks are sent.
+MAX_TEMPLATE_BYTES = 1 << 20
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -60,23 +64,40 @@ def needed(size: int, threshold: float) -> int:
     return math.ceil(threshold * size - 1e-9)
 
 
-def vocabulary(templates: dict[str, str]) -> list[str]:
-    return sorted({w for t in templates.values() for w in t.split()})
+class Template:
+    """A notice's label, distinct words, the length of its blocks and the overlap it needs."""
+
+    def __init__(self, number: int, label: str, notice: str, threshold: float):
+        found = [w for w in re.split(BREAK, notice.translate(str.maketrans(UPPER, LOWER))) if w]
+        self.number, self.label, self.words = number, label, sorted(set(found))
+        self.wide, self.alpha = math.ceil(SLACK * len(found)), needed(len(set(found)), threshold)
+
+    def order(self, counts: dict[str, int]) -> None:
+        """Puts the words in the global order, rarest first."""
+        self.words.sort(key=lambda w: (counts[w], w))
 
+    @property
+    def prefix(self) -> list[str]:
+        return self.words[: len(self.words) - self.alpha + 1]
 
-def frequencies(docs: DataFrame, templates: dict[str, str]) -> dict[str, int]:
+
+def templates_of(notices: list[tuple[str, str]] | DataFrame, threshold: float) -> list[Template]:
+    """Templates of a table (label, notice); raises beyond MAX_TEMPLATE_BYTES."""
+    if isinstance(notices, DataFrame):
+        size = notices.agg(F.coalesce(F.sum(F.octet_length("notice")), F.lit(0))).first()[0]
+        if size > MAX_TEMPLATE_BYTES:
+            raise ValueError(f"the notices have {size} bytes, more than {MAX_TEMPLATE_BYTES}")
+        notices = sorted((r.label, r.notice) for r in notices.select("label", "notice").dropna().collect())
+    made = [Template(i, label, notice, threshold) for i, (label, notice) in enumerate(notices)]
+    return [t for t in made if t.words]
+
+
+def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """How many documents hold each word of the templates."""
-    vocab = vocabulary(templates)
-    found = docs.select(F.explode(F.array_intersect(words(lowered(F.col("text"))), F.array(*map(F.lit, vocab)))).alias("word"))
+    found = docs.select(F.explode(F.array_intersect(words(lowered(F.col("text"))), F.array(*map(F.lit, vocabulary)))).alias("word"))
     # one row for each word of the templates at most
     counts = {r["word"]: r["n"] for r in found.groupBy("word").agg(F.count("*").alias("n")).collect()}
-    return {w: counts.get(w, 0) for w in vocab}
-
-
-def ordered(templates: dict[str, str], counts: dict[str, int]) -> tuple[list[str], dict[str, list[str]]]:
-    """The vocabulary and each template, rarest words first."""
-    by_rank = lambda ws: sorted(ws, key=lambda w: (counts[w], w))
-    return by_rank(vocabulary(templates)), {k: by_rank(set(t.split())) for k, t in templates.items()}
+    return {w: counts.get(w, 0) for w in vocabulary}
 
 
 def phrase_places(text_words: Column, n_words: Column, phrase: str) -> tuple[Column, Column, Column]:
@@ -92,58 +113,50 @@ def phrase_places(text_words: Column, n_words: Column, phrase: str) -> tuple[Col
     return places.cast("long"), first.cast("long"), last.cast("long")
 
 
-def containments(blocks: DataFrame, templates: dict[str, str], counts: dict[str, int], threshold: float) -> DataFrame:
-    """blocks: (row, line), lines of lower-case text. (row, label, containment) of all pairs that meet the threshold."""
+def tiles(text_words: Column, step: int) -> Column:
+    """Runs of 2 * step words, one from every step-th word on: every run of step + 1 words lies in one."""
+    last = F.greatest(F.ceil(F.size(text_words) / step).cast("int") - 2, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(text_words, k * step + 1, 2 * step))
+
+
+def containments(blocks: DataFrame, templates: list[Template], counts: dict[str, int]) -> DataFrame:
+    """blocks: (row, tile), tiles of lower-case words. (row, label, containment) of all pairs with a block that meets the threshold."""
     spark = blocks.sparkSession
-    order, by_label = ordered(templates, counts)
-    least = min(needed(len(t), threshold) for t in by_label.values())
-    prefixes = [(t[i], label, i, len(t), needed(len(t), threshold), t) for label, t in by_label.items() for i in range(len(t) - needed(len(t), threshold) + 1)]
-    # a row for each prefix word of the templates
-    side = F.broadcast(spark.createDataFrame(prefixes, "word string, label string, i int, m int, alpha int, template array<string>"))
-    held = F.array_intersect(F.array(*map(F.lit, order)), words(F.col("line")))  # in the global order
-    sets = blocks.select("row", held.alias("held")).where(F.size("held") >= least).distinct()
-    probes = sets.select("row", "held", F.posexplode(F.slice("held", 1, F.size("held") - least + 1)).alias("j", "word"))
+    order = sorted(counts, key=lambda w: (counts[w], w))
+    least = min(t.alpha for t in templates)
+    prefixes = [(w, i, t.number) for t in templates for i, w in enumerate(t.prefix)]
+    # a row for each prefix word of the templates, and one for each template
+    side = F.broadcast(spark.createDataFrame(prefixes, "word string, i int, number int"))
+    known = F.broadcast(spark.createDataFrame([(t.number, t.label, len(t.words), t.alpha, t.wide, t.words) for t in templates], "number int, label string, m int, alpha int, wide int, template array<string>"))
+    held = F.array_intersect(F.array(*map(F.lit, order)), F.col("tile"))  # in the global order
+    sets = blocks.select("row", "tile", held.alias("held")).where(F.size("held") >= least)
+    probes = sets.select("row", "tile", "held", F.posexplode(F.slice("held", 1, F.size("held") - least + 1)).alias("j", "word"))
     size = F.size("held")
     room = F.least(F.col("m") - F.col("i"), size - F.col("j"))
-    pairs = probes.join(side, "word").where((size >= F.col("alpha")) & (room >= F.col("alpha")))
-    overlap = F.size(F.array_intersect("held", "template"))
-    return pairs.where(overlap >= F.col("alpha")).select("row", "label", (overlap / F.col("m")).alias("containment")).distinct()
-
-
-def around(text_words: Column, rare: list[str], span: int) -> Column:
-    """The places of the words in `rare`, each with up to span - 1 words before and after: (word, at, words), `at` the word's index in `words`."""
-    places = F.filter(F.transform(text_words, lambda w, i: F.when(w.isin(rare), i)), lambda i: i.isNotNull())
-
-    def region(i: Column) -> Column:
-        at = F.least(i, F.lit(span - 1))
-        return F.struct(F.element_at(text_words, i + 1).alias("word"), at.alias("at"), F.slice(text_words, i - at + 1, at + span).alias("words"))
-
-    return F.transform(places, region)
-
-
-def spanning(regions: DataFrame, templates: dict[str, str], counts: dict[str, int], threshold: float) -> DataFrame:
-    """regions: (row, word, at, words) of around(). (row, label, containment) of the runs of words, as long as the notice, that meet the threshold."""
-    _, by_label = ordered(templates, counts)
-    prefixes = [(t[i], label, len(templates[label].split()), len(t), needed(len(t), threshold), t) for label, t in by_label.items() for i in range(len(t) - needed(len(t), threshold) + 1)]
-    # a row for each prefix word of the templates
-    side = F.broadcast(regions.sparkSession.createDataFrame(prefixes, "word string, label string, wide int, m int, alpha int, template array<string>"))
-    first = F.least("at", F.col("wide") - 1)  # runs of words that hold the prefix word
-    near = regions.join(side, "word").select("row", "label", "wide", "m", "alpha", "template", first.alias("first"), F.slice("words", F.col("at") - first + 1, first + F.col("wide")).alias("words"))
-    near = near.where(F.size(F.array_intersect("words", "template")) >= F.col("alpha"))
-    overlap = F.array_max(F.transform(F.sequence(F.lit(0), "first"), lambda k: F.size(F.array_intersect(F.slice("words", k + 1, F.col("wide")), F.col("template")))))
-    return near.select("row", "label", "m", "alpha", overlap.alias("overlap")).where("overlap >= alpha").select("row", "label", (F.col("overlap") / F.col("m")).alias("containment")).distinct()
-
-
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    pairs = probes.join(side, "word").join(known, "number").where((size >= F.col("alpha")) & (room >= F.col("alpha")))
+    pairs = pairs.where(F.size(F.array_intersect("held", "template")) >= F.col("alpha"))
+    # of one tile and template, the pair of their first common prefix word
+    first = pairs.where(F.col("word") == F.get(F.array_intersect("held", "template"), F.lit(0)))
+    # a block that starts with a word of the template holds all that one before it holds
+    starts = F.filter(F.transform("tile", lambda w, i: F.when(F.array_contains("template", w), i)), lambda i: i.isNotNull())
+    overlap = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("tile", i + 1, F.col("wide")), F.col("template")))))
+    found = first.select("row", "label", "m", "alpha", overlap.alias("overlap")).where("overlap >= alpha")
+    return found.select("row", "label", (F.col("overlap") / F.col("m")).alias("containment"))
+
+
+def scan(docs: DataFrame, notices: list[tuple[str, str]] | DataFrame = NOTICES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, word and phrase counts, first and last place, base labels, all labels and a score."""
-    counts = frequencies(docs, templates)
-    _, by_label = ordered(templates, counts)
-    rare = sorted({t[i] for t in by_label.values() for i in range(len(t) - needed(len(t), threshold) + 1)})
-    vocab, least = vocabulary(templates), min(needed(len(t), threshold) for t in by_label.values())
-    regions = F.filter(around(F.col("_words"), rare, max(len(t.split()) for t in templates.values())), lambda x: F.size(F.array_intersect(x["words"], F.array(*map(F.lit, vocab)))) >= least)
-    base = docs.select("doc_id", lowered(F.col("text")).alias("_text")).select("doc_id", "_text", words(F.col("_text")).alias("_words"))
+    templates = templates_of(notices, threshold)
+    counts = frequencies(docs, sorted({w for t in templates for w in t.words})) if templates else {}
+    for t in templates:
+        t.order(counts)
+    rare = F.array(*map(F.lit, sorted({w for t in templates for w in t.prefix}))) if templates else F.array().cast("array<string>")
+    step, least = (max(t.wide for t in templates), min(t.alpha for t in templates)) if templates else (1, 1)
+    vocabulary = F.array(*map(F.lit, sorted(counts))) if templates else rare
+    base = docs.select("doc_id", lowered(F.col("text")).alias("_text")).select("doc_id", words(F.col("_text")).alias("_words"))
     base = base.withColumn("n_words", F.size("_words").cast("long"))
     found = {label: phrase_places(F.col("_words"), F.col("n_words"), phrase) for phrase, label in PHRASES.items()}
+    kept = F.filter(tiles(F.col("_words"), step), lambda x: F.arrays_overlap(x, rare) & (F.size(F.array_intersect(x, vocabulary)) >= least))
     named = base.select(
         "doc_id",
         "n_words",
@@ -151,25 +164,23 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
         F.least(*(p[1] for p in found.values())).alias("first_word"),
         F.greatest(*(p[2] for p in found.values())).alias("last_word"),
         F.array_compact(F.array(*(F.when(found[label][0] > 0, F.lit(label)) for label in sorted(found)))).alias("_base"),
-        # only documents with a rare word of some template can hold a block that matches
-        F.when(F.arrays_overlap("_words", F.array(*map(F.lit, rare))), F.split("_text", "\n")).alias("_lines"),
-        # in a text of one line, the line holds all that its runs of words hold
-        F.when(F.arrays_overlap("_words", F.array(*map(F.lit, rare))) & F.contains("_text", F.lit("\n")), regions).alias("_regions"),
+        # only documents with a prefix word of some template can hold a block that matches
+        F.when(F.arrays_overlap("_words", rare), kept).alias("_tiles"),
     )
     rows = stored(named.withColumn("row", F.monotonically_increasing_id()), "scan")
-    blocks = rows.where("_lines is not null").select("row", F.explode("_lines").alias("line"))
-    wrapped = spanning(rows.where("_regions is not null").select("row", F.inline("_regions")), templates, counts, threshold)
-    hits = containments(blocks, templates, counts, threshold).unionByName(wrapped).groupBy("row").agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
-    out = rows.drop("_lines", "_regions").join(hits, "row", "left")
+    blocks = rows.where(F.size("_tiles") > 0).select("row", F.explode("_tiles").alias("tile"))
+    pairs = containments(blocks, templates, counts) if templates else docs.sparkSession.createDataFrame([], "row long, label string, containment double")
+    hits = pairs.groupBy("row").agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
+    out = rows.drop("_tiles").join(hits, "row", "left")
     labels = F.array_join(F.array_sort(F.array_union("_base", F.coalesce("_more", F.array().cast("array<string>")))), ",")
     score = F.when(F.size("_base") > 0, 1.0).otherwise(F.coalesce("_best", F.lit(0.0)))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("_base", ",").alias("base_labels"), labels.alias("labels"), score.alias("score"))
 
 
-def oracle(templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """DuckDB SQL for scan(documents): every line against every template, without filters."""
+def oracle(notices: list[tuple[str, str]] = NOTICES, threshold: float = THRESHOLD) -> str:
+    """DuckDB SQL for scan(documents): every block that starts with a word of a template, without filters."""
     cut = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
-    values = ", ".join("('{}', [{}], {})".format(k, ", ".join(f"'{w}'" for w in sorted(set(t.split()))), needed(len(set(t.split())), threshold)) for k, t in templates.items())
+    values = ", ".join("({}, '{}', [{}], {}, {})".format(t.number, t.label, ", ".join(f"'{w}'" for w in t.words), t.alpha, t.wide) for t in templates_of(notices, threshold))
     places = []
     for phrase, label in PHRASES.items():
         parts = phrase.split(" ")
@@ -177,11 +188,12 @@ def oracle(templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD)
         places.append(f"list_transform(list_filter(range(len(w) - {len(parts) - 1}), lambda i: {test}), lambda i: {{'i': i, 'label': '{label}'}})")
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
-worded AS (SELECT r, doc_id, t, {cut.format('t')} AS w FROM docs),
+worded AS (SELECT r, doc_id, {cut.format('t')} AS w FROM docs),
 placed AS (SELECT r, doc_id, len(w) AS n_words, list_concat(list_concat({places[0]}, {places[1]}), {places[2]}) AS p FROM worded),
-templates(label, words, alpha) AS (VALUES {values}),
-lines AS (SELECT r, {cut.format('line')} AS w FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM docs)),
-pairs AS (SELECT r, label, len(list_intersect(lines.w, templates.words)) / len(templates.words) AS c FROM lines, templates WHERE len(list_intersect(lines.w, templates.words)) >= alpha),
+templates(number, label, words, alpha, wide) AS (VALUES {values}),
+near AS (SELECT r, w, templates.* FROM worded, templates WHERE len(list_intersect(w, words)) >= alpha),
+blocks AS (SELECT r, label, words, alpha, unnest(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_contains(words, w[i])), lambda i: w[i:i + wide - 1])) AS block FROM near),
+pairs AS (SELECT r, label, len(list_intersect(block, words)) / len(words) AS c FROM blocks WHERE len(list_intersect(block, words)) >= alpha),
 best AS (SELECT r, list(DISTINCT label) AS more, max(c) AS c FROM pairs GROUP BY r)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base,
   CAST(list_min(list_transform(p, lambda x: x.i)) AS BIGINT) AS first_word, CAST(list_max(list_transform(p, lambda x: x.i)) AS BIGINT) AS last_word,

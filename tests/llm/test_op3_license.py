@@ -1,24 +1,29 @@
 """The join and the places against plain loops."""
 
+import math
 import random
 import re
 
+import pytest
+
 from tendril.llm import license_join as lj
 
 
-def plain(text):
-    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
-    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
-    w = cut(low)
+def cut(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def plain(text, notices=lj.NOTICES):
+    w = cut(text)
     places = [(i, label) for p, label in lj.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
     more, best = set(), 0.0
-    for line in low.split("\n"):
-        own = set(cut(line))
-        for label, t in lj.TEMPLATES.items():
-            t = set(t.split())
-            if len(own & t) / len(t) >= lj.THRESHOLD:
+    for label, notice in notices:
+        wide, t = math.ceil(lj.SLACK * len(cut(notice))), set(cut(notice))
+        for i in range(max(len(w) - wide + 1, 1)) if len(set(w) & t) >= lj.THRESHOLD * len(t) else ():
+            held = len(set(w[i : i + wide]) & t) / len(t)
+            if held >= lj.THRESHOLD:
                 more.add(label)
-                best = max(best, len(own & t) / len(t))
+                best = max(best, held)
     base = {x for _, x in places}
     at = [i for i, _ in places]
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), 1.0 if base else best
@@ -41,31 +46,55 @@ def test_odd_rows(spark):
     assert run(docs.limit(0)) == []
 
 
-def with_runs(text):
-    """plain(), and every run of words that is as long as a notice, over lines."""
-    *head, base, labels, score = plain(text)
-    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
-    more = set(filter(None, labels.split(",")))
-    for label, t in lj.TEMPLATES.items():
-        n, t = len(t.split()), set(t.split())
-        held = max(len(set(w[i : i + n]) & t) / len(t) for i in range(max(len(w) - n + 1, 1)))
-        if held >= lj.THRESHOLD:
-            more.add(label)
-            score = max(score, held)
-    return *head, base, ",".join(sorted(more)), score
+def labels(got):
+    return [x[-2] for _, x in got]
 
 
 def test_wrapped_notices(spark):
     bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that"
     mpl = " * This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not"
-    texts = [bsd, mpl, "Prose of the\nsame kind.\n\n" + bsd + "\n" + mpl, "\n".join(lj.TEMPLATES["unlicense"].split()), "released under\nthe mit", "released\n" + "far " * 9 + "\nunder the mit license", lj.TEMPLATES["mit-text"].replace(" ", "\r\n\r\n")]
+    unlicense, mit_text = (next(n for k, n in lj.NOTICES if k == label) for label in ("unlicense", "mit-text"))
+    texts = [bsd, mpl, "Prose of the\nsame kind.\n\n" + bsd + "\n" + mpl, "\n".join(unlicense.split()), "released under\nthe mit", "released\n" + "far " * 9 + "\nunder the mit license", mit_text.replace(" ", "\r\n\r\n")]
+    texts += ["Released under\n// the MIT license.", " ".join(w + " far" * 3000 for w in "released under the license mit".split())]
     rng = random.Random(1)
-    words = lj.vocabulary(lj.TEMPLATES)
+    words = sorted({w for _, n in lj.NOTICES for w in cut(n)})
     for _ in range(150):  # notices with words lost or strange ones between, wrapped anywhere, in any prose
-        notice = [w for w in rng.choice(list(lj.TEMPLATES.values())).split() for w in ([w, "x"] if rng.random() < 0.04 else [w]) if rng.random() > 0.06]
+        notice = [w for w in cut(rng.choice(lj.NOTICES)[1]) for w in ([w, "x"] if rng.random() < 0.04 else [w]) if rng.random() > 0.06]
         prose = lambda: [rng.choice(words) for _ in range(rng.randrange(30))]
         texts.append("".join(w + rng.choice(["  ", " ", " ", "\n", "\n// "]) for w in prose() + notice + prose()))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = run(docs)
-    assert [labels for _, (*_, labels, _) in got[:7]] == ["bsd", "mpl-2.0", "bsd,mpl-2.0", "unlicense", "", "", "mit-text"]
-    assert got == sorted((i, with_runs(t)) for i, t in enumerate(texts))
+    assert labels(got[:9]) == ["bsd", "mpl-2.0", "bsd,mpl-2.0", "unlicense", "", "", "mit-text", "mit", ""]
+    assert got == [(i, plain(t)) for i, t in enumerate(texts)]
+    assert sum(bool(x) for x in labels(got[9:])) > 100
+
+
+def test_whole_notices_and_tables(spark):
+    whole = [(label, n) for label, n in lj.NOTICES if len(n.split()) > 30]
+    assert len(whole) >= 8
+    docs = spark.createDataFrame([(i, "Some prose first. " * 40 + n.replace(". ", ".\n * ") + " and prose after" * 40) for i, (_, n) in enumerate(whole)], "doc_id long, text string")
+    for (label, _), found in zip(whole, labels(run(docs)), strict=True):
+        assert label in found.split(",")
+    table = spark.createDataFrame([("own", "this is our very own notice of seven terms"), ("own", None), ("none", "...")], "label string, notice string")
+    texts = spark.createDataFrame([(1, "THIS is our\nvery own notice, of seven terms"), (2, "nothing"), (3, "this is our very own")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.labels) for r in lj.scan(texts, table).collect())
+    assert got == [(1, "own"), (2, ""), (3, "")]
+    assert {r.labels for r in lj.scan(texts, table.limit(0)).collect()} == {""}
+    with pytest.raises(ValueError, match="notices"):
+        lj.scan(texts, spark.createDataFrame([("x", "word " * 300_000)], "label string, notice string"))
+
+
+def test_long_text_of_prefix_words(spark):
+    got = run(spark.createDataFrame([(1, "mit apache mozilla " * 60_000)], "doc_id long, text string"))
+    assert got[0][1][0] == 180_000 and got[0][1][-2] == ""
+
+
+def test_equals_its_sql(spark):
+    import duckdb
+
+    for sf in ("sf0.001", "sf0.01"):
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '/root/testdata/{sf}/documents.parquet'")
+        want = con.sql(lj.oracle())
+        got = lj.scan(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"))
+        assert got.columns == want.columns and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
