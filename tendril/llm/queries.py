@@ -30,7 +30,7 @@ def op8_language_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url", "record_id")
 
 
 def op10_sentencepiece_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +73,5 @@ ORACLES: dict[str, str] = {
     "op3_license_join": license_join.oracle(),
     "op4_decontaminate": decontaminate.oracle(),
     "op5_chosen_path": chosen_path.oracle(),
+    "op9_warc": warc.oracle(),
 }
