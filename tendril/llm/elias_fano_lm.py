@@ -18,7 +18,8 @@ Counts are gathered from all training texts: each slice of texts sends its
 distinct trigrams, packed, to their contexts' shards; bigram and context counts
 are sums of theirs. A context with more than HEAVY tokens is split by the first
 hash bits of its successors into as many parts as its count asks for; the parts
-lie in shards of their own, so no shard grows with a frequent word. Its total
+lie in shards of their own, so no shard grows with a frequent word; a shard is a
+task. Its total
 is known from level 1. Level 1 is bounded likewise: a slice sends a word once.
 Level files lie in the shared folder under names that follow from the shard's
 number, so no list of them goes through the driver, and a retried task writes
@@ -113,6 +114,7 @@ class EliasFano:
     def __init__(self, parts: dict[str, np.ndarray]):
         self.n, self.low, self.top = map(int, parts["shape"])
         self.upper, self.zeros = parts["upper"], parts["zeros"]
+        self.ones = np.arange(len(self.zeros)) * 64 - self.zeros
         lower = parts["lower"]
         self.words = np.lib.stride_tricks.as_strided(lower[:8].view(np.uint64), (max(1, len(lower) - 7),), (1,))
 
@@ -154,11 +156,10 @@ class EliasFano:
             first[open_] = np.where(less, mid + 1, first[open_])
             last[open_] = np.where(less, last[open_], mid)
 
-    def at(self, k: np.ndarray) -> np.ndarray:
-        """The values at places k."""
-        ones = np.arange(len(self.zeros)) * 64 - self.zeros
-        word = np.searchsorted(ones, k, side="right") - 1
-        left = (k - ones[word]).astype(np.int64)
+    def one(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The word and the bit of the k-th one of the upper bits (from 0)."""
+        word = np.searchsorted(self.ones, k, side="right") - 1
+        left = (k - self.ones[word]).astype(np.int64)
         free, at = self.upper[word], np.zeros(len(k), np.int64)
         for width in (32, 16, 8, 4, 2, 1):
             inside = np.bitwise_count(free & U64((1 << width) - 1)).astype(np.int64)
@@ -166,8 +167,24 @@ class EliasFano:
             left -= np.where(past, inside, 0)
             at += np.where(past, width, 0)
             free = np.where(past, free >> U64(width), free)
-        high = (word * 64 + at - k).astype(np.uint64)
-        return (high << U64(self.low)) | self.tails(k)
+        return word, at
+
+    def at(self, k: np.ndarray) -> np.ndarray:
+        """The values at places k."""
+        word, bit = self.one(k)
+        return ((word * 64 + bit - k).astype(np.uint64) << U64(self.low)) | self.tails(k)
+
+    def two(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at places k and k + 1: the next one mostly stands in the same word."""
+        word, bit = self.one(k)
+        place = word * 64 + bit
+        rest = self.upper[word] >> (bit + 1).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            gap = np.bitwise_count((rest & (~rest + U64(1))) - U64(1)).astype(np.int64)
+        after = ((place + gap - k).astype(np.uint64) << U64(self.low)) | self.tails(k + 1)
+        far = np.flatnonzero(rest == 0)
+        after[far] = self.at(k[far] + 1)
+        return ((place - k).astype(np.uint64) << U64(self.low)) | self.tails(k), after
 
     def within(self, x: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """The place of each x among the values at places first ... last - 1, or -1: a successor search in that range."""
@@ -337,8 +354,9 @@ class Reader:
                 continue
             place = level["words"].find(below(words[cuts[s] : cuts[s + 1]], bits))
             hit = np.flatnonzero(place >= 0)
-            ends = level["sums"].at(place[hit]).astype(np.int64)
-            out[cuts[s] + hit] = ends - np.where(place[hit] > 0, level["sums"].at(np.maximum(place[hit] - 1, 0)).astype(np.int64), 0)
+            later = place[hit] > 0
+            before, ends = level["sums"].two(np.maximum(place[hit] - 1, 0)) if level["sums"].n > 1 else (level["sums"].at(place[hit]),) * 2
+            out[cuts[s] + hit] = np.where(later, ends - before, before).astype(np.int64)
         return out
 
     def shares(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -356,13 +374,18 @@ class Reader:
             if level is None:
                 continue
             own = order[cuts[s] : cuts[s + 1]]
-            rank = level["contexts"].find(below(context[own], bits))
-            own, rank = own[rank >= 0], rank[rank >= 0]
-            first, last = (level["first2"].at(rank + k).astype(np.int64) for k in (0, 1))
+            new = np.ones(len(own), bool)
+            new[1:] = context[own][1:] != context[own][:-1]  # bigrams of a context stand together
+            found = level["contexts"].find(below(context[own[new]], bits))
+            span = [np.zeros(len(found), np.int64) for _ in range(2)]
+            for k, x in enumerate(level["first2"].two(found[found >= 0])):
+                span[k][found >= 0] = x
+            back = np.cumsum(new) - 1
+            own, rank, first, last = (x[found[back] >= 0] for x in (own, found[back], span[0][back], span[1][back]))
             place = level["next2"].within((rank.astype(np.uint64) << TAIL) | tail(v[own]), first, last)
             own, place = own[place >= 0], place[place >= 0]
             share2[own], left[own] = law.decode(level["code2"][place]), law.decode(level["left2"][place])
-            first, last = (level["first3"].at(place + k).astype(np.int64) for k in (0, 1))
+            first, last = (x.astype(np.int64) for x in level["first3"].two(place))
             each = np.diff(bounds)[own]
             mine = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + np.repeat(bounds[own], each)
             node, lo, hi = (np.repeat(x, each) for x in (place, first, last))
@@ -431,7 +454,7 @@ def build_words(train: DataFrame, folder: str, bits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(pa.array([int(x)], pa.int64()) for x in (sums[-1], len(words), counts[words == END].sum())), *binary(words[heavy], counts[heavy])], ["tokens", "types", "ends", "heavy", "counts"])
 
     sent = arrow(train, count, "shard long, words binary, counts binary, large binary")
-    return stored(arrow(sent.repartition(1 << bits, "shard").sortWithinPartitions("shard"), total, "tokens long, types long, ends long, heavy binary, counts binary"), "level1")
+    return stored(arrow(sent.repartitionById(1 << bits, F.col("shard").cast("int")), total, "tokens long, types long, ends long, heavy binary, counts binary"), "level1")
 
 
 def build_trie(train: DataFrame, trie: Trie) -> DataFrame:
@@ -479,7 +502,7 @@ def build_trie(train: DataFrame, trie: Trie) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, len(contexts), len(key2), len(key3))], ["shard", "contexts", "bigrams", "trigrams"])
 
     sent = arrow(train, count, "shard long, contexts binary, runs2 binary, tails2 binary, runs3 binary, tails3 binary, counts binary, large binary")
-    return stored(arrow(sent.repartition(1 << bits, "shard").sortWithinPartitions("shard"), merge, "shard long, contexts long, bigrams long, trigrams long"), "levels")
+    return stored(arrow(sent.repartitionById(1 << bits, F.col("shard").cast("int")), merge, "shard long, contexts long, bigrams long, trigrams long"), "levels")
 
 
 def build(docs: DataFrame, folds: int = 7, held_out: int = 2) -> Trie:

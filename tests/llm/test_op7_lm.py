@@ -19,6 +19,8 @@ def test_sequences():
             e = lm.EliasFano(lm.EliasFano.pack(x, bits))
             if n:
                 assert (e.at(np.arange(n)) == x).all()
+            if n > 1:
+                assert all((a == b).all() for a, b in zip(e.two(np.arange(n - 1)), (x[:-1], x[1:]), strict=True))
             q = np.concatenate((x, rng.integers(0, top, 500, dtype=np.uint64, endpoint=True), np.array([0, top], np.uint64)))
             assert (e.successor(q) == np.searchsorted(x, q)).all()
             assert (e.find(q) >= 0).tolist() == np.isin(q, x).tolist()
