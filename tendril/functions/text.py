@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed import FIELD_ALIASES, MISSING, PROBE_NOISE, SITE_INDEX, SITE_ROOT, TABLE_KEYWORDS
+from .fixed import CLEAN_TOKEN, CORRUPT_NOISE, CORRUPT_SHARE, CORRUPT_TOKENS, FIELD_ALIASES, MISSING, OWN_TEXT, PROBE_NOISE, SITE_INDEX, SITE_ROOT, TABLE_KEYWORDS, TOKEN
 
 SPACE = r"(?U)\s+"
 #: Legal forms as words of their own, in upper case with two spaces between words.
@@ -132,15 +132,15 @@ def labelled(blob: Column, labels: list[str], cut: str = r"( {2,}|Procédure|Ach
 def corrupted(text: Column) -> Column:
     """Whether extracted text is unusable: many malformed tokens, or stray brackets, braces, pipes and backslashes."""
     t = F.coalesce(text, F.lit(""))
-    tokens = F.filter(F.regexp_extract_all(t, F.lit(r"(?U)(\S{3,})"), F.lit(1)), lambda x: x.rlike(r"\p{L}"))
-    bad = F.size(F.filter(tokens, lambda x: ~x.rlike(r"^[A-Za-zÀ-ÿ]+[.,;:)]?$")))
+    tokens = F.filter(F.regexp_extract_all(t, F.lit(f"(?U)({TOKEN})"), F.lit(1)), lambda x: x.rlike(r"\p{L}"))
+    bad = F.size(F.filter(tokens, lambda x: ~x.rlike(CLEAN_TOKEN)))
     noise = F.regexp_count(t, F.lit(PROBE_NOISE)) / F.greatest(F.length(t) / 1000, F.lit(0.1))
-    return ((F.size(tokens) >= 20) & (bad / F.greatest(F.size(tokens), F.lit(1)) > 0.35)) | (noise > 4.0)
+    return ((F.size(tokens) >= CORRUPT_TOKENS) & (bad / F.greatest(F.size(tokens), F.lit(1)) > CORRUPT_SHARE)) | (noise > CORRUPT_NOISE)
 
 
 def native_usable(text: Column) -> Column:
     """Whether a page's own text layer may be used instead of OCR."""
-    return (F.length(F.coalesce(text, F.lit(""))) > 20) & ~corrupted(text)
+    return (F.length(F.coalesce(text, F.lit(""))) > OWN_TEXT) & ~corrupted(text)
 
 
 def effective_dpi(points: Column, dpi: int = 300, longest: int = 4000) -> Column:
@@ -179,10 +179,42 @@ def strip_arabic(text: Column) -> Column:
 
 
 def share_text(part: Column, total: Column) -> Column:
-    """"n (p%)" without decimals, "-" if there is nothing."""
-    return F.when(total == 0, "-").otherwise(F.format_string("%d (%.0f%%)", part.cast("long"), (100.0 * part / F.greatest(total, F.lit(1))).cast("double")))
+    """"n (p%)" without decimals, halves to the even number; "-" if there is nothing."""
+    percent = F.bround(part / F.nullif(total, F.lit(0)) * 100, 0).cast("long")
+    return F.when(total == 0, "-").otherwise(F.concat(part.cast("string"), F.lit(" ("), percent.cast("string"), F.lit("%)")))
 
 
-def levenshtein_rate(truth: Column, read: Column) -> Column:
-    """Character error rate of a reading; null for an empty truth."""
-    return F.levenshtein(truth, read) / F.nullif(F.length(truth), F.lit(0))
+def page_url(page: Column, flags: Column, params: dict[str, Column]) -> Column:
+    """The address of a portal page: encoded parameters, then bare flags; null or no flags add nothing."""
+    pairs = [F.concat(F.lit(f"&{k}="), F.url_encode(v)) for k, v in params.items()]
+    bare = F.when(F.coalesce(flags, F.lit("")) != "", F.concat(F.lit("&"), flags)).otherwise("")
+    return F.concat(F.lit(SITE_INDEX + "?page="), F.url_encode(page), *pairs, bare)
+
+
+def character_errors(truth: Column, read: Column, block: int = 200) -> Column:
+    """Edits between two whole texts, block by block of `block` characters, so the work grows with the length only.
+
+    Exact where errors are substitutions or stay within a block; an upper bound where text shifts over blocks.
+    """
+    parts = F.ceil(F.greatest(F.length(truth), F.length(read)) / block).cast("int")
+    at = lambda c, i: F.substr(c, i * block + 1, F.lit(block))
+    each = F.transform(F.sequence(F.lit(0), F.greatest(parts - 1, F.lit(0))), lambda i: F.levenshtein(at(truth, i), at(read, i)))
+    return F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def word_errors(truth: Column, read: Column, block: int = 40) -> Column:
+    """Edits between the words of two whole texts, `block` words at a time: words become characters, which are compared."""
+    one, two = (F.filter(F.split(c, SPACE), lambda x: x != "") for c in (truth, read))
+    parts = F.ceil(F.greatest(F.size(one), F.size(two)) / block).cast("int")
+
+    def edits(i: Column) -> Column:
+        a, b = (F.slice(c, i * block + 1, block) for c in (one, two))
+        known = F.array_sort(F.array_distinct(F.concat(a, b)))
+        spell = lambda c: F.array_join(F.transform(c, lambda w: F.chr(F.array_position(known, w) + 34)), "")
+        return F.levenshtein(spell(a), spell(b))
+
+    return F.aggregate(F.transform(F.sequence(F.lit(0), F.greatest(parts - 1, F.lit(0))), edits), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def word_count(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, SPACE), lambda x: x != ""))

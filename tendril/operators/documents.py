@@ -34,7 +34,11 @@ def page_confidence(words: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def document_text(pages: DataFrame, key: str, position: str, text: str) -> DataFrame:
-    """The non-empty pages of each document in order, with a blank line between."""
+    """The non-empty pages of each document in order, with a blank line between.
+
+    A document's pages meet in one row, so the key must be that of a real
+    document; Spark's limit of 2 GB a row is the bound.
+    """
     kept = pages.where(F.btrim(F.coalesce(text, F.lit(""))) != "")
     ordered = F.array_sort(F.collect_list(F.struct(position, text)))
     return kept.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x[text]), "\n\n").alias("text"))
@@ -58,3 +62,25 @@ def rotation_stats(pages: DataFrame, near: float = 3.0) -> DataFrame:
     """Count, range and mean of the confidences of rotated pages, and how many are near the threshold."""
     c = F.col("orientation_confidence")
     return pages.where(F.col("orientation_rotate_deg") != 0).agg(F.count("*").alias("n"), F.min(c).alias("lowest"), F.max(c).alias("highest"), F.avg(c).alias("mean"), F.count_if(c < near).alias("near_threshold"))
+
+
+def rotations(pages: DataFrame, near: float = 3.0) -> DataFrame:
+    """Rotated pages by ascending confidence, those near the threshold marked."""
+    c = F.col("orientation_confidence")
+    turned = pages.where(F.col("orientation_rotate_deg") != 0)
+    return turned.select("doc", "page_number", "orientation_rotate_deg", "orientation_confidence", F.coalesce(c < near, F.lit(False)).alias("near_threshold")).orderBy(c, "doc", "page_number")
+
+
+def run_time(runs: DataFrame, seconds: str) -> DataFrame:
+    """Total seconds, documents and seconds a document of a run; the denominator is at least 1."""
+    total = F.coalesce(F.sum(seconds), F.lit(0.0))
+    return runs.agg(total.alias("total_seconds"), F.count("*").alias("documents"), (total / F.greatest(F.count("*"), F.lit(1))).alias("mean_seconds"))
+
+
+def results(pages: DataFrame, key: str = "path") -> DataFrame:
+    """OCR results: status, mean confidence, text and the pages' metadata of each document, from its page rows."""
+    fields = ["page_number", "source", "confidence", "skew_angle_deg", "deskewed", "orientation_rotate_deg", "orientation_confidence", "error"]
+    listed = pages.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("pages"))
+    status = document_status(pages, key).select(key, "ocr_status", "mean_confidence")
+    texts = document_text(pages, key, "page_number", "text")
+    return status.join(listed, key).join(texts, key, "left").select(key, "ocr_status", "mean_confidence", F.coalesce("text", F.lit("")).alias("text"), "pages")

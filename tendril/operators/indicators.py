@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,13 +18,17 @@ def bidder_counts(bids: DataFrame) -> DataFrame:
 
 def full_years(df: DataFrame, year: str = "annee", date: str = "published") -> DataFrame:
     """Rows before the last year, if that is cut short; trends and growth must not see it."""
-    last = df.agg(F.max(date).alias("m")).select(F.when(F.month("m") < 12, F.year("m")).otherwise(F.year("m") + 1)).scalar()
-    return df.where(F.col(year) < last)
+    return df.where(F.col(year) <= last_full_year(df, date))
+
+
+def last_full_year(df: DataFrame, date: str = "published") -> Column:
+    """The last year that is not cut short: that of the latest date if it is in December, else the one before."""
+    return df.agg(F.max(date).alias("m")).select(F.when(F.month("m") < 12, F.year("m") - 1).otherwise(F.year("m"))).scalar()
 
 
 def without_biased(df: DataFrame, source: str = "listing", year: int = 2024) -> DataFrame:
-    """Drops the vintage that was collected from a narrow window, before any yearly aggregate."""
-    return df.where(~((F.col("source") == source) & (F.col("annee") == year)))
+    """Drops the vintage that was collected from a narrow window, before any yearly aggregate; rows without a source stay."""
+    return df.where(~F.coalesce((F.col("source") == source) & (F.col("annee") == year), F.lit(False)))
 
 
 def awarded(consultations: DataFrame, bids: DataFrame) -> DataFrame:
@@ -36,7 +40,7 @@ def awarded(consultations: DataFrame, bids: DataFrame) -> DataFrame:
 
 def company_stats(won: DataFrame) -> DataFrame:
     per = won.groupBy("winner").agg(F.count("*").alias("number_of_awards"), F.sum("award_amount").alias("_sum"))
-    total = won.agg(F.sum("award_amount").cast("double")).scalar()
+    total = per.agg(F.sum("_sum").cast("double")).scalar()  # of the same exchange
     amount = F.col("_sum").cast("double")
     return per.select("winner", "number_of_awards", amount.alias("total_amount"), (amount / F.col("number_of_awards")).alias("average_amount"), (amount / F.nullif(total, F.lit(0.0))).alias("market_share"))
 
@@ -96,3 +100,38 @@ def yoy_growth(yearly: DataFrame, company: str, year: str, value: str) -> DataFr
 def trend_slope(yearly: DataFrame, company: str, year: str, value: str) -> DataFrame:
     """Slope of a yearly indicator; at least two years."""
     return yearly.groupBy(company).agg(F.countDistinct(year).alias("years"), F.regr_slope(value, year).alias("slope")).where("years >= 2")
+
+
+def company_features(won: DataFrame, last_full: Column) -> DataFrame:
+    """Totals, market share, bidders, active years, frequency and trend of each company, from one aggregate by year."""
+    yearly = won.groupBy("winner", "annee").agg(F.count("*").alias("_n"), F.sum("award_amount").alias("_sum"), F.sum("number_of_bidders").alias("_bidders"))
+    full = F.col("annee") <= last_full
+    per = yearly.groupBy("winner").agg(
+        F.sum("_n").alias("number_of_awards"),
+        F.sum("_sum").alias("_sum"),
+        (F.sum("_bidders") / F.sum("_n")).alias("mean_bidders"),
+        F.count("*").alias("active_years"),
+        F.regr_slope(F.when(full, F.col("_sum").cast("double")), F.when(full, F.col("annee"))).alias("_slope"),
+        F.count_if(full).alias("_full"),
+    )
+    total = per.agg(F.sum("_sum").cast("double")).scalar()
+    amount = F.col("_sum").cast("double")
+    return per.select(
+        "winner",
+        "number_of_awards",
+        amount.alias("total_amount"),
+        (amount / F.col("number_of_awards")).alias("average_amount"),
+        (amount / F.nullif(total, F.lit(0.0))).alias("market_share"),
+        "mean_bidders",
+        "active_years",
+        F.when(F.col("_full") >= 2, F.round("_slope", 2)).alias("trend"),
+        (F.col("number_of_awards") / F.col("active_years")).alias("frequency"),
+    )
+
+
+def within_category(won: DataFrame) -> DataFrame:
+    """Each award's amount against the mean of its category and year: amounts of unlike categories are never compared."""
+    mean = won.groupBy("category", "annee").agg(F.sum("award_amount").alias("_sum"), F.count("*").alias("peers"))  # a report's size
+    same = F.col("a.category").eqNullSafe(F.col("m.category")) & (F.col("a.annee") == F.col("m.annee"))
+    average = F.col("_sum").cast("double") / F.col("peers")
+    return won.alias("a").join(mean.alias("m"), same).select("ref_id", "a.category", "a.annee", "peers", (F.col("award_amount").cast("double") / F.nullif(average, F.lit(0.0))).alias("to_category_mean"))

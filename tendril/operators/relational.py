@@ -46,9 +46,10 @@ def override(record: DataFrame, listing: DataFrame, key: str, fields: list[str],
 
 def fallback_join(left: DataFrame, right: DataFrame, key: str, composite: list[str], values: list[str]) -> DataFrame:
     """Left rows with the values matched by key, or by the composite where the key is missing; unmatched stay."""
-    by_key = left.where(F.col(key).isNotNull()).join(right.select(key, *values), key, "left").withColumn("matched_by", F.when(F.col(values[0]).isNotNull(), "key"))
-    loose = first_wins(right.where(F.greatest(*(F.col(c).isNotNull() for c in composite))), composite, [F.col(key).asc_nulls_last()])
-    by_pair = left.where(F.col(key).isNull()).join(loose.select(*composite, *values), composite, "left").withColumn("matched_by", F.when(F.col(values[0]).isNotNull(), "composite"))
+    named = lambda df, how: df.withColumn("matched_by", F.lit(how))  # a match without values is a match
+    by_key = left.where(F.col(key).isNotNull()).join(named(right.select(key, *values), "key"), key, "left")
+    loose = first_wins(right.where(F.coalesce(*(F.col(c).cast("string") for c in composite)).isNotNull()), composite, [F.col(key).asc_nulls_last()])
+    by_pair = left.where(F.col(key).isNull()).join(named(loose.select(*composite, *values), "composite"), composite, "left")
     return by_key.unionByName(by_pair)
 
 
@@ -59,8 +60,8 @@ def ambiguous(df: DataFrame, reference: str, owner: str) -> DataFrame:
 
 def source_priority(first: DataFrame, second: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Fields of the first source, of the second where the first has none, and where each row came from."""
-    joined = first.alias("a").join(second.alias("b"), key, "full")
-    origin = F.when(F.col(f"a.{fields[0]}").isNotNull(), "first").otherwise("second")
+    joined = first.withColumn("_first", F.lit(True)).alias("a").join(second.alias("b"), key, "full")
+    origin = F.when(F.col("_first"), "first").otherwise("second")
     return joined.select(key, *(F.coalesce(f"a.{f}", f"b.{f}").alias(f) for f in fields), origin.alias("origin"))
 
 
@@ -99,3 +100,36 @@ def first_non_null(rows: DataFrame, key: str, position: str, field: str, value:
     """Label-value rows as one record per key; the first non-null value of a field wins."""
     picks = [F.min_by(F.when((F.col(field) == f) & F.col(value).isNotNull(), F.col(value)), F.when((F.col(field) == f) & F.col(value).isNotNull(), F.col(position))).alias(f) for f in fields]
     return rows.groupBy(key).agg(*picks)
+
+
+def in_years(df: DataFrame, date: str, years: list[int]) -> DataFrame:
+    """Rows with a date in one of the years; rows without one go."""
+    return df.where(F.col(date).isNotNull() & F.year(date).isin(years))
+
+
+def tagged(df: DataFrame, **constants: Column | str | int) -> DataFrame:
+    """Rows with constant columns: source, year and its origin, time of collection."""
+    return df.withColumns({k: v if isinstance(v, Column) else F.lit(v) for k, v in constants.items()})
+
+
+def page_numbers(df: DataFrame, cursor: list[str], newest_first: str, tie: str, size: int) -> DataFrame:
+    """Adds the page a sorted listing shows each row on. Counts by day are summed up first, so no task sorts a whole cursor."""
+    days = df.groupBy(*cursor, newest_first).agg(F.count("*").alias("_n"))  # a row a day
+    w = Window.partitionBy(*cursor).orderBy(F.desc_nulls_last(newest_first)).rowsBetween(Window.unboundedPreceding, -1)
+    starts = days.withColumn("_start", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*cursor, newest_first]]
+    within = F.row_number().over(Window.partitionBy(*(F.col(f"r.{c}") for c in [*cursor, newest_first])).orderBy(F.asc(f"r.{tie}")))
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    return df.alias("r").join(starts.alias("s"), on).select("r.*", F.floor((F.col("_start") + within - 1) / size).alias("page"))
+
+
+def tallies(df: DataFrame, outcome: str, kinds: list[str]) -> DataFrame:
+    """One row with the number of rows of each outcome, 0 where there is none."""
+    return df.agg(*(F.count_if(F.col(outcome) == k).alias(k) for k in kinds))
+
+
+def by_text(df: DataFrame, column: str, *order: Column) -> DataFrame:
+    """Rows sorted by a column's text; null sorts as "None"."""
+    return df.orderBy(F.coalesce(F.col(column).cast("string"), F.lit("None")), *order)

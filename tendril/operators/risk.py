@@ -19,7 +19,8 @@ FLAGS = {"single_bidder": "un seul concurrent", "closed_procedure": "procédure
 
 
 def red_flags(won: DataFrame, excluded: DataFrame, open_procedures: list[str]) -> DataFrame:
-    """One row for each award with its flags. excluded: (ref_id) of markets with rejected bidders."""
+    """One row for each award with its flags. excluded: (ref_id) of markets with rejected bidders. What is not known raises no flag."""
+    known = lambda c: F.coalesce(c, F.lit(False))
     share = buyer_concentration(won).select("buyer", "annee", "winner", "concentration")
     repeat = recurrent_pairs(won).select("winner", "buyer", "annee", "cumulated")
     out = won.join(excluded.select("ref_id").distinct().withColumn("_ex", F.lit(True)), "ref_id", "left").join(share, ["buyer", "annee", "winner"], "left").join(repeat, ["winner", "buyer", "annee"], "left")
@@ -27,8 +28,8 @@ def red_flags(won: DataFrame, excluded: DataFrame, open_procedures: list[str]) -
         "ref_id",
         "winner",
         "annee",
-        (F.col("number_of_bidders") == 1).alias("single_bidder"),
-        (~F.col("procedure").isin(open_procedures)).alias("closed_procedure"),
+        known(F.col("number_of_bidders") == 1).alias("single_bidder"),
+        known(~F.col("procedure").isin(open_procedures)).alias("closed_procedure"),
         F.coalesce("_ex", F.lit(False)).alias("excluded_bidders"),
         (F.coalesce("concentration", F.lit(0.0)) >= CONCENTRATED).alias("concentration"),
         (F.coalesce("cumulated", F.lit(0)) >= RECURRENT).alias("recurrent"),

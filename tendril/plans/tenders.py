@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tendril.functions import text as T
 from tendril.operators import forest, indicators, relational, risk
+from tendril.sources import jsonl
 from tendril.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,12 +134,12 @@ def truncated_year_exclusion(spark, sf_dir):
     return indicators.full_years(consultations(spark, sf_dir)).groupBy("annee").agg(F.count("*").alias("n"))
 
 
-@query("SELECT annee, category, count(*) AS n FROM consultation WHERE NOT (source = 'listing' AND annee = 1998) GROUP BY 1, 2")
+@query("SELECT annee, category, count(*) AS n FROM consultation WHERE NOT coalesce(source = 'listing' AND annee = 1998, FALSE) GROUP BY 1, 2")
 def biased_vintage_filter(spark, sf_dir):
     return indicators.without_biased(consultations(spark, sf_dir), year=1998).groupBy("annee", "category").agg(F.count("*").alias("n"))
 
 
-FLAGGED = """, flagged AS (SELECT w.ref_id, w.winner, w.annee, w.number_of_bidders = 1 AS single_bidder, w.category NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AS closed_procedure, EXISTS (SELECT 1 FROM bid b WHERE b.market = w.ref_id AND b.flag = 'R') AS excluded_bidders, coalesce(c.concentration, 0) >= 0.5 AS concentration, coalesce(r.cumulated, 0) >= 3 AS recurrent FROM won w LEFT JOIN conc c USING (buyer, annee, winner) LEFT JOIN rec r USING (winner, buyer, annee)),
+FLAGGED = """, flagged AS (SELECT w.ref_id, w.winner, w.annee, coalesce(w.number_of_bidders = 1, FALSE) AS single_bidder, coalesce(w.category NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM'), FALSE) AS closed_procedure, EXISTS (SELECT 1 FROM bid b WHERE b.market = w.ref_id AND b.flag = 'R') AS excluded_bidders, coalesce(c.concentration, 0) >= 0.5 AS concentration, coalesce(r.cumulated, 0) >= 3 AS recurrent FROM won w LEFT JOIN conc c USING (buyer, annee, winner) LEFT JOIN rec r USING (winner, buyer, annee)),
 scored AS (SELECT *, 20.0 * (single_bidder::INT + closed_procedure::INT + excluded_bidders::INT + concentration::INT + recurrent::INT) AS s FROM flagged)
 """
 
@@ -170,13 +171,9 @@ def company_risk(spark, sf_dir):
 
 
 def features(spark, sf_dir):
-    w = won(spark, sf_dir)
-    stats = indicators.company_stats(w)
     variation = indicators.amount_variation(bids(spark, sf_dir)).groupBy("winner").agg(F.round(F.avg("amount_variation"), 6).alias("amount_variation"))
-    extra = w.groupBy("winner").agg(F.avg("number_of_bidders").alias("mean_bidders"), F.countDistinct("annee").alias("active_years"))
-    rate = yearly(spark, sf_dir).groupBy("winner").agg(F.regr_slope("total_amount", "annee").alias("_s"), F.count("*").alias("_n"))
-    slope = rate.select("winner", F.when(F.col("_n") >= 2, F.round("_s", 2)).alias("trend"))
-    return stats.join(extra, "winner").join(variation, "winner", "left").join(slope, "winner", "left").withColumn("frequency", F.col("number_of_awards") / F.col("active_years"))
+    per = indicators.company_features(won(spark, sf_dir), indicators.last_full_year(consultations(spark, sf_dir)))
+    return per.join(variation, "winner", "left")
 
 
 @query(", v AS (" + ORACLES["amount_variation"].removeprefix(BASE) + "), e AS (SELECT winner, avg(number_of_bidders) AS mean_bidders, count(DISTINCT annee) AS active_years, count(*) AS number_of_awards, CAST(sum(award_amount) AS DOUBLE) AS total_amount FROM won GROUP BY 1), s AS (SELECT winner, CASE WHEN count(*) >= 2 THEN round(regr_slope(total_amount, annee), 2) END AS trend FROM cy GROUP BY 1) SELECT e.winner, e.number_of_awards, e.total_amount, e.total_amount / e.number_of_awards AS average_amount, e.total_amount / (SELECT CAST(sum(award_amount) AS DOUBLE) FROM won) AS market_share, e.mean_bidders, e.active_years, (SELECT round(avg(v.amount_variation), 6) FROM v WHERE v.winner = e.winner) AS amount_variation, s.trend, e.number_of_awards / e.active_years AS frequency FROM e LEFT JOIN s USING (winner)")
@@ -235,14 +232,14 @@ def semi_join_normalized(spark, sf_dir):
     return consultations(spark, sf_dir).withColumn("k", T.normalize_reference(F.col("reference"))).join(keys, "k", "left_semi").select("ref_id", "reference")
 
 
-@query(MANIFEST + "SELECT source, CASE WHEN grouping(cat) = 1 THEN 'TOTAL' ELSE cat END AS category, count(*) AS n, count(*) FILTER (WHERE by_id) AS by_id, count(*) FILTER (WHERE by_ref) AS by_ref, CASE WHEN count(*) = 0 THEN NULL ELSE 100.0 * count(*) FILTER (WHERE by_id) / count(*) END AS id_percent FROM (SELECT source, coalesce(category, '?') AS cat, ref_id IN (SELECT ref_id FROM pv) AS by_id, k IN (SELECT k FROM keys) AS by_ref FROM named) GROUP BY GROUPING SETS ((source, cat), (source))")
+@query(MANIFEST + "SELECT source, CASE WHEN grouping(cat) = 1 THEN 'TOTAL' ELSE cat END AS category, count(*) AS n, count(*) FILTER (WHERE by_id) AS by_id, count(*) FILTER (WHERE by_ref) AS by_ref, CASE WHEN count(*) = 0 THEN NULL ELSE 100.0 * count(*) FILTER (WHERE by_id) / count(*) END AS id_percent, CASE WHEN count(*) = 0 THEN '-' ELSE format('{} ({:.0f}%)', count(*) FILTER (WHERE by_ref), count(*) FILTER (WHERE by_ref) / count(*) * 100) END AS ref_cell FROM (SELECT source, coalesce(category, '?') AS cat, ref_id IN (SELECT ref_id FROM pv) AS by_id, k IN (SELECT k FROM keys) AS by_ref FROM named) GROUP BY GROUPING SETS ((source, cat), (source))")
 def join_rate_rollup(spark, sf_dir):
     pv = manifest_rows(spark, sf_dir)
     ids = pv.select("ref_id").distinct().withColumn("_id", F.lit(True))
     keys = pv.select(T.normalize_reference(F.col("written")).alias("k")).distinct().withColumn("_ref", F.lit(True))
     c = consultations(spark, sf_dir).withColumn("k", T.normalize_reference(F.col("reference"))).join(ids, "ref_id", "left").join(keys, "k", "left")
     out = relational.join_rates(c, "source", "category", {"by_id": F.col("_id"), "by_ref": F.col("_ref")})
-    return out.withColumn("id_percent", 100.0 * F.col("by_id") / F.col("n"))
+    return out.withColumns({"id_percent": 100.0 * F.col("by_id") / F.col("n"), "ref_cell": T.share_text(F.col("by_ref"), F.col("n"))})
 
 
 @query("SELECT ref_id, buyer FROM consultation WHERE ref_id NOT IN (SELECT market FROM bid WHERE flag = 'R')")
@@ -293,18 +290,24 @@ def quota_shortfall(spark, sf_dir):
 
 @query(", paged AS (SELECT *, CAST((row_number() OVER (PARTITION BY category ORDER BY published DESC, ref_id) - 1) // 100 AS BIGINT) AS page FROM consultation), p AS (SELECT category, page, max(published) AS newest, count(*) AS n FROM paged GROUP BY 1, 2) SELECT category, page, newest, n FROM (SELECT *, max(CASE WHEN newest < DATE '1998-01-01' - 180 THEN 1 ELSE 0 END) OVER (PARTITION BY category ORDER BY page) AS stop FROM p) WHERE stop = 0")
 def early_stop_pages(spark, sf_dir):
-    from pyspark.sql import Window
+    return relational.early_stop(listing_pages(spark, sf_dir), ["category"], "page", "newest", F.date_sub(F.lit("1998-01-01").cast("date"), 180)).select("category", "page", "newest", "n")
 
-    number = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("published"), F.asc("ref_id")))
-    paged = consultations(spark, sf_dir).withColumn("page", F.floor((number - 1) / 100))
-    pages = paged.groupBy("category", "page").agg(F.max("published").alias("newest"), F.count("*").alias("n"))
-    return relational.early_stop(pages, ["category"], "page", "newest", F.date_sub(F.lit("1998-01-01").cast("date"), 180))
 
+def listing_pages(spark, sf_dir):
+    """The pages of a listing by category, newest first, 100 rows each, with their span."""
+    paged = relational.page_numbers(consultations(spark, sf_dir), ["category"], "published", "ref_id", 100)
+    return paged.groupBy("category", "page").agg(F.max("published").alias("newest"), F.min("published").alias("oldest"), F.count("*").alias("n"))
 
-@query("SELECT coalesce(category, 'TOTAL') AS category, CASE WHEN grouping(annee) = 1 THEN 'TOTAL' ELSE CAST(annee AS VARCHAR) END AS annee, count(*) AS n FROM consultation GROUP BY CUBE (category, annee)")
+
+@query(", paged AS (SELECT *, CAST((row_number() OVER (PARTITION BY category ORDER BY published DESC, ref_id) - 1) // 100 AS BIGINT) AS page FROM consultation) SELECT category, page, max(published) AS newest, min(published) AS oldest, count(*) AS n FROM paged GROUP BY 1, 2")
+def page_spans(spark, sf_dir):
+    return listing_pages(spark, sf_dir)
+
+
+@query("SELECT CASE WHEN grouping(category) = 1 THEN 'TOTAL' ELSE category END AS category, CASE WHEN grouping(annee) = 1 THEN 'TOTAL' ELSE CAST(annee AS VARCHAR) END AS annee, count(*) AS n FROM consultation GROUP BY CUBE (category, annee)")
 def category_year_cube(spark, sf_dir):
-    cube = consultations(spark, sf_dir).cube("category", "annee").agg(F.count("*").alias("n"), F.grouping("annee").alias("_g"))
-    return cube.select(F.coalesce("category", F.lit("TOTAL")).alias("category"), F.when(F.col("_g") == 1, "TOTAL").otherwise(F.col("annee").cast("string")).alias("annee"), "n")
+    cube = consultations(spark, sf_dir).cube("category", "annee").agg(F.count("*").alias("n"), F.grouping("annee").alias("_g"), F.grouping("category").alias("_c"))
+    return cube.select(F.when(F.col("_c") == 1, "TOTAL").otherwise(F.col("category")).alias("category"), F.when(F.col("_g") == 1, "TOTAL").otherwise(F.col("annee").cast("string")).alias("annee"), "n")
 
 
 @query("SELECT CAST(date_trunc('month', published) AS DATE) AS month, count(*) AS n FROM consultation GROUP BY 1")
@@ -330,15 +333,58 @@ def records_per_year(spark, sf_dir):
     return consultations(spark, sf_dir).groupBy("source", "annee").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"))
 
 
-@query("SELECT c.ref_id, s.s_nationkey AS nation, CAST(c.amount AS DOUBLE) AS amount FROM consultation c JOIN award a ON a.market = c.ref_id LEFT JOIN (SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier WHERE s_acctbal > 0) s ON s.s_suppkey = a.winner")
+FISCAL = "CASE s_suppkey % 3 WHEN 0 THEN 'Sté  ' || lower(s_name) WHEN 1 THEN 'SOCIETE ' || s_name || ' SARL' ELSE s_name || ' SA' END"
+NAMED = "nullif(trim(regexp_replace(regexp_replace(' ' || replace(upper(trim(regexp_replace({}, '[\\s\\p{{Z}}]+', ' ', 'g'))), ' ', '  ') || ' ', '" + T.LEGAL_FORMS + "', ' ', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g')), '')"
+
+
+@query(f", fiscal AS (SELECT k, min_by(s_nationkey, s_suppkey) AS nation FROM (SELECT *, {NAMED.format(FISCAL)} AS k FROM supplier WHERE s_acctbal > 0) WHERE k IS NOT NULL GROUP BY k) SELECT c.ref_id, f.nation, CAST(c.amount AS DOUBLE) AS amount FROM consultation c JOIN award a ON a.market = c.ref_id JOIN supplier s ON s.s_suppkey = a.winner LEFT JOIN fiscal f ON f.k = {NAMED.format('s.s_name')}")
 def fiscal_reference_join(spark, sf_dir):
-    """Awards with a reference record of the winner where one exists."""
-    ref = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("winner"), F.col("s_nationkey").alias("nation"))
+    """Awards with a reference record of the winner where one has its normalised name; of several with one name the first."""
+    suppliers = table(spark, sf_dir, "supplier")
+    ref = suppliers.where("s_acctbal > 0").select("s_suppkey", F.col("s_nationkey").alias("nation"), T.normalize_company(F.expr(FISCAL)).alias("k")).where("k is not null")
+    ref = ref.groupBy("k").agg(F.min_by("nation", "s_suppkey").alias("nation"))
+    names = suppliers.select(F.col("s_suppkey").alias("winner"), T.normalize_company(F.col("s_name")).alias("k"))
     a = indicators.awards(bids(spark, sf_dir)).select(F.col("market").alias("ref_id"), "winner")
-    out = consultations(spark, sf_dir).join(a, "ref_id").join(ref, "winner", "left")
+    out = consultations(spark, sf_dir).join(a, "ref_id").join(names, "winner").join(ref, "k", "left")
     return out.select("ref_id", "nation", F.col("amount").cast("double").alias("amount"))
 
 
+@query("SELECT w.ref_id, w.category, w.annee, m.peers, CAST(w.award_amount AS DOUBLE) / nullif(m.average, 0) AS to_category_mean FROM won w JOIN (SELECT category, annee, count(*) AS peers, CAST(sum(award_amount) AS DOUBLE) / count(*) AS average FROM won GROUP BY 1, 2) m USING (category, annee)")
+def amount_within_category(spark, sf_dir):
+    return indicators.within_category(won(spark, sf_dir))
+
+
+@query("SELECT ref_id, published FROM consultation WHERE published IS NOT NULL AND year(published) IN (1995, 1997)")
+def year_filter(spark, sf_dir):
+    return relational.in_years(consultations(spark, sf_dir), "published", [1995, 1997]).select("ref_id", "published")
+
+
+@query("SELECT ref_id, 'listing' AS source, annee, 'date_mise_ligne' AS annee_source FROM consultation")
+def tagged_records(spark, sf_dir):
+    return relational.tagged(consultations(spark, sf_dir).select("ref_id", "annee"), source="listing", annee_source="date_mise_ligne").select("ref_id", "source", "annee", "annee_source")
+
+
+@query("SELECT ref_id, reference FROM consultation WHERE CASE WHEN ref_id % 4 <> 0 THEN category END IS NULL")
+def todo_rows(spark, sf_dir):
+    """Records without a category, which are still to be enriched."""
+    lacking = consultations(spark, sf_dir).withColumn("category", F.when(F.col("ref_id") % 4 != 0, F.col("category")))
+    return jsonl.todo(lacking, "category").select("ref_id", "reference")
+
+
+@query("SELECT count(*) FILTER (WHERE status = 'F') AS ok, count(*) FILTER (WHERE status = 'O') AS skip, count(*) FILTER (WHERE status = 'X') AS err FROM consultation")
+def outcome_tallies(spark, sf_dir):
+    named = F.create_map(*(F.lit(x) for x in ("F", "ok", "O", "skip", "X", "err")))
+    return relational.tallies(consultations(spark, sf_dir).withColumn("outcome", named[F.col("status")]), "outcome", ["ok", "skip", "err"])
+
+
+@query("SELECT year, n, CAST(row_number() OVER (ORDER BY coalesce(CAST(year AS VARCHAR), 'None')) AS INT) AS position FROM (SELECT CASE WHEN ref_id % 9 <> 0 THEN annee END AS year, count(*) AS n FROM consultation GROUP BY 1)")
+def years_by_text(spark, sf_dir):
+    """Records per year sorted by the year's text, those without one as "None"."""
+    per = consultations(spark, sf_dir).groupBy(F.when(F.col("ref_id") % 9 != 0, F.col("annee")).alias("year")).agg(F.count("*").alias("n"))
+    ordered = Window.orderBy(F.coalesce(F.col("year").cast("string"), F.lit("None")))  # a row a year
+    return relational.by_text(per, "year").select("year", "n", F.row_number().over(ordered).alias("position"))
+
+
 @query(", t AS (SELECT ref_id, published, category FROM consultation ORDER BY published, ref_id LIMIT 10) SELECT * FROM t")
 def first_rows(spark, sf_dir):
     """The first ten rows of a sorted listing; 0 would mean all."""

@@ -1,7 +1,7 @@
 """Queries over extracted text, pages and events, each with its DuckDB SQL.
 
-Documents stand for the pages of files: a file is a source, its pages are its
-documents by id; every third page has its own text layer.
+Documents stand for the pages of files: ten documents of a source, by id, are a
+file; every third page has its own text layer.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ ORACLES: dict[str, str] = {}
 
 CORRUPT = r"""((len(tokens) >= 20 AND len(list_filter(tokens, lambda x: NOT regexp_matches(x, '^[A-Za-zÀ-ÿ]+[.,;:)]?$'))) / greatest(len(tokens), 1) > 0.35) OR len(regexp_extract_all(t, '[\[\]{}\\|]')) / greatest(length(t) / 1000, 0.1) > 4.0)"""
 TOKENS = r"""SELECT *, coalesce(text, '') AS t, list_filter(regexp_extract_all(coalesce(text, ''), '[^\s\p{Z}\x0b\x{85}\x1c-\x1f]{3,}'), lambda x: regexp_matches(x, '\p{L}')) AS tokens FROM documents"""
-PAGE = """WITH page AS (SELECT source AS doc, CAST(doc_id AS BIGINT) AS page_number, CASE WHEN source IN ('src1', 'src2') OR doc_id % 3 = 0 THEN 'native' ELSE 'ocr' END AS source, CAST(doc_id % 101 AS DOUBLE) AS confidence, CAST(n_chars % 9 AS BIGINT) AS word_count, CASE WHEN doc_id % 17 = 0 OR source = 'src3' THEN 'error' END AS error, CAST(CASE doc_id % 29 WHEN 0 THEN 90 WHEN 1 THEN 270 ELSE 0 END AS INT) AS orientation_rotate_deg, CAST(doc_id % 23 AS DOUBLE) AS orientation_confidence, text, doc_id, n_chars FROM documents),
+PAGE = """WITH page AS (SELECT source || '/' || CAST(doc_id // 10 AS VARCHAR) AS doc, CAST(doc_id AS BIGINT) AS page_number, CASE WHEN source IN ('src1', 'src2') OR doc_id % 3 = 0 THEN 'native' ELSE 'ocr' END AS source, CAST(doc_id % 101 AS DOUBLE) AS confidence, CAST(n_chars % 9 AS BIGINT) AS word_count, CASE WHEN doc_id % 17 = 0 OR source = 'src3' THEN 'error' END AS error, CAST(CASE doc_id % 29 WHEN 0 THEN 90 WHEN 1 THEN 270 ELSE 0 END AS INT) AS orientation_rotate_deg, CAST(doc_id % 23 AS DOUBLE) AS orientation_confidence, text, doc_id, n_chars FROM documents),
 sums AS (SELECT doc, count(*) FILTER (WHERE source = 'ocr') AS ocr_pages, count(*) FILTER (WHERE source = 'ocr' AND error IS NULL) AS good, count(*) FILTER (WHERE source = 'ocr' AND error IS NULL AND word_count >= 3) AS rd, avg(confidence) FILTER (WHERE source = 'ocr' AND error IS NULL AND word_count >= 3) AS m FROM page GROUP BY doc),
 status AS (SELECT doc, ocr_pages, CASE WHEN ocr_pages = 0 THEN 'native' WHEN good = 0 THEN 'ocr_failed' WHEN rd = 0 THEN 'ocr_low_confidence' WHEN m >= 60 THEN 'ocr_success' ELSE 'ocr_low_confidence' END AS ocr_status, CASE WHEN ocr_pages > 0 AND good > 0 THEN coalesce(m, 0.0) END AS mean_confidence FROM sums)
 """
@@ -42,7 +42,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
     return d.select(
-        F.col("source").alias("doc"),
+        F.concat("source", F.lit("/"), F.floor(i / 10).cast("string")).alias("doc"),
         i.alias("page_number"),
         F.when(F.col("source").isin("src1", "src2") | (i % 3 == 0), "native").otherwise("ocr").alias("source"),
         (i % 101).cast("double").alias("confidence"),
@@ -137,11 +137,48 @@ def content_hash_dedup(spark, sf_dir):
     return binary.by_hash(d, "content", "doc_id")
 
 
-@query("SELECT doc_id, levenshtein(a, b) / nullif(length(a), 0) AS cer FROM (SELECT doc_id, substr(text, 1, 60) AS a, replace(substr(text, 1, 60), 'e', 'c') AS b FROM documents)")
+READING = "SELECT doc_id, coalesce(text, '') AS a, replace(replace(coalesce(text, ''), 'e', 'c'), ' th', ' tli') AS b FROM documents"
+READ_WORDS = "list_filter(regexp_split_to_array({}, '[\\s\\p{{Z}}\\x0b\\x{{85}}\\x1c-\\x1f]+'), lambda x: x <> '')"
+SPELT = "array_to_string(list_transform({}, lambda w: chr(CAST(list_position(list_sort(list_distinct(list_concat(p.a, p.b))), w) + 34 AS INT))), '')"
+
+
+def readings(spark, sf_dir):
+    """Each whole text, and a reading of it with usual errors."""
+    truth = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", truth.alias("a"), F.replace(F.replace(truth, F.lit("e"), F.lit("c")), F.lit(" th"), F.lit(" tli")).alias("b"))
+
+
+@query(f"SELECT doc_id, CAST(list_sum(list_transform(range(greatest(CAST(ceil(greatest(length(a), length(b)) / 200) AS BIGINT), 1)), lambda i: levenshtein(substr(a, i * 200 + 1, 200), substr(b, i * 200 + 1, 200)))) AS DOUBLE) / nullif(length(a), 0) AS cer FROM (SELECT doc_id, regexp_replace(a, '[^\\x00-\\x7F]', '?', 'g') AS a, regexp_replace(b, '[^\\x00-\\x7F]', '?', 'g') AS b FROM ({READING}))")
 def cer(spark, sf_dir):
-    """Character error rate of a reading of each document's title line against its truth."""
-    a = F.substring("text", 1, 60)
-    return table(spark, sf_dir, "documents").select("doc_id", T.levenshtein_rate(a, F.replace(a, F.lit("e"), F.lit("c"))).alias("cer"))
+    """Character error rate of a reading of each whole text; marks stand for characters beyond ASCII, whose edits engines count unlike."""
+    plain = readings(spark, sf_dir).select("doc_id", *(F.regexp_replace(c, r"[^\x00-\x7F]", "?").alias(c) for c in ("a", "b")))
+    return plain.select("doc_id", (T.character_errors(F.col("a"), F.col("b")).cast("double") / F.nullif(F.length("a"), F.lit(0))).alias("cer"))
+
+
+@query(f"SELECT doc_id, CAST(list_sum(list_transform(parts, lambda p: levenshtein({SPELT.format('p.a')}, {SPELT.format('p.b')}))) AS DOUBLE) / nullif(n, 0) AS wer FROM (SELECT doc_id, len(a) AS n, list_transform(range(greatest(CAST(ceil(greatest(len(a), len(b)) / 40) AS BIGINT), 1)), lambda i: {{'a': a[i * 40 + 1:i * 40 + 40], 'b': b[i * 40 + 1:i * 40 + 40]}}) AS parts FROM (SELECT doc_id, {READ_WORDS.format('a')} AS a, {READ_WORDS.format('b')} AS b FROM ({READING})))")
+def wer(spark, sf_dir):
+    """Word error rate of the same readings."""
+    return readings(spark, sf_dir).select("doc_id", (T.word_errors(F.col("a"), F.col("b")).cast("double") / F.nullif(T.word_count(F.col("a")), F.lit(0))).alias("wer"))
+
+
+@query(PAGE + "SELECT doc, page_number, orientation_rotate_deg, orientation_confidence, orientation_confidence < 3 AS near_threshold FROM page WHERE orientation_rotate_deg <> 0")
+def rotations_by_confidence(spark, sf_dir):
+    return documents.rotations(pages(spark, sf_dir))
+
+
+@query(PAGE + ", runs AS (SELECT doc, sum(n_chars) / 1000 AS seconds FROM page GROUP BY 1) SELECT round(sum(seconds), 3) AS total_seconds, count(*) AS documents, round(sum(seconds) / greatest(count(*), 1), 9) AS mean_seconds FROM runs")
+def run_time_summary(spark, sf_dir):
+    """Time of a run: each document takes a second for 1,000 characters."""
+    runs = pages(spark, sf_dir).groupBy("doc").agg((F.sum("n_chars") / 1000).alias("seconds"))
+    return documents.run_time(runs, "seconds").select(F.round("total_seconds", 3).alias("total_seconds"), "documents", F.round("mean_seconds", 9).alias("mean_seconds"))
+
+
+@query(PAGE + "SELECT doc, ocr_status, CAST(pages AS BIGINT) AS pages, coalesce(CAST(length(text) AS BIGINT), 0) AS characters FROM status LEFT JOIN (SELECT doc, count(*) AS pages FROM page GROUP BY 1) USING (doc) LEFT JOIN (SELECT doc, string_agg(text, chr(10) || chr(10) ORDER BY page_number, text) AS text FROM page WHERE trim(coalesce(text, '')) <> '' GROUP BY doc) USING (doc)")
+def ocr_results(spark, sf_dir):
+    """The result of each document as a sink writes it: status, pages, text."""
+    p = pages(spark, sf_dir).withColumnsRenamed({"doc": "path"}).withColumns({"skew_angle_deg": F.lit(0.0), "deskewed": F.lit(False)})
+    out = documents.results(p)
+    return out.select(F.col("path").alias("doc"), "ocr_status", F.size("pages").cast("long").alias("pages"), F.length("text").cast("long").alias("characters"))
 
 
 @query("SELECT source, n, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f1 FROM (SELECT source, count(*) AS n, CAST(count(*) FILTER (WHERE lang = 'en' AND regexp_matches(text, ' the ')) AS DOUBLE) AS tp, count(*) FILTER (WHERE lang <> 'en' AND regexp_matches(text, ' the ')) AS fp, count(*) FILTER (WHERE lang = 'en' AND NOT regexp_matches(text, ' the ')) AS fn FROM documents GROUP BY 1)")
@@ -182,25 +219,7 @@ def event_sessions(spark, sf_dir):
     return e.groupBy("user_id", "s").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.max("n").alias("longest"), F.count("*").alias("sessions"))
 
 
-@query()
-def listing_rows(spark, sf_dir):
-    """Result rows of listing pages; the table function has no SQL form, a golden test holds it."""
-    from tendril.plans.fixtures import LISTING
-
-    shown = table(spark, sf_dir, "pages").select("page_id", F.concat("html", F.lit(LISTING)).alias("html"))
-    return html.listing_rows(shown, "page_id", "html")
-
-
-@query()
-def detail_records(spark, sf_dir):
-    """Records of detail pages, built in SQL from the blocks that a table function finds."""
-    from tendril.plans.fixtures import DETAIL
-
-    shown = table(spark, sf_dir, "pages").select("page_id", F.concat("html", F.lit(DETAIL)).alias("html"))
-    return html.detail_records(shown, "page_id", "html")
-
-
-@query()
+@query("SELECT * FROM events")
 def stream_ingest(spark, sf_dir):
     """Events read as a stream, in batches, new keys only; the end state is a table."""
     from tendril.streaming.ingest import ingest_once

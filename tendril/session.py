@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Scratch paths made inside each open scope.
+_SCOPES: list[list[str]] = []
+
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A session with UTC time, AQE and Arrow; for tests, bench and notebooks."""
@@ -22,28 +28,49 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a test default.
+    """The folder all executors share: spark.checkpoint.dir, or the session's checkpoint folder.
 
-    The default is set only where the session names none (local tests).
+    Where neither is set, a local session gets a temporary one; a cluster has
+    no folder of its own that all executors see, so there it raises.
     """
     got = spark.conf.get("spark.checkpoint.dir", None)
     if got:
         return got.rstrip("/")
-    jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if jvm_dir.isDefined():
-        return str(jvm_dir.get()).rstrip("/")
-    own = "/tmp/checkpoints"
-    spark.sparkContext.setCheckpointDir(own)
-    return str(spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tendril-"))
+    return str(context._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path below the shared folder; it goes with the innermost scope, unless it is kept."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(path)
+    return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: cuts lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
+    path = scratch_path(df.sparkSession, name, keep)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a path of any store that Spark knows; one that is not there is no error."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes the scratch tables made inside when it ends; results that rest on them must be stored before, with keep."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            delete(spark, path)

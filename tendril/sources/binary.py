@@ -25,10 +25,16 @@ def stem(path: Column) -> Column:
 
 
 def scan(spark: SparkSession, folders: list[str], limit: int = 0, excluded: list[str] = EXCLUDED_STEMS) -> DataFrame:
-    """PDFs of several folders in path order, without the excluded ones (limit 0: all)."""
+    """PDFs of several folders without the excluded ones; a limit takes the first by path (0: all, in no order).
+
+    Only paths are sorted for a limit; contents are read for the chosen ones and never move.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(folders)
-    kept = files.withColumn("stem", stem(F.col("path"))).where(~F.col("stem").isin(excluded)).withColumn("file_hash", F.sha2("content", 256))
-    return kept.orderBy("path").limit(limit) if limit else kept.orderBy("path")
+    kept = files.withColumn("stem", stem(F.col("path"))).where(~F.col("stem").isin(excluded))
+    if limit:
+        first = [r.path for r in kept.select("path").orderBy("path").limit(limit).collect()]  # `limit` paths
+        kept = kept.where(F.col("path").isin(first))
+    return kept.withColumn("file_hash", F.sha2("content", 256))
 
 
 def size_by_year(manifest: DataFrame, files: DataFrame) -> DataFrame:

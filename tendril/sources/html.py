@@ -1,7 +1,8 @@
 """HTML pages as rows: links, listing rows and detail records.
 
-One pass of the standard library's parser over a page gives its pieces as
-rows (a table function); everything after that is DataFrame logic.
+One pass of the standard library's parser over a page, in Arrow batches, gives
+its links, blocks and table rows as arrays of one row; everything after that is
+DataFrame logic on these arrays, so a page is parsed once for all uses.
 """
 
 from __future__ import annotations
@@ -9,62 +10,79 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tendril.functions import text as T
 from tendril.functions.fixed import FIELD_ALIASES
 
 VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"])
-PIECES = t.StructType([t.StructField("kind", t.StringType()), t.StructField("pos", t.IntegerType()), t.StructField("text", t.StringType()), t.StructField("href", t.StringType()), t.StructField("row", t.IntegerType())])
+
+
+def record(**fields: t.DataType) -> t.ArrayType:
+    return t.ArrayType(t.StructType([t.StructField(k, v) for k, v in fields.items()]))
+
+
+#: Links with their text and the cells of the table row they stand in (null: in none); blocks of class line; rows of tables.
+PIECES = {
+    "links": record(pos=t.IntegerType(), href=t.StringType(), text=t.StringType(), cells=t.ArrayType(t.StringType())),
+    "lines": record(pos=t.IntegerType(), text=t.StringType()),
+    "rows": t.ArrayType(t.ArrayType(t.StringType())),
+}
 
 
 class Pieces(HTMLParser):
-    """Links (with the table row they stand in), cells of table rows, and blocks of class line."""
+    """The pieces of one page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out: list[tuple] = []
-        self.open: list[tuple[str, str | None, list[str]]] = []  # tag, kind, text
-        self.rows: list[int] = []
-        self.n_rows = 0
-
-    def emit(self, kind: str, text: str | None, href: str | None) -> None:
-        self.out.append((kind, len(self.out), text, href, self.rows[-1] if self.rows else None))
+        self.links: list[dict] = []
+        self.lines: list[dict] = []
+        self.rows: list[list[str]] = []
+        self.open: list[tuple[str, object, list[str]]] = []  # tag, what its text belongs to, text
+        self.inside: list[list[str]] = []  # cells of the open rows
 
     def handle_starttag(self, tag, attrs):
         found = dict(attrs)
+        target = None
         if tag == "a" and found.get("href") is not None:
-            self.emit("link", None, found["href"])
+            target = {"pos": len(self.links), "href": found["href"], "text": "", "cells": self.inside[-1] if self.inside else None}
+            self.links.append(target)
         if tag in VOID:
             return
-        kind = None
         if tag == "tr":
-            self.n_rows += 1
-            self.rows.append(self.n_rows)
+            self.rows.append([])
+            self.inside.append(self.rows[-1])
         elif tag == "td":
-            kind = "cell"
+            target = "cell"
         elif tag == "div" and "line" in (found.get("class") or "").split():
-            kind = "line"
-        self.open.append((tag, kind, []))
+            target = "line"
+        self.open.append((tag, target, []))
 
     def handle_endtag(self, tag):
         if not any(x[0] == tag for x in self.open):
             return
         while True:
-            name, kind, texts = self.open.pop()
-            if kind:
-                self.emit(kind, " ".join(" ".join(texts).split()), None)
-            if name == "tr" and self.rows:
-                self.rows.pop()
+            name, target, texts = self.open.pop()
+            text = " ".join(" ".join(texts).split())
+            if target == "cell" and self.inside:
+                self.inside[-1].append(text)
+            elif target == "line":
+                self.lines.append({"pos": len(self.lines), "text": text})
+            elif isinstance(target, dict):
+                target["text"] = text
+            if name == "tr" and self.inside:
+                self.inside.pop()
             if name == tag:
                 return
 
     def handle_data(self, data):
         if data.strip():
-            for _, kind, texts in self.open:
-                if kind:
+            for _, target, texts in self.open:
+                if target is not None:
                     texts.append(data.strip())
 
     def close(self):
@@ -73,42 +91,51 @@ class Pieces(HTMLParser):
             self.handle_endtag(self.open[-1][0])
 
 
-@F.udtf(returnType=PIECES)
-class HtmlPieces:
-    def eval(self, html: str) -> Iterator[tuple]:
-        if html:
-            parser = Pieces()
-            parser.feed(html)
-            parser.close()
-            yield from parser.out
+def parsed(html: str | None) -> Pieces:
+    parser = Pieces()
+    if html:
+        parser.feed(html)
+        parser.close()
+    return parser
 
 
 def pieces(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, kind, pos, text, href, row) of all pages."""
-    spark = pages.sparkSession
-    spark.udtf.register("html_pieces", HtmlPieces)
-    return spark.sql(f"SELECT p.{key}, h.* FROM {{pages}} p, LATERAL html_pieces(p.{html}) h", pages=pages)
+    """(key, links, lines, rows): one row for each page, parsed once."""
+    kinds = {k: to_arrow_type(v) for k, v in PIECES.items()}
+    schema = t.StructType([pages.schema[key], *(t.StructField(k, v) for k, v in PIECES.items())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [parsed(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([getattr(p, k) for p in found], v) for k, v in kinds.items())], [key, *kinds])
+
+    return pages.select(key, html).mapInArrow(run, schema)
 
 
 def links(pages: DataFrame, key: str, html: str) -> DataFrame:
-    return pieces(pages, key, html).where("kind = 'link'").select(key, "pos", "href")
+    return pieces(pages, key, html).select(key, F.inline("links")).select(key, "pos", "href")
+
+
+def inventory(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, kind, pos, value) of what a page holds: links, dates of its text, rows of its tables; to look into an unknown page."""
+    found = pieces(pages, key, html)
+    dates = pages.select(key, F.lit("date").alias("kind"), F.posexplode(F.regexp_extract_all(F.col(html), F.lit(r"(\d{2}/\d{2}/\d{4})"), F.lit(1))).alias("pos", "value"))
+    rows = found.select(key, F.lit("row").alias("kind"), F.posexplode(F.transform("rows", lambda r: F.array_join(r, " | "))).alias("pos", "value"))
+    hrefs = found.select(key, F.lit("link").alias("kind"), F.posexplode(F.transform("links", lambda x: F.concat(F.lit("["), x["text"], F.lit("] "), x["href"]))).alias("pos", "value"))
+    return hrefs.unionByName(dates).unionByName(rows)
 
 
 def listing_rows(pages: DataFrame, key: str, html: str, minutes: bool = False) -> DataFrame:
-    """Result rows of listings, the first link of each consultation; minutes: the variant of award-minutes listings.
+    """Result rows of listings, the first link of each consultation of a page; minutes: the variant of award-minutes listings.
 
     The variant needs one date in any cell, marks an absent reference as empty
     and takes a dash without a space after it.
     """
-    found = pieces(pages, key, html)
-    ref, org = T.url_keys(F.col("href"))
-    hits = found.where((F.col("kind") == "link") & F.col("href").contains("EntrepriseDetailConsultation")).withColumns({"refConsultation": ref, "orgAcronyme": org})
-    hits = hits.where("refConsultation is not null and orgAcronyme is not null")
-    if not minutes:
-        hits = hits.where("row is not null")
-    order = Window.partitionBy(key, "refConsultation", "orgAcronyme").orderBy("pos")
-    hits = hits.withColumn("_n", F.row_number().over(order)).where("_n = 1 and row is not null").select(key, "pos", "row", "href", "refConsultation", "orgAcronyme")
-    cells = found.where("kind = 'cell' and row is not null").groupBy(key, "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("cells"))
+    usable = lambda x: x["href"].contains("EntrepriseDetailConsultation") & F.forall(F.array(*T.url_keys(x["href"])), lambda k: k.isNotNull())
+    hits = F.filter("links", usable if minutes else lambda x: usable(x) & x["cells"].isNotNull())
+    names = F.transform(hits, lambda x: F.concat_ws("&", *T.url_keys(x["href"])))
+    first = F.filter(F.arrays_zip(hits.alias("link"), names.alias("name")), lambda x, i: F.array_position(names, x["name"]) == i + 1)
+    rows = pieces(pages, key, html).select(key, F.explode(F.transform(first, lambda x: x["link"])).alias("link")).select(key, "link.*").where("cells is not null")
     pattern = r"^(?U:\s*)(\S+)(?U:\s+)-" + ("" if minutes else r"(?U:\s)")
     named = F.filter(F.transform("cells", lambda c: F.regexp_extract(c, pattern, 1)), lambda x: (x != "") & ~x.rlike(r"^\d{2}/\d{2}/\d{4}\b"))
     reference = F.get(named, F.lit(0))
@@ -120,31 +147,44 @@ def listing_rows(pages: DataFrame, key: str, html: str, minutes: bool = False) -
     else:
         two = F.size(dates) >= 2
         extra = [reference.alias("reference"), F.when(two, as_date(F.get(dates, F.lit(0)))).alias("date_mise_ligne"), F.when(two, as_date(F.element_at(dates, -1))).alias("date_limite_remise_plis")]
-    return hits.join(cells, [key, "row"], "left").select(key, "pos", "refConsultation", "orgAcronyme", T.absolute_url(F.col("href")).alias("detail_url"), *extra)
+    ref, org = T.url_keys(F.col("href"))
+    return rows.select(key, "pos", ref.alias("refConsultation"), org.alias("orgAcronyme"), T.absolute_url(F.col("href")).alias("detail_url"), *extra)
+
+
+def dossier(found: Column) -> tuple[Column, Column]:
+    """(address, public) of the dossier among links (pos, href): a direct one is public, else the first gated one is not; null without one."""
+    gated = lambda x: F.lower(x["href"]).contains("demandetelechargementdce")
+    named = F.transform(F.filter(found, lambda x: F.lower(x["href"]).contains("dce")), lambda x: F.named_struct(F.lit("gated"), gated(x), F.lit("pos"), x["pos"], F.lit("href"), x["href"]))
+    best = F.array_min(named)
+    return T.absolute_url(best["href"]), ~best["gated"]
 
 
 def downloadability(found: DataFrame, key: str) -> DataFrame:
-    """The dossier's link by page: a direct one is public, else the first gated one is not."""
-    dce = found.where((F.col("kind") == "link") & F.lower("href").contains("dce")).withColumn("gated", F.lower("href").contains("demandetelechargementdce"))
-    best = dce.groupBy(key).agg(F.min_by("href", F.struct("gated", "pos")).alias("href"), F.min("gated").alias("gated"))
-    return best.select(key, T.absolute_url(F.col("href")).alias("dossier_consultation_url"), (~F.col("gated")).alias("is_publicly_downloadable"))
+    """The dossier's link by page, from links (key, pos, href)."""
+    address, public = dossier(F.col("links"))
+    by_page = found.groupBy(key).agg(F.collect_list(F.struct("pos", "href")).alias("links"))
+    return by_page.select(key, address.alias("dossier_consultation_url"), public.alias("is_publicly_downloadable")).where("is_publicly_downloadable is not null")
 
 
 def detail_records(pages: DataFrame, key: str, html: str) -> DataFrame:
     """One record for each page: every field typed or null, unknown labels in extras."""
-    found = pieces(pages, key, html)
     label, value = T.split_label(F.col("text"))
-    blocks = found.where("kind = 'line' and text <> ''").select(key, "pos", label.alias("label"), value.alias("value")).where("label is not null")
-    blocks = blocks.select(key, "pos", T.normalize_label(F.col("label")).alias("label"), T.label_field(F.col("label")).alias("field"), T.clean_value(F.col("value")).alias("value"))
-    typed = T.typed_text(F.col("field"), F.col("value"))
-    named = blocks.where("field is not null").withColumn("value", typed)
-    pick = lambda f: F.min_by("value", F.when((F.col("field") == f) & F.col("value").isNotNull(), F.col("pos"))).alias(f)
-    first = named.groupBy(key).agg(*map(pick, FIELD_ALIASES))
+    address, public = dossier(F.col("links"))
+    blocks = pieces(pages, key, html).select(key, address.alias("url"), public.alias("public"), F.inline_outer("lines"))
+    blocks = blocks.select(key, "url", "public", "pos", F.when(F.col("text") != "", label).alias("label"), value.alias("value"))
+    blocks = blocks.select(key, "url", "public", "pos", F.when(F.col("label").isNotNull(), T.normalize_label(F.col("label"))).alias("label"), T.label_field(F.col("label")).alias("field"), F.col("value").alias("raw"), T.clean_value(F.col("value")).alias("value"))
+    blocks = blocks.withColumn("typed", T.typed_text(F.col("field"), F.col("raw")))
+    held = lambda f: (F.col("field") == f) & F.col("typed").isNotNull()
+    pick = lambda f: F.min_by("typed", F.when(held(f), F.col("pos"))).alias(f)
+    unknown = F.col("field").isNull() & F.col("value").isNotNull() & (F.col("label") != "")
+    extras = F.array_sort(F.collect_list(F.when(unknown, F.struct("pos", "label", "value")))).alias("extras")
+    out = blocks.groupBy(key).agg(*map(pick, FIELD_ALIASES), F.first("url").alias("dossier_consultation_url"), F.first("public").alias("is_publicly_downloadable"), extras)
     kinds = {"estimation_dhs_ttc": "double", "caution_provisoire": "double", "allotissement": "boolean", "reserve_tpe_pme": "boolean", "date_limite_remise_plis": "date"}
-    extras = blocks.where("field is null and value is not null and label <> ''").groupBy(key, "label").agg(F.min_by("value", "pos").alias("value")).groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "value")))).alias("extras"))
-    out = pages.select(key).join(first, key, "left").join(downloadability(found, key), key, "left").join(extras, key, "left")
     fields = [F.col(f).cast(kinds.get(f, "string")).alias(f) for f in FIELD_ALIASES]
-    return out.select(key, *fields, F.lit(None).cast("date").alias("date_mise_ligne"), "dossier_consultation_url", "is_publicly_downloadable", F.coalesce("extras", F.create_map().cast("map<string,string>")).alias("extras"))
+    labels = F.transform("extras", lambda x: x["label"])
+    once = F.filter("extras", lambda x, i: F.array_position(labels, x["label"]) == i + 1)  # the first value of a label
+    named = F.map_from_entries(F.array_sort(F.transform(once, lambda x: F.struct(x["label"], x["value"]))))
+    return out.select(key, *fields, F.lit(None).cast("date").alias("date_mise_ligne"), "dossier_consultation_url", "is_publicly_downloadable", named.alias("extras"))
 
 
 def form_state(page: str, current: str) -> tuple[dict[str, str], str]:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
@@ -9,6 +13,8 @@ from pyspark.sql import types as t
 from tendril.functions import text as T
 from tendril.functions.fixed import RECORD_ORDER
 from tendril.operators.relational import first_wins
+from tendril.session import delete
+from tendril.sources.binary import stem
 
 MANIFEST = t.StructType([t.StructField(n, t.IntegerType() if n == "year" else t.StringType()) for n in ("reference", "date_publication", "year", "pdf_url", "local_path", "file_hash", "scraped_at", "categorie_principale", "mode_passation", "acheteur_public", "objet")])
 OCR = "pdf_path string, ocr_status string, mean_confidence double, pages array<struct<page_number int, source string, confidence double, skew_angle_deg double, deskewed boolean, orientation_rotate_deg int, orientation_confidence double, error string>>"
@@ -38,12 +44,52 @@ def append(records: DataFrame, path: str) -> None:
     records.select(*known, *(c for c in records.columns if c not in known)).write.mode("append").option("ignoreNullFields", "false").json(path)
 
 
+def todo(records: DataFrame, field: str = "categorie_principale") -> DataFrame:
+    """Records that lack a field, which are still to be enriched."""
+    return records.where(F.col(field).isNull())
+
+
 def enrich(manifest: DataFrame, details: DataFrame, fields: list[str]) -> DataFrame:
-    """Fills empty fields of the manifest from details by pdf_url; write the result to a new path, then swap."""
+    """Fills empty fields of the manifest from details by pdf_url; rewrite() puts the result in its place."""
     joined = manifest.alias("m").join(details.alias("d"), "pdf_url", "left")
     return joined.select(*(F.coalesce(f"m.{c}", f"d.{c}").alias(c) if c in fields else F.col(f"m.{c}" if c != "pdf_url" else c).alias(c) for c in manifest.columns))
 
 
+def rewrite(records: DataFrame, path: str) -> None:
+    """Writes records beside a JSON-lines folder, then swaps it in; a failed write leaves the old one, and records may come from it."""
+    spark = records.sparkSession
+    fresh, old = f"{path}.new", f"{path}.old"
+    records.write.mode("overwrite").option("ignoreNullFields", "false").json(fresh)
+    delete(spark, old)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(place(path)):
+        fs.rename(place(path), place(old))
+    fs.rename(place(fresh), place(path))
+    delete(spark, old)
+
+
+def write_ocr(results: DataFrame, folder: str) -> DataFrame:
+    """Writes the text and the metadata of each result (path, ocr_status, mean_confidence, text, pages) as STEM.txt and STEM.json; gives the stems.
+
+    For other programs; Spark reads results from Parquet (`results.write.parquet`).
+    """
+    body = F.to_json(F.struct(F.col("path").alias("pdf_path"), "ocr_status", "mean_confidence", "pages"), {"ignoreNullFields": "false"})
+    rows = results.select(stem(F.col("path")).alias("stem"), "text", body.alias("body"))
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
+        fs.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, text, meta in zip(*(batch.column(c).to_pylist() for c in ("stem", "text", "body")), strict=True):
+                for kind, value in (("txt", text or ""), ("json", meta)):
+                    with fs.open_output_stream(f"{root}/{name}.{kind}", compression=None) as out:
+                        out.write(value.encode())
+            yield batch.select(["stem"])
+
+    return rows.mapInArrow(put, "stem string")
+
+
 def ocr_pages(spark: SparkSession, path: str) -> DataFrame:
     """One row for each page of stored OCR results."""
     docs = spark.read.schema(OCR).option("multiLine", "true").json(path)
@@ -55,3 +101,10 @@ def checkpoint_state(spark: SparkSession, path: str) -> DataFrame:
     kind = "map<string, struct<page: int, per_year: map<string, int>, seen: array<string>>>"
     raw = spark.read.option("wholetext", "true").text(path)
     return raw.select(F.explode(F.from_json("value", kind)).alias("category", "s")).select("category", "s.page", "s.per_year", "s.seen")
+
+
+def save_checkpoint(state: DataFrame, path: str) -> None:
+    """Writes cursors (category, page, per_year, seen), a row for each category, as one JSON file."""
+    entries = F.collect_list(F.struct("category", F.struct("page", "per_year", F.array_sort("seen").alias("seen"))))
+    whole = state.groupBy().agg(F.to_json(F.map_from_entries(entries)).alias("value"))
+    whole.coalesce(1).write.mode("overwrite").text(path)  # a row for the few categories

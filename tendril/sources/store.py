@@ -14,9 +14,12 @@ def read_table(spark: SparkSession, url: str, name: str, split: str | None = Non
     return reader.load()
 
 
-def write_by_year(df: DataFrame, path: str, year: str = "annee") -> None:
-    """Parquet in a folder for each year, so that filters on the year skip the others; large years spread over files."""
-    df.repartition(F.col(year), F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.mode("overwrite").partitionBy(year).parquet(path)
+def write_by_year(df: DataFrame, path: str, year: str = "annee", rows_a_file: int = 5_000_000) -> None:
+    """Parquet in a folder for each year, so that filters on the year skip the others.
+
+    Rebalancing splits large years and joins small ones by their bytes at run time; a file holds `rows_a_file` at most.
+    """
+    df.hint("rebalance", year).write.mode("overwrite").option("maxRecordsPerFile", rows_a_file).partitionBy(year).parquet(path)
 
 
 def read_reference(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -52,4 +52,4 @@ def test_entry(spark):
 
 
 def test_rows_without_oracle_are_few():
-    assert set(registry.QUERIES) - set(registry.ORACLES) == {"isolation_forest", "listing_rows", "detail_records", "stream_ingest"}
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"isolation_forest"}

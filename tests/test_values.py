@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tendril.functions import text as T
-from tendril.operators import documents, forest, indicators, relational
-from tendril.plans import fixtures as X
-from tendril.sources import binary, html, jsonl, kernels, portal
+from tendril.operators import documents, forest, indicators, minutes, relational, risk
+from tendril.session import delete, scope, scratch_path, stored
+from tendril.sources import binary, html, jsonl, kernels, portal, store, web
 from tendril.streaming import ingest
 
 
@@ -18,6 +18,7 @@ def mapped(spark, fn, values):
     return [r.y for r in rows]
 
 
+# fixed values: inputs and outputs that must equal the published rules
 GOLDEN = [
     (T.parse_amount, [("15 000 000,00 @@@@", 15000000.0), ("133 075 758,00", 133075758.0), ("0,00 MAD", 0.0), ("758 640,00 DH TTC", 758640.0), ("15.000.000", 15000000.0), ("-", None), ("", None), (None, None), ("1.234.567,89", 1234567.89), ("1,234.56", 1234.56), ("1,234,567", 1234567.0), ("15.000", 15.0), ("120.000,00", 120000.0), ("2 337 480.00", 2337480.0), ("12-34", None), ("5,00 Dhs.", 500.0)]),
     (T.parse_date, [("04/11/2026 11:00", dt.date(2026, 11, 4)), ("12/08/2026", dt.date(2026, 8, 12)), ("32/01/2026", None), ("pas de date", None), (None, None)]),
@@ -42,14 +43,27 @@ def one_page(spark, text):
     return spark.createDataFrame([(1, text)], "page_id int, html string")
 
 
+DETAIL = """<h1>Consultation</h1><div class="line">Référence 17/DR/2025</div>
+<div class="panel line"><label>Date et heure limite de remise des plis</label> : 21/05/2025 <i>10:30</i></div>
+<div class="line">Procédure : Concours | Enveloppe unique</div><div class="line">Estimation (en Dhs TTC) * : 2 450 300,50 @@@@</div>
+<div class="line">Réservé à la TPE et PME * : Oui</div><div class="line">Domaines d'activité :</div><div class="line">Domaines d'activité : Bois</div>
+<div class="line">Domaines d'activité : Fer</div><div class="line">Qualifications : néant</div><div class="line">Allotissement : -</div>
+<div class="line">Réunion d'information : salle B</div><div class="line">Réunion d'information : salle C</div><div class="line">Lieu d'exécution : AZROU</div>
+<div class="line">Lieu d'ouverture des plis : siège d'Azrou</div><a href="?page=EntrepriseDemandeTelechargementDce&id=5">DCE</a>"""
+LISTING = """<table><tr><td>AOO Fournitures 02/03/2025</td><td>17/DR/2025 - Mobilier scolaire</td><td>21/05/2025</td><td><a href="?page=entreprise.EntrepriseDetailConsultation&refConsultation=501&orgAcronyme=az">Voir</a></td></tr>
+<tr><td>Sans date</td><td><a href="?page=entreprise.EntrepriseDetailConsultation&refConsultation=501&orgAcronyme=az">encore</a></td></tr>
+<tr><td>Travaux</td><td>B-9 -pont</td><td>30/02/2025 puis 04/03/2025</td><td><a href="/index.php?x=EntrepriseDetailConsultation&refConsultation=502&orgAcronyme=kx">Voir</a></td></tr></table>
+<a href="?page=entreprise.EntrepriseDetailConsultation&refConsultation=503&orgAcronyme=q">hors tableau</a>"""
+
+
 def test_detail_page(spark):
-    r = html.detail_records(one_page(spark, X.DETAIL), "page_id", "html").first()
-    assert r.reference == "01/2026" and r.mode_passation == "Appel d'offres ouvert" and r.estimation_dhs_ttc == 15000000.0
-    assert r.allotissement is None and r.qualifications is None and r.reserve_tpe_pme is False
-    assert r.domaines_activite == "Services / Transport" and r.date_limite_remise_plis == dt.date(2026, 11, 4)
-    assert r.lieu_execution == "MAROC, TETOUAN" and r.lieu_ouverture_plis == "province Tétouan" and r.date_mise_ligne is None
-    assert r.is_publicly_downloadable is False and "EntrepriseDemandeTelechargementDce" in r.dossier_consultation_url
-    assert list(r.extras) == ["Visites des lieux"]
+    r = html.detail_records(one_page(spark, DETAIL), "page_id", "html").first()
+    assert r.reference == "17/DR/2025" and r.mode_passation == "Concours" and r.estimation_dhs_ttc == 2450300.5
+    assert r.allotissement is None and r.qualifications is None and r.reserve_tpe_pme is True
+    assert r.domaines_activite == "Bois" and r.date_limite_remise_plis == dt.date(2025, 5, 21)
+    assert r.lieu_execution == "AZROU" and r.lieu_ouverture_plis == "siège d'Azrou" and r.date_mise_ligne is None
+    assert r.is_publicly_downloadable is False and r.dossier_consultation_url.endswith("EntrepriseDemandeTelechargementDce&id=5")
+    assert r.extras == {"Réunion d'information": "salle B"}
 
 
 def test_empty_page(spark):
@@ -58,13 +72,21 @@ def test_empty_page(spark):
 
 
 def test_listing(spark):
-    rows = html.listing_rows(one_page(spark, X.LISTING), "page_id", "html").orderBy("pos").collect()
+    rows = html.listing_rows(one_page(spark, LISTING), "page_id", "html").orderBy("pos").collect()
     assert [(r.refConsultation, r.orgAcronyme, r.reference, r.date_mise_ligne, r.date_limite_remise_plis) for r in rows] == [
-        ("1031023", "l1f", "TN4131014", dt.date(2026, 8, 19), dt.date(2026, 10, 8)),
-        ("1032889", "d4q", "04/2026", dt.date(2026, 8, 6), dt.date(2026, 10, 7)),
+        ("501", "az", "17/DR/2025", dt.date(2025, 3, 2), dt.date(2025, 5, 21)),
+        ("502", "kx", None, None, dt.date(2025, 3, 4)),
     ]
-    minutes = html.listing_rows(one_page(spark, X.LISTING), "page_id", "html", minutes=True).orderBy("pos").collect()
-    assert [(r.reference, r.date_publication) for r in minutes] == [("TN4131014", dt.date(2026, 8, 19)), ("04/2026", dt.date(2026, 8, 6))]
+    found = html.listing_rows(one_page(spark, LISTING), "page_id", "html", minutes=True).orderBy("pos").collect()
+    assert [(r.refConsultation, r.reference, r.date_publication) for r in found] == [("501", "17/DR/2025", dt.date(2025, 3, 2)), ("502", "B-9", None)]
+    kinds = html.inventory(one_page(spark, LISTING), "page_id", "html").groupBy("kind").count().collect()
+    assert {r.kind: r["count"] for r in kinds} == {"link": 4, "date": 4, "row": 3}
+
+
+def test_pages_are_parsed_once(spark):
+    for fn in (html.listing_rows, html.detail_records):
+        plan = fn(one_page(spark, DETAIL), "page_id", "html")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1
 
 
 def test_form_state():
@@ -105,8 +127,10 @@ def test_binary_files(spark, tmp_path):
     for name, body in (("b.pdf", b"%PDF-1 x"), ("a.pdf", b"%PDF-1 x"), (f"{binary.EXCLUDED_STEMS[0]}.pdf", b"y"), ("c.txt", b"z")):
         (tmp_path / name).write_bytes(body)
     got = binary.scan(spark, [str(tmp_path)])
-    assert [r.stem for r in got.collect()] == ["a", "b"] and got.select("file_hash").distinct().count() == 1
-    assert binary.scan(spark, [str(tmp_path)], limit=1).count() == 1
+    assert sorted(r.stem for r in got.collect()) == ["a", "b"] and got.select("file_hash").distinct().count() == 1
+    assert [r.stem for r in binary.scan(spark, [str(tmp_path)], limit=1).collect()] == ["a"]
+    years = spark.createDataFrame([(2024, got.first().file_hash), (2025, "none")], "year int, file_hash string")
+    assert [tuple(r) for r in binary.size_by_year(years, got).collect()] == [(2024, 2, 16 / 1e6)]
     assert mapped(spark, binary.stem, ["C:\\x\\y.pdf", "/a/b.c.pdf", "none"]) == ["y", "b.c", None]
 
 
@@ -165,18 +189,326 @@ def fake_fetch(category, page, state):
     return (None, None) if page == 3 else (f"{category}/{page}/{state}", page)
 
 
-def test_portal_source(spark, monkeypatch):
+def test_portal_source(spark):
     reader = portal.PortalReader({"fetch": f"{__name__}:fake_fetch", "seconds": "0", "maxpages": "5"})
     assert [p.name for p in reader.partitions()] == ["1", "2", "3"]
     assert list(reader.read(portal.Category("2"))) == [("2", 0, "2/0/None"), ("2", 1, "2/1/0"), ("2", 2, "2/2/1")]
-    tried = []
+    assert len(list(portal.PortalReader({"fetch": f"{__name__}:fake_fetch", "maxpages": "2"}).read(portal.Category("2")))) == 2
+    tried, waits = [], []
     with pytest.raises(OSError):
-        portal.patient(lambda: tried.append(1) or (_ for _ in ()).throw(OSError()), wait=0)
-    assert len(tried) == 3
+        web.patient(lambda: tried.append(1) or (_ for _ in ()).throw(OSError()), sleep=waits.append)
+    assert len(tried) == 3 and waits == [2.0, 4.0]
     spark.dataSource.register(portal.Portal)
     assert spark.read.format("tender_portal").load().columns == ["category", "page", "html"]
 
 
+FORM = """<form action="/search"><input type="hidden" name="STATE" value="s{n}">{size}<input type="submit" name="go"></form>Nombre de résultats : 1 234 {link}"""
+
+
+@pytest.fixture
+def site():
+    """A small portal: a search of three pages, a page that fails twice, one that always fails."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from urllib.parse import parse_qs
+
+    log: list = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def reply(self, body, code=200):
+            self.send_response(code)
+            self.send_header("X-Kind", "test")
+            self.end_headers()
+            self.wfile.write(body.encode())
+
+        def do_GET(self):
+            log.append(("GET", self.path, self.headers["User-Agent"]))
+            tries = sum(x[:2] == ("GET", self.path) for x in log)
+            if self.path == "/down" or (self.path == "/shaky" and tries < 3):
+                return self.reply("no", 503)
+            self.reply(FORM.format(n=0, size="", link=""))
+
+        def do_POST(self):
+            form = {k: v[0] for k, v in parse_qs(self.rfile.read(int(self.headers["Content-Length"])).decode(), keep_blank_values=True).items()}
+            log.append(("POST", self.path, form))
+            target, state = form.get("PRADO_POSTBACK_TARGET"), int(form["STATE"][1:])
+            state = {portal.NEXT_PAGE: state + 1, portal.LAST_PAGE: 3, None: 1}.get(target, state)
+            link = f"<a href='EntrepriseDetailConsultation&refConsultation={state}'>x</a>" if state <= 3 else ""
+            self.reply(FORM.format(n=state, size=f"<select name='{portal.PAGE_SIZE}'><option value='10'></select>", link=link))
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", log
+    server.shutdown()
+
+
+def test_client(site):
+    root, log = site
+    waits: list[float] = []
+    client = web.Client(pause=50.0, sleep=waits.append)
+    got = client.get(f"{root}/shaky")
+    assert "résultats" in got.text and got.headers["x-kind"] == "test" and waits == [2.0, 4.0]  # one turn, two failures
+    assert log[0][2] == web.AGENT
+    with pytest.raises(OSError):
+        client.get(f"{root}/down", tries=2)
+    waits.clear()
+    client.post(f"{root}/search", {"STATE": "s0", "é": "à b"})
+    assert len(waits) == 1 and 40 < waits[0] <= 50 and log[-1][2]["é"] == "à b"  # a post waits its turn
+    waits.clear()
+    with pytest.raises(OSError):
+        client.post("http://127.0.0.1:1/", {}, tries=3, timeout=1)
+    assert [w for w in waits if w in (2.0, 4.0)] == [2.0, 4.0] and len(waits) == 5  # each try waits its turn
+    assert web.page_url("a.B", ["AllAnn", "x=1"], q="é b") == web.SITE_INDEX + "?page=a.B&q=%C3%A9+b&AllAnn&x=1"
+    assert web.page_url("a") == web.SITE_INDEX + "?page=a"
+
+
+def test_cursor_and_search(spark, site):
+    root, log = site
+    cursor = portal.Cursor(web.Client(0.0), f"{root}/form", size=200)
+    cursor.start({"categorie": "1"})
+    assert cursor.total == 1234 and cursor.size == 200
+    first, wider = log[1][2], log[2][2]
+    assert first[portal.SEARCH + "categorie"] == "1" and first[portal.SEARCH_BUTTON] == portal.SEARCH_LABEL and "go" not in first
+    assert wider["PRADO_POSTBACK_TARGET"] == portal.PAGE_SIZE == next(k for k in wider if "PageSize" in k) and wider[portal.PAGE_SIZE] == "200"
+    assert "refConsultation=3" in cursor.go_to(3) and not portal.has_results(cursor.next_page())
+    assert "refConsultation=3" in cursor.last_page()
+    plain = portal.Cursor(web.Client(0.0), f"{root}/form")
+    plain.load()
+    assert plain.resize(50) == plain.page and plain.size == 500  # no such control: as it was
+    found = portal.minutes_search(web.Client(0.0), f"{root}/form")
+    assert portal.has_results(found.page) and any(x[0] == "POST" and x[2].get(portal.SEARCH + "annonceType") == "5" for x in log)
+    spark.dataSource.register(portal.Portal)
+    read = spark.read.format("tender_portal").options(**{"url": f"{root}/form", "seconds": "0", "categories": "1,2", "startpage": "2", "field.annonceType": "5"}).load()
+    assert sorted((r.category, r.page) for r in read.collect()) == [("1", 1), ("1", 2), ("2", 1), ("2", 2)]
+
+
 def test_kernels_isolate_bad_files(spark):
-    rows = kernels.read_pages(spark.createDataFrame([("a.pdf", b"junk")], "path string, content binary")).collect()
+    files = spark.createDataFrame([("a.pdf", b"junk")], "path string, content binary")
+    rows = kernels.read_pages(files).collect()
     assert [(r.page_number, r.error is not None) for r in rows] == [(0, True)] and isinstance(kernels.available(), bool)
+    assert [tuple(r) for r in kernels.page_counts(files).collect()] == [("a.pdf", None)]
+
+
+class FakePage:
+    def __init__(self, text, width=600, height=800):
+        from types import SimpleNamespace
+
+        self.text, self.rect, self.asked = text, SimpleNamespace(width=width, height=height), []
+
+    def get_text(self):
+        if self.text is None:
+            raise RuntimeError("broken text layer")
+        return self.text
+
+    def get_pixmap(self, dpi):
+        from types import SimpleNamespace
+
+        self.asked.append(dpi)
+        return SimpleNamespace(samples=bytes(range(12)) * 2, height=2, width=4, n=3)
+
+
+class FakeDocument(list):
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        pass
+
+
+@pytest.fixture
+def fakes(monkeypatch):
+    """Stand-ins for the native libraries, whose orientation answer is set by the test."""
+    import sys
+    from types import SimpleNamespace
+
+    import numpy as np
+
+    class TesseractError(Exception):
+        pass
+
+    state = SimpleNamespace(pages=[], osd={"rotate": 0, "orientation_conf": 0.0}, lines=None, turned=[])
+
+    def osd(*_, **__):
+        if state.osd is None:
+            raise TesseractError("too few characters")
+        return state.osd
+
+    cv2 = SimpleNamespace(COLOR_RGB2GRAY=0, BORDER_REPLICATE=0, THRESH_BINARY=0, THRESH_OTSU=0, cvtColor=lambda x, _: x[:, :, 0], Canny=lambda x, *_: x, HoughLinesP=lambda *_, **__: state.lines, getRotationMatrix2D=lambda *a: a, warpAffine=lambda g, m, *_, **__: state.turned.append(m[1]) or g, fastNlMeansDenoising=lambda g, h: g, threshold=lambda g, *_: (0, g))
+    tess = SimpleNamespace(TesseractError=TesseractError, Output=SimpleNamespace(DICT="d"), image_to_osd=osd, image_to_data=lambda *_, **__: {"conf": ["-1", 90, "80", ""]}, image_to_string=lambda image, **_: f"read {image.shape[0]}x{image.shape[1]}")
+    for name, module in (("cv2", cv2), ("pytesseract", tess), ("fitz", SimpleNamespace(open=lambda **_: FakeDocument(state.pages)))):
+        monkeypatch.setitem(sys.modules, name, module)
+    state.np = np
+    return state
+
+
+def ocr(fakes):
+    return list(kernels.pages_of("p", b"", "fra", 3, 300, 4000))
+
+
+def test_kernel_pages(fakes):
+    healthy, broken = "Royaume du Maroc, appel d'offres ouvert", "ROYAI]ME DU i\\{AROC [[]] {{ xx yy }}"
+    fakes.pages = [FakePage(f"  {healthy}\n"), FakePage(broken), FakePage(None), FakePage(" " * 50 + "court")]
+    rows = ocr(fakes)
+    assert [(r[1], r[2], r[10] is None) for r in rows] == [(1, "native", True), (2, "ocr", True), (3, "ocr", False), (4, "ocr", True)]
+    assert rows[0][3] == healthy and rows[1][3:6] == ("read 2x4", 85.0, 2) and "broken text layer" in rows[2][10] and kernels.count_of(b"") == 4
+    assert fakes.pages[1].asked == [300]
+
+
+@pytest.mark.parametrize("osd,shape,degrees", [(None, "2x4", 0), ({"rotate": 90, "orientation_conf": 5.0}, "4x2", 90), ({"rotate": 270, "orientation_conf": 0.5}, "2x4", 0), ({"rotate": 45, "orientation_conf": 9.0}, "2x4", 45), ({"rotate": 180, "orientation_conf": 1.0}, "2x4", 180)])
+def test_kernel_orientation(fakes, osd, shape, degrees):
+    fakes.pages, fakes.osd = [FakePage("")], osd
+    row = ocr(fakes)[0]
+    assert row[3] == f"read {shape}" and row[8] == degrees and row[10] is None
+
+
+def test_kernel_skew_and_resolution(fakes):
+    page = FakePage("", width=7200, height=100)
+    fakes.pages, fakes.lines = [page], fakes.np.array([[[0, 0, 100, 3]], [[0, 0, 100, 3]], [[0, 0, 0, 100]]])
+    row = ocr(fakes)[0]
+    assert page.asked == [40] and row[7] is True and abs(row[6] - 1.718) < 0.01 and len(fakes.turned) == 1
+    fakes.lines = None
+    assert ocr(fakes)[0][6:8] == (0.0, False)
+
+
+def test_kernel_rule_equals_the_column_rule(spark):
+    texts = ["", "x" * 20, "x" * 21, "mot " * 30, "m0t4 x9x9 " * 15, "a{b " * 10 + "lettres " * 5, "ROYAI]ME DU i\\{AROC", "Royaume du Maroc, appel d'offres", "المملكة المغربية وزارة " * 8]
+    assert mapped(spark, T.native_usable, texts) == [kernels.usable(t) for t in texts]
+
+
+def test_ocr_results_and_sink(spark, tmp_path):
+    rows = [("/in/a.pdf", 2, "ocr", "zwei", 70.0, 5, 0.1, False, 0, 0.0, None), ("/in/a.pdf", 1, "native", "eins", None, None, None, None, 0, None, None), ("/in/b.pdf", 0, "ocr", "", None, 0, None, None, 0, None, "broken")]
+    got = documents.results(spark.createDataFrame(rows, kernels.PAGES))
+    assert {(r.path, r.ocr_status, r.mean_confidence, r.text, len(r.pages)) for r in got.collect()} == {("/in/a.pdf", "ocr_success", 70.0, "eins\n\nzwei", 2), ("/in/b.pdf", "ocr_failed", None, "", 1)}
+    assert {r.stem for r in jsonl.write_ocr(got, str(tmp_path / "ocr")).collect()} == {"a", "b"}
+    assert (tmp_path / "ocr" / "a.txt").read_text() == "eins\n\nzwei"
+    meta = json.loads((tmp_path / "ocr" / "a.json").read_text())
+    assert list(meta) == ["pdf_path", "ocr_status", "mean_confidence", "pages"] and [p["page_number"] for p in meta["pages"]] == [1, 2] and meta["pages"][0]["error"] is None
+    back = jsonl.ocr_pages(spark, str(tmp_path / "ocr" / "*.json"))
+    assert {(r.pdf_path, r.page_number) for r in back.collect()} == {("/in/a.pdf", 1), ("/in/a.pdf", 2), ("/in/b.pdf", 0)}
+    seconds = spark.createDataFrame([(2.0,), (4.0,)], "s double")
+    assert tuple(documents.run_time(seconds, "s").first()) == (6.0, 2, 3.0) and tuple(documents.run_time(seconds.limit(0), "s").first()) == (0.0, 0, 0.0)
+
+
+def test_rewrite_and_checkpoint(spark, tmp_path):
+    path = str(tmp_path / "manifest")
+    spark.createDataFrame([("u1", None), ("u2", "kept"), ("u3", None)], "pdf_url string, categorie_principale string").write.option("ignoreNullFields", "false").json(path)
+    read = lambda: spark.read.schema("pdf_url string, categorie_principale string").json(path)
+    assert {r.pdf_url for r in jsonl.todo(read()).collect()} == {"u1", "u3"}
+    details = spark.createDataFrame([("u1", "Travaux"), ("u2", "other")], "pdf_url string, categorie_principale string")
+    for _ in range(2):
+        jsonl.rewrite(jsonl.enrich(read(), details, ["categorie_principale"]), path)
+    assert {tuple(r) for r in read().collect()} == {("u1", "Travaux"), ("u2", "kept"), ("u3", None)}
+    assert not list(tmp_path.glob("manifest.*"))
+    state = spark.createDataFrame([("1", 3, {"2024": 5}, ["9", "7"]), ("2", 1, {}, [])], "category string, page int, per_year map<string,int>, seen array<string>")
+    jsonl.save_checkpoint(state, str(tmp_path / "state"))
+    back = {r.category: (r.page, r.per_year, r.seen) for r in jsonl.checkpoint_state(spark, str(tmp_path / "state")).collect()}
+    assert back == {"1": (3, {"2024": 5}, ["7", "9"]), "2": (1, {}, [])}
+
+
+def test_stores(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("id", "cast(2020 + id % 3 as int) as annee")
+    store.write_by_year(rows, str(tmp_path / "years"), rows_a_file=100)
+    back = spark.read.parquet(str(tmp_path / "years"))
+    assert back.count() == 1000 and len(list((tmp_path / "years" / "annee=2020").glob("*.parquet"))) >= 4
+    (tmp_path / "ref.csv").write_text("company,synthetic\nALPHA,true\n")
+    assert [tuple(r) for r in store.read_reference(spark, str(tmp_path / "ref.csv"), "company string, synthetic boolean").collect()] == [("ALPHA", True)]
+    (tmp_path / "ref.csv").write_text("company,synthetic\nALPHA,perhaps\n")
+    with pytest.raises(Exception, match="MALFORMED|malformed|Malformed"):
+        store.read_reference(spark, str(tmp_path / "ref.csv"), "company string, synthetic boolean").collect()
+    options = []
+    read = type("R", (), {"format": lambda s, k: s, "option": lambda s, k, v: options.append((k, v)) or s, "options": lambda s, **o: s, "load": lambda s: "loaded"})()
+    assert store.read_table(type("S", (), {"read": read})(), "jdbc:x", "t", split="id", low=1, high=9, parts=3) == "loaded"
+    assert dict(options) == {"url": "jdbc:x", "dbtable": "t", "partitionColumn": "id", "lowerBound": 1, "upperBound": 9, "numPartitions": 3}
+
+
+def test_null_rows(spark):
+    rows = spark.createDataFrame([("listing", 2024), ("listing", 2023), (None, 2024), ("pv", 2024)], "source string, annee int")
+    assert {tuple(r) for r in indicators.without_biased(rows).collect()} == {("listing", 2023), (None, 2024), ("pv", 2024)}
+    won = spark.createDataFrame([(1, "w", "b", 2020, 10.0, 1, None), (2, "w", "b", 2020, 10.0, None, "open")], "ref_id int, winner string, buyer string, annee int, award_amount double, number_of_bidders int, procedure string")
+    flags = risk.scored(risk.red_flags(won, spark.createDataFrame([(1,)], "ref_id int"), ["open"])).orderBy("ref_id").collect()
+    assert [(r.single_bidder, r.closed_procedure, r.excluded_bidders, r.concentration, r.risk_score, r.risk_level) for r in flags] == [(True, False, True, True, 60.0, "Élevé"), (False, False, False, True, 20.0, "Faible")]
+    a = spark.createDataFrame([(1, None, "x"), (2, "p", None)], "k int, v string, u string")
+    b = spark.createDataFrame([(1, "q", "y"), (3, None, None)], "k int, v string, u string")
+    assert {tuple(r) for r in relational.source_priority(a, b, "k", ["v", "u"]).collect()} == {(1, "q", "x", "first"), (2, "p", None, "first"), (3, None, None, "second")}
+    left = spark.createDataFrame([(1, "r", "d1"), (None, "r", "d2"), (9, "r", "d3"), (None, None, "d4")], "k int, c string, doc string")
+    right = spark.createDataFrame([(1, "r", None), (2, "s", 5.0)], "k int, c string, v double")
+    assert {(r.doc, r.v, r.matched_by) for r in relational.fallback_join(left, right, "k", ["c"], ["v"]).collect()} == {("d1", None, "key"), ("d2", None, "composite"), ("d3", None, None), ("d4", None, None)}
+    dated = spark.createDataFrame([(dt.date(2024, 1, 2),), (dt.date(2023, 1, 2),), (None,)], "d date")
+    assert relational.in_years(dated, "d", [2024]).count() == 1
+    listed = spark.createDataFrame([("c", None, i) for i in range(3)] + [("c", dt.date(2024, 1, 1), 9), (None, dt.date(2024, 1, 1), 1)], "c string, d date, k int")
+    pages = relational.page_numbers(listed, ["c"], "d", "k", 2).collect()
+    assert {(r.c, r.k, r.page) for r in pages} == {("c", 9, 0), ("c", 0, 0), ("c", 1, 1), ("c", 2, 1), (None, 1, 0)}
+    assert tuple(relational.tallies(spark.createDataFrame([("ok",), (None,)], "o string"), "o", ["ok", "err"]).first()) == (1, 0)
+    years = spark.createDataFrame([(2024,), (None,), (2023,)], "y int")
+    assert [r.y for r in relational.by_text(years, "y").collect()] == [2023, 2024, None]
+
+
+def test_share_text_rounds_halves_to_even(spark):
+    rows = spark.createDataFrame([(1, 200), (3, 200), (5, 200), (2, 3), (0, 0), (1, 8)], "n long, t long")
+    got = [r[0] for r in rows.select(T.share_text(F.col("n"), F.col("t"))).collect()]
+    assert got == [f"{n} ({n / t * 100:.0f}%)" if t else "-" for n, t in [(1, 200), (3, 200), (5, 200), (2, 3), (0, 0), (1, 8)]]
+
+
+def test_error_rates_of_whole_texts(spark):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    cases = [("", ""), ("a b c", "a c"), ("mot " * 100, "mat " * 100), ("été à " * 60, "ete a " * 60), ("x", "x y z w"), ("un deux trois quatre", "")]
+    df = spark.createDataFrame(cases, "a string, b string").select("a", "b", T.character_errors(F.col("a"), F.col("b")).alias("c"), T.word_errors(F.col("a"), F.col("b")).alias("w"), T.word_count(F.col("a")).alias("n"))
+    for r in df.collect():
+        assert r.c == sum(distance(r.a[k : k + 200], r.b[k : k + 200]) for k in range(0, max(len(r.a), len(r.b), 1), 200))
+        x, y = r.a.split(), r.b.split()
+        assert r.n == len(x) and r.w == sum(distance(x[k : k + 40], y[k : k + 40]) for k in range(0, max(len(x), len(y), 1), 40))
+
+
+def test_late_awards_and_notices(spark, tmp_path):
+    source = str(tmp_path / "awards")
+    spark.createDataFrame([(1, "w"), (7, "v")], "ref_id int, winner string").write.parquet(source)
+    stream = spark.readStream.schema("ref_id int, winner string").parquet(source)
+    known = spark.createDataFrame([(1, "objet")], "ref_id int, objet string")
+    query = ingest.late_awards(spark, stream, known).writeStream.format("memory").queryName("late").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    query.awaitTermination()
+    assert {tuple(r) for r in spark.table("late").collect()} == {(1, "w", "objet"), (7, "v", None)}
+    assert mapped(spark, minutes.is_minutes_notice, ["Un EXTRAIT DE PV", "extrait du pv", "pv", None]) == [True, True, False, None]
+
+
+def test_stream_keeps_rows_without_a_key(spark, tmp_path):
+    source, root = str(tmp_path / "in"), str(tmp_path / "root")
+    spark.createDataFrame([(None, "a"), (None, "a"), (1, "z"), (1, "b")], "k long, v string").repartition(3).write.parquet(source)
+    schema = spark.read.parquet(source).schema
+    ingest.ingest(spark, source, root, ["k"], schema).awaitTermination()
+    spark.createDataFrame([(None, "c"), (1, "a")], "k long, v string").write.mode("append").parquet(source)
+    ingest.ingest(spark, source, root, ["k"], schema).awaitTermination()
+    got = sorted((r.k or 0, r.v) for r in spark.read.parquet(f"{root}/table").collect())
+    assert got == [(0, "a"), (0, "a"), (0, "c"), (1, "b")]
+
+
+def test_scratch_goes_with_its_scope(spark):
+    import os
+
+    local = lambda p: p.removeprefix("file:")
+    with scope(spark):
+        inner = stored(spark.range(5), "inner")
+        path = local(inner.inputFiles()[0])
+        kept = stored(inner, "kept", keep=True)
+        assert os.path.exists(path.removeprefix("//"))
+    assert not os.path.exists(path.removeprefix("//")) and kept.count() == 5
+    delete(spark, scratch_path(spark, "never-there"))
+
+
+def test_guard_hides_only_absence(monkeypatch):
+    import importlib
+
+    import __spark_entry__ as entry
+
+    assert entry._there("tendril") and not entry._there("tendril_that_is_not")
+    for name in ("tendril.plans", "tendril.sources", "tendril.operators"):
+        assert entry._there(name) and importlib.import_module(name)
