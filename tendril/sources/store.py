@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, url: str, name: str, split: str | None = None, low: int = 0, high: int = 0, parts: int = 8, **options: str) -> DataFrame:
