@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tendril.llm import sentencepiece_sample as g
 from tendril.llm.textvec import U64, mix64
@@ -64,3 +65,23 @@ def test_partitions_do_not_matter(spark, sf):
     a, b = (sorted(g.encode(docs.repartition(n), 2).collect(), key=lambda r: (r.doc_id, r.sample_rank)) for n in (1, 5))
     assert [(r.doc_id, r.sample_rank, r.ids) for r in a] == [(r.doc_id, r.sample_rank, r.ids) for r in b]
     assert all(r.decoded_equal for r in a)
+
+
+def test_ids_and_clashing_columns(spark):
+    rows = [(None, "no id here"), (None, "no id here"), (1, ""), (2, "a b▁c"), (2, "a b▁c")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, decoded string, ids int")
+    out = g.encode(docs).collect()
+    assert all(r.decoded_equal for r in out) and sum(r.doc_id is None for r in out) == 4
+    assert len({tuple(r.ids) for r in out if r.doc_id is None}) == 2 == len({tuple(r.ids) for r in out if r.doc_id == 2})
+    encoded = g.encode(docs).withColumn("decoded", F.lit("clash"))
+    back = g.decode(encoded)
+    assert back.columns.count("decoded") == 1 and {r.decoded for r in back.collect()} == {"no id here", "", "a b▁c"}
+    assert g.decode(encoded.withColumn("ids", F.lit(None).cast("array<int>"))).where("decoded is not null").count() == 0
+
+
+def test_draws_reach_rare_pieces():
+    vocab = g.Vocabulary()
+    chunks = g.Chunks(vocab)
+    assert chunks.cumulative.dtype == np.float64
+    u = g.uniform(np.arange(1000, dtype=np.uint64), 0, np.zeros(1000, np.int64), 0)
+    assert 0 < u.min() and u.max() < 1 and len(np.unique(u * 2.0**53)) == 1000
