@@ -25,7 +25,10 @@ BATCH_ROWS = 1000
 
 
 def arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow with batches of BATCH_ROWS, unless the session chose a size of its own (default: 10,000)."""
+    """mapInArrow with batches of BATCH_ROWS, unless the session chose a size of its own (default: 10,000).
+
+    Spark reads the size when the plan runs, after this returns, so the session keeps the smaller one.
+    """
     conf = df.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
