@@ -10,6 +10,9 @@ the threshold shares one child on average, however deep the tree goes, and its
 chance to meet in a leaf falls like 1 / depth, not like threshold ** depth.
 Runs have orders of their own, hence are independent, and repeat until a pair
 at the threshold has met with probability `recall`; closer pairs meet more.
+A child that keeps more than STALL of its parent's sets is dense: its sets are
+alike, no token tells them apart, and it is a leaf whatever its size, and its
+parent has no second child.
 Sets that share a leaf are compared by brute force. In a leaf of LEAF sets at
 most those that agree with no other on enough orders drop out first; a leaf
 that is still larger after DEPTH splits is cut into blocks of BLOCK sets, and
@@ -34,6 +37,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +56,12 @@ DEPTH = 4
 #: A pair at the threshold fails the comparison of tokens with at most this probability.
 SKETCH_LOSS = 1e-7
 LEAF = 400
+#: The share of its parent's sets beyond which a child is dense.
+STALL = 0.6
 #: Sets of a block of a large leaf.
 BLOCK = 2048
+#: Sets that share a key, up to which their pairs are counted one by one.
+FEW = 24
 #: Ids that may be broadcast: 16 bytes each.
 BROADCAST_ROWS = 200_000
 
@@ -145,8 +153,8 @@ def sketches(docs: DataFrame, coordinates: int) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows, "doc_id long, sid long, n long, least array<long>")
 
 
-def split(nodes: DataFrame, level: int, depth: int, threshold: float) -> DataFrame:
-    """nodes: (run, path, sid, least). (run, path, sid) of the children: a path for each order a node splits on."""
+def split(nodes: DataFrame, level: int, depth: int, threshold: float, orders: range) -> DataFrame:
+    """nodes: (run, path, sid, least, above). (run, above, parent, path, sid) of the children for some of the orders a node may split on."""
     whole, more = children(threshold)
     width = whole + (more > 0)
 
@@ -156,26 +164,36 @@ def split(nodes: DataFrame, level: int, depth: int, threshold: float) -> DataFra
         chosen = F.pmod(F.xxhash64("path", F.lit(1000 + k)), F.lit(1 << 20)) < int(more * (1 << 20))
         return path if k < whole else F.when(chosen, path)
 
-    return nodes.select("run", F.explode(F.array_compact(F.array(*map(child, range(width))))).alias("path"), "sid")
+    path = child(orders[0]) if len(orders) == 1 else F.explode(F.array_compact(F.array(*map(child, orders))))
+    return nodes.select("run", "above", F.col("path").alias("parent"), path.alias("path"), "sid").where("path is not null")
 
 
-def leaves(nodes: DataFrame, runs: int, depth: int, leaf: int, threshold: float) -> DataFrame:
+def leaves(nodes: DataFrame, runs: int, depth: int, leaf: int, threshold: float, stall: float) -> DataFrame:
     """(path, sid): the leaves of each set in all runs, without sets that are alone."""
+    whole, more = children(threshold)
+    always, extra = range(whole), range(whole, whole + (more > 0))
     least = nodes.select("sid", "least")
-    at = least.select(F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), "sid", "least").withColumn("path", F.xxhash64("run"))
-    done = None
+    # above: the sets of the node that is split; the root counts as endless
+    at = least.select(F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), "sid", "least").withColumns({"path": F.xxhash64("run"), "above": F.lit(1 << 62)})
+    done = []
     for level in range(depth):
-        # a count per path, so what moves is a few numbers for each set and run
-        paths = split(at, level, depth, threshold)
-        sizes = stored(paths.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-        paths = stored(paths.join(sizes, "path"), "level")
-        last = level == depth - 1
-        found = paths.where(F.lit(last) | (F.col("size") <= leaf)).select("path", "sid")
-        done = found if done is None else done.unionByName(found)
-        large = paths.where(F.col("size") > leaf).select("run", "path", "sid")
-        if last or large.isEmpty():
-            return done
-        at = large.join(least, "sid")
+        large = []
+        # below the root, a node with a dense child needs no further one: it would hold the same sets again
+        for orders in [range(whole + len(extra))] if level == 0 else [always, extra] if extra else [always]:
+            # a count per path, so what moves is a few numbers for each set and run
+            paths = split(at, level, depth, threshold, orders)
+            sizes = stored(paths.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+            paths = stored(paths.join(sizes, "path"), "level")
+            dense = F.col("size") > stall * F.col("above")
+            ends = F.lit(level == depth - 1) | (F.col("size") <= leaf) | dense
+            done.append(paths.where(ends).select("path", "sid"))
+            large.append(paths.where(~ends).select("run", F.col("size").alias("above"), "path", "sid"))
+            if level and orders is always:
+                at = at.join(paths.where(dense).select(F.col("parent").alias("path")).distinct(), "path", "left_anti")
+        more_sets = reduce(DataFrame.unionByName, large)
+        if level == depth - 1 or more_sets.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        at = more_sets.join(least, "sid")
 
 
 def distinct_leaves(found: DataFrame) -> DataFrame:
@@ -221,7 +239,7 @@ def promising(members: DataFrame, nodes: DataFrame, threshold: float, orders: in
 
 
 def overlaps(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """How many keys each two of n sets share; keys of one set stand together, as many as its size."""
+    """How many keys each two of n sets share (the diagonal says nothing); keys of one set stand together, as many as its size."""
     n = len(sizes)
     _, column = np.unique(keys, return_inverse=True)
     member = np.repeat(np.arange(n), sizes)
@@ -231,8 +249,20 @@ def overlaps(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     order = np.argsort(column, kind="stable")
     member, column = member[order], column[order]
     common = np.zeros((n, n), np.float32)
+    often = np.bincount(column) if len(column) else np.zeros(0, np.int64)
+    first = np.concatenate(([0], np.cumsum(often)))[:-1]
+    for d in np.unique(often[often <= FEW]).tolist():  # keys of few sets, pair by pair
+        i, j = np.triu_indices(d, 1)
+        own = first[often == d]
+        for k in range(0, len(own), (1 << 22) // (d * d)):
+            at = own[k : k + (1 << 22) // (d * d), None]
+            one, two = member[at + i].ravel(), member[at + j].ravel()
+            np.add.at(common, (one, two), 1)
+            np.add.at(common, (two, one), 1)
+    many = often[column] > FEW if len(column) else np.zeros(0, bool)
+    member, column = member[many], np.unique(column[many], return_inverse=True)[1]
     wide = 2048
-    for a in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, wide):  # the others by matrix products
         lo, hi = np.searchsorted(column, (a, a + wide))
         block = np.zeros((n, min(wide, int(column[-1]) + 1 - a)), np.float32)
         block[member[lo:hi], column[lo:hi] - a] = 1
@@ -337,7 +367,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH, leaf: int = LEAF, block: int = BLOCK, stall: float = STALL) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class), n_links (documents linked to this one) and n_shingles."""
     shared_dir(docs.sparkSession)
     runs = runs_for(threshold, recall, depth)
@@ -345,7 +375,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     named = stored(sketches(docs, orders), "sketches")
     worded = named.where("n > 0")
     nodes = stored(worded.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("least").alias("least")), "nodes")
-    found = stored(leaves(nodes, runs, depth, leaf, threshold), "found")
+    found = stored(leaves(nodes, runs, depth, leaf, threshold, stall), "found")
     linked = stored(links(docs, nodes, found, orders, leaf, block, threshold), "links")
     root = components(linked.select(F.col("sid").alias("u"), F.col("root").alias("v")))
     weights = linked.groupBy("sid").agg(F.sum("weight").alias("weight"))
