@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tendril.tables import table
 
-from . import chosen_path, decontaminate, elias_fano_lm, language_zstd, license_join, lpt_shards, quality_gbt, sentencepiece_sample, toxic_segments, warc
+from . import chosen_path, decontaminate, elias_fano_lm, language_zstd, license_join, lpt_shards, lyndon_runs, quality_gbt, sentencepiece_sample, source_divergence, toxic_segments, two_fit_packing, warc
 
 
 def op1_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,19 @@ def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the runs and of the collapsed texts, whose rewritten ends repeat."""
+    return lyndon_runs.find(table(spark, sf_dir, "documents"), rewrite=True, collapsed=False).drop("runs", "collapsed")
+
+
+def op13_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return two_fit_packing.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_gbt": op1_quality_gbt,
     "op2_toxic_segments": op2_toxic_segments,
@@ -67,6 +80,9 @@ QUERIES = {
     "op8_language_zstd": op8_language_zstd,
     "op9_warc": op9_warc,
     "op10_sentencepiece_sample": op10_sentencepiece_sample,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_lyndon_runs": op12_lyndon_runs,
+    "op13_two_fit_packing": op13_two_fit_packing,
 }
 
 ORACLES: dict[str, str] = {
@@ -74,4 +90,5 @@ ORACLES: dict[str, str] = {
     "op4_decontaminate": decontaminate.oracle(),
     "op5_chosen_path": chosen_path.oracle(),
     "op9_warc": warc.oracle(),
+    "op11_source_divergence": source_divergence.oracle(),
 }
