@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .distance import edits
 from .fixed import CLEAN_TOKEN, CORRUPT_NOISE, CORRUPT_SHARE, CORRUPT_TOKENS, FIELD_ALIASES, MISSING, OWN_TEXT, PROBE_NOISE, SITE_INDEX, SITE_ROOT, TABLE_KEYWORDS, TOKEN
 
 SPACE = r"(?U)\s+"
@@ -191,30 +192,20 @@ def page_url(page: Column, flags: Column, params: dict[str, Column]) -> Column:
     return F.concat(F.lit(SITE_INDEX + "?page="), F.url_encode(page), *pairs, bare)
 
 
-def character_errors(truth: Column, read: Column, block: int = 200) -> Column:
-    """Edits between two whole texts, block by block of `block` characters, so the work grows with the length only.
+def words(text: Column) -> Column:
+    """The stretches of a text without white space."""
+    return F.filter(F.split(text, SPACE), lambda x: x != "")
 
-    Exact where errors are substitutions or stay within a block; an upper bound where text shifts over blocks.
-    """
-    parts = F.ceil(F.greatest(F.length(truth), F.length(read)) / block).cast("int")
-    at = lambda c, i: F.substr(c, i * block + 1, F.lit(block))
-    each = F.transform(F.sequence(F.lit(0), F.greatest(parts - 1, F.lit(0))), lambda i: F.levenshtein(at(truth, i), at(read, i)))
-    return F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x)
 
+def character_errors(truth: Column, read: Column) -> Column:
+    """Edits of characters between two whole texts, exactly."""
+    return edits(truth, read)
 
-def word_errors(truth: Column, read: Column, block: int = 40) -> Column:
-    """Edits between the words of two whole texts, `block` words at a time: words become characters, which are compared."""
-    one, two = (F.filter(F.split(c, SPACE), lambda x: x != "") for c in (truth, read))
-    parts = F.ceil(F.greatest(F.size(one), F.size(two)) / block).cast("int")
 
-    def edits(i: Column) -> Column:
-        a, b = (F.slice(c, i * block + 1, block) for c in (one, two))
-        known = F.array_sort(F.array_distinct(F.concat(a, b)))
-        spell = lambda c: F.array_join(F.transform(c, lambda w: F.chr(F.array_position(known, w) + 34)), "")
-        return F.levenshtein(spell(a), spell(b))
-
-    return F.aggregate(F.transform(F.sequence(F.lit(0), F.greatest(parts - 1, F.lit(0))), edits), F.lit(0).cast("long"), lambda a, x: a + x)
+def word_errors(truth: Column, read: Column) -> Column:
+    """Edits of words between two whole texts, exactly."""
+    return edits(words(truth), words(read))
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, SPACE), lambda x: x != ""))
+    return F.size(words(text))

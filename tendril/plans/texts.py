@@ -139,7 +139,13 @@ def content_hash_dedup(spark, sf_dir):
 
 READING = "SELECT doc_id, coalesce(text, '') AS a, replace(replace(coalesce(text, ''), 'e', 'c'), ' th', ' tli') AS b FROM documents"
 READ_WORDS = "list_filter(regexp_split_to_array({}, '[\\s\\p{{Z}}\\x0b\\x{{85}}\\x1c-\\x1f]+'), lambda x: x <> '')"
-SPELT = "array_to_string(list_transform({}, lambda w: chr(CAST(list_position(list_sort(list_distinct(list_concat(p.a, p.b))), w) + 34 AS INT))), '')"
+# The edit distance of word lists of one length is at most the number of places that differ, and at least the number of
+# words of one list that the other lacks; where both are equal, that is the distance.
+WORD_EDITS = f"""WITH w AS (SELECT doc_id, {READ_WORDS.format('a')} AS a, {READ_WORDS.format('b')} AS b FROM ({READING})),
+upper_bound AS (SELECT doc_id, len(a) AS n, len(list_filter(list_zip(a, b), lambda z: z[1] IS DISTINCT FROM z[2])) AS most FROM w),
+tally AS (SELECT doc_id, x, sum(d) AS d FROM (SELECT doc_id, unnest(a) AS x, 1 AS d FROM w UNION ALL SELECT doc_id, unnest(b), -1 FROM w) GROUP BY ALL),
+lower_bound AS (SELECT doc_id, greatest(sum(greatest(d, 0)), sum(greatest(-d, 0))) AS least FROM tally GROUP BY doc_id)
+SELECT doc_id, CASE WHEN most = coalesce(least, 0) THEN most END / nullif(CAST(n AS DOUBLE), 0) AS wer FROM upper_bound LEFT JOIN lower_bound USING (doc_id)"""
 
 
 def readings(spark, sf_dir):
@@ -148,14 +154,14 @@ def readings(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", truth.alias("a"), F.replace(F.replace(truth, F.lit("e"), F.lit("c")), F.lit(" th"), F.lit(" tli")).alias("b"))
 
 
-@query(f"SELECT doc_id, CAST(list_sum(list_transform(range(greatest(CAST(ceil(greatest(length(a), length(b)) / 200) AS BIGINT), 1)), lambda i: levenshtein(substr(a, i * 200 + 1, 200), substr(b, i * 200 + 1, 200)))) AS DOUBLE) / nullif(length(a), 0) AS cer FROM (SELECT doc_id, regexp_replace(a, '[^\\x00-\\x7F]', '?', 'g') AS a, regexp_replace(b, '[^\\x00-\\x7F]', '?', 'g') AS b FROM ({READING}))")
+@query(f"SELECT doc_id, CAST(levenshtein(regexp_replace(a, '[^\\x00-\\x7F]', '?', 'g'), regexp_replace(b, '[^\\x00-\\x7F]', '?', 'g')) AS DOUBLE) / nullif(length(a), 0) AS cer FROM ({READING})")
 def cer(spark, sf_dir):
     """Character error rate of a reading of each whole text; marks stand for characters beyond ASCII, whose edits engines count unlike."""
     plain = readings(spark, sf_dir).select("doc_id", *(F.regexp_replace(c, r"[^\x00-\x7F]", "?").alias(c) for c in ("a", "b")))
     return plain.select("doc_id", (T.character_errors(F.col("a"), F.col("b")).cast("double") / F.nullif(F.length("a"), F.lit(0))).alias("cer"))
 
 
-@query(f"SELECT doc_id, CAST(list_sum(list_transform(parts, lambda p: levenshtein({SPELT.format('p.a')}, {SPELT.format('p.b')}))) AS DOUBLE) / nullif(n, 0) AS wer FROM (SELECT doc_id, len(a) AS n, list_transform(range(greatest(CAST(ceil(greatest(len(a), len(b)) / 40) AS BIGINT), 1)), lambda i: {{'a': a[i * 40 + 1:i * 40 + 40], 'b': b[i * 40 + 1:i * 40 + 40]}}) AS parts FROM (SELECT doc_id, {READ_WORDS.format('a')} AS a, {READ_WORDS.format('b')} AS b FROM ({READING})))")
+@query(WORD_EDITS)
 def wer(spark, sf_dir):
     """Word error rate of the same readings."""
     return readings(spark, sf_dir).select("doc_id", (T.word_errors(F.col("a"), F.col("b")).cast("double") / F.nullif(T.word_count(F.col("a")), F.lit(0))).alias("wer"))

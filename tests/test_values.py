@@ -2,10 +2,12 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tendril.functions import distance as edit
 from tendril.functions import text as T
 from tendril.operators import documents, forest, indicators, minutes, relational, risk
 from tendril.session import delete, scope, scratch_path, stored
@@ -461,12 +463,38 @@ def test_error_rates_of_whole_texts(spark):
                 before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
         return row[-1]
 
-    cases = [("", ""), ("a b c", "a c"), ("mot " * 100, "mat " * 100), ("été à " * 60, "ete a " * 60), ("x", "x y z w"), ("un deux trois quatre", "")]
+    cases = [("", ""), ("a b c", "a c"), ("mot " * 100, "mat " * 100), ("été à " * 60, "ete a " * 60), ("x", "x y z w"), ("un deux trois quatre", ""), ("début " + "abc def " * 90, "abc def " * 95)]
     df = spark.createDataFrame(cases, "a string, b string").select("a", "b", T.character_errors(F.col("a"), F.col("b")).alias("c"), T.word_errors(F.col("a"), F.col("b")).alias("w"), T.word_count(F.col("a")).alias("n"))
     for r in df.collect():
-        assert r.c == sum(distance(r.a[k : k + 200], r.b[k : k + 200]) for k in range(0, max(len(r.a), len(r.b), 1), 200))
         x, y = r.a.split(), r.b.split()
-        assert r.n == len(x) and r.w == sum(distance(x[k : k + 40], y[k : k + 40]) for k in range(0, max(len(x), len(y), 1), 40))
+        assert (r.c, r.w, r.n) == (distance(r.a, r.b), distance(x, y), len(x))
+
+
+@pytest.mark.parametrize("band", [1, 2, 5, 63])
+def test_edit_distance_in_bands(band, monkeypatch):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    monkeypatch.setattr(edit, "FIRST_BAND", band)
+    draw = random.Random(band)
+    for _ in range(1500):
+        a = [draw.choice("abc") for _ in range(draw.randint(0, 14))]
+        b = [draw.choice("abc") for _ in range(draw.randint(0, 14))] if draw.random() < 0.5 else [draw.choice([x, x, x, "z", ""]) for x in a]
+        b = [x for x in b if x]
+        assert edit.edit_distance(a, b) == distance(a, b)
+    long = "".join(draw.choice("abcdefgh ") for _ in range(3000))
+    assert edit.edit_distance(long, long[7:] + "xyz") == 10
+    assert edit.edit_distance(long, "") == edit.edit_distance("", long) == 3000
+
+
+def test_error_rates_of_nothing(spark):
+    rows = spark.createDataFrame([(None, "a"), ("a", None), (None, None), ("", "")], "a string, b string")
+    assert [tuple(r) for r in rows.select(T.character_errors(F.col("a"), F.col("b")), T.word_errors(F.col("a"), F.col("b"))).collect()] == [(None, None)] * 3 + [(0, 0)]
 
 
 def test_late_awards_and_notices(spark, tmp_path):
