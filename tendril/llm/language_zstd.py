@@ -30,6 +30,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tendril.session import stored
+
 from .common import arrow, fold_of, is_held_out
 from .textvec import slices
 
@@ -38,6 +40,8 @@ DICT_BYTES = 110 << 10
 SAMPLE_ROWS = 500
 MAX_LANGUAGES = 200
 LEVEL = 12
+#: A dictionary's least bytes, which the format asks for; spaces fill those of languages of hardly a letter.
+LEAST_DICT = 16
 BLOCK = 8192
 #: Below this relative gap between the two smallest sizes a verdict is rejected. Set from the margins of labelled
 #: training rows on sf0.01: their 0.5 % quantile is 0.075, and all that are below 0.05 are ties of a few bytes.
@@ -67,20 +71,22 @@ def share_of(data: bytes, doc_hash: int, size: int) -> bytes:
 def fit(docs: DataFrame, folds: int = 5, held_out: int = 0, sample_rows: int = SAMPLE_ROWS, max_languages: int = MAX_LANGUAGES) -> dict[str, bytes]:
     """A dictionary for each language, from at most `sample_rows` labelled documents of each."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), folds) != held_out))
-    # at most max_languages rows
-    rows = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
-    if not rows:
+    # at most max_languages rows; ids may repeat, so their share goes by distinct ones (an estimate is enough for it)
+    found_langs = known.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("doc_id").alias("ids")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    if not found_langs:
         return {}
+    rows = {r["lang"]: r["n"] for r in found_langs}
     # about 4 * sample_rows ids of each language have a hash below its share, so the ranks below cost the same at any size
-    share = F.create_map(*(x for lang, n in rows.items() for x in (F.lit(lang), F.lit(min(1.0, (4.0 * sample_rows + 40) / n)))))
+    share = F.create_map(*(x for r in found_langs for x in (F.lit(r["lang"]), F.lit(min(1.0, (4.0 * sample_rows + 40) / r["ids"])))))
     hashed = F.xxhash64(F.col("doc_id").cast("long"))
-    near = known.select("doc_id", "lang").where(hashed.cast("double") / 2.0**64 + 0.5 <= share[F.col("lang")])
+    near = known.select("doc_id", "lang").where(hashed.cast("double") / 2.0**64 + 0.5 <= share[F.col("lang")]).distinct()
     first = Window.partitionBy("lang").orderBy(hashed, "doc_id")
-    ids = near.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= sample_rows).drop("_rank")
     # sample_rows ids per language: a size that is bounded by the parameters
-    texts = known.select("doc_id", "lang", "text").join(F.broadcast(ids.distinct()), ["doc_id", "lang"]).select("lang", "text", hashed.alias("_hash"))
+    ids = stored(near.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= sample_rows).drop("_rank"), "sampled-ids")
+    sampled = {r["lang"]: r["n"] for r in ids.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    texts = known.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text", hashed.alias("_hash"))
     size = DICT_BYTES // sample_rows
-    room = {k: max(size, DICT_BYTES // min(n, sample_rows)) for k, n in rows.items()}
+    room = {k: max(size, DICT_BYTES // n) for k, n in sampled.items()}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,8 +100,7 @@ def fit(docs: DataFrame, folds: int = 5, held_out: int = 0, sample_rows: int = S
     found: dict[str, list[bytes]] = {}
     for row in pieces.orderBy("lang", "_hash").toLocalIterator():
         found.setdefault(row.lang, []).append(bytes(row.piece))
-    joined = {k: b" ".join(found.get(k, [])) for k in sorted(rows, key=lambda k: (-rows[k], k))}
-    return {k: v for k, v in joined.items() if len(v) > 8}
+    return {k: b" ".join(found[k]).ljust(LEAST_DICT) for k in sorted(rows, key=lambda k: (-rows[k], k))}
 
 
 def encoders(dictionaries: dict[str, bytes], level: int) -> list:

@@ -119,3 +119,20 @@ def test_many_languages(spark):
     docs = spark.createDataFrame([(i, f"{'abcdefghij'[i % 10] * 3}{i} common words " * 4, names[i]) for i in range(230)], "doc_id long, text string, lang string")
     dicts = z.fit(docs, held_out=-1, max_languages=225)
     assert list(dicts) == names[:225] and z.predict(docs, dicts).count() == 230
+
+
+def test_languages_of_repeated_ids_are_learnt(spark):
+    rng = random.Random(8)
+    made = {lang: ["".join(rng.choices(letters, k=5)) for _ in range(40)] for lang, letters in {"aa": "abc", "bb": "def", "cc": "ghi", "dd": "jkl", "en": "mno"}.items()}
+    text = lambda lang: " ".join(rng.choices(made[lang], k=12))
+    rows = [(7 if zlib.crc32(b"7") % 5 else 8, text(lang), lang) for lang in ("aa", "bb", "cc", "dd") for _ in range(2500)] + [(100 + i, text("en"), "en") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    dicts = z.fit(docs)
+    assert set(dicts) == set(made)
+
+
+def test_a_language_without_letters_is_kept(spark):
+    docs = spark.createDataFrame([(1, "12 34", "xx"), (2, "words and more words", "en"), (3, "9", "xx")], "doc_id long, text string, lang string")
+    dicts = z.fit(docs, held_out=-1)
+    assert set(dicts) == {"xx", "en"}
+    assert [r.lang_pred for r in z.predict(docs, dicts).orderBy("doc_id").collect()] == ["und", "en", "und"]
