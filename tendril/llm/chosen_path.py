@@ -11,8 +11,8 @@ chance to meet in a leaf falls like 1 / depth, not like threshold ** depth.
 Runs have orders of their own, hence are independent, and repeat until a pair
 at the threshold has met with probability `recall`; closer pairs meet more.
 A child that keeps more than STALL of its parent's sets is dense: its sets are
-alike, no token tells them apart, and it is a leaf whatever its size, and its
-parent has no second child.
+alike, no token tells them apart, and it is a leaf whatever its size; below the
+root its sets get no second child of this parent, the others do.
 Sets that share a leaf are compared by brute force. In a leaf of LEAF sets at
 most those that agree with no other on enough orders drop out first; a leaf
 that is still larger after DEPTH splits is cut into blocks of BLOCK sets, and
@@ -28,8 +28,8 @@ Components over leaves come from alternating stars.
 Edge cases: a text without words is linked to nothing; one of one to four
 words is the one shingle of all its words; very long texts are one slice of
 their own; repeated rows and equal texts share a class and count as links of
-each other; a class is named by its least doc_id; a null doc_id is its own
-class, null, without links, unless an equal text with an id is there; an empty
+each other; a class is named by its least doc_id; rows without an id are
+linked like others, and a class of such rows alone has the name null; an empty
 table gives no rows; extra columns are ignored, whatever their names.
 """
 
@@ -43,10 +43,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tendril.session import shared_dir, stored
 
-from .common import arrow, grouped, map_arrow
+from .common import arrow, free_name, grouped, map_arrow
 from .textvec import ALNUM, LOWER, U64, Words, mix64, slices, text_bytes, window_hashes
 
 WIDTH = 5
@@ -178,7 +179,7 @@ def leaves(nodes: DataFrame, runs: int, depth: int, leaf: int, threshold: float,
     done = []
     for level in range(depth):
         large = []
-        # below the root, a node with a dense child needs no further one: it would hold the same sets again
+        # below the root, the sets of a dense child need no further one: it would hold the same sets again
         for orders in [range(whole + len(extra))] if level == 0 else [always, extra] if extra else [always]:
             # a count per path, so what moves is a few numbers for each set and run
             paths = split(at, level, depth, threshold, orders)
@@ -189,7 +190,7 @@ def leaves(nodes: DataFrame, runs: int, depth: int, leaf: int, threshold: float,
             done.append(paths.where(ends).select("path", "sid"))
             large.append(paths.where(~ends).select("run", F.col("size").alias("above"), "path", "sid"))
             if level and orders is always:
-                at = at.join(paths.where(dense).select(F.col("parent").alias("path")).distinct(), "path", "left_anti")
+                at = at.join(paths.where(dense).select(F.col("parent").alias("path"), "sid"), ["path", "sid"], "left_anti")
         more_sets = reduce(DataFrame.unionByName, large)
         if level == depth - 1 or more_sets.isEmpty():
             return reduce(DataFrame.unionByName, done)
@@ -312,7 +313,7 @@ def links(docs: DataFrame, nodes: DataFrame, found: DataFrame, orders: int, leaf
     members = stored(distinct_leaves(kept), "members")
     paths = members.groupBy("sid").agg(F.sort_array(F.collect_list("path")).alias("paths"))  # a few for each run
     wanted = stored(nodes.select("sid", "doc_id", "copies").join(paths, "sid"), "wanted")
-    ids = wanted.select(F.col("sid").alias("want"), "doc_id")
+    ids = wanted.where("doc_id is not null").select(F.col("sid").alias("want"), "doc_id")
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id")
@@ -324,7 +325,17 @@ def links(docs: DataFrame, nodes: DataFrame, found: DataFrame, orders: int, leaf
             same = pa.array(set_names(h, bounds).view(np.int64) == part.column("want").to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([part.column("want"), lists], ["sid", "shingles"]).filter(same)
 
+    def nameless_sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in slices(batch, "text"):
+            h, bounds = shingle_sets(part.column("text"))
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(set_names(h, bounds).view(np.int64)), lists], ["sid", "shingles"])
+
     hashed = map_arrow(texts, sets, "sid long, shingles array<long>")
+    nameless = wanted.where("doc_id is null").select("sid")
+    if not nameless.isEmpty():  # sets that only rows without an id have, each once
+        own = map_arrow(docs.where(F.col("doc_id").isNull()).select("text"), nameless_sets, "sid long, shingles array<long>")
+        hashed = hashed.unionByName(own.join(nameless, "sid", "left_semi").groupBy("sid").agg(F.first("shingles").alias("shingles")))
     rows = spread(members, block).join(wanted.select("sid", "copies", "paths"), "sid").join(hashed, "sid")
     rows = rows.select("group", "side", "sid", "copies", F.filter("paths", lambda p: p < F.col("path")).alias("earlier"), "shingles")
     rows = rows.repartition("group").sortWithinPartitions("group", "sid")
@@ -367,8 +378,8 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH, leaf: int = LEAF, block: int = BLOCK, stall: float = STALL) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class), n_links (documents linked to this one) and n_shingles."""
+def classified(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH, leaf: int = LEAF, block: int = BLOCK, stall: float = STALL) -> DataFrame:
+    """A row for each document: doc_id, class_id, n_links, n_shingles, its set (sid) and the set its class goes by (root; null without words)."""
     shared_dir(docs.sparkSession)
     runs = runs_for(threshold, recall, depth)
     orders = runs * depth * math.ceil(1 / threshold - 1e-9)
@@ -382,17 +393,43 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     classes = nodes.select("sid", "doc_id", "copies").join(root.withColumnRenamed("v", "sid"), "sid", "left").join(weights, "sid", "left")
     classes = classes.withColumn("root", F.coalesce("root", "sid"))
     heads = classes.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    classes = classes.join(heads, "root").select("sid", "class_id", (F.coalesce("weight", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = worded.select("doc_id", "sid", "n").join(classes, "sid").select("doc_id", "class_id", "n_links", F.col("n").alias("n_shingles"))
-    return out.unionByName(named.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("n").alias("n_shingles")))
+    classes = classes.join(heads, "root").select("sid", "root", "class_id", (F.coalesce("weight", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = worded.select("doc_id", "sid", "n").join(classes, "sid").select("doc_id", "class_id", "n_links", F.col("n").alias("n_shingles"), "sid", "root")
+    alone = named.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("n").alias("n_shingles"), "sid", F.lit(None).cast("long").alias("root"))
+    return out.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id (the least doc_id of the class), n_links (documents linked to this one) and n_shingles."""
+    return classified(docs, **options).select("doc_id", "class_id", "n_links", "n_shingles")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class, that of the least doc_id, with the columns of docs; rows without a doc_id stay."""
-    drop = stored(near_duplicates(docs, **options).where("doc_id <> class_id").select("doc_id").distinct(), "copies")
+    """One document of each class, that of the least doc_id, with the columns of docs; documents without words stay.
+
+    Rows of one id are one document. Rows without an id go if their class has an id, else one of them stays.
+    """
+    classes = stored(classified(docs, **options), "classes")
+    drop = classes.where("doc_id <> class_id").select("doc_id").distinct()
     if drop.count() <= BROADCAST_ROWS:
         drop = F.broadcast(drop)
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.where(F.col("doc_id").isNotNull()).join(drop, "doc_id", "left_anti").select(*docs.columns)
+    rest = docs.where(F.col("doc_id").isNull())
+    if rest.isEmpty():
+        return kept
+    sid, root = free_name(docs, "sid"), free_name(docs, "root")
+
+    def name(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in slices(batch, "text"):
+            h, bounds = shingle_sets(part.column("text"))
+            worded = pa.array(np.diff(bounds) == 0)
+            yield part.append_column(sid, pa.array(set_names(h, bounds).view(np.int64), mask=worded.to_numpy(zero_copy_only=False)))
+
+    schema = StructType([*docs.schema.fields, StructField(sid, LongType())])
+    named = map_arrow(rest, name, schema)
+    roots = classes.where("doc_id is null and class_id is null and root is not null").select(F.col("sid").alias(sid), F.col("root").alias(root)).distinct()
+    first = named.join(roots, sid).groupBy(root).agg(F.min_by(F.struct(*docs.columns), F.struct(sid, "text")).alias("first")).select("first.*")
+    return kept.unionByName(named.where(F.col(sid).isNull()).select(*docs.columns)).unionByName(first)
 
 
 def oracle(threshold: float = THRESHOLD, width: int = WIDTH) -> str:

@@ -66,6 +66,14 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
     return arrow(df, run, schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bounded_labels(labels: DataFrame, flag: str, rows: int) -> DataFrame:
     """At most `rows` labelled ids, by hash order, so no arrival order matters; ids labelled more than once take their least label."""
     one = labels.where(F.col("doc_id").isNotNull() & F.col(flag).isNotNull()).groupBy("doc_id").agg(F.min(flag).cast("int").alias(flag))

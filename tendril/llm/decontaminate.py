@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from tendril.session import scratch_path, stored
 
-from .common import arrow, map_arrow
+from .common import arrow, free_name, map_arrow
 from .textvec import ALNUM, LOWER, U64, Words, mix64, slices, text_bytes, window_hashes
 
 WIDTH = 5
@@ -306,11 +306,20 @@ def leaks_by_bucket(rows: DataFrame, asked: DataFrame, threshold: float, buckets
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without a leak, with the columns of docs; rows without an id stay."""
-    drop = stored(leaks(docs, benchmark, **options).where("doc_id is not null").select("doc_id").distinct(), "leaks")
-    if drop.count() <= BROADCAST_ROWS:
-        drop = F.broadcast(drop)
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    """The documents without a leak, with the columns of docs. Rows of one id are one document; a row without an id is one by itself."""
+
+    def clean(rows: DataFrame, key: str) -> DataFrame:
+        drop = stored(leaks(rows.select(F.col(key).alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias(key)).distinct(), "leaks")
+        if drop.count() <= BROADCAST_ROWS:
+            drop = F.broadcast(drop)
+        return rows.join(drop, key, "left_anti").select(*docs.columns)
+
+    kept = clean(docs.where(F.col("doc_id").isNotNull()), "doc_id")
+    rest = docs.where(F.col("doc_id").isNull())
+    if rest.isEmpty():
+        return kept
+    number = free_name(docs, "number")
+    return kept.unionByName(clean(stored(rest.withColumn(number, F.monotonically_increasing_id()), "without-ids"), number))
 
 
 def oracle(threshold: float = THRESHOLD, width: int = WIDTH) -> str:

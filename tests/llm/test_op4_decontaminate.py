@@ -129,3 +129,11 @@ def test_very_long_text(spark):
     docs = spark.createDataFrame([(1, item + " filler" * 2_000_000 + " " + item)], "doc_id long, text string")
     got = d.leaks(docs, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
     assert [(r.doc_id, r.item_id, r.first_word) for r in got] == [(1, 5, 0)]
+
+
+def test_a_leak_without_an_id_goes(spark):
+    item = " ".join(f"word{i}" for i in range(40))
+    rows = [(None, "before " + item + " after", 1), (None, "clean words of a text without an id", 2), (5, item, 3), (5, "clean beside a leak of one id", 4), (6, "clean", 5), (None, None, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, number int")
+    kept = d.keep_clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == docs.columns and sorted(r.number for r in kept.collect()) == [2, 5, 6]

@@ -170,3 +170,34 @@ def test_overlaps_equal_plain_counts():
         sets = [sorted(rng.sample(range(words), rng.randrange(min(words, 30) + 1))) for _ in range(n)]
         got = c.overlaps(np.array([x for s in sets for x in s], np.int64), np.array([len(s) for s in sets], np.int64))
         assert got.shape == (n, n) and all(got[a, b] == len(set(sets[a]) & set(sets[b])) for a in range(n) for b in range(n) if a != b)
+
+
+def test_recall_at_the_threshold_beside_dense_groups(spark):
+    # with the default rule on dense nodes: a group of near copies of one text, and pairs at exactly the threshold
+    pairs = 1500
+    words = lambda i, n: " ".join(f"p{i}w{k}" for k in range(n))
+    rows = [(2 * i + j, words(i, n)) for i in range(pairs) for j, n in enumerate((104, 84))] + [(10_000 + i, t) for i, t in near_copies(300) if i % 3]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    linked = c.near_duplicates(docs, leaf=1).where("doc_id < 10000 and n_links = 1").count() / 2
+    print("recall", linked / pairs)
+    assert linked >= 0.997 * pairs
+
+
+def test_rows_without_ids_are_linked(spark):
+    text = [f"w{i}" for i in range(61)]
+    near = " ".join(text[:-1])
+    other = [f"v{i}" for i in range(80)]
+    rows = [(1, " ".join(text), "a"), (None, near, "b"), (None, "a text of its own that is long enough", "c"), (None, " ".join(other), "d"), (None, " ".join(other), "d"), (None, " ".join(other[1:]), "e"), (None, "", "f"), (None, None, "g"), (7, "some other words that nobody else has", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sid string")
+    got = sorted((repr(r.doc_id), repr(r.class_id), r.n_links) for r in c.near_duplicates(docs).collect())
+    assert got == sorted([("1", "1", 1), ("None", "1", 1), ("None", "None", 0), *[("None", "None", 2)] * 3, ("None", "None", 0), ("None", "None", 0), ("7", "7", 0)])
+    kept = c.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.sid for r in kept.collect()) in (["a", "c", "d", "f", "g", "h"], ["a", "c", "e", "f", "g", "h"])
+
+
+def test_many_rows_of_one_text_without_id(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    docs = spark.createDataFrame([(None, text)] * 300 + [(None, text + " end")] * 2 + [(4, "x y z")], "doc_id long, text string").repartition(5)
+    assert {(r.class_id, r.n_links) for r in c.near_duplicates(docs).collect()} == {(None, 301), (4, 0)}
+    assert c.keep_one(docs).count() == 2

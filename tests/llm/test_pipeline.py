@@ -44,6 +44,6 @@ def test_stages_take_odd_rows(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and out.count() <= len(rows)
         assert stage(spark, docs.limit(0), SF).count() == 0
-    assert ids(chosen_path.keep_one(docs)) == {1, None, 3, 4}
+    assert ids(chosen_path.keep_one(docs)) == {1, None, 3, 4}  # the row without an id has a class of its own
     assert decontaminate.keep_clean(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).count() == len(rows)
     assert cp.STAGES[-1][1](spark, docs, SF).where("decoded_equal").count() >= len(rows)
