@@ -5,7 +5,7 @@ kept, and returns a DataFrame. run() writes each result as Parquet in the
 shared folder, reads it again for the next stage, and deletes what a stage
 wrote on its way, and its input, once its result is there.
 
-Rows without a doc_id pass all stages that keep documents; repeated rows get
+Rows without a doc_id are judged like others, each by itself; repeated rows get
 equal verdicts, and near-duplicates keep all rows of the id they keep; empty
 tables stay empty; very long texts are worked on whole; extra columns of the
 documents pass through all but the last stage, whatever their names.
@@ -32,7 +32,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, that of the least doc_id; texts without words are no duplicates."""
+    """One document of each class of near-duplicates, that of the least doc_id, or a row without one where the class has none; texts without words are no duplicates."""
     return chosen_path.keep_one(docs)
 
 
