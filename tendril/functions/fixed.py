@@ -36,13 +36,6 @@ EXCLUDED_STEMS = ["65597f99d131db2a59fabcab9bb39929f9f1f9f1ff518a1ef60e0ccdb0bfc
 STATUSES = ["native", "ocr_success", "ocr_low_confidence", "ocr_failed"]
 # fixed values: order of a record's fields
 RECORD_ORDER = ["reference", "objet", "acheteur_public", "type_annonce", "mode_passation", "categorie_principale", "lieu_execution", "estimation_dhs_ttc", "caution_provisoire", "qualifications", "domaines_activite", "allotissement", "reserve_tpe_pme", "date_mise_ligne", "date_limite_remise_plis", "lieu_ouverture_plis", "dossier_consultation_url", "refConsultation", "orgAcronyme", "source", "annee", "annee_source", "is_publicly_downloadable", "source_url", "scraped_at", "extras"]
-# fixed values: names of the search form's fields and controls
-SEARCH = "ctl0$CONTENU_PAGE$AdvancedSearch$"
-SEARCH_BUTTON, SEARCH_LABEL = "ctl0$CONTENU_PAGE$AdvancedSearch$lancerRecherche", "Lancer la recherche"
-PAGE_SIZE = "ctl0$CONTENU_PAGE$resultSearch$listePageSizeTop"
-NEXT_PAGE, LAST_PAGE = "ctl0$CONTENU_PAGE$resultSearch$PagerTop$ctl2", "ctl0$CONTENU_PAGE$resultSearch$PagerTop$ctl3"
-# fixed values: the search's code of award minutes
-MINUTES_TYPE = "5"
 # fixed values: how the client names itself
 AGENT = "tender-analytics-bot (academic project)"
 # fixed values: limits of the rule on corrupted text: tokens that it needs, malformed share, noise marks in 1,000 characters; least length of own text

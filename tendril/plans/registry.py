@@ -1,6 +1,6 @@
 """Every query by name, and the SQL that checks it."""
 
-from . import inline, tenders, texts
+from . import flows, inline, tenders, texts
 
-QUERIES: dict = tenders.QUERIES | texts.QUERIES | inline.QUERIES
-ORACLES: dict = tenders.ORACLES | texts.ORACLES | inline.ORACLES
+QUERIES: dict = tenders.QUERIES | texts.QUERIES | inline.QUERIES | flows.QUERIES
+ORACLES: dict = tenders.ORACLES | texts.ORACLES | inline.ORACLES | flows.ORACLES

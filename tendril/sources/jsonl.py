@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
@@ -14,6 +10,7 @@ from tendril.functions import text as T
 from tendril.functions.fixed import RECORD_ORDER
 from tendril.operators.relational import first_wins
 from tendril.session import delete
+from tendril.sources import sinks
 from tendril.sources.binary import stem
 
 MANIFEST = t.StructType([t.StructField(n, t.IntegerType() if n == "year" else t.StringType()) for n in ("reference", "date_publication", "year", "pdf_url", "local_path", "file_hash", "scraped_at", "categorie_principale", "mode_passation", "acheteur_public", "objet")])
@@ -38,6 +35,22 @@ def manifest_index(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return first_wins(keyed.where(usable), ["refConsultation"], [F.col("scraped_at").asc_nulls_last(), F.col("pdf_url")]), counts
 
 
+def write_index(rows: DataFrame, path: str) -> dict[str, int]:
+    """Writes the first row of each consultation as Parquet; gives the counts of usable, key-less and malformed lines, taken on the way.
+
+    One pass over the scan where manifest_index and its counts make two.
+    """
+    met = Observation()
+    ref, org = T.url_keys(F.col("pdf_url"))
+    keyed = rows.withColumns({"refConsultation": ref, "orgAcronyme": org})
+    bad = F.col("_corrupt").isNotNull() if "_corrupt" in rows.columns else F.lit(False)
+    usable = ref.isNotNull() & org.isNotNull() & ~bad
+    counts = {"usable": usable, "without_keys": ~usable & ~bad, "malformed": bad}
+    seen = keyed.observe(met, *(F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in counts.items()))
+    first_wins(seen.where(usable), ["refConsultation"], [F.col("scraped_at").asc_nulls_last(), F.col("pdf_url")]).write.parquet(path)
+    return met.get
+
+
 def append(records: DataFrame, path: str) -> None:
     """Appends records with the known fields first, in order, and all others after them."""
     known = [c for c in RECORD_ORDER if c in records.columns]
@@ -69,25 +82,16 @@ def rewrite(records: DataFrame, path: str) -> None:
     delete(spark, old)
 
 
-def write_ocr(results: DataFrame, folder: str) -> DataFrame:
-    """Writes the text and the metadata of each result (path, ocr_status, mean_confidence, text, pages) as STEM.txt and STEM.json; gives the stems.
-
-    For other programs; Spark reads results from Parquet (`results.write.parquet`).
-    """
+def ocr_files(results: DataFrame) -> DataFrame:
+    """(name, content): STEM.txt and STEM.json of each result (path, ocr_status, mean_confidence, text, pages), for a sink of files."""
     body = F.to_json(F.struct(F.col("path").alias("pdf_path"), "ocr_status", "mean_confidence", "pages"), {"ignoreNullFields": "false"})
-    rows = results.select(stem(F.col("path")).alias("stem"), "text", body.alias("body"))
-
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
-        fs.create_dir(root, recursive=True)
-        for batch in batches:
-            for name, text, meta in zip(*(batch.column(c).to_pylist() for c in ("stem", "text", "body")), strict=True):
-                for kind, value in (("txt", text or ""), ("json", meta)):
-                    with fs.open_output_stream(f"{root}/{name}.{kind}", compression=None) as out:
-                        out.write(value.encode())
-            yield batch.select(["stem"])
-
-    return rows.mapInArrow(put, "stem string")
+    one = lambda kind, value: F.struct(F.concat(stem(F.col("path")), F.lit(kind)).alias("name"), value.cast("binary").alias("content"))
+    return results.select(F.inline(F.array(one(".txt", F.coalesce("text", F.lit(""))), one(".json", body))))
+
+
+def write_ocr(results: DataFrame, folder: str) -> None:
+    """Writes the text and the metadata of each result as files, all or none, for other programs; Spark reads results from Parquet."""
+    sinks.write_files(ocr_files(results), folder)
 
 
 def ocr_pages(spark: SparkSession, path: str) -> DataFrame:

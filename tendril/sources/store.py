@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, url: str, name: str, split: str | None = None, low: int = 0, high: int = 0, parts: int = 8, **options: str) -> DataFrame:
@@ -24,3 +25,20 @@ def write_by_year(df: DataFrame, path: str, year: str = "annee", rows_a_file: in
 def read_reference(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A reference CSV with a header and a given schema; synthetic ones must say so in a column."""
     return spark.read.schema(schema).option("header", "true").option("mode", "FAILFAST").csv(path)
+
+
+def bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> DataFrame:
+    """Stores a table in the catalog in buckets of a key, sorted within, and reads it.
+
+    Tables with equal numbers of buckets join on the key without a shuffle, however often they are joined. A bucket is
+    one file, as the rows are dealt to it before.
+    """
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def manifest_details(manifest: DataFrame, details: DataFrame, fields: list[str]) -> DataFrame:
+    """The details of each consultation of the manifest's index, on refConsultation, under its own orgAcronyme where the details name one."""
+    joined = manifest.alias("m").join(details.alias("d"), "refConsultation")
+    same = F.col("d.orgAcronyme").isNull() | (F.col("d.orgAcronyme") == F.col("m.orgAcronyme"))
+    return joined.where(same).select("refConsultation", "m.orgAcronyme", "m.reference", *(f"d.{f}" for f in fields))

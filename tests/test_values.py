@@ -193,7 +193,7 @@ def fake_fetch(category, page, state):
 
 def test_portal_source(spark):
     reader = portal.PortalReader({"fetch": f"{__name__}:fake_fetch", "seconds": "0", "maxpages": "5"})
-    assert [p.name for p in reader.partitions()] == ["1", "2", "3"]
+    assert [p.name for p in reader.partitions()] == ["1", "2", "3"] and not list(portal.PortalReader({"fetch": f"{__name__}:fake_fetch", "maxpages": "-1"}).read(portal.Category("1")))
     assert list(reader.read(portal.Category("2"))) == [("2", 0, "2/0/None"), ("2", 1, "2/1/0"), ("2", 2, "2/2/1")]
     assert len(list(portal.PortalReader({"fetch": f"{__name__}:fake_fetch", "maxpages": "2"}).read(portal.Category("2")))) == 2
     tried, waits = [], []
@@ -209,7 +209,7 @@ FORM = """<form action="/search"><input type="hidden" name="STATE" value="s{n}">
 
 @pytest.fixture
 def site():
-    """A small portal: a search of three pages, a page that fails twice, one that always fails."""
+    """A small portal: a form, a page that fails twice, one that always fails."""
     import threading
     from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
     from urllib.parse import parse_qs
@@ -233,10 +233,7 @@ def site():
         def do_POST(self):
             form = {k: v[0] for k, v in parse_qs(self.rfile.read(int(self.headers["Content-Length"])).decode(), keep_blank_values=True).items()}
             log.append(("POST", self.path, form))
-            target, state = form.get("PRADO_POSTBACK_TARGET"), int(form["STATE"][1:])
-            state = {portal.NEXT_PAGE: state + 1, portal.LAST_PAGE: 3, None: 1}.get(target, state)
-            link = f"<a href='EntrepriseDetailConsultation&refConsultation={state}'>x</a>" if state <= 3 else ""
-            self.reply(FORM.format(n=state, size=f"<select name='{portal.PAGE_SIZE}'><option value='10'></select>", link=link))
+            self.reply(FORM.format(n=form["STATE"][1:], size="", link=""))
 
         def log_message(self, *_):
             pass
@@ -267,26 +264,6 @@ def test_client(site):
     assert web.page_url("a") == web.SITE_INDEX + "?page=a"
 
 
-def test_cursor_and_search(spark, site):
-    root, log = site
-    cursor = portal.Cursor(web.Client(0.0), f"{root}/form", size=200)
-    cursor.start({"categorie": "1"})
-    assert cursor.total == 1234 and cursor.size == 200
-    first, wider = log[1][2], log[2][2]
-    assert first[portal.SEARCH + "categorie"] == "1" and first[portal.SEARCH_BUTTON] == portal.SEARCH_LABEL and "go" not in first
-    assert wider["PRADO_POSTBACK_TARGET"] == portal.PAGE_SIZE == next(k for k in wider if "PageSize" in k) and wider[portal.PAGE_SIZE] == "200"
-    assert "refConsultation=3" in cursor.go_to(3) and not portal.has_results(cursor.next_page())
-    assert "refConsultation=3" in cursor.last_page()
-    plain = portal.Cursor(web.Client(0.0), f"{root}/form")
-    plain.load()
-    assert plain.resize(50) == plain.page and plain.size == 500  # no such control: as it was
-    found = portal.minutes_search(web.Client(0.0), f"{root}/form")
-    assert portal.has_results(found.page) and any(x[0] == "POST" and x[2].get(portal.SEARCH + "annonceType") == "5" for x in log)
-    spark.dataSource.register(portal.Portal)
-    read = spark.read.format("tender_portal").options(**{"url": f"{root}/form", "seconds": "0", "categories": "1,2", "startpage": "2", "field.annonceType": "5"}).load()
-    assert sorted((r.category, r.page) for r in read.collect()) == [("1", 1), ("1", 2), ("2", 1), ("2", 2)]
-
-
 def test_kernels_isolate_bad_files(spark):
     files = spark.createDataFrame([("a.pdf", b"junk")], "path string, content binary")
     rows = kernels.read_pages(files).collect()
@@ -338,7 +315,7 @@ def fakes(monkeypatch):
             raise TesseractError("too few characters")
         return state.osd
 
-    cv2 = SimpleNamespace(COLOR_RGB2GRAY=0, BORDER_REPLICATE=0, THRESH_BINARY=0, THRESH_OTSU=0, cvtColor=lambda x, _: x[:, :, 0], Canny=lambda x, *_: x, HoughLinesP=lambda *_, **__: state.lines, getRotationMatrix2D=lambda *a: a, warpAffine=lambda g, m, *_, **__: state.turned.append(m[1]) or g, fastNlMeansDenoising=lambda g, h: g, threshold=lambda g, *_: (0, g))
+    cv2 = SimpleNamespace(COLOR_RGB2GRAY=0, BORDER_REPLICATE=0, INTER_CUBIC=2, THRESH_BINARY=0, THRESH_OTSU=0, cvtColor=lambda x, _: x[:, :, 0], Canny=lambda x, *_: x, HoughLinesP=lambda *_, **__: state.lines, getRotationMatrix2D=lambda *a: a, warpAffine=lambda g, m, *_, **__: state.turned.append(m[1]) or g, fastNlMeansDenoising=lambda g, h: g, threshold=lambda g, *_: (0, g))
     tess = SimpleNamespace(TesseractError=TesseractError, Output=SimpleNamespace(DICT="d"), image_to_osd=osd, image_to_data=lambda *_, **__: {"conf": ["-1", 90, "80", ""]}, image_to_string=lambda image, **_: f"read {image.shape[0]}x{image.shape[1]}")
     for name, module in (("cv2", cv2), ("pytesseract", tess), ("fitz", SimpleNamespace(open=lambda **_: FakeDocument(state.pages)))):
         monkeypatch.setitem(sys.modules, name, module)
@@ -347,15 +324,18 @@ def fakes(monkeypatch):
 
 
 def ocr(fakes):
-    return list(kernels.pages_of("p", b"", "fra", 3, 300, 4000))
+    """Rows of the pages whose own text cannot be used."""
+    own = list(kernels.own_texts("p", b""))
+    return list(kernels.scans("p", b"", {n for _, n, text, error in own if error is None and len(text) <= 20 or "ROYAI]ME" in (text or "")}, "fra", 3, 300, 4000))
 
 
 def test_kernel_pages(fakes):
     healthy, broken = "Royaume du Maroc, appel d'offres ouvert", "ROYAI]ME DU i\\{AROC [[]] {{ xx yy }}"
     fakes.pages = [FakePage(f"  {healthy}\n"), FakePage(broken), FakePage(None), FakePage(" " * 50 + "court")]
     rows = ocr(fakes)
-    assert [(r[1], r[2], r[10] is None) for r in rows] == [(1, "native", True), (2, "ocr", True), (3, "ocr", False), (4, "ocr", True)]
-    assert rows[0][3] == healthy and rows[1][3:6] == ("read 2x4", 85.0, 2) and "broken text layer" in rows[2][10] and kernels.count_of(b"") == 4
+    assert [(r[1], r[2], r[10] is None) for r in rows] == [(2, "ocr", True), (4, "ocr", True)]
+    own = list(kernels.own_texts("p", b""))
+    assert own[0][2] == healthy and rows[0][3:6] == ("read 2x4", 85.0, 2) and "broken text layer" in own[2][3] and kernels.count_of(b"") == 4
     assert fakes.pages[1].asked == [300]
 
 
@@ -375,16 +355,12 @@ def test_kernel_skew_and_resolution(fakes):
     assert ocr(fakes)[0][6:8] == (0.0, False)
 
 
-def test_kernel_rule_equals_the_column_rule(spark):
-    texts = ["", "x" * 20, "x" * 21, "mot " * 30, "m0t4 x9x9 " * 15, "a{b " * 10 + "lettres " * 5, "ROYAI]ME DU i\\{AROC", "Royaume du Maroc, appel d'offres", "المملكة المغربية وزارة " * 8]
-    assert mapped(spark, T.native_usable, texts) == [kernels.usable(t) for t in texts]
-
-
 def test_ocr_results_and_sink(spark, tmp_path):
     rows = [("/in/a.pdf", 2, "ocr", "zwei", 70.0, 5, 0.1, False, 0, 0.0, None), ("/in/a.pdf", 1, "native", "eins", None, None, None, None, 0, None, None), ("/in/b.pdf", 0, "ocr", "", None, 0, None, None, 0, None, "broken")]
     got = documents.results(spark.createDataFrame(rows, kernels.PAGES))
     assert {(r.path, r.ocr_status, r.mean_confidence, r.text, len(r.pages)) for r in got.collect()} == {("/in/a.pdf", "ocr_success", 70.0, "eins\n\nzwei", 2), ("/in/b.pdf", "ocr_failed", None, "", 1)}
-    assert {r.stem for r in jsonl.write_ocr(got, str(tmp_path / "ocr")).collect()} == {"a", "b"}
+    jsonl.write_ocr(got, str(tmp_path / "ocr"))
+    assert sorted(p.name for p in (tmp_path / "ocr").iterdir() if p.suffix != ".crc") in (["_work", "a.json", "a.txt", "b.json", "b.txt"], ["a.json", "a.txt", "b.json", "b.txt"])
     assert (tmp_path / "ocr" / "a.txt").read_text() == "eins\n\nzwei"
     meta = json.loads((tmp_path / "ocr" / "a.json").read_text())
     assert list(meta) == ["pdf_path", "ocr_status", "mean_confidence", "pages"] and [p["page_number"] for p in meta["pages"]] == [1, 2] and meta["pages"][0]["error"] is None
