@@ -182,7 +182,7 @@ def leaves(nodes: DataFrame, runs: int, depth: int, leaf: int, threshold: float,
         # below the root, the sets of a dense child need no further one: it would hold the same sets again
         for orders in [range(whole + len(extra))] if level == 0 else [always, extra] if extra else [always]:
             # a count per path, so what moves is a few numbers for each set and run
-            paths = split(at, level, depth, threshold, orders)
+            paths = split(at if level == 0 else at.join(least, "sid"), level, depth, threshold, orders)
             sizes = stored(paths.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
             paths = stored(paths.join(sizes, "path"), "level")
             dense = F.col("size") > stall * F.col("above")
@@ -194,7 +194,7 @@ def leaves(nodes: DataFrame, runs: int, depth: int, leaf: int, threshold: float,
         more_sets = reduce(DataFrame.unionByName, large)
         if level == depth - 1 or more_sets.isEmpty():
             return reduce(DataFrame.unionByName, done)
-        at = more_sets.join(least, "sid")
+        at = more_sets
 
 
 def distinct_leaves(found: DataFrame) -> DataFrame:
