@@ -38,7 +38,10 @@ def _within(a: Sequence[Hashable], b: Sequence[Hashable], places: dict[Hashable,
         right, left = up | (full ^ (same | down)), same & down
         below = same >> 1
         down, up = left | (full ^ (below | right)), below & right
-        distance += not same & last
+        if not same & last:
+            distance += 1
+            if distance > k:  # it never falls along a diagonal
+                break
     return distance
 
 

@@ -157,7 +157,9 @@ def readings(spark, sf_dir):
 @query(f"SELECT doc_id, CAST(levenshtein(regexp_replace(a, '[^\\x00-\\x7F]', '?', 'g'), regexp_replace(b, '[^\\x00-\\x7F]', '?', 'g')) AS DOUBLE) / nullif(length(a), 0) AS cer FROM ({READING})")
 def cer(spark, sf_dir):
     """Character error rate of a reading of each whole text; marks stand for characters beyond ASCII, whose edits engines count unlike."""
-    plain = readings(spark, sf_dir).select("doc_id", *(F.regexp_replace(c, r"[^\x00-\x7F]", "?").alias(c) for c in ("a", "b")))
+    # dealt anew, for the work of a text grows faster than its bytes
+    dealt = readings(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    plain = dealt.select("doc_id", *(F.regexp_replace(c, r"[^\x00-\x7F]", "?").alias(c) for c in ("a", "b")))
     return plain.select("doc_id", (T.character_errors(F.col("a"), F.col("b")).cast("double") / F.nullif(F.length("a"), F.lit(0))).alias("cer"))
 
 

@@ -162,6 +162,43 @@ def test_growth_needs_the_year_before(spark):
     assert got == {("a", 2020): None, ("a", 2021): 2.0, ("a", 2023): None, ("b", 2020): None, ("b", 2021): None}
 
 
+def test_forest_equals_a_plain_walk(spark):
+    import random as r
+
+    draw = r.Random(4)
+    rows = [(i, draw.gauss(0, 1), float(draw.randint(0, 3)), None if i % 9 == 0 else draw.random()) for i in range(700)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, c double").repartition(3)
+    learnt = forest.samples(df.fillna(0.0), "k", ["a", "b", "c"], 12, 64, 7)
+    hashes = {(x.k, x.t): x.h for x in df.select("k", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("t")).select("k", "t", F.xxhash64("k", F.lit(7), "t").alias("h")).collect()}
+    for tree in range(12):  # the 64 rows of least hash under the tree's seed
+        least = sorted(rows, key=lambda x: (hashes[x[0], tree], x[0]))[:64]
+        assert learnt[tree].tolist() == [[v or 0.0 for v in x[1:]] for x in least]
+
+    def walk(tree, x):
+        node = 0
+        while tree.feature[node] >= 0:
+            node = tree.left[node] if x[tree.feature[node]] < tree.cut[node] else tree.right[node]
+        return tree.value[node]
+
+    trees = [forest.Tree.grown(learnt[k], r.Random(7 * 1_000_003 + k)) for k in range(12)]
+    want = {x[0]: 2 ** (-sum(walk(t, [v or 0.0 for v in x[1:]]) for t in trees) / 12 / forest.path_constant(64)) for x in rows}
+    got = {x.k: x.anomaly_score for x in forest.isolation_scores(df, "k", ["a", "b", "c"], trees=12, sample=64).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_forest_leaves_hold_all_rows():
+    import random as r
+
+    import numpy as np
+
+    x = np.array([[float(i % 7), float(i % 5)] for i in range(200)])
+    tree = forest.Tree.grown(x, r.Random(1))
+    depths = tree.depths(x)
+    assert (depths >= 1).all() and depths.max() <= 8 + forest.path_constant(200) and len(tree.feature) < 2 * 200
+    assert forest.Tree.grown(x[:1], r.Random(1)).depths(x).tolist() == [0.0] * 200
+    assert forest.Tree.grown(np.ones((9, 2)), r.Random(1)).depths(x)[0] == forest.path_constant(9)
+
+
 def test_forest_finds_the_outlier(spark):
     rows = [(i, float(i % 7), float(i % 5)) for i in range(200)] + [(999, 60.0, 60.0)]
     df = spark.createDataFrame(rows, "k int, a double, b double")
