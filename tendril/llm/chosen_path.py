@@ -15,10 +15,10 @@ alike, no token tells them apart, and it is a leaf whatever its size; below the
 root its sets get no second child of this parent, the others do.
 Sets that share a leaf are compared by brute force. In a leaf of LEAF sets at
 most those that agree with no other on enough orders drop out first; a leaf
-that is still larger after DEPTH splits is cut into blocks of BLOCK sets, and
-every pair of blocks is compared in a group of its own, so no task holds more
-than 2 * BLOCK sets and no pair is lost. The exact check counts common
-shingles.
+of more than BLOCK sets, or of more than BLOCK_SHINGLES shingles, is cut into
+blocks, and every pair of blocks is compared in a group of its own, so a task
+holds a bounded number of sets and shingles at once (or two very long texts),
+and no pair is lost. The exact check counts common shingles.
 
 Texts with equal shingle sets are one node from the start. Comparison emits,
 for each set, its number of links and the least set of its component in the
@@ -59,8 +59,8 @@ SKETCH_LOSS = 1e-7
 LEAF = 400
 #: The share of its parent's sets beyond which a child is dense.
 STALL = 0.6
-#: Sets of a block of a large leaf.
-BLOCK = 2048
+#: Sets, and shingles of all sets together, of a block of a large leaf.
+BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 #: Sets that share a key, up to which their pairs are counted one by one.
 FEW = 24
 #: Ids that may be broadcast: 16 bytes each.
@@ -204,12 +204,13 @@ def distinct_leaves(found: DataFrame) -> DataFrame:
     return found.join(best.select("path", "size"), "path").select("path", "sid", "size")
 
 
-def spread(members: DataFrame, block: int) -> DataFrame:
-    """(group, path, sid, side): a leaf is a group; one of more than `block` sets a group for each pair of its blocks.
+def spread(members: DataFrame, block: int, shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(group, path, sid, side): a leaf is a group; one of more than `block` sets, or `shingles` shingles if `total` counts them, a group for each pair of its blocks.
 
     side is 0 if all pairs of the group count, else 1 or 2: then those of unlike sides do.
     """
-    blocks = F.ceil(F.col("size") / block).cast("int")
+    total = F.coalesce("total", F.lit(1)) if "total" in members.columns else F.lit(1)
+    blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(total / shingles)).cast("int")
     rows = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("sid", F.lit(3)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), F.lit(0)).when(F.col("own") < F.col("other"), F.lit(1)).otherwise(2)
@@ -305,7 +306,7 @@ def compare(keys: np.ndarray, sizes: np.ndarray, copies: np.ndarray, earlier: np
     return weight, count, root, has
 
 
-def links(docs: DataFrame, nodes: DataFrame, found: DataFrame, orders: int, leaf: int, block: int, threshold: float) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, found: DataFrame, orders: int, leaf: int, block: int, shingles: int, threshold: float) -> DataFrame:
     """(sid, root, weight, n): for each set and group, its links there and the least set of its component."""
     first = stored(distinct_leaves(found), "leaves")
     small = promising(first.where(F.col("size") <= leaf), nodes, threshold, orders)
@@ -336,7 +337,8 @@ def links(docs: DataFrame, nodes: DataFrame, found: DataFrame, orders: int, leaf
     if not nameless.isEmpty():  # sets that only rows without an id have, each once
         own = map_arrow(docs.where(F.col("doc_id").isNull()).select("text"), nameless_sets, "sid long, shingles array<long>")
         hashed = hashed.unionByName(own.join(nameless, "sid", "left_semi").groupBy("sid").agg(F.first("shingles").alias("shingles")))
-    rows = spread(members, block).join(wanted.select("sid", "copies", "paths"), "sid").join(hashed, "sid")
+    long = members.join(nodes.select("sid", "n"), "sid").groupBy("path").agg(F.sum("n").alias("total")).where(F.col("total") > shingles)
+    rows = spread(members.join(long, "path", "left"), block, shingles).join(wanted.select("sid", "copies", "paths"), "sid").join(hashed, "sid")
     rows = rows.select("group", "side", "sid", "copies", F.filter("paths", lambda p: p < F.col("path")).alias("earlier"), "shingles")
     rows = rows.repartition("group").sortWithinPartitions("group", "sid")
 
@@ -378,7 +380,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def classified(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH, leaf: int = LEAF, block: int = BLOCK, stall: float = STALL) -> DataFrame:
+def classified(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH, leaf: int = LEAF, block: int = BLOCK, shingles: int = BLOCK_SHINGLES, stall: float = STALL) -> DataFrame:
     """A row for each document: doc_id, class_id, n_links, n_shingles, its set (sid) and the set its class goes by (root; null without words)."""
     shared_dir(docs.sparkSession)
     runs = runs_for(threshold, recall, depth)
@@ -387,7 +389,7 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     worded = named.where("n > 0")
     nodes = stored(worded.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("least").alias("least")), "nodes")
     found = stored(leaves(nodes, runs, depth, leaf, threshold, stall), "found")
-    linked = stored(links(docs, nodes, found, orders, leaf, block, threshold), "links")
+    linked = stored(links(docs, nodes, found, orders, leaf, block, shingles, threshold), "links")
     root = components(linked.select(F.col("sid").alias("u"), F.col("root").alias("v")))
     weights = linked.groupBy("sid").agg(F.sum("weight").alias("weight"))
     classes = nodes.select("sid", "doc_id", "copies").join(root.withColumnRenamed("v", "sid"), "sid", "left").join(weights, "sid", "left")

@@ -18,10 +18,11 @@ Votes are summed along runs of such windows, RUN shingles at a time, so their
 work space does not grow with the text or the item.
 The benchmark is a stated query set. Of at most `items` items and
 BENCHMARK_BYTES it is broadcast. A larger one is dealt to buckets of about
-`items` items: one pass over the documents finds those that hold a shingle of
-some item (a bitmap of fixed size first, then a join of shingles), and each
-such document meets the buckets whose shingles it holds, so the corpus is read
-once, whatever the size of the benchmark.
+`items` items: one pass over the documents finds those that hold one of an
+item's rarest shingles, of which a similar window holds one at least (a bitmap
+sized by the benchmark first, then a join of shingles), and each such document
+meets those items' buckets, so the corpus is read once, whatever the size of
+the benchmark, and a shingle of very many items is looked for by none of them.
 
 Edge cases: null and empty texts, and items without a word, match nothing; an
 item of fewer than five words is one shingle of all its words; a document
@@ -33,6 +34,7 @@ rows; extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -40,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tendril.session import scratch_path, stored
@@ -56,8 +58,10 @@ BLOCKS = 8
 ITEMS, BENCHMARK_BYTES, INDEX_ITEMS = 5000, 16 << 20, 1000
 #: Shingles, and windows, that are worked on at once.
 RUN, WINDOWS = 4096, 1 << 16
-#: Bits of the map of the items' shingles.
-MAP_BITS = 27
+#: Bits of the map of the items' shingles: so many for each, within these powers of two. It only saves work.
+MAP_BITS_EACH, LEAST_BITS, MOST_BITS = 16, 16, 28
+#: Parts that the texts of a bucket are dealt to.
+SHARES = 8
 #: Ids that may be broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -238,19 +242,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, i
     return arrow(rows, find, OUT)
 
 
-def item_shingles(asked: DataFrame) -> DataFrame:
-    """(name, bucket) of the items' shingles."""
+def item_shingles(asked: DataFrame, threshold: float) -> DataFrame:
+    """(name, bucket) of the shingles by which texts are sent to the items' buckets: of each item the rarest in the benchmark.
+
+    A window that is similar enough holds the item's shingles but for a share of 1 - threshold of their weight. So of any
+    shingles that weigh more than that it holds one, and the rest, common ones above all, need not be looked for.
+    """
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text"):
             counts, by_width = shingled(part.column("text"), list(range(1, WIDTH + 1)))
-            buckets = part.column("bucket").to_numpy()
-            for width, (h, _, bounds) in by_width.items():
+            buckets, items = part.column("bucket").to_numpy(), part.column("item").to_numpy()
+            for width, (h, w, bounds) in by_width.items():
                 row = np.repeat(np.arange(len(counts)), np.diff(bounds))
                 own = np.minimum(counts, WIDTH)[row] == width
-                yield pa.RecordBatch.from_arrays([pa.array(h[own].view(np.int64)), pa.array(buckets[row[own]])], ["name", "bucket"])
+                yield pa.RecordBatch.from_arrays([pa.array(items[row[own]]), pa.array(buckets[row[own]]), pa.array(h[own].view(np.int64)), pa.array(w[own].astype(np.int64))], ["item", "bucket", "name", "weight"])
 
-    return map_arrow(asked.select("text", "bucket"), run, "name long, bucket int").distinct()
+    numbered = asked.select("text", "bucket", F.xxhash64("item_id", "text").alias("item"))
+    found = stored(map_arrow(numbered, run, "item long, bucket int, name long, weight long").groupBy("item", "bucket", "name").agg(F.max("weight").alias("weight")), "items-shingles")
+    often = found.groupBy("name").agg(F.count("*").alias("often"))
+    of_item = Window.partitionBy("item", "bucket")
+    before = F.coalesce(F.sum("weight").over(of_item.orderBy("often", "name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = found.join(often, "name").select("name", "bucket", before.alias("before"), F.sum("weight").over(of_item).alias("total"))
+    return ranked.where(F.col("before") <= (1 - threshold) * F.col("total") + 1e-6).select("name", "bucket").distinct()
 
 
 def leaks_by_bucket(rows: DataFrame, asked: DataFrame, threshold: float, buckets: int) -> DataFrame:
@@ -258,11 +272,12 @@ def leaks_by_bucket(rows: DataFrame, asked: DataFrame, threshold: float, buckets
     spark = rows.sparkSession
     folder = scratch_path(spark, "benchmark")
     asked.withColumn("bucket", F.pmod(F.xxhash64("item_id", "text"), F.lit(buckets)).cast("int")).write.partitionBy("bucket").parquet(folder)
-    names = stored(item_shingles(spark.read.schema("item_id long, text string, bucket int").parquet(folder)), "item-shingles")
-    place = F.shiftrightunsigned("name", 64 - MAP_BITS)
-    words = names.select(F.shiftright(place, 6).cast("int").alias("at"), F.expr("shiftleft(1L, cast(" + f"shiftrightunsigned(name, {64 - MAP_BITS}) & 63" + " as int))").alias("bit"))
-    got = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2 ** (MAP_BITS - 6) rows at most
-    bitmap = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+    names = stored(item_shingles(spark.read.schema("item_id long, text string, bucket int").parquet(folder), threshold), "item-shingles")
+    map_bits = min(max(math.ceil(math.log2(MAP_BITS_EACH * max(names.count(), 1))), LEAST_BITS), MOST_BITS)
+    place = F.shiftrightunsigned("name", 64 - map_bits)
+    words = names.select(F.shiftright(place, 6).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(name, {64 - map_bits}) & 63 as int))").alias("bit"))
+    got = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2 ** (MOST_BITS - 6) rows at most
+    bitmap = np.zeros(1 << (map_bits - 6), np.uint64)
     bitmap[got.column("at").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
     shared = spark.sparkContext.broadcast(bitmap)
 
@@ -272,7 +287,7 @@ def leaks_by_bucket(rows: DataFrame, asked: DataFrame, threshold: float, buckets
             counts, by_width = shingled(part.column("text"), list(range(1, WIDTH + 1)))
             found: list[list[np.ndarray]] = [[] for _ in range(len(counts))]
             for h, _, bounds in by_width.values():
-                at = h >> U64(64 - MAP_BITS)
+                at = h >> U64(64 - map_bits)
                 hit = np.flatnonzero(known[(at >> U64(6)).astype(np.int64)] >> (at & U64(63)) & U64(1))
                 row = np.searchsorted(bounds, hit, side="right") - 1
                 for r in np.unique(row).tolist():
@@ -284,9 +299,10 @@ def leaks_by_bucket(rows: DataFrame, asked: DataFrame, threshold: float, buckets
 
     anchored = map_arrow(rows, probe, "doc_id long, text string, names array<long>")
     anchored = stored(anchored.withColumn("row", F.monotonically_increasing_id()), "anchored")
-    met = anchored.select("row", F.explode("names").alias("name")).join(names, "name").select("row", "bucket").distinct()
-    pairs = stored(anchored.select("row", "doc_id", "text").join(met, "row"), "met")
-    dealt = pairs.repartitionByRange("bucket", "row").sortWithinPartitions("bucket")  # a hot bucket spans tasks
+    met = stored(anchored.select("row", F.explode("names").alias("name")).join(names, "name").select("row", "bucket").distinct(), "met")
+    # texts move last, once for each bucket that they meet; a bucket that many meet spans tasks
+    share = F.pmod(F.xxhash64("row"), F.lit(SHARES)).cast("int")
+    dealt = anchored.select("row", "doc_id", "text").join(met, "row").repartition("bucket", share).sortWithinPartitions("bucket")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tendril.llm import decontaminate as d
 
@@ -137,3 +138,15 @@ def test_a_leak_without_an_id_goes(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, number int")
     kept = d.keep_clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert kept.columns == docs.columns and sorted(r.number for r in kept.collect()) == [2, 5, 6]
+
+
+def test_a_shingle_of_every_item_is_looked_for_by_none(spark):
+    common = "as an answer to the question asked above"
+    items = [(i, f"{common} " + " ".join(f"i{i}w{k}" for k in range(20))) for i in range(40)]
+    docs = [(i, f"start {t} end") for i, t in items] + [(100 + i, f"{common} and nothing else {i}") for i in range(50)] + [(200, items[3][1].replace("i3w5", "changed"))]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    asked = frames[1].withColumn("bucket", F.col("item_id").cast("int") % 4)
+    names = d.item_shingles(asked, 0.8)
+    assert names.groupBy("name").agg(F.countDistinct("bucket").alias("n")).where("n > 1").count() == 0
+    got = d.leaks(*frames, items=10)
+    assert pairs(got) == plain(docs, items) == {(i, i) for i in range(40)} | {(200, 3)}

@@ -65,6 +65,7 @@ def test_large_and_split_leaves(spark):
     assert result(docs) == want
     assert {i: v[0] for i, v in split.items()} == {i: v[0] for i, v in want.items()}
     assert sum(v[1] for v in split.values()) >= 0.999 * sum(v[1] for v in want.values())
+    assert result(docs, shingles=3000) == want  # long leaves are cut by their shingles
 
 
 def test_all_documents(spark, sf):
