@@ -105,7 +105,7 @@ def harvested_pages(spark, sf_dir):
 AWARDED = "SELECT l_orderkey AS ref_id, min(CAST(l_shipdate AS TIMESTAMP)) AS awarded FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1"
 
 
-@query(f"WITH a AS ({AWARDED}), c AS (SELECT o_orderkey AS ref_id, CAST(o_orderdate AS TIMESTAMP) AS published FROM orders), mark AS (SELECT least((SELECT max(published) FROM c), (SELECT max(awarded) FROM a)) - INTERVAL 10 DAY AS reached), j AS (SELECT c.ref_id, published, awarded FROM c LEFT JOIN a ON a.ref_id = c.ref_id AND awarded BETWEEN published AND published + INTERVAL 60 DAY) SELECT ref_id, CAST(published AS DATE) AS published, CAST(awarded AS DATE) AS awarded FROM j, mark WHERE awarded IS NOT NULL OR published + INTERVAL 60 DAY <= reached")
+@query(f"WITH a AS ({AWARDED}), c AS (SELECT o_orderkey AS ref_id, CAST(o_orderdate AS TIMESTAMP) AS published FROM orders), mark AS (SELECT least((SELECT max(published) FROM c), (SELECT max(awarded) FROM a)) - INTERVAL 10 DAY AS reached), j AS (SELECT c.ref_id, published, awarded FROM c LEFT JOIN a ON a.ref_id = c.ref_id AND awarded BETWEEN published AND published + INTERVAL 60 DAY) SELECT ref_id, CAST(published AS DATE) AS published, CAST(awarded AS DATE) AS awarded FROM j, mark WHERE awarded IS NOT NULL OR published + INTERVAL 60 DAY < reached")
 def award_outcomes(spark, sf_dir):
     """Two streams joined: awards within 60 days, and consultations that can get none any more."""
     c = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ref_id"), F.to_timestamp("o_orderdate").alias("published"))

@@ -112,8 +112,37 @@ def pieces(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(key, html).mapInArrow(run, schema)
 
 
+class Addresses(HTMLParser):
+    """The links' addresses alone: nothing is kept of a page's texts and tables."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            href = dict(attrs).get("href")
+            if href is not None:
+                self.found.append(href)
+
+
 def links(pages: DataFrame, key: str, html: str) -> DataFrame:
-    return pieces(pages, key, html).select(key, F.inline("links")).select(key, "pos", "href")
+    """(key, pos, href) of all links."""
+    schema = t.StructType([pages.schema[key], t.StructField("hrefs", t.ArrayType(t.StringType()))])
+
+    def addresses(page: str | None) -> list[str]:
+        parser = Addresses()
+        if page and "<a" in page.lower():
+            parser.feed(page)
+            parser.close()
+        return parser.found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([addresses(x) for x in batch.column(1).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], [key, "hrefs"])
+
+    return pages.select(key, html).mapInArrow(run, schema).select(key, F.posexplode("hrefs").alias("pos", "href"))
 
 
 def inventory(pages: DataFrame, key: str, html: str) -> DataFrame:
