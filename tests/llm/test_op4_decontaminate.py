@@ -143,7 +143,7 @@ def test_a_leak_without_an_id_goes(spark):
 def test_a_shingle_of_every_item_is_looked_for_by_none(spark):
     common = "as an answer to the question asked above"
     items = [(i, f"{common} " + " ".join(f"i{i}w{k}" for k in range(20))) for i in range(40)]
-    docs = [(i, f"start {t} end") for i, t in items] + [(100 + i, f"{common} and nothing else {i}") for i in range(50)] + [(200, items[3][1].replace("i3w5", "changed"))]
+    docs = [(i, f"start {t} end") for i, t in items] + [(100 + i, f"{common} and nothing else {i}") for i in range(50)] + [(200, items[3][1].replace("i3w19", "changed"))]
     frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     asked = frames[1].withColumn("bucket", F.col("item_id").cast("int") % 4)
     names = d.item_shingles(asked, 0.8)
