@@ -16,8 +16,9 @@ have enough words left (positional filter). Survivors are checked exactly,
 block by block. Only tiles with a prefix word leave their row.
 
 Templates are a table (label, notice), NOTICES by default; several notices may
-have one label. It is read by the driver, up to MAX_TEMPLATE_BYTES; a larger
-one raises. Beside the join stand the places of fixed phrases, counted in words
+have one label. The driver reads up to TEMPLATE_BYTES of them at once; a larger
+table is dealt to groups of about that size, each joined with the same stored
+words in a pass of its own, so every notice is looked for. Beside the join stand the places of fixed phrases, counted in words
 of a whole text.
 
 Edge cases: a null text is empty, has no words and no labels; one block may
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +46,8 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 THRESHOLD = 0.85
 #: A block's length over that of the notice.
 SLACK = 1.25
-#: Bytes of notices that the driver holds and tasks are sent.
-MAX_TEMPLATE_BYTES = 1 << 20
+#: Bytes of notices that the driver holds and tasks are sent at once; a notice that is longer is a group by itself.
+TEMPLATE_BYTES = 1 << 20
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -81,17 +83,25 @@ class Template:
         return self.words[: len(self.words) - self.alpha + 1]
 
 
-def templates_of(notices: list[tuple[str, str]] | DataFrame, threshold: float) -> list[Template]:
-    """Templates of a table (label, notice); raises beyond MAX_TEMPLATE_BYTES."""
-    if isinstance(notices, DataFrame):
-        size = notices.agg(F.coalesce(F.sum(F.octet_length("notice")), F.lit(0))).first()[0]
-        if size > MAX_TEMPLATE_BYTES:
-            raise ValueError(f"the notices have {size} bytes, more than {MAX_TEMPLATE_BYTES}")
-        notices = sorted((r.label, r.notice) for r in notices.select("label", "notice").dropna().collect())
+def templates_of(notices: list[tuple[str, str]], threshold: float) -> list[Template]:
+    """The templates of notices (label, notice) that have words."""
     made = [Template(i, label, notice, threshold) for i, (label, notice) in enumerate(notices)]
     return [t for t in made if t.words]
 
 
+def groups_of(notices: list[tuple[str, str]] | DataFrame, threshold: float, limit: int) -> Iterator[list[Template]]:
+    """The templates of a list, or of a table in groups of about `limit` bytes, one group after the other."""
+    if not isinstance(notices, DataFrame):
+        yield templates_of(notices, threshold)
+        return
+    rows = notices.select("label", "notice").dropna()
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("notice")), F.lit(0))).first()[0]
+    parts = 1 if size <= limit else math.ceil(2 * size / limit)
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("label", "notice"), F.lit(parts)))
+    for part in range(parts):
+        yield templates_of(sorted((r.label, r.notice) for r in dealt.where(F.col("part") == part).collect()), threshold)
+
+
 def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """How many documents hold each word of the templates."""
     found = docs.select(F.explode(F.array_intersect(words(lowered(F.col("text"))), F.array(*map(F.lit, vocabulary)))).alias("word"))
@@ -144,19 +154,35 @@ def containments(blocks: DataFrame, templates: list[Template], counts: dict[str,
     return found.select("row", "label", (F.col("overlap") / F.col("m")).alias("containment"))
 
 
-def scan(docs: DataFrame, notices: list[tuple[str, str]] | DataFrame = NOTICES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, word and phrase counts, first and last place, base labels, all labels and a score."""
-    templates = templates_of(notices, threshold)
+def candidate_tiles(text_words: Column, templates: list[Template], vocabulary: list[str]) -> Column:
+    """The tiles of a text that may hold a block of some template; null for a text without a prefix word."""
+    if not templates:
+        return F.lit(None).cast("array<array<string>>")
+    rare = F.array(*map(F.lit, sorted({w for t in templates for w in t.prefix})))
+    step, least = max(t.wide for t in templates), min(t.alpha for t in templates)
+    known = F.array(*map(F.lit, vocabulary))
+    kept = F.filter(tiles(text_words, step), lambda x: F.arrays_overlap(x, rare) & (F.size(F.array_intersect(x, known)) >= least))
+    # only documents with a prefix word of some template can hold a block that matches
+    return F.when(F.arrays_overlap(text_words, rare), kept)
+
+
+def ordered(docs: DataFrame, templates: list[Template]) -> dict[str, int]:
+    """The words' counts over all documents, by which the templates' words are put in order."""
     counts = frequencies(docs, sorted({w for t in templates for w in t.words})) if templates else {}
     for t in templates:
         t.order(counts)
-    rare = F.array(*map(F.lit, sorted({w for t in templates for w in t.prefix}))) if templates else F.array().cast("array<string>")
-    step, least = (max(t.wide for t in templates), min(t.alpha for t in templates)) if templates else (1, 1)
-    vocabulary = F.array(*map(F.lit, sorted(counts))) if templates else rare
+    return counts
+
+
+def scan(docs: DataFrame, notices: list[tuple[str, str]] | DataFrame = NOTICES, threshold: float = THRESHOLD, limit: int = TEMPLATE_BYTES) -> DataFrame:
+    """doc_id, word and phrase counts, first and last place, base labels, all labels and a score."""
+    groups = groups_of(notices, threshold, limit)
+    templates = next(groups)
+    more = next(groups, None)
+    counts = ordered(docs, templates)
     base = docs.select("doc_id", lowered(F.col("text")).alias("_text")).select("doc_id", words(F.col("_text")).alias("_words"))
     base = base.withColumn("n_words", F.size("_words").cast("long"))
     found = {label: phrase_places(F.col("_words"), F.col("n_words"), phrase) for phrase, label in PHRASES.items()}
-    kept = F.filter(tiles(F.col("_words"), step), lambda x: F.arrays_overlap(x, rare) & (F.size(F.array_intersect(x, vocabulary)) >= least))
     named = base.select(
         "doc_id",
         "n_words",
@@ -164,14 +190,22 @@ def scan(docs: DataFrame, notices: list[tuple[str, str]] | DataFrame = NOTICES,
         F.least(*(p[1] for p in found.values())).alias("first_word"),
         F.greatest(*(p[2] for p in found.values())).alias("last_word"),
         F.array_compact(F.array(*(F.when(found[label][0] > 0, F.lit(label)) for label in sorted(found)))).alias("_base"),
-        # only documents with a prefix word of some template can hold a block that matches
-        F.when(F.arrays_overlap("_words", rare), kept).alias("_tiles"),
+        candidate_tiles(F.col("_words"), templates, sorted(counts)).alias("_tiles"),
+        *([F.col("_words")] if more is not None else []),  # for the passes of further groups
     )
     rows = stored(named.withColumn("row", F.monotonically_increasing_id()), "scan")
-    blocks = rows.where(F.size("_tiles") > 0).select("row", F.explode("_tiles").alias("tile"))
-    pairs = containments(blocks, templates, counts) if templates else docs.sparkSession.createDataFrame([], "row long, label string, containment double")
+
+    def joined(tiled: Column, templates: list[Template], counts: dict[str, int]) -> DataFrame:
+        blocks = rows.select("row", tiled.alias("_tiles")).where(F.size("_tiles") > 0).select("row", F.explode("_tiles").alias("tile"))
+        return containments(blocks, templates, counts) if templates else docs.sparkSession.createDataFrame([], "row long, label string, containment double")
+
+    pairs = joined(F.col("_tiles"), templates, counts)
+    while more is not None:
+        counts = ordered(docs, more)
+        pairs = pairs.unionByName(stored(joined(candidate_tiles(F.col("_words"), more, sorted(counts)), more, counts), "matches"))
+        more = next(groups, None)
     hits = pairs.groupBy("row").agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
-    out = rows.drop("_tiles").join(hits, "row", "left")
+    out = rows.drop("_tiles", "_words").join(hits, "row", "left")
     labels = F.array_join(F.array_sort(F.array_union("_base", F.coalesce("_more", F.array().cast("array<string>")))), ",")
     score = F.when(F.size("_base") > 0, 1.0).otherwise(F.coalesce("_best", F.lit(0.0)))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("_base", ",").alias("base_labels"), labels.alias("labels"), score.alias("score"))

@@ -4,7 +4,6 @@ import math
 import random
 import re
 
-import pytest
 
 from tendril.llm import license_join as lj
 
@@ -80,8 +79,16 @@ def test_whole_notices_and_tables(spark):
     got = sorted((r.doc_id, r.labels) for r in lj.scan(texts, table).collect())
     assert got == [(1, "own"), (2, ""), (3, "")]
     assert {r.labels for r in lj.scan(texts, table.limit(0)).collect()} == {""}
-    with pytest.raises(ValueError, match="notices"):
-        lj.scan(texts, spark.createDataFrame([("x", "word " * 300_000)], "label string, notice string"))
+
+
+def test_notices_in_groups(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    table = spark.createDataFrame(lj.NOTICES + [("long", " ".join(f"clause{i}" for i in range(400))), ("none", None), (None, "x"), ("empty", "...")], "label string, notice string")
+    text = "before " + " ".join(f"clause{i}" for i in range(400) if i % 20) + " after released under the MIT license"
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10**6, text), (None, None)], "doc_id long, text string"))
+    whole = sorted(map(repr, lj.scan(more, table).collect()))
+    assert sorted(map(repr, lj.scan(more, table, limit=700).collect())) == whole  # a dozen groups, one of a longer notice
+    assert len(whole) == docs.count() + 2 and sum("'long,mit'" in r or "labels='long,mit'" in r for r in whole) == 1
 
 
 def test_long_text_of_prefix_words(spark):
