@@ -19,12 +19,11 @@ distinct trigrams, packed, to their contexts' shards; bigram and context counts
 are sums of theirs. A context with more than HEAVY tokens is split by the first
 hash bits of its successors into as many parts as its count asks for; the parts
 lie in shards of their own, so no shard grows with a frequent word; a shard is a
-task. Its total
-is known from level 1. Level 1 is bounded likewise: a slice sends a word once.
+task, or several are beyond MOST_TASKS. A context's total is known from level 1. Level 1 is bounded likewise: a slice sends a word once.
 Level files lie in the shared folder under names that follow from the shard's
 number, so no list of them goes through the driver, and a retried task writes
-the same file again. Tasks map them into memory; a store without paths is read
-shard by shard.
+the same file again. Tasks map them into memory; of a store without paths they
+read shards as they need them and keep KEPT_BYTES.
 
 Words are known by 64-bit hashes, successors of a node by 32 of these bits: of
 the words that are not among a node's n successors, n / 2**32 are taken for one.
@@ -59,6 +58,10 @@ MU2, MU3 = 300.0, 100.0
 SLICE, WORD_SHARD, TRIE_SHARD = 4 << 20, 32 << 20, 12 << 20
 #: Tokens of a context beyond which it is split: about half of those of a shard.
 HEAVY = 1 << 20
+#: Tasks that the shards of a level are dealt to at most.
+MOST_TASKS = 1 << 15
+#: Bytes of levels that a task keeps of a store without paths; the least lately used go first.
+KEPT_BYTES = 256 << 20
 #: Distinct words that a task gathers before it sends them.
 GATHER = 1 << 20
 END, START, PAD = U64(1), U64(2), U64(3)
@@ -326,21 +329,27 @@ class Trie:
 
 
 class Reader:
-    """Level files as a task needs them; those mapped stay open, those of a store without paths do not."""
+    """Level files as a task needs them; those mapped stay open, of those of a store without paths KEPT_BYTES stay."""
 
     def __init__(self, trie: Trie):
-        self.trie, self.held = trie, {}
+        self.trie, self.held, self.sizes = trie, {}, {}
         self.keeps = isinstance(opened(trie.folder)[0], pafs.LocalFileSystem)
         self.heavy = Heavy(load(trie.folder, "heavy"))
 
     def parts(self, name: str, sequences: tuple[str, ...]) -> dict | None:
         if name in self.held:
+            if not self.keeps:
+                self.held[name] = self.held.pop(name)  # the last used stand last
             return self.held[name]
         got = load(self.trie.folder, name)
+        if not self.keeps:
+            self.sizes[name] = sum(x.nbytes for x in (got or {}).values() if isinstance(x, np.ndarray))
+            while self.held and sum(self.sizes.values()) > KEPT_BYTES:
+                oldest = next(iter(self.held))
+                del self.held[oldest], self.sizes[oldest]
         if got is not None:
             got = {k: part_of(k, got) for k in sequences} | {k: v for k, v in got.items() if "." not in k}
-        if self.keeps:
-            self.held[name] = got
+        self.held[name] = got
         return got
 
     def counts(self, words: np.ndarray) -> np.ndarray:
@@ -414,6 +423,14 @@ def unpacked_counts(small: np.ndarray, large: np.ndarray) -> np.ndarray:
     return out
 
 
+def dealt(sent: DataFrame, bits: int) -> DataFrame:
+    """The rows of each shard together, in order of shards: a shard a task, or several where there are more than MOST_TASKS."""
+    more = max(0, bits - MOST_TASKS.bit_length() + 1)
+    task = F.shiftright("shard", more).cast("int")
+    out = sent.repartitionById(1 << (bits - more), task)
+    return out.sortWithinPartitions("shard") if more else out
+
+
 def joined(table: pa.Table, **kinds) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in kinds.items()]
 
@@ -454,7 +471,7 @@ def build_words(train: DataFrame, folder: str, bits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(pa.array([int(x)], pa.int64()) for x in (sums[-1], len(words), counts[words == END].sum())), *binary(words[heavy], counts[heavy])], ["tokens", "types", "ends", "heavy", "counts"])
 
     sent = arrow(train, count, "shard long, words binary, counts binary, large binary")
-    return stored(arrow(sent.repartitionById(1 << bits, F.col("shard").cast("int")), total, "tokens long, types long, ends long, heavy binary, counts binary"), "level1")
+    return stored(arrow(dealt(sent, bits), total, "tokens long, types long, ends long, heavy binary, counts binary"), "level1")
 
 
 def build_trie(train: DataFrame, trie: Trie) -> DataFrame:
@@ -502,7 +519,7 @@ def build_trie(train: DataFrame, trie: Trie) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, len(contexts), len(key2), len(key3))], ["shard", "contexts", "bigrams", "trigrams"])
 
     sent = arrow(train, count, "shard long, contexts binary, runs2 binary, tails2 binary, runs3 binary, tails3 binary, counts binary, large binary")
-    return stored(arrow(sent.repartitionById(1 << bits, F.col("shard").cast("int")), merge, "shard long, contexts long, bigrams long, trigrams long"), "levels")
+    return stored(arrow(dealt(sent, bits), merge, "shard long, contexts long, bigrams long, trigrams long"), "levels")
 
 
 def build(docs: DataFrame, folds: int = 7, held_out: int = 2) -> Trie:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tendril.llm import elias_fano_lm as lm
 
@@ -143,3 +144,24 @@ def test_heavy_contexts_are_split_by_count(spark, monkeypatch):
     sizes = [len(lm.load(model.folder, f"trie-{s}")["code2"]) for s in range(1 << model.bits2) if lm.load(model.folder, f"trie-{s}") is not None]
     assert len(sizes) == 32 and max(sizes) < 0.15 * sum(sizes)  # the word "the" has half of all bigrams
     agree(lm.score(docs, model).orderBy("doc_id").collect(), plain(rows))
+
+
+def test_many_shards_a_task_and_little_kept(spark, monkeypatch, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    scores = lambda: [(*tuple(r)[:5], round(r.base_score, 6), round(r.score, 6)) for r in lm.score(docs, lm.build(docs)).orderBy("doc_id").collect()]
+    want = scores()
+    for name, value in (("WORD_SHARD", 1 << 14), ("TRIE_SHARD", 1 << 13), ("MOST_TASKS", 4)):
+        monkeypatch.setattr(lm, name, value)
+    assert lm.dealt(spark.range(3).withColumnRenamed("id", "shard"), 6).rdd.getNumPartitions() == 4
+    assert scores() == want
+    model = lm.build(docs)
+    assert model.bits2 > 4
+    # a store without paths: levels are read and few are kept
+    reader = lm.Reader(model)
+    reader.keeps = False
+    monkeypatch.setattr(lm, "KEPT_BYTES", 1 << 16)
+    block = lm.Block(pa.array([r.text for r in docs.limit(40).collect()], pa.string()))
+    whole = lm.Reader(model)
+    for a, b in zip([reader.counts(block.words), *reader.shares(block)], [whole.counts(block.words), *whole.shares(block)], strict=True):
+        assert (a == b).all()
+    assert len(whole.held) > len(reader.held) and sum(reader.sizes.values()) < 1 << 17
