@@ -4,7 +4,8 @@
 task writes into a folder of its attempt, out of sight below `_work`; the
 driver moves the files of the attempts that Spark accepted to their places when
 all tasks are done. So a task that was killed, retried or run twice leaves
-nothing of its own, and a job that fails leaves nothing at all.
+nothing of its own, and a job that fails leaves nothing at all: a task that is
+still at work when its job is given up finds the job's mark gone, and tidies up.
 
 Moves are a call a file on the driver, a few at a time side by side; outputs of
 many files do better as Parquet, and this sink is for those other programs read.
@@ -45,6 +46,13 @@ class Written(WriterCommitMessage):
 class FileWriter(DataSourceArrowWriter):
     def __init__(self, folder: str, overwrite: bool):
         self.folder, self.overwrite, self.job = folder.rstrip("/"), overwrite, uuid.uuid4().hex
+        fs, root = opened(self.folder)
+        fs.create_dir(self._work(root), recursive=True)
+        fs.open_output_stream(self._mark(root)).close()
+
+    def _mark(self, root: str) -> str:
+        """A file that is there as long as the job may succeed."""
+        return f"{self._work(root)}/open"
 
     def _work(self, root: str) -> str:
         return f"{root}/_work/{self.job}"
@@ -64,6 +72,8 @@ class FileWriter(DataSourceArrowWriter):
                     with fs.open_output_stream(place, compression=None) as out:
                         out.write(content or b"")
                     names.append(name)
+            if fs.get_file_info(self._mark(root)).type != pafs.FileType.File:
+                raise RuntimeError("the job was given up")
         except BaseException:
             self._drop(fs, attempt)
             raise
