@@ -14,7 +14,7 @@ from tendril.functions import text as T
 from tendril.operators import documents, mentions, minutes, relational
 from tendril.session import scratch_path, stored
 from tendril.sources import html, jsonl, portal, sinks, store, udtf
-from tendril.streaming import harvest
+from tendril.streaming import harvest, ingest
 from tendril.tables import table
 
 from . import tenders, texts
@@ -119,6 +119,13 @@ def award_outcomes(spark, sf_dir):
     return out.select("ref_id", F.to_date("published").alias("published"), F.to_date("awarded").alias("awarded"))
 
 
+@query("WITH e AS (SELECT time_bucket(INTERVAL 60 MINUTE, CAST(ts AS TIMESTAMP), TIMESTAMP '1970-01-01') AS start, event_type, CAST(ts AS TIMESTAMP) AS ts FROM events) SELECT start, event_type, count(*) AS n FROM e GROUP BY 1, 2 HAVING start + INTERVAL 60 MINUTE <= (SELECT max(ts) - INTERVAL 60 MINUTE FROM e)")
+def windowed_counts(spark, sf_dir):
+    """Events of a stream by hour and type, of the hours that can get none any more."""
+    stream = ingest.stream_of(spark, f"{sf_dir}/events.parquet", table(spark, sf_dir, "events").schema)
+    return drained(ingest.windowed_counts(stream), "windows").select(F.col("window.start").alias("start"), "event_type", "n")
+
+
 MANIFEST = "SELECT CAST(o_orderkey AS STRING) || '/' || o_orderstatus AS reference, CASE WHEN o_orderpriority LIKE '5%' THEN 'x' ELSE 'y?refConsultation=' || CAST(o_orderkey AS STRING) || '&orgAcronyme=o' || CAST(o_custkey % 9 AS STRING) END AS pdf_url, CAST(o_orderdate AS STRING) AS scraped_at FROM orders"
 
 

@@ -39,10 +39,14 @@ def ingest(spark: SparkSession, source: str, root: str, keys: list[str], schema:
             own = own.join(seen.select("part", *keys), ["part", *keys], "left_anti")
         own.select(*batch.columns, "part").write.mode("overwrite").partitionBy("part").parquet(f"{table}/batch={batch_id}")
 
+    return stream_of(spark, source, schema).writeStream.option("checkpointLocation", f"{root}/state").foreachBatch(append).trigger(availableNow=True).start()
+
+
+def stream_of(spark: SparkSession, source: str, schema: StructType) -> DataFrame:
+    """The Parquet files of a folder, or one file, as a stream."""
     folder, _, name = source.rstrip("/").rpartition("/")
     stream = spark.readStream.schema(schema)
-    stream = stream.parquet(source) if _status(spark, source).isDirectory() else stream.option("pathGlobFilter", name).parquet(folder)
-    return stream.writeStream.option("checkpointLocation", f"{root}/state").foreachBatch(append).trigger(availableNow=True).start()
+    return stream.parquet(source) if _status(spark, source).isDirectory() else stream.option("pathGlobFilter", name).parquet(folder)
 
 
 def ingest_once(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
