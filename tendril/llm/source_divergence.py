@@ -42,7 +42,7 @@ from .common import arrow, grouped, map_arrow
 from .textvec import LOWER, Words, byte_table, slices, text_bytes
 
 MIN_DOCS, SMOOTHING, SCALE, TERM_RANKS = 30, 5, 1_000_000_000, 50
-#: Counts a block should hold, bytes of text a slice, and terms that are hashed at once.
+#: Counts a block should hold, bytes of text a slice, and terms that are hashed or compared at once.
 BLOCK, SLICE, HASHED = 1 << 18, 1 << 22, 1 << 16
 #: Terms: runs of ASCII letters and all bytes of other characters.
 LETTERS = byte_table(lambda b: b >= 0x80 or chr(b).isalpha())
@@ -55,9 +55,13 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Whether the spans at a and b, of equal positive lengths, have equal bytes."""
-    same = data[spans(a, lengths)] == data[spans(b, lengths)]
-    return np.logical_and.reduceat(same, np.cumsum(lengths) - lengths) if len(lengths) else np.zeros(0, bool)
+    """Whether the spans at a and b, of equal positive lengths, have equal bytes; HASHED spans at a time."""
+    out = np.zeros(len(lengths), bool)
+    for k in range(0, len(lengths), HASHED):
+        own, each = slice(k, k + HASHED), lengths[k : k + HASHED]
+        same = data[spans(a[own], each)] == data[spans(b[own], each)]
+        out[own] = np.logical_and.reduceat(same, np.cumsum(each) - each)
+    return out
 
 
 def hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
