@@ -173,7 +173,10 @@ class Chunks:
         inside = np.arange(total) < end
         own = np.where(inside, codes[np.minimum(depth + np.repeat(starts, size + 1), len(codes) - 1)], 0)
         key = char_keys(own)
-        piece = np.full((total, vocab.longest), -1, np.int32)
+        # filled in place, for these are the largest arrays of a task
+        to = slice(shift, shift + total)
+        piece, log, cumulative = self.piece[to], self.log[to], self.cumulative[to]
+        piece[:], log[:], cumulative[:] = -1, NEG, 0.0
         alive, h = np.flatnonzero(inside), None
         for length, (hashes, ids) in enumerate(vocab.levels, 1):
             fits = alive + length <= end[alive]
@@ -193,7 +196,6 @@ class Chunks:
         order = order[inside[order]]
         levels = np.searchsorted(depth[order], np.arange(int(size.max()) + 1))
         ahead = np.arange(1, vocab.longest + 1)
-        log, cumulative = np.full((total, vocab.longest), NEG, np.float32), np.zeros((total, vocab.longest))
         single = np.full(total, NEG)
         single[bare] = BYTE_LOG * utf8
         for d in range(len(levels) - 2, -1, -1):
@@ -213,8 +215,7 @@ class Chunks:
             e[ahead > last[:, None]] = 2.0  # rounding never passes the last edge
             cumulative[idx] = e
         piece[bare, 0] = BYTES
-        to = slice(shift, shift + total)
-        self.end[to], self.codes[to], self.piece[to], self.log[to], self.cumulative[to] = end + shift, own, piece, log, cumulative
+        self.end[to], self.codes[to] = end + shift, own
         self.used += total
         return base[:-1] + shift
 
