@@ -35,7 +35,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentencepiece_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two segmentations of each text: their lengths, digests, scores and whether they decode to the text."""
-    out = sentencepiece_sample.encode(table(spark, sf_dir, "documents"))
+    out = sentencepiece_sample.encode(table(spark, sf_dir, "documents"), slots=1_500_000)  # alone on its executors, it may keep more
     return out.select("doc_id", "sample_rank", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "perturbed", "inclusion", "decoded_equal")
 
 

@@ -137,9 +137,9 @@ class Chunks:
     end. The rows of the tables hold the pieces that start at a slot by length.
     """
 
-    def __init__(self, vocab: Vocabulary):
-        self.vocab = vocab
-        self.clear(SLOTS)
+    def __init__(self, vocab: Vocabulary, slots: int | None = None):
+        self.vocab, self.least = vocab, slots or SLOTS
+        self.clear(self.least)
 
     def clear(self, slots: int) -> None:
         width = self.vocab.longest
@@ -153,7 +153,7 @@ class Chunks:
         known = self.names[at] == names if len(self.names) else np.zeros(len(names), bool)
         new = ~known
         if self.used + int((sizes[new] + 1).sum()) > self.room:
-            self.clear(max(SLOTS, int((sizes + 1).sum())))
+            self.clear(max(self.least, int((sizes + 1).sum())))
             known, new, at = np.zeros(len(names), bool), np.ones(len(names), bool), np.zeros(len(names), np.int64)
         out = np.empty(len(names), np.int64)
         out[known] = self.bases[at[known]]
@@ -412,13 +412,16 @@ def sample_slice(texts: list[str | None], keys: np.ndarray, chunks: Chunks, k: i
 OUT = "doc_id long, sample_rank int, ids array<int>, log_prob double, perturbed double, inclusion double, decoded_equal boolean"
 
 
-def encode(docs: DataFrame, k: int = SAMPLES, model: str = MODEL, weights: str = "ranks", seed: int = SEED) -> DataFrame:
-    """k distinct segmentations of each text; doc_id is the row key."""
+def encode(docs: DataFrame, k: int = SAMPLES, model: str = MODEL, weights: str = "ranks", seed: int = SEED, slots: int | None = None) -> DataFrame:
+    """k distinct segmentations of each text; doc_id is the row key.
+
+    slots: what a task keeps of distinct chunks, about 270 bytes each (SLOTS if not given); more of them save work.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")).alias("_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = Vocabulary(model, weights)
-        chunks = Chunks(vocab)
+        chunks = Chunks(vocab, slots)
         for batch in batches:
             for part in slices(batch, "text", 1 << 19):
                 texts = part.column("text").to_pylist()
