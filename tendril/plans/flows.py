@@ -59,10 +59,10 @@ def ocr_files(spark, sf_dir):
     """Results of documents written as files by the transactional sink, and read back."""
     p = texts.pages(spark, sf_dir).withColumn("path", F.concat(F.replace("doc", F.lit("/"), F.lit("-")), F.lit(".pdf"))).drop("doc").withColumns({"skew_angle_deg": F.lit(0.0), "deskewed": F.lit(False)})
     folder = scratch_path(spark, "ocr")
-    jsonl.write_ocr(documents.results(p), folder)
-    written = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder)
-    bytes_ = written.select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("stem"), F.col("length").alias("bytes"))
-    meta = spark.read.schema(jsonl.OCR).option("multiLine", "true").option("pathGlobFilter", "*.json").json(folder)
+    names = jsonl.write_ocr(documents.results(p), folder)
+    texts_, metas = (sinks.read_files(names.where(F.col("name").endswith(kind)), folder) for kind in (".txt", ".json"))
+    bytes_ = texts_.select(F.regexp_extract("name", r"(.+)\.txt$", 1).alias("stem"), F.octet_length("content").cast("long").alias("bytes"))
+    meta = metas.select(F.from_json(F.col("content").cast("string"), jsonl.OCR).alias("m")).select("m.pdf_path", "m.pages")
     return bytes_.join(meta.select(F.regexp_extract("pdf_path", r"(.+)\.pdf$", 1).alias("stem"), F.size("pages").cast("long").alias("pages")), "stem").select("stem", "pages", "bytes")
 
 

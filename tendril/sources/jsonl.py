@@ -89,9 +89,9 @@ def ocr_files(results: DataFrame) -> DataFrame:
     return results.select(F.inline(F.array(one(".txt", F.coalesce("text", F.lit(""))), one(".json", body))))
 
 
-def write_ocr(results: DataFrame, folder: str) -> None:
-    """Writes the text and the metadata of each result as files, all or none, for other programs; Spark reads results from Parquet."""
-    sinks.write_files(ocr_files(results), folder)
+def write_ocr(results: DataFrame, folder: str) -> DataFrame:
+    """Writes the text and the metadata of each result as files, all or none, for other programs; Spark reads results from Parquet. Gives the files' names."""
+    return sinks.write_files(ocr_files(results), folder)
 
 
 def ocr_pages(spark: SparkSession, path: str) -> DataFrame:
