@@ -128,3 +128,29 @@ def test_documents_are_stored_once(spark, tmp_path):
     assert {r.path for r in sinks.store_documents(more, folder).where("is_new").collect()} == {"u4"}
     assert len(files_of(folder)) == 3 and all(p.stat().st_mtime_ns == t for p, t in stamps.items())
     assert sinks.stored_hashes(spark, folder).where(F.length("file_hash") == 64).count() == 3
+
+
+def test_the_driver_learns_attempts_only(spark, tmp_path, monkeypatch):
+    # a staged job sends no names, lists no folder and moves nothing on the driver
+    writer = sinks.FileWriter(str(tmp_path / "out"), False, "job")
+    monkeypatch.setattr(sinks.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda: 0, "taskAttemptId": lambda: 1})))
+    import pyarrow as pa
+
+    sent = writer.write(iter([pa.RecordBatch.from_pydict({"name": [f"n{i}" for i in range(50)], "content": [b"x"] * 50})]))
+    assert sent.names == [] and sent.attempt.endswith("/0-1")
+    writer.commit([sent, None])
+    assert (tmp_path / "out/_work/job/accepted").read_text() == sent.attempt
+    monkeypatch.undo()
+    folder = str(tmp_path / "many")
+    names = sinks.write_files(spark.range(500).selectExpr("concat('s', id % 3, '/f', id) AS name", "CAST(CAST(id AS string) AS binary) AS content").repartition(6), folder)
+    assert len(files_of(folder)) == 500 and names.count() == 500
+    back = {r.name: bytes(r.content) for r in sinks.read_files(names, folder).collect()}
+    assert back == files_of(folder)
+
+
+def test_a_store_is_not_listed(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "store")
+    sinks.store_documents(spark.createDataFrame([("u1", b"one")], "path string, content binary"), folder)
+    monkeypatch.setattr(sinks, "stored_hashes", lambda *_: pytest.fail("listed"))
+    out = sinks.store_documents(spark.createDataFrame([("u1", b"one"), ("u2", b"two")], "path string, content binary"), folder)
+    assert {(r.path, r.is_new) for r in out.collect()} == {("u1", False), ("u2", True)}
