@@ -195,7 +195,9 @@ LOT_TEXT = """concat('Lot n° ', i + 1, ' : Pièce ', x.l_partkey, '\\nListe des
 def minutes_lots(spark, sf_dir):
     """One row a lot of minutes that are built of line items: offers before and after they were verified."""
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("n"), "l_returnflag")
-    whole = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    # dealt to a fixed number of tasks, for texts are many times what the lines weigh that tasks are merged by
+    dealt = table(spark, sf_dir, "lineitem").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
+    whole = dealt.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     parts = F.expr(f"array_join(transform(lines, (x, i) -> {LOT_TEXT}), '\\n')")
     text = F.concat(F.lit("Extrait du PV\nAppel d'offres ouvert n° "), F.col("l_orderkey").cast("string"), F.lit("/2024\n\n"), parts)
     out = minutes.lots(whole.select("l_orderkey", text.alias("x")), "l_orderkey", "x")

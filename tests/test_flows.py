@@ -247,3 +247,11 @@ def test_lots_of_minutes(spark):
     assert got[1, 3].statut is None and got[1, 3].offers == [] and got[1, 3].reference == "12/2024/DR"
     assert got[2, 0].concurrent_retenu == "Groupement X et Z" and [o.bidder for o in got[2, 0].offers] == ["X", "Y"]
     assert [o.bidder for o in got[5, 0].offers] == ["A"] and got[5, 7].statut is None
+
+
+def test_lots_of_minutes_are_dealt_to_a_fixed_number_of_tasks(spark, sf):
+    from tendril.plans import flows
+
+    # tasks that are merged by the size of lines would hold texts many times that size
+    plan = flows.minutes_lots(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange") == 1
