@@ -505,11 +505,32 @@ def test_edit_distance_in_bands(band, monkeypatch):
     assert edit.edit_distance(long, "") == edit.edit_distance("", long) == 3000
 
 
+def test_errors_within_words_need_no_band(monkeypatch):
+    """A long reading whose errors stay within words takes time by its length alone; one of other words is still exact."""
+    draw = random.Random(3)
+    a = " ".join("".join(draw.choice("abdefgiht") for _ in range(draw.randint(1, 9))) for _ in range(3000))
+    b = a.replace("e", "c").replace(" th", " tli")
+    want = a.count("e") + 2 * a.count(" th")
+    long = []
+    within = edit._within
+    monkeypatch.setattr(edit, "_within", lambda a, b, places, k: (long.append(len(b)) if len(b) > edit.WORD else None) or within(a, b, places, k))
+    assert edit.edit_distance(a, b) == want and not long
+    assert edit.edit_distance(a.split(), b.split()) == sum(x != y for x, y in zip(a.split(), b.split(), strict=True)) and not long
+    assert edit.edit_distance("e" * 70000, "c" * 70000) == 70000 and not long
+    assert edit.edit_distance("ab" * 100 + " x", "ba" * 100 + " x") == 2 and long
+    assert edit.edit_distance("\U0001f600e" * 100, "\U0001f600c" * 100) == 100
+
+
 def test_error_rates_of_nothing(spark):
     rows = spark.createDataFrame([(None, "a"), ("a", None), (None, None), ("", "")], "a string, b string")
     assert [tuple(r) for r in rows.select(T.character_errors(F.col("a"), F.col("b")), T.word_errors(F.col("a"), F.col("b"))).collect()] == [(None, None)] * 3 + [(0, 0)]
 
 
+def test_words_end_at_separators(spark):
+    row = spark.createDataFrame([("a\x1cb c\u2003d", "a b c d")], "a string, b string").select(T.word_errors(F.col("a"), F.col("b")), T.word_count(F.col("a"))).first()
+    assert tuple(row) == (0, 4)
+
+
 def test_late_awards_and_notices(spark, tmp_path):
     source = str(tmp_path / "awards")
     spark.createDataFrame([(1, "w"), (7, "v")], "ref_id int, winner string").write.parquet(source)
