@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
+from tendril.session import stored
+
 TREES, SAMPLE = 100, 256
 
 
@@ -86,8 +88,11 @@ def samples(clean: DataFrame, key: str, features: list[str], trees: int, sample:
 
 
 def isolation_scores(df: DataFrame, key: str, features: list[str], trees: int = TREES, sample: int = SAMPLE, seed: int = 7) -> DataFrame:
-    """key and anomaly_score in 0 to 1; null features count as 0; fewer than two rows score 0.5."""
-    clean = df.select(key, *(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features))
+    """key and anomaly_score in 0 to 1; null features count as 0; fewer than two rows score 0.5.
+
+    The features are stored once, for counting, sampling and scoring each read them.
+    """
+    clean = stored(df.select(key, *(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features)), "features")
     learnt = samples(clean, key, features, trees, sample, seed)
     size = max((len(x) for x in learnt.values()), default=0)
     if size < 2:

@@ -574,3 +574,16 @@ def test_guard_hides_only_absence(monkeypatch):
     assert entry._there("tendril") and not entry._there("tendril_that_is_not")
     for name in ("tendril.plans", "tendril.sources", "tendril.operators"):
         assert entry._there(name) and importlib.import_module(name)
+
+
+def test_isolation_forest_computes_features_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def made(x):
+        seen.add(1)
+        return float(x % 7)
+
+    scores = forest.isolation_scores(spark.range(500).select("id", made("id").alias("x")), "id", ["x"], trees=5)
+    assert scores.count() == len(scores.collect()) == 500
+    assert seen.value == 500
