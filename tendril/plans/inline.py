@@ -236,11 +236,16 @@ def listing_sql(source: str = "orders") -> str:
 UNION ALL SELECT o_orderkey, 2, '7', 'z', 'https://www.marchespublics.gov.ma/index.php?x=EntrepriseDetailConsultation&refConsultation=7&orgAcronyme=z', 'R' || CAST(o_orderkey AS VARCHAR) || '/' || o_orderstatus, NULL, NULL FROM {source} WHERE o_orderkey % 4 = 1"""
 
 
+def pages_of(spark, sf_dir, page: str):
+    """A page of each order; orders are dealt anew to tasks that are not merged, for a page's work weighs many times what its order does."""
+    dealt = table(spark, sf_dir, "orders").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.selectExpr("o_orderkey AS page_id", f"{page} AS html")
+
+
 @query(listing_sql())
 def listing_rows(spark, sf_dir):
     """Result rows of listing pages that are built from orders."""
-    shown = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS page_id", f"{X.LISTING_PAGE} AS html")
-    return html.listing_rows(shown, "page_id", "html")
+    return html.listing_rows(pages_of(spark, sf_dir, X.LISTING_PAGE), "page_id", "html")
 
 
 DETAIL_SQL = f"""SELECT o_orderkey AS page_id, CAST(o_orderdate AS DATE) AS date_limite_remise_plis, CAST(o_orderkey AS VARCHAR) || '/' || o_orderstatus AS reference, 'Travaux été ' || CAST(o_orderkey AS VARCHAR) AS objet,
@@ -252,10 +257,9 @@ CASE o_orderkey % 3 WHEN 0 THEN FALSE WHEN 1 THEN TRUE END AS is_publicly_downlo
 @query(DETAIL_SQL)
 def detail_records(spark, sf_dir):
     """Records of detail pages that are built from orders; the fields that those pages name."""
-    shown = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS page_id", f"{X.DETAIL_PAGE} AS html")
     extras = F.array_join(F.transform(F.map_entries("extras"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
     fields = ["date_limite_remise_plis", "reference", "objet", "mode_passation", "estimation_dhs_ttc", "allotissement", "dossier_consultation_url", "is_publicly_downloadable"]
-    return html.detail_records(shown, "page_id", "html").select("page_id", *fields, extras.alias("extras"))
+    return html.detail_records(pages_of(spark, sf_dir, X.DETAIL_PAGE), "page_id", "html").select("page_id", *fields, extras.alias("extras"))
 
 
 @query("SELECT p_partkey, 'https://www.marchespublics.gov.ma/index.php?page=entreprise.Avis&type=' || replace(url_encode(p_type), '%20', '+') || '&n=' || CAST(p_size AS VARCHAR) || CASE WHEN p_partkey % 2 = 0 THEN '&AllAnn&x' ELSE '' END AS url FROM part")

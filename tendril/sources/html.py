@@ -7,7 +7,9 @@ DataFrame logic on these arrays, so a page is parsed once for all uses.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -19,6 +21,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tendril.functions import text as T
 from tendril.functions.fixed import FIELD_ALIASES
 
+#: A tag of plain markup: attributes in double quotes, none in end tags; and its attributes.
+TAG = re.compile(r"""<(/)?([A-Za-z][A-Za-z0-9]*)((?(1)|(?:[ \t\r\n]+[A-Za-z][A-Za-z0-9-]*="[^"<>]*")*))[ \t\r\n]*>""")
+ATTRIBUTE = re.compile(r'([A-Za-z][A-Za-z0-9-]*)="([^"]*)"')
+#: Elements whose contents every version of the parser reads as markup.
+PLAIN = frozenset("a b body br center dd div dl dt em font form h1 h2 h3 h4 h5 h6 head hr html i img input label li ol p small span strong sub sup table tbody td tfoot th thead tr u ul".split())
 VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"])
 
 
@@ -45,6 +52,25 @@ class Pieces(HTMLParser):
         self.open: list[tuple[str, object, list[str]]] = []  # tag, what its text belongs to, text
         self.inside: list[list[str]] = []  # cells of the open rows
 
+    def read(self, page: str) -> None:
+        """A whole page. Plain markup is cut at its tags by one expression; any other page goes through the parser, with the same result."""
+        parts = TAG.split(page)
+        names, attributes = [x.lower() for x in parts[2::4]], "".join(filter(None, parts[3::4]))
+        if "<" in "".join(parts[::4]) or not PLAIN.issuperset(names) or attributes.count("&") != attributes.count("&amp;"):
+            self.feed(page)
+            self.close()
+            return
+        if parts[0]:
+            self.handle_data(unescape(parts[0]))
+        for end, tag, attrs, data in zip(parts[1::4], names, parts[3::4], parts[4::4], strict=True):
+            if end:
+                self.handle_endtag(tag)
+            else:
+                self.handle_starttag(tag, [(k.lower(), v.replace("&amp;", "&")) for k, v in ATTRIBUTE.findall(attrs)] if attrs else ())
+            if data:
+                self.handle_data(unescape(data) if "&" in data else data)
+        self.end()
+
     def handle_starttag(self, tag, attrs):
         found = dict(attrs)
         target = None
@@ -63,11 +89,11 @@ class Pieces(HTMLParser):
         self.open.append((tag, target, []))
 
     def handle_endtag(self, tag):
-        if not any(x[0] == tag for x in self.open):
+        if not (self.open and self.open[-1][0] == tag) and not any(x[0] == tag for x in self.open):
             return
         while True:
             name, target, texts = self.open.pop()
-            text = " ".join(" ".join(texts).split())
+            text = " ".join(" ".join(texts).split()) if texts else ""
             if target == "cell" and self.inside:
                 self.inside[-1].append(text)
             elif target == "line":
@@ -80,13 +106,16 @@ class Pieces(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if data.strip():
+        if bare := data.strip():
             for _, target, texts in self.open:
                 if target is not None:
-                    texts.append(data.strip())
+                    texts.append(bare)
 
     def close(self):
         super().close()
+        self.end()
+
+    def end(self):
         while self.open:
             self.handle_endtag(self.open[-1][0])
 
@@ -94,8 +123,7 @@ class Pieces(HTMLParser):
 def parsed(html: str | None) -> Pieces:
     parser = Pieces()
     if html:
-        parser.feed(html)
-        parser.close()
+        parser.read(html)
     return parser
 
 
@@ -201,7 +229,8 @@ def detail_records(pages: DataFrame, key: str, html: str) -> DataFrame:
     address, public = dossier(F.col("links"))
     blocks = pieces(pages, key, html).select(key, address.alias("url"), public.alias("public"), F.inline_outer("lines"))
     blocks = blocks.select(key, "url", "public", "pos", F.when(F.col("text") != "", label).alias("label"), value.alias("value"))
-    blocks = blocks.select(key, "url", "public", "pos", F.when(F.col("label").isNotNull(), T.normalize_label(F.col("label"))).alias("label"), T.label_field(F.col("label")).alias("field"), F.col("value").alias("raw"), T.clean_value(F.col("value")).alias("value"))
+    blocks = blocks.select(key, "url", "public", "pos", F.when(F.col("label").isNotNull(), T.normalize_label(F.col("label"))).alias("label"), F.col("value").alias("raw"), T.clean_value(F.col("value")).alias("value"))
+    blocks = blocks.withColumn("low", F.lower(F.coalesce("label", F.lit("")))).withColumn("field", T.field_of(F.col("low"))).drop("low")
     blocks = blocks.withColumn("typed", T.typed_text(F.col("field"), F.col("raw")))
     held = lambda f: (F.col("field") == f) & F.col("typed").isNotNull()
     pick = lambda f: F.min_by("typed", F.when(held(f), F.col("pos"))).alias(f)

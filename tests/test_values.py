@@ -91,6 +91,31 @@ def test_pages_are_parsed_once(spark):
         assert plan.count("MapInArrow") == 1
 
 
+def test_plain_markup_reads_as_the_parser_does(monkeypatch):
+    draw = random.Random(11)
+    bits = ["<tr>", "<td>", "</td>", "</tr>", "<TABLE>", "</table>", '<div class="a line">', "</div>", '<a href="?x&amp;y=1">', "</a>", "<br>", "<b >", "</b\n>", " mot ", "&eacute;t&eacute;", "a &amp; b", "&amp", "x > y", "\n", '<a title="t" HREF="q">', '<td class="c" >', "</p>"]
+    odd = ["<br/>", "<!-- c -->", "<a href='z'>", "1 < 2", "<script><td></script>", '<a href="?r&eacute;f">', "<td class=x>", "</td x>", "<", "<title><b></title>", '<a href="1"href="2">']
+
+    def plain(page):
+        parser = html.Pieces()
+        parser.feed(page)
+        parser.close()
+        return parser.links, parser.lines, parser.rows
+
+    for k in range(3000):
+        page = "".join(draw.choice(bits + odd * (k % 3 == 0)) for _ in range(draw.randint(0, 25)))
+        got = html.parsed(page)
+        assert (got.links, got.lines, got.rows) == plain(page), page
+    monkeypatch.setattr(html.HTMLParser, "goahead", lambda *_: 1 / 0)  # plain pages need no parser
+    assert html.parsed('<div class="line">R&eacute;f : 1</div><table><tr><td>a</td></tr></table>').lines == [{"pos": 0, "text": "Réf : 1"}]
+
+
+def test_pages_of_orders_are_dealt_to_all_tasks(spark, sf):
+    from tendril.plans import inline
+
+    assert inline.listing_rows(spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_form_state():
     page = '<form action="/go"><input name="a" value="1"><input type="checkbox" name="b"><input type="checkbox" name="c" checked><input type="submit" name="s"><select name="d"><option value="x"><option value="y" selected></select><select name="e"><option value="q"></select></form>'
     assert html.form_state(page, "http://h/p") == ({"a": "1", "c": "on", "d": "y", "e": "q"}, "http://h/go")
