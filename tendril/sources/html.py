@@ -229,9 +229,13 @@ def detail_records(pages: DataFrame, key: str, html: str) -> DataFrame:
     address, public = dossier(F.col("links"))
     blocks = pieces(pages, key, html).select(key, address.alias("url"), public.alias("public"), F.inline_outer("lines"))
     blocks = blocks.select(key, "url", "public", "pos", F.when(F.col("text") != "", label).alias("label"), value.alias("value"))
-    blocks = blocks.select(key, "url", "public", "pos", F.when(F.col("label").isNotNull(), T.normalize_label(F.col("label"))).alias("label"), F.col("value").alias("raw"), T.clean_value(F.col("value")).alias("value"))
+    blocks = blocks.select(key, "url", "public", "pos", F.when(F.col("label").isNotNull(), T.normalize_label(F.col("label"))).alias("label"), F.col("value").alias("raw"), T.squeeze(F.col("value")).alias("value"))
+    # a column for each step, for an expression that names a step twice computes it twice
+    blocks = blocks.withColumn("value", T.undecorated(F.col("value"))).withColumn("value", T.present(F.col("value")))
     blocks = blocks.withColumn("low", F.lower(F.coalesce("label", F.lit("")))).withColumn("field", T.field_of(F.col("low"))).drop("low")
-    blocks = blocks.withColumn("typed", T.typed_text(F.col("field"), F.col("raw")))
+    blocks = blocks.withColumn("amount", T.amount_digits(F.when(F.col("field").isin(*T.AMOUNTS), F.col("value")))).withColumn("amount", T.amount_bare(F.col("amount"))).withColumn("amount", T.amount_of(F.col("amount")))
+    blocks = blocks.withColumn("day", T.parse_date(F.when(F.col("field") == "date_limite_remise_plis", F.col("raw")))).withColumn("flag", F.lower(F.when(F.col("field").isin(*T.FLAGS), F.col("value"))))
+    blocks = blocks.withColumn("typed", T.typed_text(*map(F.col, ("field", "value", "amount", "day")), T.flag_of(F.col("flag"))))
     held = lambda f: (F.col("field") == f) & F.col("typed").isNotNull()
     pick = lambda f: F.min_by("typed", F.when(held(f), F.col("pos"))).alias(f)
     unknown = F.col("field").isNull() & F.col("value").isNotNull() & (F.col("label") != "")

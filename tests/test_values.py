@@ -110,6 +110,11 @@ def test_plain_markup_reads_as_the_parser_does(monkeypatch):
     assert html.parsed('<div class="line">R&eacute;f : 1</div><table><tr><td>a</td></tr></table>').lines == [{"pos": 0, "text": "Réf : 1"}]
 
 
+def test_each_step_of_an_amount_is_computed_once(spark):
+    plan = html.detail_records(one_page(spark, DETAIL), "page_id", "html")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^0-9,.") == 1
+
+
 def test_pages_of_orders_are_dealt_to_all_tasks(spark, sf):
     from tendril.plans import inline
 
