@@ -134,6 +134,45 @@ def test_first_rows_in_any_order():
         assert [(r.page, r.pos) for r in got] == want and len({r.key for r in got}) == len(got)
 
 
+@pytest.mark.parametrize("quota,oldest", [(4, None), (4, dt.date(2024, 1, 20)), (30, dt.date(2024, 1, 12)), (1, dt.date(2030, 1, 1))])
+def test_needed_rows_are_enough(spark, monkeypatch, quota, oldest):
+    import random
+
+    monkeypatch.setattr(harvest, "LOOKED", 60)
+    monkeypatch.setattr(harvest, "HELD", 200)
+    draw = random.Random(5)
+    rows = []
+    for category in (*map(str, range(40)), None):
+        for pos in range(draw.randint(1, 60)):
+            page = pos // draw.choice([3, 4])
+            day = dt.date(2024, 1, 28) - dt.timedelta(days=2 * page + draw.randint(0, 6)) if draw.random() < 0.7 else None
+            rows.append((category, draw.randint(0, 25), page, pos, day))
+    draw.shuffle(rows)
+    few = harvest.needed(listed(spark, rows).repartition(3), "category", "ref_id", "page", ["page", "pos"], quota, oldest and "published")
+    got = list(map(tuple, few.collect()))
+    assert set(got) <= set(rows) and len(got) < len(rows)
+    assert sequential(got, quota, oldest) == sequential(rows, quota, oldest)
+
+
+def test_one_category_gets_few_rows_of_a_large_batch(spark, tmp_path):
+    rows = spark.range(200_000, numPartitions=4).selectExpr("'a' AS category", "(id * 7919) % 200000 AS ref_id", "id")
+    rows = rows.selectExpr("category", "ref_id", "ref_id div 10 AS page", "CAST(ref_id % 10 AS INT) AS pos", "date_sub(DATE '2024-01-31', CAST(ref_id div 10000 AS INT)) AS published")
+    rows.write.parquet(str(tmp_path / "in"))
+    cursor = ("category", "ref_id", "page", ["page", "pos"], 25)
+    assert harvest.needed(rows, *cursor, "published").count() <= 4 * (25 + 26)  # by task a quota, and a row for each page up to its end
+    stream = harvest.harvest(spark.readStream.schema(LISTED).parquet(str(tmp_path / "in")), *cursor, "published", dt.date(2024, 1, 10))
+    assert "MapInArrow" in stream._jdf.queryExecution().logical().toString()  # and the stream goes through it
+    drain(stream, tmp_path / "out")
+    assert sorted(r[1] for r in result(spark, stream, tmp_path / "out")) == list(range(25))
+
+
+def test_rows_without_a_place_come_last():
+    from pyspark.sql import Row
+
+    rows = [Row(page=0, pos=pos, key=key) for key, pos in enumerate([None, 2, None, 1])]
+    assert [r.key for r in harvest.first_rows(iter(rows), ["page", "pos"], "key", 3, lambda k: False)] == [3, 1, 0]
+
+
 def test_late_and_missing_awards(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     day = lambda n: start + dt.timedelta(days=n)
