@@ -7,7 +7,8 @@ hash order of their ids. Every sampled document gives an even share of the
 dictionary: a run of folded bytes from a place that its hash picks, so neither
 long documents nor beginnings are favoured. A text is folded to lower-case
 letters and single spaces, cut into blocks that cover all of it, and compressed
-once per language, at one level whatever its length. The relative gap between
+once per language, at one level whatever its length; a slice of texts goes
+through one dictionary after another. The relative gap between
 the best two sizes is the margin; a narrow one is rejected.
 
 Edge cases: a null text or one without a letter is `und` with score 0 and
@@ -113,6 +114,11 @@ def encoders(dictionaries: dict[str, bytes], level: int) -> list:
     return out
 
 
+def blocks_of(data: bytes) -> list[bytes]:
+    """The blocks of a folded text."""
+    return [data] if len(data) <= BLOCK else [data[k : k + BLOCK] for k in range(0, len(data), BLOCK)]
+
+
 class Classifier:
     """Compressors for all languages, the most frequent language first; sizes of one text under each."""
 
@@ -122,11 +128,23 @@ class Classifier:
 
     def __call__(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, margin)."""
-        if text is None or not self.names or not LETTER.search(text):
-            return UNDETERMINED, 0.0, 0.0
-        data = folded(text)
-        blocks = [data] if len(data) <= BLOCK else [data[k : k + BLOCK] for k in range(0, len(data), BLOCK)]
-        sizes = [sum(map(len, map(encode, blocks))) for encode in self.encoders]
+        return self.many([text])[0]
+
+    def many(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """(language, score, margin) of each text.
+
+        All texts go through one dictionary before the next is taken: its tables,
+        1.5 MB at DICT_BYTES, then stay in the processor's cache.
+        """
+        out = [(UNDETERMINED, 0.0, 0.0)] * len(texts)
+        known = [i for i, text in enumerate(texts) if text is not None and LETTER.search(text)] if self.names else []
+        blocks = [blocks_of(folded(texts[i])) for i in known]
+        sizes = [[sum(map(len, map(encode, own))) for own in blocks] for encode in self.encoders]
+        for i, own in zip(known, zip(*sizes, strict=True), strict=True):
+            out[i] = self.verdict(own)
+        return out
+
+    def verdict(self, sizes: tuple[int, ...]) -> tuple[str, float, float]:
         best = min(range(len(sizes)), key=sizes.__getitem__)
         if len(sizes) == 1:
             return self.names[0], 1.0, 1.0
@@ -143,10 +161,10 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], folds: int = 5, hel
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", is_held_out(F.col("doc_id"), folds, held_out).alias("held_out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classify = Classifier(dictionaries)
+        classify = Classifier(dictionaries).many
         for batch in batches:
             for part in slices(batch, "text"):
-                got = [classify(t) for t in part.column("text").to_pylist()]
+                got = classify(part.column("text").to_pylist())
                 names, scores, margins = (list(x) for x in zip(*got, strict=True))
                 rejected = [n == UNDETERMINED or m < min_margin for n, m in zip(names, margins, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(names), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()), pa.array(rejected)], ["doc_id", "held_out", "lang_pred", "score", "margin", "rejected"])
@@ -160,10 +178,10 @@ def keep_certain(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: fl
     place = names.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classify = Classifier(dictionaries)
+        classify = Classifier(dictionaries).many
         for batch in batches:
             for part in slices(batch, "text"):
-                got = [classify(t) for t in part.column("text").to_pylist()]
+                got = classify(part.column("text").to_pylist())
                 kept = pa.array([n != UNDETERMINED and m >= min_margin for n, _, m in got])
                 part = part.set_column(place, part.schema.field(place), pa.array([n for n, _, _ in got], part.schema.field(place).type))
                 yield part.filter(kept)

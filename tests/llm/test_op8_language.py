@@ -136,3 +136,15 @@ def test_a_language_without_letters_is_kept(spark):
     dicts = z.fit(docs, held_out=-1)
     assert set(dicts) == {"xx", "en"}
     assert [r.lang_pred for r in z.predict(docs, dicts).orderBy("doc_id").collect()] == ["und", "en", "und"]
+
+
+def test_a_slice_of_texts_goes_through_one_dictionary_after_another():
+    dicts = {"aa": b"alpha beta gamma delta " * 50, "bb": b"uno dos tres cuatro " * 50}
+    texts = ["gamma delta alpha", None, "tres cuatro dos uno", "12", "", "alpha beta gamma delta " * 2000, "tres cuatro dos uno"]
+    c, order = z.Classifier(dicts), []
+    c.encoders = [lambda data, k=k, e=e: order.append(k) or e(data) for k, e in enumerate(c.encoders)]
+    got = c.many(texts)
+    assert order == sorted(order) and len(order) == 2 * (3 + -(-(23 * 2000 - 1) // z.BLOCK))
+    assert got == [z.Classifier(dicts)(t) for t in texts]
+    assert [g[0] for g in got] == ["aa", "und", "bb", "und", "und", "aa", "bb"]
+    assert z.Classifier({}).many(texts) == [("und", 0.0, 0.0)] * 7 and c.many([]) == []
