@@ -9,7 +9,9 @@ successor has one byte, the quantised log10 of its smoothed share,
 c(uv) / (c(u) + MU2) or c(uvw) / (c(uv) + MU3), and a node of level 2 one more,
 the log10 of the mass it leaves to the shorter context, MU3 / (c(uv) + MU3). A
 query finds the context, searches v's successor place within the context's
-range, then w's within the range of (u, v), and interpolates:
+range, then w's within the range of (u, v), each time guessing places from the
+values around, for successors are hashes, whole in the low parts; and it
+interpolates:
 p(w | uv) = share(uvw) + left(uv) * (share(vw) + left(v) * p(w)), with p the
 add-one unigram law, so the probabilities of all words after a context sum to
 1; what is not in the trie has share 0 and leaves all.
@@ -67,16 +69,45 @@ GATHER = 1 << 20
 END, START, PAD = U64(1), U64(2), U64(3)
 GOLD = U64(0x9E3779B97F4A7C15)
 TAIL = U64(32)
+#: Rounds of a search in which a place is guessed from values, before ranges are halved.
+GUESSES = 8
+
+
+def distinct(codes: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct codes below `top` in order, each code's place among them, and their counts: codes and places are sorted as one number."""
+    n = len(codes)
+    bits = n.bit_length()
+    if bits + top.bit_length() > 64:
+        return np.unique(codes, return_inverse=True, return_counts=True)
+    both = np.sort((codes.astype(np.uint64) << U64(bits)) | np.arange(n, dtype=np.uint64))
+    at = (both & U64((1 << bits) - 1)).astype(np.int64)
+    both >>= U64(bits)
+    new = np.ones(n, bool)
+    new[1:] = both[1:] != both[:-1]
+    place = np.empty(n, np.int64)
+    place[at] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return both[first].astype(np.int64), place, np.diff(first, append=n)
+
+
+def distinct_hashes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in order, and each hash's place among them."""
+    found = pa.array(hashes).dictionary_encode()
+    words, own = found.dictionary.to_numpy(), found.indices.to_numpy()
+    order = np.argsort(words)
+    place = np.empty(len(words), np.int64)
+    place[order] = np.arange(len(words))
+    return words[order], place[own]
 
 
 class Block:
-    """The distinct words of a slice of texts, its tokens as places in them, and its distinct bigrams and trigrams.
+    """The distinct words of a slice of texts, its tokens as places in them, and (if asked for) its distinct bigrams and trigrams.
 
     A text is framed by START and PAD, and ends with END; each token stands for
     the bigram it ends and for the trigram it is the middle of.
     """
 
-    def __init__(self, array: pa.Array):
+    def __init__(self, array: pa.Array, grams: bool = True):
         data, offsets = text_bytes(array)
         words = Words(data, offsets, NONSPACE)
         self.n_tokens = words.counts + 1
@@ -85,31 +116,67 @@ class Block:
         inner = np.ones(len(hashes), bool)
         inner[self.at[1:] - 1] = False
         hashes[inner] = np.maximum(words.hashes(LOWER), U64(4))
-        self.words, places = np.unique(np.concatenate((np.array([START, PAD]), hashes)), return_inverse=True)
+        self.words, places = distinct_hashes(np.concatenate((np.array([START, PAD]), hashes)))
         start, pad, self.token = int(places[0]), int(places[1]), places[2:]
+        if not grams:
+            return
         before, after = np.empty_like(self.token), np.empty_like(self.token)
         before[1:], after[:-1] = self.token[:-1], self.token[1:]
         before[self.at[:-1]], after[self.at[1:] - 1] = start, pad
         self.before, n = before, len(self.words)
-        codes, self.pair_of = np.unique(before * n + self.token, return_inverse=True)
+        codes, self.pair_of, _ = distinct(before * n + self.token, n * n)
         self.u, self.v = np.divmod(codes, n)
-        codes, self.triple_of, self.count = np.unique(self.pair_of * n + after, return_inverse=True, return_counts=True)
+        codes, self.triple_of, self.count = distinct(self.pair_of * n + after, len(self.u) * n)
         self.pair, self.w = np.divmod(codes, n)
 
 
+def select_table() -> np.ndarray:
+    """The place of the k-th one of a byte b, at k * 256 + b."""
+    out = np.zeros((8, 256), np.uint8)
+    for b in range(256):
+        for k, place in enumerate(i for i in range(8) if b >> i & 1):
+            out[k, b] = place
+    return out.ravel()
+
+
+SELECT = select_table()
+FIVES, THREES, NIBBLES, BYTES, TOPS, BYTE = (U64(x) for x in (0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F, 0x0101010101010101, 0x8080808080808080, 0xFF))
+ONE, TWO, FOUR, EIGHT = U64(1), U64(2), U64(4), U64(8)
+
+
+def select(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The bit of the k-th one of each word (from 0), which has more than k: its byte by the sums of all bytes at once, its place there by a table."""
+    k = k.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        sums = words - ((words >> ONE) & FIVES)
+        sums = (sums & THREES) + ((sums >> TWO) & THREES)
+        sums = ((sums + (sums >> FOUR)) & NIBBLES) * BYTES  # byte i: the ones of bytes 0 ... i
+        place = np.bitwise_count(((k * BYTES | TOPS) - sums) & TOPS).astype(np.uint64) * EIGHT
+        k -= ((sums << EIGHT) >> place) & BYTE
+    return place.astype(np.int64) + SELECT[(k << EIGHT) | ((words >> place) & BYTE)]
+
+
+def next_one(rest: np.ndarray) -> np.ndarray:
+    """The number of zeros below each word's lowest one."""
+    with np.errstate(over="ignore"):
+        return np.bitwise_count((rest & (~rest + ONE)) - ONE).astype(np.int64)
+
+
 class EliasFano:
-    """A monotone sequence below 2**bits as high parts in unary and packed low parts."""
+    """A monotone sequence below 2**bits as high parts in unary and packed low parts, of at least `least` bits."""
 
     @staticmethod
-    def pack(values: np.ndarray, bits: int) -> dict[str, np.ndarray]:
+    def pack(values: np.ndarray, bits: int, least: int = 0) -> dict[str, np.ndarray]:
         n = len(values)
-        low = min(max(0, bits - max(n, 1).bit_length()), 56)
+        low = min(max(least, bits - max(n, 1).bit_length()), 56)
         high = (values >> U64(low)).astype(np.int64)
         size = int(high[-1]) + n + 2 if n else 2
         ones = np.zeros((size + 63) // 64 * 64, np.uint8)
         ones[high + np.arange(n)] = 1
         upper = np.packbits(ones, bitorder="little").view(np.uint64)
         zeros = np.concatenate(([0], np.cumsum(64 - np.bitwise_count(upper).astype(np.int64))))
+        if low == 32:
+            return {"shape": np.array([n, low, high[-1] if n else 0], np.int64), "upper": upper, "zeros": zeros, "lower": np.concatenate([values.astype(np.uint32).view(np.uint8), np.zeros(8, np.uint8)])}
         packed = [np.packbits((part[:, None] >> np.arange(low, dtype=np.uint64) & U64(1)).astype(np.uint8).ravel(), bitorder="little") for part in (values[a : a + (1 << 16)] for a in range(0, n, 1 << 16))] if low else []
         lower = np.concatenate([*packed, np.zeros(8, np.uint8)])  # 2**16 values fill whole bytes
         return {"shape": np.array([n, low, high[-1] if n else 0], np.int64), "upper": upper, "zeros": zeros, "lower": lower}
@@ -119,34 +186,47 @@ class EliasFano:
         self.upper, self.zeros = parts["upper"], parts["zeros"]
         self.ones = np.arange(len(self.zeros)) * 64 - self.zeros
         lower = parts["lower"]
+        self.whole = lower[: self.n * 4].view(np.uint32) if self.low == 32 else None
         self.words = np.lib.stride_tricks.as_strided(lower[:8].view(np.uint64), (max(1, len(lower) - 7),), (1,))
 
     def tails(self, at: np.ndarray) -> np.ndarray:
         """The low parts of the values at the given places."""
         if not self.low:
             return np.zeros(len(at), np.uint64)
+        if self.whole is not None:
+            return self.whole[at].astype(np.uint64)
         bit = at * self.low
         return (self.words[bit >> 3] >> (bit & 7).astype(np.uint64)) & U64((1 << self.low) - 1)
 
-    def zero(self, k: np.ndarray) -> np.ndarray:
-        """The position of the k-th zero of the upper bits (from 0)."""
+    def zero(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The word and the bit of the k-th zero of the upper bits (from 0)."""
         word = np.searchsorted(self.zeros, k, side="right") - 1
-        left = (k - self.zeros[word]).astype(np.int64)
-        free, at = ~self.upper[word], np.zeros(len(k), np.int64)
-        for width in (32, 16, 8, 4, 2, 1):
-            inside = np.bitwise_count(free & U64((1 << width) - 1)).astype(np.int64)
-            past = left >= inside
-            left -= np.where(past, inside, 0)
-            at += np.where(past, width, 0)
-            free = np.where(past, free >> U64(width), free)
-        return word * 64 + at
+        return word, select(~self.upper[word], k - self.zeros[word])
+
+    def bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the values with these high parts: the zero after the one before them mostly stands in its word."""
+        before = np.maximum(high - 1, 0)
+        word, bit = self.zero(before)
+        start = word * 64 + bit
+        rest = ~self.upper[word] >> (bit + 1).astype(np.uint64)
+        stop = start + 1 + next_one(rest)
+        far = np.flatnonzero(rest == 0)
+        if len(far):
+            word, bit = self.zero(before[far] + 1)
+            stop[far] = word * 64 + bit
+        none = high == 0
+        start, stop = np.where(none, 0, start - before), np.where(none, start, stop - high)
+        return start, np.minimum(stop, self.n)
+
+    def split(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The high parts, cut where no value is so large, and the low ones."""
+        return np.minimum(x >> U64(self.low), U64(self.top + 1)).astype(np.int64), x & U64((1 << self.low) - 1)
 
     def successor(self, x: np.ndarray) -> np.ndarray:
         """The place of the first value that is at least x."""
-        high = np.minimum(x >> U64(self.low), U64(self.top + 1)).astype(np.int64)
-        first = np.where(high > 0, self.zero(np.maximum(high - 1, 0)) - high + 1, 0)
-        last = np.minimum(self.zero(high) - high, self.n)
-        return self.halve(np.minimum(first, last), last, x & U64((1 << self.low) - 1))
+        high, tail = self.split(x)
+        first, last = self.bucket(high)
+        return self.halve(np.minimum(first, last), last, tail)
 
     def halve(self, first: np.ndarray, last: np.ndarray, tail: np.ndarray) -> np.ndarray:
         """The first place in first ... last - 1 with a low part of at least `tail`, or last: by halves, all at once."""
@@ -162,15 +242,7 @@ class EliasFano:
     def one(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The word and the bit of the k-th one of the upper bits (from 0)."""
         word = np.searchsorted(self.ones, k, side="right") - 1
-        left = (k - self.ones[word]).astype(np.int64)
-        free, at = self.upper[word], np.zeros(len(k), np.int64)
-        for width in (32, 16, 8, 4, 2, 1):
-            inside = np.bitwise_count(free & U64((1 << width) - 1)).astype(np.int64)
-            past = left >= inside
-            left -= np.where(past, inside, 0)
-            at += np.where(past, width, 0)
-            free = np.where(past, free >> U64(width), free)
-        return word, at
+        return word, select(self.upper[word], k - self.ones[word])
 
     def at(self, k: np.ndarray) -> np.ndarray:
         """The values at places k."""
@@ -182,32 +254,50 @@ class EliasFano:
         word, bit = self.one(k)
         place = word * 64 + bit
         rest = self.upper[word] >> (bit + 1).astype(np.uint64)
-        with np.errstate(over="ignore"):
-            gap = np.bitwise_count((rest & (~rest + U64(1))) - U64(1)).astype(np.int64)
-        after = ((place + gap - k).astype(np.uint64) << U64(self.low)) | self.tails(k + 1)
+        after = ((place + next_one(rest) - k).astype(np.uint64) << U64(self.low)) | self.tails(k + 1)
         far = np.flatnonzero(rest == 0)
-        after[far] = self.at(k[far] + 1)
+        if len(far):
+            after[far] = self.at(k[far] + 1)
         return ((place - k).astype(np.uint64) << U64(self.low)) | self.tails(k), after
 
     def within(self, x: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """The place of each x among the values at places first ... last - 1, or -1: a successor search in that range."""
         if not self.n:
             return np.full(len(x), -1, np.int64)
-        high = np.minimum(x >> U64(self.low), U64(self.top + 1)).astype(np.int64)
-        start = np.where(high > 0, self.zero(np.maximum(high - 1, 0)) - high + 1, 0)
-        stop = np.minimum(np.minimum(self.zero(high) - high, self.n), last)
-        first = np.maximum(first, start)
-        place = self.halve(first.copy(), np.maximum(stop, first), x & U64((1 << self.low) - 1))
-        hit = (place < stop) & (self.tails(np.minimum(place, self.n - 1)) == x & U64((1 << self.low) - 1))
+        high, tail = self.split(x)
+        start, stop = self.bucket(high)
+        first, stop = np.maximum(first, start), np.minimum(stop, last)
+        place = self.halve(first.copy(), np.maximum(stop, first), tail)
+        hit = (place < stop) & (self.tails(np.minimum(place, self.n - 1)) == tail)
         return np.where(hit, place, -1)
 
+    def among(self, tail: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The place of each low part among those at first ... last - 1, which rise there, or -1.
+
+        Low parts of hashes are spread evenly, so a place is guessed from the
+        values that bound it; after GUESSES rounds ranges are halved, whatever they hold.
+        """
+        out = np.full(len(tail), -1, np.int64)
+        own = np.flatnonzero(first < last)
+        first, last, goal = first[own], last[own], tail[own].astype(np.float64)
+        floor, top, rounds = np.zeros(len(own)), np.full(len(own), float(1 << self.low)), 0
+        while len(own):
+            share = (goal - floor) / (top - floor) if rounds < GUESSES else 0.5
+            mid = np.minimum(first + ((last - first) * share).astype(np.int64), last - 1)
+            value = self.tails(mid).astype(np.float64)
+            hit = value == goal
+            out[own[hit]] = mid[hit]
+            less = value < goal
+            first, last = np.where(less, mid + 1, first), np.where(less, last, mid)
+            floor, top = np.where(less, value + 1, floor), np.where(less, top, value)
+            left = np.flatnonzero((first < last) & ~hit)
+            own, first, last, goal, floor, top = (v[left] for v in (own, first, last, goal, floor, top))
+            rounds += 1
+        return out
+
     def find(self, x: np.ndarray) -> np.ndarray:
         """The place of each x, or -1."""
-        if not self.n:
-            return np.full(len(x), -1, np.int64)
-        place = self.successor(x)
-        inside = np.minimum(place, self.n - 1)
-        return np.where((place < self.n) & (self.at(inside) == x), inside, -1)
+        return self.within(x, np.int64(0), np.int64(self.n))
 
 
 def opened(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -237,7 +327,7 @@ def load(folder: str, name: str) -> dict[str, np.ndarray] | None:
     fs, path = opened(folder)
     try:
         if isinstance(fs, pafs.LocalFileSystem):
-            raw = np.memmap(f"{path}/{name}", np.uint8, "r")
+            raw = np.asarray(np.memmap(f"{path}/{name}", np.uint8, "r"))
         else:
             with fs.open_input_stream(f"{path}/{name}", compression=None) as stream:
                 raw = np.frombuffer(stream.read(), np.uint8)
@@ -248,8 +338,8 @@ def load(folder: str, name: str) -> dict[str, np.ndarray] | None:
     return {k: raw[8 + n + at : 8 + n + at + size * np.dtype(kind).itemsize].view(kind) for k, (at, size, kind) in head.items()}
 
 
-def nested(prefix: str, values: np.ndarray, bits: int) -> dict[str, np.ndarray]:
-    return {f"{prefix}.{k}": v for k, v in EliasFano.pack(values.astype(np.uint64), max(1, bits)).items()}
+def nested(prefix: str, values: np.ndarray, bits: int, least: int = 0) -> dict[str, np.ndarray]:
+    return {f"{prefix}.{k}": v for k, v in EliasFano.pack(values.astype(np.uint64), max(1, bits), least).items()}
 
 
 def part_of(prefix: str, parts: dict[str, np.ndarray]) -> EliasFano:
@@ -272,6 +362,7 @@ class Law:
         self.tokens, self.types, self.texts = tokens, types, texts
         self.floor = -np.log10(tokens + MU2 + MU3 + 10)  # no share is smaller
         self.step = -self.floor / 255
+        self.decoded = 10.0 ** (self.floor + np.arange(256) * self.step)
 
     def unigram(self, count: np.ndarray) -> np.ndarray:
         return (count + 1.0) / (self.tokens + self.types + 1.0)
@@ -280,7 +371,7 @@ class Law:
         return np.clip(np.rint((np.log10(p) - self.floor) / self.step), 0, 255).astype(np.uint8)
 
     def decode(self, code: np.ndarray) -> np.ndarray:
-        return 10.0 ** (self.floor + code * self.step)
+        return self.decoded[code]
 
 
 class Heavy:
@@ -390,15 +481,14 @@ class Reader:
             for k, x in enumerate(level["first2"].two(found[found >= 0])):
                 span[k][found >= 0] = x
             back = np.cumsum(new) - 1
-            own, rank, first, last = (x[found[back] >= 0] for x in (own, found[back], span[0][back], span[1][back]))
-            place = level["next2"].within((rank.astype(np.uint64) << TAIL) | tail(v[own]), first, last)
+            own, first, last = (x[found[back] >= 0] for x in (own, span[0][back], span[1][back]))
+            place = level["next2"].among(tail(v[own]), first.astype(np.int64), last.astype(np.int64))
             own, place = own[place >= 0], place[place >= 0]
             share2[own], left[own] = law.decode(level["code2"][place]), law.decode(level["left2"][place])
             first, last = (x.astype(np.int64) for x in level["first3"].two(place))
             each = np.diff(bounds)[own]
             mine = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + np.repeat(bounds[own], each)
-            node, lo, hi = (np.repeat(x, each) for x in (place, first, last))
-            place = level["next3"].within((node.astype(np.uint64) << TAIL) | tail(block.words[block.w[mine]]), lo, hi)
+            place = level["next3"].among(tail(block.words[block.w[mine]]), np.repeat(first, each), np.repeat(last, each))
             share3[mine[place >= 0]] = law.decode(level["code3"][place[place >= 0]])
         return share2, left, share3
 
@@ -450,7 +540,7 @@ def build_words(train: DataFrame, folder: str, bits: int) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                block = Block(part.column("text"))
+                block = Block(part.column("text"), grams=False)
                 more = np.bincount(block.token, minlength=len(block.words))
                 words, back = np.unique(np.concatenate((words, block.words[more > 0])), return_inverse=True)
                 counts = np.bincount(back, np.concatenate((counts, more[more > 0])), len(words)).astype(np.int64)
@@ -512,8 +602,8 @@ def build_trie(train: DataFrame, trie: Trie) -> DataFrame:
             count2 = np.bincount(parent3, count3, len(key2))
             total = heavy.totals(contexts, np.bincount(parent2, count2, len(contexts)))
             first2, first3 = np.searchsorted(parent2, np.arange(len(contexts) + 1)), np.searchsorted(parent3, np.arange(len(key2) + 1))
-            levels = nested("contexts", below(contexts, bits), 64 - bits) | nested("first2", first2, len(key2).bit_length()) | nested("next2", key2, 32 + len(contexts).bit_length())
-            levels |= nested("first3", first3, len(key3).bit_length()) | nested("next3", key3, 32 + len(key2).bit_length())
+            levels = nested("contexts", below(contexts, bits), 64 - bits) | nested("first2", first2, len(key2).bit_length()) | nested("next2", key2, 32 + len(contexts).bit_length(), 32)
+            levels |= nested("first3", first3, len(key3).bit_length()) | nested("next3", key3, 32 + len(key2).bit_length(), 32)
             levels |= {"code2": law.encode(count2 / (total[parent2] + MU2)), "left2": law.encode(MU3 / (count2 + MU3)), "code3": law.encode(count3 / (count2[parent3] + MU3))}
             save(folder, f"trie-{shard}", levels)
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, len(contexts), len(key2), len(key3))], ["shard", "contexts", "bigrams", "trigrams"])

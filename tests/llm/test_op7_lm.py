@@ -165,3 +165,53 @@ def test_many_shards_a_task_and_little_kept(spark, monkeypatch, sf):
     for a, b in zip([reader.counts(block.words), *reader.shares(block)], [whole.counts(block.words), *whole.shares(block)], strict=True):
         assert (a == b).all()
     assert len(whole.held) > len(reader.held) and sum(reader.sizes.values()) < 1 << 17
+
+
+def test_select():
+    rng = np.random.default_rng(3)
+    words = np.concatenate([rng.integers(0, 1 << 64, 300, dtype=np.uint64), np.array([1, 1 << 63, (1 << 64) - 1], np.uint64)])
+    each = np.bitwise_count(words).astype(np.int64)
+    k = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+    want = [i for w in words.tolist() for i in range(64) if w >> i & 1]
+    assert lm.select(np.repeat(words, each), k).tolist() == want
+
+
+def test_successors_are_guessed_from_their_values(monkeypatch):
+    rng = np.random.default_rng(9)
+    n, nodes = 100_000, 5
+    node = np.sort(rng.integers(0, nodes, n)).astype(np.uint64)
+    node[:3] = 0
+    keys = np.unique((node << lm.TAIL) | rng.integers(0, 1 << 32, n, dtype=np.uint64))
+    e = lm.EliasFano(lm.EliasFano.pack(keys, 32 + nodes.bit_length(), 32))
+    assert e.low == 32 and (e.at(np.arange(len(keys))) == keys).all()
+    bounds = np.searchsorted(keys >> lm.TAIL, np.arange(nodes + 1))
+    want = np.concatenate((rng.integers(0, len(keys), 20_000), np.arange(3)))
+    own, tails = (keys[want] >> lm.TAIL).astype(int), keys[want] & lm.U64(0xFFFFFFFF)
+    probes, plain_tails = [0], lm.EliasFano.tails
+    monkeypatch.setattr(lm.EliasFano, "tails", lambda self, at: probes.append(len(at)) or plain_tails(self, at))
+    assert (e.among(tails, bounds[own], bounds[own + 1]) == want).all()
+    assert sum(probes) < 6 * len(want)  # by halves there are 14
+    # values that are not there, other nodes' values, empty ranges
+    other = (own + 1) % nodes
+    missing = np.isin((other.astype(np.uint64) << lm.TAIL) | tails, keys, invert=True)
+    assert ((e.among(tails, bounds[other], bounds[other + 1]) < 0) == missing).all()
+    assert (e.among(tails, bounds[own], bounds[own]) < 0).all()
+    # values spread unevenly, which no guess finds
+    odd = np.unique(np.concatenate((1 << np.arange(32, dtype=np.uint64), np.arange(2000, dtype=np.uint64), np.array([(1 << 32) - 1], np.uint64))))
+    e = lm.EliasFano(lm.EliasFano.pack(odd, 33, 32))
+    probes.clear()
+    assert (e.among(odd, np.zeros(len(odd), np.int64), np.full(len(odd), len(odd))) == np.arange(len(odd))).all()
+    assert len(probes) <= lm.GUESSES + 12
+
+
+def test_distinct_codes():
+    rng = np.random.default_rng(4)
+    for n, top in ((0, 5), (1, 5), (5000, 300), (5000, 1 << 40), (5000, 1 << 60)):
+        codes = rng.integers(0, top, n)
+        codes[n // 2 :] = codes[: n - n // 2]
+        want = np.unique(codes, return_inverse=True, return_counts=True)
+        assert all((a == b).all() for a, b in zip(lm.distinct(codes, top), want, strict=True))
+        hashes = codes.astype(np.uint64) * lm.GOLD
+        assert all((a == b).all() for a, b in zip(lm.distinct_hashes(hashes), np.unique(hashes, return_inverse=True), strict=True))
+    block = lm.Block(pa.array(["a b a", None]), grams=False)
+    assert block.token.tolist() == lm.Block(pa.array(["a b a", None])).token.tolist() and not hasattr(block, "u")
