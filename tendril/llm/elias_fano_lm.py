@@ -24,7 +24,7 @@ lie in shards of their own, so no shard grows with a frequent word; a shard is a
 task, or several are beyond MOST_TASKS. A context's total is known from level 1. Level 1 is bounded likewise: a slice sends a word once.
 Level files lie in the shared folder under names that follow from the shard's
 number, so no list of them goes through the driver, and a retried task writes
-the same file again. Tasks map them into memory; of a store without paths they
+the same file again. Where shards are many, several slices are scored together. Tasks map them into memory; of a store without paths they
 read shards as they need them and keep KEPT_BYTES.
 
 Words are known by 64-bit hashes, successors of a node by 32 of these bits: of
@@ -71,6 +71,10 @@ GOLD = U64(0x9E3779B97F4A7C15)
 TAIL = U64(32)
 #: Rounds of a search in which a place is guessed from values, before ranges are halved.
 GUESSES = 8
+#: Searches that are rather done one by one than all at once.
+FEW = 12
+#: Slices that are scored together: one for each SHARDS_A_SLICE shards of the trie, up to MOST_SLICES and MOST_TOKENS.
+SHARDS_A_SLICE, MOST_SLICES, MOST_TOKENS = 128, 4, 4 << 20
 
 
 def distinct(codes: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,6 +132,8 @@ class Block:
         self.u, self.v = np.divmod(codes, n)
         codes, self.triple_of, self.count = distinct(self.pair_of * n + after, len(self.u) * n)
         self.pair, self.w = np.divmod(codes, n)
+        for name in ("token", "before", "pair_of", "triple_of", "u", "v", "pair", "w"):  # a text has fewer than 2**31 bytes
+            setattr(self, name, getattr(self, name).astype(np.int32))
 
 
 def select_table() -> np.ndarray:
@@ -272,16 +278,17 @@ class EliasFano:
         return np.where(hit, place, -1)
 
     def among(self, tail: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """The place of each low part among those at first ... last - 1, which rise there, or -1.
+        """The place of each low part (of 32 bits) among those at first ... last - 1, which rise there, or -1.
 
         Low parts of hashes are spread evenly, so a place is guessed from the
-        values that bound it; after GUESSES rounds ranges are halved, whatever they hold.
+        values that bound it; after GUESSES rounds ranges are halved, whatever they
+        hold. The last FEW open ones are searched one by one.
         """
         out = np.full(len(tail), -1, np.int64)
         own = np.flatnonzero(first < last)
         first, last, goal = first[own], last[own], tail[own].astype(np.float64)
         floor, top, rounds = np.zeros(len(own)), np.full(len(own), float(1 << self.low)), 0
-        while len(own):
+        while len(own) > FEW:
             share = (goal - floor) / (top - floor) if rounds < GUESSES else 0.5
             mid = np.minimum(first + ((last - first) * share).astype(np.int64), last - 1)
             value = self.tails(mid).astype(np.float64)
@@ -293,6 +300,10 @@ class EliasFano:
             left = np.flatnonzero((first < last) & ~hit)
             own, first, last, goal, floor, top = (v[left] for v in (own, first, last, goal, floor, top))
             rounds += 1
+        for i, a, b, x in zip(own.tolist(), first.tolist(), last.tolist(), tail[own], strict=True):
+            place = a + int(np.searchsorted(self.whole[a:b], np.uint32(x)))
+            if place < b and self.whole[place] == x:
+                out[i] = place
         return out
 
     def find(self, x: np.ndarray) -> np.ndarray:
@@ -459,16 +470,17 @@ class Reader:
             out[cuts[s] + hit] = np.where(later, ends - before, before).astype(np.int64)
         return out
 
-    def shares(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the block's bigrams the share and the mass they leave, of its trigrams the share."""
+    def shares(self, *blocks: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the blocks' bigrams, a block after another, the share and the mass they leave, of their trigrams the share."""
         law, bits = self.trie.law, self.trie.bits2
-        share2, left, share3 = np.zeros(len(block.u)), np.ones(len(block.u)), np.zeros(len(block.w))
-        v = block.words[block.v]
-        context = self.heavy.contexts(block.words[block.u], v)
+        u, v, w = (np.concatenate([b.words[getattr(b, k)] for b in blocks]) for k in "uvw")
+        share2, left, share3 = np.zeros(len(u)), np.ones(len(u)), np.zeros(len(w))
+        context, w = self.heavy.contexts(u, v), tail(w)
         shard = shard_of(context, bits)
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange((1 << bits) + 1))
-        bounds = np.searchsorted(block.pair, np.arange(len(block.u) + 1))  # of each bigram's trigrams
+        each = np.concatenate([np.bincount(b.pair, minlength=len(b.u)) for b in blocks])
+        bounds = np.concatenate(([0], np.cumsum(each)))  # of each bigram's trigrams
         for s in np.flatnonzero(np.diff(cuts)).tolist():
             level = self.parts(f"trie-{s}", ("contexts", "first2", "next2", "first3", "next3"))
             if level is None:
@@ -486,9 +498,9 @@ class Reader:
             own, place = own[place >= 0], place[place >= 0]
             share2[own], left[own] = law.decode(level["code2"][place]), law.decode(level["left2"][place])
             first, last = (x.astype(np.int64) for x in level["first3"].two(place))
-            each = np.diff(bounds)[own]
-            mine = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + np.repeat(bounds[own], each)
-            place = level["next3"].among(tail(block.words[block.w[mine]]), np.repeat(first, each), np.repeat(last, each))
+            runs = each[own]
+            mine = np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs) + np.repeat(bounds[own], runs)
+            place = level["next3"].among(w[mine], np.repeat(first, runs), np.repeat(last, runs))
             share3[mine[place >= 0]] = law.decode(level["code3"][place[place >= 0]])
         return share2, left, share3
 
@@ -636,26 +648,46 @@ def build(docs: DataFrame, folds: int = 7, held_out: int = 2) -> Trie:
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple[pa.RecordBatch, Block]]]:
+    """Slices with their blocks, `most` at a time at most, fewer where they have many tokens."""
+    held, tokens = [], 0
+    for batch in batches:
+        for part in slices(batch, "text", SLICE):
+            block = Block(part.column("text"))
+            if held and (len(held) == most or tokens + len(block.token) > MOST_TOKENS):
+                yield held
+                held, tokens = [], 0
+            held.append((part, block))
+            tokens += len(block.token)
+    if held:
+        yield held
+
+
 def score(docs: DataFrame, model: Trie, folds: int = 7, held_out: int = 2) -> DataFrame:
     """Unigram base score and trie score (log10) of each whole text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", is_held_out(F.col("doc_id"), folds, held_out).alias("held_out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, law = model.reader(), model.law
-        for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                block = Block(part.column("text"))
-                count = reader.counts(block.words)
-                unigram = law.unigram(count)
-                share2, left, share3 = reader.shares(block)
-                count[block.words == START] = law.texts
-                p = share2[block.pair_of] + (MU2 / (count + MU2))[block.before] * unigram[block.token]
-                own = np.ones(len(p), bool)  # tokens after two others of their text
-                own[block.at[:-1]] = False
-                later = np.flatnonzero(own)
-                p[later] = share3[block.triple_of[later - 1]] + left[block.pair_of[later - 1]] * p[later]
-                sums = lambda v: np.add.reduceat(v, block.at[:-1])
-                known, n = (count > 0)[block.token].astype(np.int64), len(block.n_tokens)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *(pa.array(x) for x in (block.n_tokens.astype(np.int64), sums(known), np.full(n, law.tokens, np.int64), sums(np.log10(unigram)[block.token]), sums(np.log10(p))))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        reader = model.reader()
+        together = min(MOST_SLICES, max(1, (1 << model.bits2) // SHARDS_A_SLICE))
+        for held in gathered(batches, together):
+            shares, at2, at3 = reader.shares(*(block for _, block in held)), 0, 0
+            for part, block in held:
+                own2, own3 = slice(at2, at2 + len(block.u)), slice(at3, at3 + len(block.w))
+                yield scored(part, block, reader.counts(block.words), shares[0][own2], shares[1][own2], shares[2][own3])
+                at2, at3 = own2.stop, own3.stop
+
+    def scored(part: pa.RecordBatch, block: Block, count: np.ndarray, share2: np.ndarray, left: np.ndarray, share3: np.ndarray) -> pa.RecordBatch:
+        law = model.law
+        unigram = law.unigram(count)
+        count[block.words == START] = law.texts
+        p = share2[block.pair_of] + (MU2 / (count + MU2))[block.before] * unigram[block.token]
+        own = np.ones(len(p), bool)  # tokens after two others of their text
+        own[block.at[:-1]] = False
+        later = np.flatnonzero(own)
+        p[later] = share3[block.triple_of[later - 1]] + left[block.pair_of[later - 1]] * p[later]
+        sums = lambda v: np.add.reduceat(v, block.at[:-1])
+        known, n = (count > 0)[block.token].astype(np.int64), len(block.n_tokens)
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *(pa.array(x) for x in (block.n_tokens.astype(np.int64), sums(known), np.full(n, law.tokens, np.int64), sums(np.log10(unigram)[block.token]), sums(np.log10(p))))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return arrow(rows, run, OUT)

@@ -215,3 +215,26 @@ def test_distinct_codes():
         assert all((a == b).all() for a, b in zip(lm.distinct_hashes(hashes), np.unique(hashes, return_inverse=True), strict=True))
     block = lm.Block(pa.array(["a b a", None]), grams=False)
     assert block.token.tolist() == lm.Block(pa.array(["a b a", None])).token.tolist() and not hasattr(block, "u")
+
+
+def test_slices_are_scored_together_where_shards_are_many(spark, monkeypatch, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").coalesce(1)
+    monkeypatch.setattr(lm, "TRIE_SHARD", 20_000)
+    model = lm.build(docs)
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    monkeypatch.setattr(lm, "SLICE", 30_000)
+    alone, four = list(lm.gathered([batch], 1)), list(lm.gathered([batch], 4))
+    assert len(alone) > 4 and len(four) == -(-len(alone) // 4)
+    for k, held in enumerate(four):
+        whole = model.reader().shares(*(b for _, b in held))
+        apart = [model.reader().shares(b) for own in alone[4 * k : 4 * k + 4] for _, b in own]
+        assert all((np.concatenate(x) == y).all() for x, y in zip(zip(*apart, strict=True), whole, strict=True))
+    tokens = [sum(len(b.token) for _, b in held) for held in alone]
+    monkeypatch.setattr(lm, "MOST_TOKENS", max(tokens))
+    assert all(len(h) == 1 or sum(len(b.token) for _, b in h) <= max(tokens) for h in lm.gathered([batch], 4))
+    scores = lambda: [tuple(r) for r in lm.score(docs, model).orderBy("doc_id").collect()]
+    want = scores()
+    monkeypatch.setattr(lm, "SHARDS_A_SLICE", 1)
+    monkeypatch.setattr(lm, "MOST_TOKENS", 1 << 22)
+    assert 1 << model.bits2 >= 4 and scores() == want
