@@ -473,12 +473,13 @@ class Reader:
     def shares(self, *blocks: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the blocks' bigrams, a block after another, the share and the mass they leave, of their trigrams the share."""
         law, bits = self.trie.law, self.trie.bits2
-        u, v, w = (np.concatenate([b.words[getattr(b, k)] for b in blocks]) for k in "uvw")
-        share2, left, share3 = np.zeros(len(u)), np.ones(len(u)), np.zeros(len(w))
-        context, w = self.heavy.contexts(u, v), tail(w)
+        context = np.concatenate([self.heavy.contexts(b.words[b.u], b.words[b.v]) for b in blocks])
+        v, w = (np.concatenate([tail(b.words).astype(np.uint32)[getattr(b, k)] for b in blocks]) for k in "vw")
+        share2, left, share3 = np.zeros(len(v)), np.ones(len(v)), np.zeros(len(w))
         shard = shard_of(context, bits)
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange((1 << bits) + 1))
+        del shard
         each = np.concatenate([np.bincount(b.pair, minlength=len(b.u)) for b in blocks])
         bounds = np.concatenate(([0], np.cumsum(each)))  # of each bigram's trigrams
         for s in np.flatnonzero(np.diff(cuts)).tolist():
@@ -494,7 +495,7 @@ class Reader:
                 span[k][found >= 0] = x
             back = np.cumsum(new) - 1
             own, first, last = (x[found[back] >= 0] for x in (own, span[0][back], span[1][back]))
-            place = level["next2"].among(tail(v[own]), first.astype(np.int64), last.astype(np.int64))
+            place = level["next2"].among(v[own], first.astype(np.int64), last.astype(np.int64))
             own, place = own[place >= 0], place[place >= 0]
             share2[own], left[own] = law.decode(level["code2"][place]), law.decode(level["left2"][place])
             first, last = (x.astype(np.int64) for x in level["first3"].two(place))
