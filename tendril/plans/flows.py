@@ -181,8 +181,8 @@ SELECT doc_id, CAST(p.i - 1 AS BIGINT) AS first_word, CAST(p.m.n AS BIGINT) AS n
 def company_mentions(spark, sf_dir):
     """Names in all texts, leftmost and longest. The first words of the documents stand for the names of companies."""
     docs = table(spark, sf_dir, "documents")
-    w = mentions.words(F.coalesce("text", F.lit("")))
-    first = lambda n, df: df.where(F.size(w) >= n).select("doc_id", F.array_join(F.slice(w, 1, n), " ").alias("name"))
+    begun = lambda n, df: df.select("doc_id", mentions.first_words(F.coalesce("text", F.lit("")), n).alias("w"))
+    first = lambda n, df: begun(n, df).where(F.size("w") >= n).select("doc_id", F.array_join("w", " ").alias("name"))
     names = first(3, docs).unionByName(first(2, docs.where("lang = 'en'"))).groupBy("name").agg(F.min("doc_id").alias("company"))
     return mentions.mentions(docs, "doc_id", "text", names, "company", "name")
 
